@@ -1,0 +1 @@
+"""operators of the imaging and behaviour library."""

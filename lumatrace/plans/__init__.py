@@ -1,0 +1 @@
+"""plans of the imaging and behaviour library."""

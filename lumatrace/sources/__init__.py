@@ -1,0 +1 @@
+"""sources of the imaging and behaviour library."""

@@ -1,0 +1 @@
+"""streaming of the imaging and behaviour library."""
