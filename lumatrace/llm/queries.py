@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate
+from . import bpe, decontaminate, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_decontaminate": decontaminate.op2_decontaminate, "op5_bpe": bpe.op5_bpe}
+    return {"op2_decontaminate": decontaminate.op2_decontaminate, "op5_bpe": bpe.op5_bpe, "op8_simhash": simhash.op8_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
