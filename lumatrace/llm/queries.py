@@ -6,12 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, language, simhash, substrings, toxicity
+from . import bpe, decontaminate, extract, language, simhash, substrings, topk, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_toxicity": toxicity.op1_toxicity, "op2_decontaminate": decontaminate.op2_decontaminate, "op4_substrings": substrings.op4_substrings, "op5_bpe": bpe.op5_bpe, "op6_language": language.op6_language, "op8_simhash": simhash.op8_simhash}
+    return {
+        "op1_toxicity": toxicity.op1_toxicity,
+        "op2_decontaminate": decontaminate.op2_decontaminate,
+        "op4_substrings": substrings.op4_substrings,
+        "op5_bpe": bpe.op5_bpe,
+        "op6_language": language.op6_language,
+        "op7_extract": extract.op7_extract,
+        "op8_simhash": simhash.op8_simhash,
+        "op10_topk": topk.op10_topk,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_toxicity": toxicity.op1_toxicity, "op2_decontaminate": decontaminate.OP2_SQL}
+    return {
+        "op2_decontaminate": decontaminate.OP2_SQL,
+        "op10_topk": topk.OP10_SQL,
+    }
