@@ -6,18 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, extract, language, simhash, substrings, topk, toxicity
+from . import bpe, decontaminate, extract, language, simhash, substrings, toolcalls, topk, toxicity, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": toxicity.op1_toxicity,
         "op2_decontaminate": decontaminate.op2_decontaminate,
+        "op3_urls": urls.op3_urls,
         "op4_substrings": substrings.op4_substrings,
         "op5_bpe": bpe.op5_bpe,
         "op6_language": language.op6_language,
         "op7_extract": extract.op7_extract,
         "op8_simhash": simhash.op8_simhash,
+        "op9_toolcalls": toolcalls.op9_toolcalls,
         "op10_topk": topk.op10_topk,
     }
 
@@ -25,5 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_decontaminate": decontaminate.OP2_SQL,
+        "op3_urls": urls.OP3_SQL,
+        "op9_toolcalls": toolcalls.OP9_SQL,
         "op10_topk": topk.OP10_SQL,
     }
