@@ -378,3 +378,28 @@ def op4_substrings(spark, sf_dir: str) -> DataFrame:
 
     found = with_repeats(docs).select("doc_id", F.col("text").cast("binary"), "repeats")
     return found.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+def cut(docs: DataFrame, text: str = "text", spans: str = "repeats") -> DataFrame:
+    """``text`` without the byte spans (array of begin, end structs) of column ``spans``, shrunk to whole characters.
+
+    Adds ``emptied``: something was cut and only white space is left. Null texts stay null.
+    """
+    fields = [T.StructField(text, T.StringType()) if f.name == text else f for f in docs.schema.fields]
+    schema = T.StructType([*fields, T.StructField("emptied", T.BooleanType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at_text = batch.schema.get_field_index(text)
+            column = batch.column(at_text)
+            data, at = blobs(column)
+            texts, emptied = [], []
+            missing = np.asarray(column.is_null())
+            for i, found in enumerate(spans_by_row(batch.column(batch.schema.get_field_index(spans)))):
+                kept = without(data[at[i] : at[i + 1]], found, True).decode("utf-8", "replace")
+                texts.append(None if missing[i] else kept)
+                emptied.append(len(found) > 0 and not kept.strip())
+            arrays = [pa.array(texts, pa.string()) if i == at_text else c for i, c in enumerate(batch.columns)]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(emptied, pa.bool_())], [*batch.schema.names, "emptied"])
+
+    return docs.mapInArrow(run, schema)
