@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -12,27 +11,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumatrace.session import shared_dir
+
 #: Bytes of text that one step of vectorised work holds at a time.
 CHUNK_BYTES = 4 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``).
-
-    Only a local session without that setting gets a temporary folder of its own.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        option = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = option.get() if option.isDefined() else None
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def materialize(df: DataFrame) -> DataFrame:
     """Write to the shared folder and read again: cuts lineage and outlives executors."""
     path = f"{shared_dir(df.sparkSession)}/lumatrace-{uuid.uuid4().hex}"
