@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumatrace.plans import traces
+from lumatrace.plans import recordings, traces
 
-PARTS = (traces,)
+PARTS = (traces, recordings)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
