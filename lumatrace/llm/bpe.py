@@ -22,16 +22,16 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blobs, chunks, read
+from .common import arrow_map, blobs, chunks, read
 
 #: Fixed value: the published split pattern of byte-level BPE vocabularies.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 #: Words in a worker's cache; it is emptied when full, so memory is bounded whatever the input.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 #: Up to this many bytes a scan over the pairs is quicker than a heap.
 SHORT_WORD = 48
 #: Bytes of text whose words are proposed and verified together.
-BATCH_BYTES = 3 << 20
+BATCH_BYTES = 3 << 19
 #: Longer words are never cached.
 LONG_WORD = 128
 
@@ -249,7 +249,7 @@ def tokenize(docs: DataFrame, text: str = "text", definition: str | None = None,
             arrays += [pa.array(lists, pa.list_(pa.int32())), pa.array(texts, pa.string())] * keep_ids
             yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], [*batch.schema.names, *made])
 
-    return source.mapInArrow(run, schema)
+    return arrow_map(source, run, schema)
 
 
 def op5_bpe(spark, sf_dir: str) -> DataFrame:

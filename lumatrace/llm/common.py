@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from lumatrace.session import shared_dir
 
 #: Bytes of text that one step of vectorised work holds at a time.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
+#: Rows in a batch that a Python worker gets: texts may be long, and a worker's share of memory is small.
+BATCH_ROWS = 1000
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -24,6 +26,14 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def arrow_map(df: DataFrame, run, schema) -> DataFrame:
+    """``mapInArrow`` in batches of at most BATCH_ROWS rows; a smaller setting of the session stays."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(setting)) <= BATCH_ROWS:
+        df.sparkSession.conf.set(setting, str(BATCH_ROWS))
+    return df.mapInArrow(run, schema)
+
+
 def text_key(text: str = "text"):
     """A hash of a text that tells null from empty; with doc_id it names a document's content.
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blobs, chunks, read
+from .common import arrow_map, blobs, chunks, read
 
 WINDOW = 10
 #: Every so many positions the index keeps one suffix position.
@@ -26,7 +26,7 @@ SAMPLE = 8
 #: Bytes of benchmark text in one broadcast; a larger benchmark takes several passes.
 BLOCK_BYTES = 16 << 20
 #: Bytes of document text in one index.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 3 << 20
 #: A-Z become a-z; bytes that are not in a word become spaces.
 TO_WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -218,7 +218,7 @@ def scan_block(docs: DataFrame, items: list, text: str, window: int) -> DataFram
             arrays = [pa.array(n_words, pa.int64()), pa.array(words_out, pa.list_(pa.int64())), pa.array(items_out, pa.list_(pa.string())), pa.array(spans_out, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in kept] + arrays, [names[i] for i in kept] + ADDED.names)
 
-    return docs.mapInArrow(run, schema)
+    return arrow_map(docs, run, schema)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:

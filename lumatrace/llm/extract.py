@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import read
+from .common import arrow_map, read
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<data>.*?)\]\]>|<[!?][^>]*(?:>|\Z)"
@@ -226,7 +226,7 @@ def extract(pages: DataFrame, column: str = "html") -> DataFrame:
             texts = [main_text(value.as_py() or "") for value in batch.column(batch.schema.get_field_index(column))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], [*batch.schema.names, "text", "n_chars"])
 
-    return pages.mapInArrow(run, schema)
+    return arrow_map(pages, run, schema)
 
 
 def op7_extract(spark, sf_dir: str) -> DataFrame:

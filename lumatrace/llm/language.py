@@ -20,13 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blobs, chunks, read
+from .common import arrow_map, blobs, chunks, read
 
 #: Bounds of the training sample: rows of one language, and characters of a row.
 SAMPLE_ROWS, SAMPLE_CHARS = 300, 1500
 #: Hash buckets of the features, words in the lexicon, words of one chain.
 BUCKETS, LEXICON, CHAIN = 1 << 15, 4000, 64
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
 #: Letters and bytes of other scripts stay; everything else of ASCII separates words. Lower-casing came before.
@@ -191,7 +191,8 @@ class Labeller:
         new = [w for w in words if w not in self.rows]
         if not new:
             return
-        scores, at = self.model.scores([w.decode("utf-8", "replace") for w in new]), len(self.rows)
+        at = len(self.rows)
+        scores = np.concatenate([self.model.scores([w.decode("utf-8", "replace") for w in new[a : a + 20_000]]) for a in range(0, len(new), 20_000)])
         if at + len(new) > len(self.table):
             self.table = np.concatenate([self.table[:at], np.zeros((at + 2 * len(new), self.table.shape[1]), np.float32)])
         self.table[at : at + len(new)] = scores
@@ -239,7 +240,7 @@ def identify(docs: DataFrame, model: Crf, text: str = "text") -> DataFrame:
             names: list[str] = []
             scores: list[float] = []
             column = batch.column(batch.schema.get_field_index(text))
-            for lo, hi in chunks(blobs(column)[1], 2 << 20):
+            for lo, hi in chunks(blobs(column)[1]):
                 texts = [t or "" for t in column.slice(lo, hi - lo).to_pylist()]
                 if not labels:
                     names += [UNKNOWN] * len(texts)
@@ -253,7 +254,7 @@ def identify(docs: DataFrame, model: Crf, text: str = "text") -> DataFrame:
                     scores.append(float(min(1.0, shares[i, best[i]])) if known else 0.0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names, "lang_pred", "score"])
 
-    return docs.mapInArrow(run, schema)
+    return arrow_map(docs, run, schema)
 
 
 def held_out(key: str = "doc_id"):

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blobs, chunks, materialize, read
+from .common import arrow_map, blobs, chunks, materialize, read
 from .graph import components
 
 SEED = 42
@@ -65,7 +65,7 @@ def with_fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
             fp = np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fp)], [*batch.schema.names, "fp"])
 
-    return docs.mapInArrow(run, schema)
+    return arrow_map(docs, run, schema)
 
 
 def trie_pairs(fps: np.ndarray, starts: np.ndarray, budget: int = BUDGET) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -157,7 +157,7 @@ def subtrie_links(rows: DataFrame, budget: int) -> DataFrame:
         if len(path):
             yield links(path, fp)
 
-    return rows.mapInArrow(run, "u long, v long")
+    return arrow_map(rows, run, "u long, v long")
 
 
 def descend(rows: DataFrame, bits: int, budget: int) -> tuple[DataFrame, int]:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blobs, chunks, materialize, read, text_key
+from .common import arrow_map, blobs, chunks, materialize, read, text_key
 
 MIN_LEN = 400
 #: Bytes that an anchor's hash covers.
@@ -34,7 +34,7 @@ GRAM = 32
 #: Different segments in a group that goes to a suffix array.
 GROUP = 192
 #: Bytes under one suffix array.
-ARRAY_BYTES = 1 << 20
+ARRAY_BYTES = 1 << 19
 #: Bytes whose anchors are found at a time; longer texts are taken in pieces.
 PIECE = 1 << 20
 #: Widths of the cells of the grids, finer and finer.
@@ -111,7 +111,7 @@ def text_segments(docs: DataFrame, min_len: int) -> DataFrame:
                     key = [keys[a + d] for d in doc.tolist()]
                     yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(tks[a + doc]), pa.array(np.zeros(len(first), np.int64)), pa.array(first - base), pa.array(n), pa.array(anchor - base), pa.array(group), pa.array(hashes, pa.int64()), pa.array(np.ones(len(first), np.int64))], SEGMENT.names)
 
-    return docs.select("key", "tk", "body").mapInArrow(run, SEGMENT)
+    return arrow_map(docs.select("key", "tk", "body"), run, SEGMENT)
 
 
 def grid_segments(texts: DataFrame, cell: int, min_len: int) -> DataFrame:
@@ -134,7 +134,7 @@ def grid_segments(texts: DataFrame, cell: int, min_len: int) -> DataFrame:
                     at = stop
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], SEGMENT.names)
 
-    return texts.select("key", "tk", "base", "lo", "n", "anchor", "grp", "c", "body").mapInArrow(run, SEGMENT)
+    return arrow_map(texts.select("key", "tk", "base", "lo", "n", "anchor", "grp", "c", "body"), run, SEGMENT)
 
 
 def cut_texts(wanted: DataFrame, source: DataFrame, min_len: int) -> DataFrame:
@@ -160,7 +160,7 @@ def cut_texts(wanted: DataFrame, source: DataFrame, min_len: int) -> DataFrame:
                 arrays = [key.take(take[a:z]), tk.take(take[a:z]), base.take(take[a:z])] + [pa.array(x[a:z]) for x in (lo, n, anchor, group, c)] + [pa.array(cut, pa.binary())]
                 yield pa.RecordBatch.from_arrays(arrays, schema.names)
 
-    return per_text.join(held, on).select("key", "tk", "base", F.col("s_body").alias("body"), "parts").mapInArrow(run, schema)
+    return arrow_map(per_text.join(held, on).select("key", "tk", "base", F.col("s_body").alias("body"), "parts"), run, schema)
 
 
 class EnhancedSuffixArray:
@@ -281,7 +281,7 @@ def array_spans(texts: DataFrame, min_len: int) -> DataFrame:
         if held:
             yield spans(held)
 
-    return rows.mapInArrow(run, "key long, tk long, begin long, end long")
+    return arrow_map(rows, run, "key long, tk long, begin long, end long")
 
 
 def repeated_spans(docs: DataFrame, min_len: int = MIN_LEN) -> DataFrame:
@@ -377,7 +377,7 @@ def op4_substrings(spark, sf_dir: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     found = with_repeats(docs).select("doc_id", F.col("text").cast("binary"), "repeats")
-    return found.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return arrow_map(found, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def cut(docs: DataFrame, text: str = "text", spans: str = "repeats") -> DataFrame:
@@ -402,4 +402,4 @@ def cut(docs: DataFrame, text: str = "text", spans: str = "repeats") -> DataFram
             arrays = [pa.array(texts, pa.string()) if i == at_text else c for i, c in enumerate(batch.columns)]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(emptied, pa.bool_())], [*batch.schema.names, "emptied"])
 
-    return docs.mapInArrow(run, schema)
+    return arrow_map(docs, run, schema)

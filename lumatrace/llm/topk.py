@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import read
+from .common import arrow_map, read
 
 #: Vectors in a block; queries scored together; queries in one broadcast (more are taken in several passes).
 BLOCK, TOGETHER, QUERIES = 512, 256, 20_000
@@ -63,12 +63,11 @@ class Best:
         self.count[rows] = np.minimum(self.count[rows] + fit.sum(1), k)
 
 
-def search_blocks(queries: np.ndarray, own: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) -> Best:
-    """The k best candidates of each query among the vectors, block after block."""
+def search_blocks(queries: np.ndarray, own: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int, best: Best) -> None:
+    """Add to the k best candidates of each query those among the vectors, block after block."""
     n = -(-len(ids) // BLOCK)
     at = np.arange(n) * BLOCK
     top, low = np.maximum.reduceat(vectors, at, axis=0), np.minimum.reduceat(vectors, at, axis=0)
-    best = Best(len(queries), k)
     for a in range(0, len(queries), TOGETHER):
         q = queries[a : a + TOGETHER]
         rows = np.arange(a, a + len(q))
@@ -83,7 +82,6 @@ def search_blocks(queries: np.ndarray, own: np.ndarray, ids: np.ndarray, vectors
                 mine = np.flatnonzero(live & (block == b))
                 lo, hi = b * BLOCK, min(len(ids), (b + 1) * BLOCK)
                 best.add(rows[mine], products(q[mine], vectors[lo:hi]), ids[lo:hi], own[rows[mine]])
-    return best
 
 
 FOUND = T.StructType([T.StructField(c, T.LongType()) for c in ("query_id", "vec_id", "score")])
@@ -97,7 +95,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id",
     components take no part; vectors of different lengths aren't compared; the inner product of empty
     vectors is 0. Null ids take no part. Of repeated ids each row is a candidate; a repeated query id
     asks with its least vector. Queries are broadcast ``most_queries`` at a time and meet all
-    vectors in blocks; each task returns k rows a query and batch of vectors.
+    vectors in blocks; each task returns k rows a query at most.
     """
     spark = vectors.sparkSession
     ready = integers(vectors.withColumn("is_query", is_query).filter(F.col(key).isNotNull()), key, vector, scale)
@@ -113,19 +111,30 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id",
         held = spark.sparkContext.broadcast({d: (table.column("vec_id").to_numpy()[rows].astype(np.int64), m) for d, (rows, m) in matrix(table.column("v").combine_chunks()).items()})
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            best = {d: Best(len(own), k) for d, (own, _) in held.value.items()}
+
+            def search(part: list[pa.RecordBatch]) -> None:
+                table = pa.Table.from_batches(part).combine_chunks()
+                ids = table.column(0).to_numpy().astype(np.int64)
+                for d, (rows, m) in matrix(table.column(1).chunk(0)).items():
+                    if d in best:
+                        own, q = held.value[d]
+                        search_blocks(q, own, ids[rows], m, k, best[d])
+
+            part: list[pa.RecordBatch] = []
             for batch in batches:
-                if not len(batch):
-                    continue
-                ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-                for d, (rows, m) in matrix(batch.column(1)).items():
-                    if d not in held.value:
-                        continue
-                    own, q = held.value[d]
-                    best = search_blocks(q, own, ids[rows], m, k)
-                    real = np.arange(k)[None, :] < best.count[:, None]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, best.count)), pa.array(best.id[real]), pa.array(best.score[real])], FOUND.names)
-
-        found = ready.mapInArrow(run, FOUND)
+                part += [batch] if len(batch) else []
+                if sum(map(len, part)) >= 16 * BLOCK:
+                    search(part)
+                    part = []
+            if part:
+                search(part)
+            for d, found in best.items():
+                own = held.value[d][0]
+                real = np.arange(k)[None, :] < found.count[:, None]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, found.count)), pa.array(found.id[real]), pa.array(found.score[real])], FOUND.names)
+
+        found = arrow_map(ready, run, FOUND)
         results = found if results is None else results.union(found)
     if results is None:
         results = spark.createDataFrame([], FOUND)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blobs, chunks, read
+from .common import arrow_map, blobs, chunks, read
 
 #: Bounds of the training sample: toxic and ordinary rows, and characters of a row.
 TOXIC_ROWS, ORDINARY_ROWS, SAMPLE_CHARS = 3000, 6000, 4000
@@ -180,11 +180,11 @@ def score(docs: DataFrame, model: Toxicity, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(text))
-            found = [held.value.scores([t or "" for t in column.slice(lo, hi - lo).to_pylist()]) for lo, hi in chunks(blobs(column)[1], 2 << 20)]
+            found = [held.value.scores([t or "" for t in column.slice(lo, hi - lo).to_pylist()]) for lo, hi in chunks(blobs(column)[1])]
             scores = np.concatenate(found) if found else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores), pa.array((scores >= CUT).astype(np.int32))], [*batch.schema.names, "score", "predicted"])
 
-    return docs.mapInArrow(run, schema)
+    return arrow_map(docs, run, schema)
 
 
 def held_out(key: str = "doc_id"):
