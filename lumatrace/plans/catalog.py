@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumatrace.plans import recordings, traces
+from lumatrace.plans import movies, recordings, traces
 
-PARTS = (traces, recordings)
+PARTS = (traces, recordings, movies)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
