@@ -195,10 +195,10 @@ class Page:
             if inner:
                 chosen = {inner[0]}
             elif best:
-                body = [i for i in path if self.tag[i] not in ("#root", "html")]
-                least = min(density[i] for i in body) if body else 0.0
+                body = [density[i] for i in path if self.tag[i] not in ("#root", "html")]
                 top = self.parent[best]
-                chosen |= {i for i in range(top + 1, best) if self.parent[i] == top and self.tag[i] in ("h1", "h2", "header") and not self.out[i] and density[i] >= min(least, 1.0)}
+                beside = [i for i in range(top + 1, best) if self.parent[i] == top and chars[i] and not self.out[i]]
+                chosen |= {i for i in beside if self.tag[i] == "h1" or self.tag[i] in ("h2", "header") and density[i] >= min(body, default=0.0)}
         return "\n\n".join(text for node, text in self.blocks if not self.out[node] and any(self.under(node, c) for c in chosen))
 
     def under(self, node: int, top: int) -> bool:

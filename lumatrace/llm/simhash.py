@@ -206,8 +206,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", bu
 def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", budget: int = BUDGET) -> DataFrame:
     """The document of least key of every component, all its columns; a row that repeats stays once."""
     found = near_duplicates(docs, text, key, budget)
-    chosen = materialize(found.filter(F.col(key).eqNullSafe(F.col("component_id"))).groupBy(F.col(key).alias("chosen")).count())
-    kept = docs.join(chosen.select("chosen"), docs[key].eqNullSafe(F.col("chosen")), "left_semi")
+    chosen = materialize(found.filter(F.col(key).eqNullSafe(F.col("component_id"))).groupBy(F.col(key).alias("__chosen")).count())
+    kept = docs.join(chosen.select("__chosen"), docs[key].eqNullSafe(F.col("__chosen")), "left_semi")
     return kept if chosen.filter("count > 1").isEmpty() else kept.dropDuplicates([key])
 
 

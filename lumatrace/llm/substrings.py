@@ -324,10 +324,10 @@ def with_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", min_l
     another row; overlapping occurrences count and texts aren't joined. Null is as empty: nothing
     repeats in it. Repeated rows are repeats of one another. Null keys are a value like any other.
     """
-    found = repeated_spans(keyed(docs, text, key), min_len).groupBy(F.col("key").alias("r_key"), F.col("tk").alias("r_tk")).agg(F.collect_list(F.struct("begin", "end")).alias("repeats"))
-    docs = docs.drop("repeats").withColumn("r_own", text_key(text))
-    on = docs[key].cast("long").eqNullSafe(F.col("r_key")) & (F.col("r_own") == F.col("r_tk"))
-    return docs.join(found, on, "left").drop("r_key", "r_tk", "r_own")
+    found = repeated_spans(keyed(docs, text, key), min_len).groupBy(F.col("key").alias("__key"), F.col("tk").alias("__tk")).agg(F.collect_list(F.struct("begin", "end")).alias("repeats"))
+    docs = docs.drop("repeats").withColumn("__own", text_key(text))
+    on = docs[key].cast("long").eqNullSafe(F.col("__key")) & (F.col("__own") == F.col("__tk"))
+    return docs.join(found, on, "left").drop("__key", "__tk", "__own")
 
 
 def union_of(spans: np.ndarray) -> np.ndarray:

@@ -84,15 +84,15 @@ def judge(pages: DataFrame, rules=RULES, url: str = "url", html: str = "html", b
     are judged each and count each. Columns of the added names are replaced.
     """
     named = pages.drop("host", "path", "rule", "verdict").withColumns({"host": host_of(F.coalesce(url, F.lit(""))), "path": path_of(F.coalesce(url, F.lit("")))})
-    ruled = named.withColumn("found", longest_rule(F.col("host"), F.col("path"), rules))
-    share = lambda v: F.avg(F.when(F.col("found.verdict") == v, 1.0).otherwise(0.0))
-    seeds = ruled.filter("host <> ''").select("host", "found").groupBy("host").agg(share("allow").alias("trust"), share("block").alias("distrust"))
+    ruled = named.withColumn("__found", longest_rule(F.col("host"), F.col("path"), rules))
+    share = lambda v: F.avg(F.when(F.col("__found.verdict") == v, 1.0).otherwise(0.0))
+    seeds = ruled.filter("host <> ''").select("host", "__found").groupBy("host").agg(share("allow").alias("trust"), share("block").alias("distrust"))
     scores = host_scores(seeds.filter("trust > 0 OR distrust > 0"), host_edges(pages, url, html), damping)
     distrust, trust = (F.round(F.col(c) / (1 - damping), 9) for c in ("distrust", "trust"))
-    blocked = materialize(scores.filter((distrust >= block_from) & (distrust > trust)).select(F.col("host").alias("blocked")))
-    joined = ruled.join(blocked, ruled["host"] == F.col("blocked"), "left")
-    verdict = F.coalesce(F.col("found.verdict"), F.when(F.col("blocked").isNotNull(), "block").otherwise("allow"))
-    return joined.withColumns({"rule": F.col("found.rule"), "verdict": verdict}).drop("found", "blocked")
+    blocked = materialize(scores.filter((distrust >= block_from) & (distrust > trust)).select(F.col("host").alias("__blocked")))
+    joined = ruled.join(blocked, ruled["host"] == F.col("__blocked"), "left")
+    verdict = F.coalesce(F.col("__found.verdict"), F.when(F.col("__blocked").isNotNull(), "block").otherwise("allow"))
+    return joined.withColumns({"rule": F.col("__found.rule"), "verdict": verdict}).drop("__found", "__blocked")
 
 
 def op3_urls(spark, sf_dir: str) -> DataFrame:
