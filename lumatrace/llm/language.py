@@ -114,7 +114,7 @@ class Crf:
         vocabulary = {w: i for i, w in enumerate(sorted({w for s, _ in stretches for w in s}))}
         ids = [features(w, self.lexicon) for w in vocabulary]
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat, begins = np.fromiter((i for x in ids for i in x), np.int64, int(sizes.sum())), np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        flat = np.fromiter((i for x in ids for i in x), np.int64, int(sizes.sum()))
         owner = np.repeat(np.arange(len(ids)), sizes)
         k = len(self.labels)
         past_w, past_s, past_b = np.full_like(self.weights, 1e-3), np.full((k, k), 1e-3), np.full(k, 1e-3)
@@ -134,15 +134,19 @@ class Crf:
                 for i, (w, g) in enumerate(part):
                     words[i, : len(w)], truth[i, : len(w)] = w, g
                 live = words >= 0
-                table = 4 * np.add.reduceat(self.weights[flat], begins, axis=0) / sizes[:, None]
-                prob, expected = self.marginals(table[words].astype(float), live, True)
+                used, word = np.unique(words[live], return_inverse=True)
+                mine = np.zeros(len(ids), bool)
+                mine[used] = True
+                names, size = flat[mine[owner]], sizes[used]
+                table = 4 * np.add.reduceat(self.weights[names], np.cumsum(size) - size, axis=0) / size[:, None]
+                scores = np.zeros((*words.shape, k))
+                scores[live] = table[word]
+                prob, expected = self.marginals(scores, live, True)
                 want = np.eye(k)[truth]
-                error = np.zeros((len(ids), k))
-                np.add.at(error, words[live], (want - prob)[live])
-                used = np.unique(words[live])
-                keep = np.isin(owner, used)
-                grad = np.zeros_like(self.weights)
-                np.add.at(grad, flat[keep], (4 * error[owner[keep]] / sizes[owner[keep]][:, None]).astype(np.float32))
+                error, grad = (want - prob)[live], np.empty_like(self.weights)
+                for label in range(k):
+                    share = 4 * np.bincount(word, error[:, label], len(used)) / size
+                    grad[:, label] = np.bincount(names, np.repeat(share, size), len(grad))
                 follows = live[:, 1:]
                 seen = np.zeros((k, k))
                 np.add.at(seen, (truth[:, :-1][follows], truth[:, 1:][follows]), 1)
