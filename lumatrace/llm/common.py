@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumatrace.session import shared_dir
@@ -47,6 +47,17 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def hash_sample(rows: DataFrame, key: Column, n: int, most: int) -> DataFrame:
+    """At most ``most`` of ``n`` rows, by the least hash of ``key``.
+
+    Rows beyond one and a half times the share that is wanted go by a filter, so that what tasks hand to
+    the driver is about the sample, however many tasks there are.
+    """
+    place = F.pmod(F.xxhash64(key), F.lit(1 << 30))
+    near = rows.filter(place < int((1 << 30) * min(1.0, 1.5 * most / max(1, n))) + 1)
+    return near.orderBy(place, key).limit(most)
+
+
 def blobs(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string or binary column without copies, and its n + 1 offsets; null is empty."""
     if column.null_count:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_map, blobs, chunks, read
+from .common import arrow_map, blobs, chunks, hash_sample, read
 
 #: Bounds of the training sample: rows of one language, and characters of a row.
 SAMPLE_ROWS, SAMPLE_CHARS = 300, 1500
@@ -170,15 +170,12 @@ def training_sample(docs: DataFrame, text: str, label: str, key: str) -> list[tu
     The rows come from as many small top-k queries as there are labels; the label set is small by nature
     and checked.
     """
-    rows = docs.filter(F.col(label).isNotNull() & F.col(text).isNotNull())
-    names = sorted(r[0] for r in rows.select(label).distinct().limit(1001).collect())
-    if len(names) > 1000:
+    rows = docs.filter(F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.col(label).alias("label"), F.col(key).cast("string").alias("key"), F.substring(text, 1, SAMPLE_CHARS).alias("t"))
+    counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().limit(1001).collect()}
+    if len(counts) > 1000:
         raise ValueError("more than 1000 labels: this column doesn't hold languages")
-    out = []
-    for name in names:
-        found = rows.filter(F.col(label) == name).select(F.xxhash64(F.col(key).cast("string")).alias("h"), F.substring(text, 1, SAMPLE_CHARS).alias("t")).orderBy("h", "t").limit(SAMPLE_ROWS)
-        out += [(r["t"], name) for r in found.collect()]
-    return out
+    parts = [hash_sample(rows.filter(F.col("label") == name), F.col("key"), n, SAMPLE_ROWS).select("label", "key", "t") for name, n in sorted(counts.items())]
+    return [(r["t"], r["label"]) for part in parts for r in sorted(part.collect(), key=lambda r: (r["key"] or "", r["t"]))]
 
 
 class Labeller:

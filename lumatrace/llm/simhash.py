@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_map, blobs, chunks, materialize, read
+from .common import arrow_map, blobs, chunks, materialize, read, text_key
 from .graph import components
 
 SEED = 42
@@ -27,6 +27,8 @@ SHINGLE = 3
 BUDGET = 3
 #: Fingerprints in a subtrie from which it is split by the bits below.
 SUBTRIE = 512
+#: Rows of two longs that may be broadcast: 16 MB of values.
+BROADCAST_ROWS = 1_000_000
 #: Node pairs that a walk holds at a time.
 FRONTIER = 1 << 19
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -186,6 +188,18 @@ def linked_fingerprints(fps: DataFrame, budget: int = BUDGET, most: int = SUBTRI
     return subtrie_links(rows if done is None else done.union(rows), budget)
 
 
+def components_of(docs: DataFrame, text: str, key: str, budget: int) -> DataFrame:
+    """(key, tk, fp, root, component_id) per row; ``tk`` names the text, ``root`` the component by a fingerprint."""
+    own = docs.select(F.col(key).alias("key"), text_key(text).alias("tk"), F.col(text).cast("string").alias("body"))
+    prints = materialize(with_fingerprints(own, "body").select("key", "tk", "fp"))
+    distinct = materialize(prints.groupBy("fp").agg(F.min("key").alias("least")))
+    roots = components(linked_fingerprints(distinct, budget))
+    named = materialize(distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
+    least = materialize(named.groupBy("root").agg(F.min("least").alias("component_id")))
+    by_print = materialize(named.join(least, "root").select(F.col("fp").alias("print"), "root", "component_id"))
+    return prints.join(by_print, prints["fp"] == by_print["print"], "left").drop("print")
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", budget: int = BUDGET) -> DataFrame:
     """(key, fp, component_id) per row: documents link at ``budget`` or fewer differing bits.
 
@@ -194,21 +208,27 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", bu
     least one, so a component of null keys has null. Null, empty and wordless texts share fingerprint
     0 and link like any other. Any budget from 0 to 7 is exact. An empty table gives an empty result.
     """
-    prints = materialize(with_fingerprints(docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("body")), "body").select("key", "fp"))
-    distinct = materialize(prints.groupBy("fp").agg(F.min("key").alias("least")))
-    roots = components(linked_fingerprints(distinct, budget))
-    named = materialize(distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
-    least = materialize(named.groupBy("root").agg(F.min("least").alias("component_id")))
-    by_print = materialize(named.join(least, "root").select(F.col("fp").alias("print"), "component_id"))
-    return prints.join(by_print, prints["fp"] == by_print["print"], "left").select(F.col("key").alias(key), "fp", "component_id")
+    return components_of(docs, text, key, budget).select(F.col("key").alias(key), "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", budget: int = BUDGET) -> DataFrame:
-    """The document of least key of every component, all its columns; a row that repeats stays once."""
-    found = near_duplicates(docs, text, key, budget)
-    chosen = materialize(found.filter(F.col(key).eqNullSafe(F.col("component_id"))).groupBy(F.col(key).alias("__chosen")).count())
-    kept = docs.join(chosen.select("__chosen"), docs[key].eqNullSafe(F.col("__chosen")), "left_semi")
-    return kept if chosen.filter("count > 1").isEmpty() else kept.dropDuplicates([key])
+    """One row of every component, all its columns: that of least key, and of these of least text hash.
+
+    What goes is far less than what stays: its keys and text hashes are counted and, up to BROADCAST_ROWS
+    of them, broadcast, so that texts aren't shuffled; beyond that the anti join shuffles both sides.
+    """
+    found = materialize(components_of(docs, text, key, budget))
+    first = F.col("key").eqNullSafe(F.col("component_id"))
+    several = materialize(found.filter(first).groupBy(F.col("root").alias("of")).agg(F.count(F.lit(1)).alias("n"), F.min("tk").alias("chosen")).filter("n > 1"))
+    gone = found.filter(~first).select("key", "tk")
+    repeats = not several.isEmpty()
+    if repeats:
+        gone = gone.union(found.filter(first).join(several, F.col("root") == F.col("of")).filter("tk <> chosen").select("key", "tk"))
+    gone = materialize(gone.distinct().select(F.col("key").alias("__gone"), F.col("tk").alias("__gone_tk")))
+    few = gone.count() <= BROADCAST_ROWS
+    on = docs[key].eqNullSafe(F.col("__gone")) & (F.col("__tk") == F.col("__gone_tk"))
+    kept = docs.withColumn("__tk", text_key(text)).join(F.broadcast(gone) if few else gone, on, "left_anti")
+    return (kept.dropDuplicates([key, "__tk"]) if repeats else kept).select(docs.columns)
 
 
 def op8_simhash(spark, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_map, blobs, chunks, read
+from .common import arrow_map, blobs, chunks, hash_sample, read
 
 #: Bounds of the training sample: toxic and ordinary rows, and characters of a row.
 TOXIC_ROWS, ORDINARY_ROWS, SAMPLE_CHARS = 3000, 6000, 4000
@@ -159,7 +159,7 @@ def training_sample(docs: DataFrame, labels: DataFrame) -> tuple[list[tuple[str,
     counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     chosen = None
     for value, most in ((1, TOXIC_ROWS), (0, ORDINARY_ROWS)):
-        part = known.filter(F.col("toxic") == value).orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(most)
+        part = hash_sample(known.filter(F.col("toxic") == value), F.col("doc_id"), counts.get(value, 0), most)
         chosen = part if chosen is None else chosen.union(part)
     texts = docs.select("doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("t"))
     found = texts.join(F.broadcast(chosen), "doc_id").collect()  # at most TOXIC_ROWS + ORDINARY_ROWS ids
