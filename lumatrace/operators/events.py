@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 #: Key, label and colour of each event by camera.
 DEFINITIONS = (
-    (1, "a", "Soft_touch", (0.2, 0.8, 0.2)), (1, "s", "Strong_touch", (0.9, 0.6, 0.1)), (1, "d", "Mechanic_pain", (0.9, 0.2, 0.2)), (1, "f", "Thermo_pain", (0.8, 0.2, 0.8)),
-    (2, "a", "Mouse_reaction", (0.2, 0.6, 0.9)), (2, "s", "Reaction_offset", (0.6, 0.6, 0.6)),
+    (1, "a", "Soft_touch", (0.2, 0.8, 0.2)), (1, "s", "Strong_touch", (1.0, 0.6, 0.0)), (1, "d", "Mechanic_pain", (1.0, 0.2, 0.2)), (1, "f", "Thermo_pain", (0.8, 0.2, 1.0)),
+    (2, "a", "Mouse_reaction", (0.2, 0.8, 0.2)), (2, "s", "Reaction_offset", (0.2, 0.6, 1.0)),
 )
 UNDO = "x"
 
