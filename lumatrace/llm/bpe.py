@@ -14,7 +14,6 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -204,11 +203,6 @@ class ByteBpe:
                 del self.as_text[w], self.as_bytes[w]
 
 
-@lru_cache(maxsize=2)
-def bpe_of(definition: str) -> ByteBpe:
-    return ByteBpe(definition)
-
-
 def vocabulary(path: str | None = None) -> str:
     """The vocabulary file's text; the path is a parameter and defaults to the installed 50k byte-level one."""
     if path is None:
@@ -232,7 +226,7 @@ def tokenize(docs: DataFrame, text: str = "text", definition: str | None = None,
     schema = source.select("*", F.lit(0).cast("long").alias("n_tokens"), F.lit("").alias("ids_sha256"), F.lit("").alias("decoded_sha256"), *[F.array(F.lit(0)).alias("token_ids"), F.lit("").alias("decoded")] * keep_ids).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = bpe_of(spec.value)
+        bpe = ByteBpe(spec.value)  # with its cache for the task only
         for batch in batches:
             n, ids, back, lists, texts = [], [], [], [], []
             column = batch.column(batch.schema.get_field_index(text))

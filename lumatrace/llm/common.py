@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -26,12 +28,29 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Spark keeps Python workers, and the next task's may be others."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+    if trim:
+        trim(0)
+
+
 def arrow_map(df: DataFrame, run, schema) -> DataFrame:
-    """``mapInArrow`` in batches of at most BATCH_ROWS rows; a smaller setting of the session stays."""
+    """``mapInArrow`` in batches of at most BATCH_ROWS rows; a smaller setting of the session stays.
+
+    A worker's memory is given back at the end of each task.
+    """
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
     setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(df.sparkSession.conf.get(setting)) <= BATCH_ROWS:
         df.sparkSession.conf.set(setting, str(BATCH_ROWS))
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(whole, schema)
 
 
 def text_key(text: str = "text"):
