@@ -18,10 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_map, blobs, chunks, hash_sample, read
+from .common import arrow_map, blobs, chunks, hash_sample, materialize, read
 
-#: Bounds of the training sample: toxic and ordinary rows, and characters of a row.
-TOXIC_ROWS, ORDINARY_ROWS, SAMPLE_CHARS = 3000, 6000, 4000
+#: Bounds of the training sample: toxic and ordinary rows, and characters of all rows of a class together.
+TOXIC_ROWS, ORDINARY_ROWS, SAMPLE_CHARS = 3000, 6000, 32_000_000
 #: Words in a window; bytes of the dictionaries; letters of a contrast gram; least ratio of row shares.
 WINDOW, ORDINARY_BYTES, TOXIC_BYTES, GRAM, RATIO = 8, 40 << 10, 8 << 10, 5, 24.0
 #: Thresholds whose exceedances are counted, in bytes saved.
@@ -151,9 +151,11 @@ def train(rows: list[tuple[str, int]], n_toxic: int, n_ordinary: int) -> Toxicit
 
 
 def training_sample(docs: DataFrame, labels: DataFrame) -> tuple[list[tuple[str, int]], int, int]:
-    """At most TOXIC_ROWS and ORDINARY_ROWS labelled rows, by the least hash of doc_id, SAMPLE_CHARS of each.
+    """At most TOXIC_ROWS and ORDINARY_ROWS labelled rows, by the least hash of doc_id, each with its whole text.
 
-    The ids are chosen from ``labels`` before texts are read, so only the sample's texts travel.
+    The ids are chosen from ``labels`` before texts are read, so only the sample's texts travel. A doc_id
+    that repeats counts once, with its least text. Where the texts of a class pass SAMPLE_CHARS together,
+    rows that no longer fit stay out; no text is cut.
     """
     known = labels.select("doc_id", "toxic").filter("toxic IN (0, 1) AND doc_id IS NOT NULL").distinct()
     counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
@@ -161,9 +163,18 @@ def training_sample(docs: DataFrame, labels: DataFrame) -> tuple[list[tuple[str,
     for value, most in ((1, TOXIC_ROWS), (0, ORDINARY_ROWS)):
         part = hash_sample(known.filter(F.col("toxic") == value), F.col("doc_id"), counts.get(value, 0), most)
         chosen = part if chosen is None else chosen.union(part)
-    texts = docs.select("doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("t"))
-    found = texts.join(F.broadcast(chosen), "doc_id").collect()  # at most TOXIC_ROWS + ORDINARY_ROWS ids
-    rows = sorted((r["doc_id"], r["t"] or "", r["toxic"]) for r in found)
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
+    found = materialize(texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("t").alias("t")))
+    sizes = found.select("doc_id", "toxic", F.length("t").alias("n"), F.xxhash64("doc_id").alias("place")).collect()  # at most TOXIC_ROWS + ORDINARY_ROWS
+    total, fits = Counter(), []
+    for r in sorted(sizes, key=lambda r: (r["place"], r["doc_id"])):
+        if total[r["toxic"]] + r["n"] <= SAMPLE_CHARS:
+            total[r["toxic"]] += r["n"]
+            fits.append((r["doc_id"], r["toxic"]))
+    if len(fits) < len(sizes):
+        kept = docs.sparkSession.createDataFrame(fits, found.select("doc_id", "toxic").schema)
+        found = found.join(F.broadcast(kept), ["doc_id", "toxic"])
+    rows = sorted((r["doc_id"], r["t"], r["toxic"]) for r in found.collect())
     return [(t, y) for _, t, y in rows], counts.get(1, 0), counts.get(0, 0)
 
 

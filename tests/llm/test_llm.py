@@ -101,6 +101,18 @@ def test_toxicity_learns(spark):
     assert np.mean(predicted == np.array([y for _, y in test], bool)) > 0.95
 
 
+def test_toxicity_trains_on_whole_texts(spark, monkeypatch):
+    """What stands behind the first 4,000 characters is learned, a repeated row once, and a bound drops rows, not ends."""
+    late = "plain words of no harm " * 400 + "vilestinsult"
+    docs = documents(spark, [late, late, "short", None])
+    docs = docs.union(docs.filter("doc_id = 0"))
+    known = label_rows(spark, [(0, 1, 1), (1, 1, 1), (2, 1, 0), (3, 1, 0)])
+    rows, toxic, ordinary = toxicity.training_sample(docs, known)
+    assert rows == [(late, 1), (late, 1), ("short", 0), ("", 0)] and (toxic, ordinary) == (2, 2)
+    monkeypatch.setattr(toxicity, "SAMPLE_CHARS", len(late) + 10)
+    assert toxicity.training_sample(docs, known)[0] == [(late, 1), ("short", 0), ("", 0)]
+
+
 def test_toxicity_held_out(spark):
     found = {r.doc_id: r for r in toxicity.op1_toxicity(spark, SF).collect()}
     assert all(r.held_out == (zlib.crc32(str(i).encode()) % 3 == 1) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for i, r in found.items())
