@@ -70,28 +70,47 @@ def levels(calls: DataFrame) -> DataFrame:
     return state.select("call_id", F.when(F.col("after").isNull(), F.col("level")).alias("level"))
 
 
-def link(calls: DataFrame, results: DataFrame, schemas: dict = SCHEMAS) -> DataFrame:
-    """One row for each identifier of ``calls`` (conv_id, turn, call_id, name, arguments, after) and ``results`` (conv_id, turn, call_id, content).
+def marked(rows: DataFrame, order: list[str], count: str) -> DataFrame:
+    """Add ``key``, which names conversation and call_id on the row that stands for both, and is null on all others.
+
+    Of rows with the same key that of least ``order`` stands and has their number as ``count``; others have 1.
+    """
+    key = F.when(F.col("call_id").isNotNull(), F.to_json(F.struct("conv_id", "call_id")))
+    own = materialize(rows.withColumn("uid", F.monotonically_increasing_id()).withColumn("key", key))
+    first = own.filter("key IS NOT NULL").groupBy("key").agg(F.min(F.struct(*order, "uid")).alias("c"), F.count(F.lit(1)).alias("n"))
+    first = materialize(first.select(F.col("c.uid").alias("stands"), "n"))
+    key = F.when(F.col("stands").isNotNull(), F.col("key"))
+    return own.join(first, F.col("uid") == F.col("stands"), "left").select(*rows.columns, key.alias("key"), F.coalesce("n", F.lit(1)).alias(count))
 
-    status: ``linked``, ``pending`` (no result) or ``orphan`` (no call). level: place in the topological
-    order of the conversation, null for orphans and cycles. valid and errors: arguments against the
-    tool's schema. message: the canonical JSON. Repeated identifiers: the call and the result of least
-    turn, then text, stand; n_calls and n_results count all. Rows without identifier meet in one row
-    for calls and one for results, since null joins nothing. Empty tables give no rows.
+
+def link(calls: DataFrame, results: DataFrame, schemas: dict = SCHEMAS) -> DataFrame:
+    """Links ``calls`` (conv_id, turn, call_id, name, arguments, after) and ``results`` (conv_id, turn, call_id, content).
+
+    Identifiers hold within a conversation; rows of null conv_id are one conversation. Each call and each
+    result is in exactly one row. status: ``linked``, ``pending`` (no result) or ``orphan`` (no call).
+    level: place in the topological order of the conversation, null for orphans and cycles. valid and
+    errors: arguments against the tool's schema. message: the canonical JSON. Repeated identifiers: the
+    call and the result of least turn, then text, link, with the numbers of all in n_calls and n_results;
+    every other one, and each without identifier, is pending or orphan in a row of its own, without level.
+    Empty tables give no rows.
     """
-    calls = calls.groupBy("call_id").agg(F.min(F.struct("turn", "name", "arguments", "after", "conv_id")).alias("c"), F.count(F.lit(1)).alias("n_calls"))
-    calls = materialize(calls.select("call_id", "n_calls", F.col("c.conv_id"), F.col("c.turn").alias("call_turn"), "c.name", "c.arguments", "c.after"))
-    order = levels(calls.select("call_id", "after"))
-    results = materialize(results.groupBy(F.col("call_id").alias("r_id")).agg(F.min(F.struct("turn", "content", "conv_id")).alias("r"), F.count(F.lit(1)).alias("n_results")))
-    placed = calls.join(order.withColumnRenamed("call_id", "o_id"), F.col("call_id") == F.col("o_id"), "left").drop("o_id")
-    both = placed.join(results, F.col("call_id") == F.col("r_id"), "full")
+    calls = marked(calls, ["turn", "name", "arguments", "after"], "n_calls").withColumnRenamed("turn", "call_turn")
+    results = marked(results, ["turn", "content"], "n_results")
+    results = results.select(F.col("conv_id").alias("r_conv"), F.col("call_id").alias("r_id"), F.col("turn").alias("result_turn"), "content", F.col("key").alias("r_key"), "n_results")
+    standing = calls.filter("key IS NOT NULL")
+    after = F.when(F.col("after").isNotNull(), F.to_json(F.struct("conv_id", F.col("after").alias("call_id"))))
+    order = levels(standing.select(F.col("key").alias("call_id"), after.alias("after")))
+    placed = standing.join(order.withColumnRenamed("call_id", "o_key"), F.col("key") == F.col("o_key"), "left").drop("o_key")
+    both = placed.join(results.filter("r_key IS NOT NULL"), F.col("key") == F.col("r_key"), "full")
+    for others in (calls.filter("key IS NULL"), results.filter("r_key IS NULL")):
+        both = both.unionByName(others, allowMissingColumns=True)
     errors = F.when(F.col("n_calls").isNotNull(), validate(F.col("name"), F.col("arguments"), schemas))
     status = F.when(F.col("n_calls").isNull(), "orphan").when(F.col("n_results").isNull(), "pending").otherwise("linked")
     arguments = F.coalesce(F.to_json(F.try_parse_json("arguments")), F.to_json(F.struct(F.col("arguments").alias("raw"))))
     out = both.select(
-        F.coalesce("conv_id", "r.conv_id").alias("conv_id"), F.coalesce("call_id", "r_id").alias("call_id"), "call_turn", F.col("r.turn").alias("result_turn"), "level",
+        F.coalesce("conv_id", "r_conv").alias("conv_id"), F.coalesce("call_id", "r_id").alias("call_id"), "call_turn", "result_turn", "level",
         F.coalesce("n_calls", F.lit(0)).alias("n_calls"), F.coalesce("n_results", F.lit(0)).alias("n_results"), status.alias("status"), (errors == "").alias("valid"), errors.alias("errors"),
-        F.col("name"), arguments.alias("arguments"), F.col("r.content").alias("content"),
+        F.col("name"), arguments.alias("arguments"), "content",
     )
     inner = lambda key, c: F.regexp_extract(F.to_json(F.struct(F.col(c).alias(key))), r"(?s)^\{(.*)\}$", 1)
     part = lambda key, c: F.when(F.col(c).isNotNull(), inner(key, c))

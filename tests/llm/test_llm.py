@@ -407,6 +407,25 @@ def test_explicit_calls(spark):
     assert json.loads(got["a"].message)["result"] == {"content": 'q"\n', "id": "a"}
 
 
+def test_every_call_and_result_has_its_row(spark):
+    """Identifiers repeat over conversations and within one, or are null: nothing collapses or crosses over."""
+    calls = [(1, 0, "c", "t", "1", None), (2, 0, "c", "t", "2", None), (1, 2, "d", "t", "3", "c"), (3, 0, "d", "t", "4", "c"), (1, 4, "c", "t", "5", None), (1, 0, None, "t", "6", None), (1, 0, None, "t", "6", None), (None, 0, "c", "t", "7", None)]
+    results = [(1, 1, "c", "one"), (2, 1, "c", "two"), (4, 1, "c", "lost"), (1, 3, "c", "again"), (1, 3, None, "x"), (2, 3, None, "y"), (None, 1, "c", "three")]
+    calls = spark.createDataFrame(calls, "conv_id long, turn long, call_id string, name string, arguments string, after string")
+    found = toolcalls.link(calls, spark.createDataFrame(results, "conv_id long, turn long, call_id string, content string"), {}).collect()
+    got = []
+    for r in found:
+        m = json.loads(r.message)
+        got.append((r.status, r.conv_id, m.get("call", {}).get("arguments", {}), m.get("result", {}).get("content"), r.level, r.n_calls, r.n_results))
+    expected = [
+        ("linked", 1, 1, "one", 0, 2, 2), ("linked", 2, 2, "two", 0, 1, 1), ("linked", None, 7, "three", 0, 1, 1),
+        ("pending", 1, 3, None, 1, 1, 0), ("pending", 3, 4, None, 0, 1, 0), ("pending", 1, 5, None, None, 1, 0), *[("pending", 1, 6, None, None, 1, 0)] * 2,
+        ("orphan", 4, {}, "lost", None, 0, 1), ("orphan", 1, {}, "again", None, 0, 1), ("orphan", 1, {}, "x", None, 0, 1), ("orphan", 2, {}, "y", None, 0, 1),
+    ]
+    assert sorted(got, key=repr) == sorted(expected, key=repr)
+
+
+
 # 10 top-k
 
 
