@@ -2,7 +2,7 @@
 
 Every DOM node has characters, tags, link characters and link tags; its density is characters per
 tag, weighed down by links. The subtree whose children's densities have the largest sum is the main
-part; a threshold from the path between body and that subtree decides on headings beside it.
+part, with all other subtrees that reach the least density on the path between body and it.
 """
 
 from __future__ import annotations
@@ -46,13 +46,31 @@ MAIN_TAGS = frozenset(("article", "main"))
 class Page:
     """The nodes of one page in document order, and its blocks of text."""
 
-    def __init__(self, source: str) -> None:
+    def __init__(self, source: str, kept: frozenset[int] = frozenset()) -> None:
         self.tag: list[str] = ["#root"]
         self.parent: list[int] = [-1]
         self.out: list[bool] = [False]  # stands in or is a part that isn't main text
+        self.hard: list[bool] = [False]  # so by its element, role or style, not by words of class or id alone
+        self.named: list[int] = []  # nodes with such words
+        self.kept = kept  # nodes whose words don't count
         self.chars, self.links, self.link_tags = [0], [0], [0]
+        self.seen = [0]  # characters of the node itself, in parts named by class or id too
         self.blocks: list[tuple[int, str]] = []
         self.parse(source)
+        if kept := self.layout():
+            self.__init__(source, kept)
+
+    def layout(self) -> frozenset[int]:
+        """Nodes with words of class or id that hold more than half of the page's text: these name its layout.
+
+        Where an ``article`` or ``main`` element has text, they hold one of these too.
+        """
+        held, mains = self.seen[:], [False] * len(self.tag)
+        for node in range(len(held) - 1, 0, -1):
+            up = self.parent[node]
+            held[up] += held[node]
+            mains[up] |= mains[node] or self.tag[node] in MAIN_TAGS and held[node] > 0 and not self.hard[node]
+        return frozenset(i for i in self.named if 2 * held[i] > held[0] and mains[i] == mains[0]) - self.kept
 
     def parse(self, source: str) -> None:
         stack, words, at, in_link, in_main = [0], [], 0, 0, 0
@@ -79,10 +97,12 @@ class Page:
                 break
             if (text := m["text"]) is not None or (text := m["data"]) is not None:
                 node = stack[-1]
-                if not out[node]:
+                if not self.hard[node]:
                     text = html.unescape(text)
-                    words.append(text)
                     n = len(text) - sum(map(text.count, " \n\t\r"))
+                    self.seen[node] += n
+                if not out[node]:
+                    words.append(text)
                     self.chars[node] += n
                     self.links[node] += n if in_link else 0
                 continue
@@ -122,7 +142,12 @@ class Page:
             node, above = len(tag), stack[-1]
             tag.append(name)
             parent.append(above)
-            out.append(out[above] or name in RAW or self.aside(name, attrs, in_main > 0))
+            by_name, by_word = self.aside(name, attrs, in_main > 0)
+            if by_word:
+                self.named.append(node)
+            self.hard.append(self.hard[above] or name in RAW or by_name)
+            out.append(out[above] or self.hard[node] or by_word and node not in self.kept)
+            self.seen.append(0)
             self.chars.append(0)
             self.links.append(0)
             self.link_tags.append(int(name == "a"))
@@ -136,27 +161,29 @@ class Page:
                 in_main += name in MAIN_TAGS
         flush()
 
-    def aside(self, name: str, attrs: str, in_article: bool) -> bool:
+    def aside(self, name: str, attrs: str, in_article: bool) -> tuple[bool, bool]:
+        """Whether element, role or style, and whether words of class or id mark what isn't main text."""
+        by_word = False
         if name in ASIDE_TAGS:
-            return True
+            return True, False
         if name == "header" and not in_article:
-            return True
+            return True, False
         if not attrs or attrs.isspace() or name in MAIN_TAGS or name in ("html", "body"):
-            return False
+            return False, False
         for m in ATTRIBUTE.finditer(attrs):
             key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if key in ("class", "id"):
                 found = set(re.split(r"[^a-z0-9]+", CAMEL.sub("-", value).lower()))
                 if not ASIDE_WORDS.isdisjoint(found) or not in_article and not HEADER_WORDS.isdisjoint(found):
-                    return True
+                    by_word = True
             elif key == "role" and value.lower() in ASIDE_ROLES or key == "hidden" or key == "aria-hidden" and value.lower() == "true":
-                return True
+                return True, by_word
             elif key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value.lower()):
-                return True
-        return False
+                return True, by_word
+        return False, by_word
 
-    def densities(self) -> tuple[list[float], list[float], list[int]]:
-        """Density of each node, sum of its children's densities, and its characters; asides count as absent."""
+    def densities(self) -> tuple[list[float], list[float], list[int], list[float]]:
+        """Density of each node, sum of its children's densities, its characters, and those outside links per tag; asides count as absent."""
         n = len(self.tag)
         chars, links, link_tags = self.chars[:], self.links[:], self.link_tags[:]
         tags = [0] * n
@@ -177,16 +204,18 @@ class Page:
                 density[node] = c / t * weight
                 if node:
                     total[self.parent[node]] += density[node]
-        return density, total, chars
+        return density, total, chars, [(c - lc) / max(1, t) for c, lc, t in zip(chars, links, tags)]
 
     def main(self) -> str:
-        density, total, chars = self.densities()
+        density, total, chars, plain = self.densities()
         best = max(range(len(total)), key=lambda i: (total[i], -i))
         if not total[best]:
             best = 0
         path = [best]
         while path[-1]:
             path.append(self.parent[path[-1]])
+        body = [i for i in path if self.tag[i] not in ("#root", "html")] or [0]
+        least, least_plain = min(density[i] for i in body), min(plain[i] for i in body)
         holders = [i for i in path if self.tag[i] in MAIN_TAGS]
         chosen = {holders[-1] if holders else best}
         if not holders:
@@ -195,11 +224,24 @@ class Page:
             if inner:
                 chosen = {inner[0]}
             elif best:
-                body = [density[i] for i in path if self.tag[i] not in ("#root", "html")]
                 top = self.parent[best]
                 beside = [i for i in range(top + 1, best) if self.parent[i] == top and chars[i] and not self.out[i]]
-                chosen |= {i for i in beside if self.tag[i] == "h1" or self.tag[i] in ("h2", "header") and density[i] >= min(body, default=0.0)}
-        return "\n\n".join(text for node, text in self.blocks if not self.out[node] and any(self.under(node, c) for c in chosen))
+                chosen |= {i for i in beside if self.tag[i] == "h1" or self.tag[i] in ("h2", "header") and density[i] >= least}
+        # density grows with size, so a short article beside a long one is held to its characters per tag
+        dense = [density[i] >= least or self.tag[i] in MAIN_TAGS and plain[i] >= least_plain for i in range(len(density))]
+        taken = self.spread(chosen, [d and i > 0 and not self.out[i] and chars[i] > 0 for i, d in enumerate(dense)])
+        return "\n\n".join(text for node, text in self.blocks if not self.out[node] and taken[node])
+
+    def spread(self, chosen: set[int], dense: list[bool]) -> list[bool]:
+        """The nodes of ``chosen`` and of the topmost dense subtrees that hold none of them."""
+        above = set()
+        for node in chosen:
+            while node > 0 and (node := self.parent[node]) not in above:
+                above.add(node)
+        taken = []
+        for node, up in enumerate(self.parent):
+            taken.append(node in chosen or up >= 0 and taken[up] or dense[node] and node not in above)
+        return taken
 
     def under(self, node: int, top: int) -> bool:
         while node > top:

@@ -329,6 +329,19 @@ def test_main_text(page, text):
     assert extract.main_text(page) == text
 
 
+def test_main_text_in_several_places():
+    """Text split over containers or articles is whole, and words of class that name the layout don't exclude it."""
+    say = lambda c: [f"{c}{i} " + f"{c}word " * 50 + "end" for i in range(10)]
+    p = lambda texts: "".join(f"<p>{t}</p>" for t in texts)
+    a, b, both = say("a"), say("b"), "\n\n".join(say("a") + say("b"))
+    foot = "<nav><a href=x>menu</a></nav>"
+    assert extract.main_text(f"<body>{foot}<div>{p(a)}</div><div class=advert><p>buy</p></div><div>{p(b)}</div></body>") == both
+    assert extract.main_text(f"<body>{foot}<article>{p(a)}</article><article>{p(b)}</article></body>") == both
+    assert extract.main_text(f"<body>{foot}<div><article>{p(a)}</article><article>{p(b[:3])}</article></div></body>") == "\n\n".join(a + b[:3])
+    assert extract.main_text(f"<body>{foot}<div class='layout sidebar-right'><div>{p(a)}</div><div class=sidebar><p>more</p></div></div></body>") == "\n\n".join(a)
+    assert extract.main_text(f"<body><div class=ad><p>{'buy this ' * 20}</p></div><article><p>brief text</p></article></body>") == "brief text"
+
+
 def test_articles_of_the_given_pages(spark):
     import html
     import re
