@@ -104,6 +104,7 @@ QUERIES = {
     "frm5_bin_mean": lambda s, d: pixels(frames.bin_mean(movie(s, d), 4)),
     "frm6_z_score": lambda s, d: pixels(frames.z_score(movie(s, d))),
     "frm7_smooth": lambda s, d: pixels(frames.smooth(short(s, d), 1.0)),
+    "frm7_smooth_whole": lambda s, d: pixels(frames.smooth(movie(s, d), 1.0)),
     "frm8_projections": lambda s, d: tidy(frames.projections(movie(s, d)), "mean", "std"),
     "frm9_template": lambda s, d: tidy(frames.stable_template(movie(s, d), **BLOCK), "score"),
     "frm10_contrast": lambda s, d: tidy(frames.contrast_limits(movie(s, d)), "lo", "hi"),

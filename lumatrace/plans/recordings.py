@@ -124,6 +124,7 @@ QUERIES = {
     "evt4_stamp": lambda s, d: events.stamp(marks_with_seq(s, d).drop("ts"), camera_times(s, d)),
     "evt5_counts": lambda s, d: events.label_counts(fx.marks(s, d).select("session_id", F.expr("CASE WHEN label IN ('Mouse_reaction', 'Reaction_offset') THEN 2 ELSE 1 END").alias("cam_id"), "label")),
     "evt6_near_frame": lambda s, d: events.near_frame(fx.scored(s, d).drop("ts"), fx.camera_clock(s, d).filter("frame_idx % 50 = 0").select("session_id", "cam_id", F.col("frame_idx").alias("at"))),
+    "evt6_near_frame_whole": lambda s, d: events.near_frame(fx.scored(s, d).drop("ts"), fx.camera_clock(s, d).select("session_id", "cam_id", F.col("frame_idx").alias("at"))),
     "aln1_nearest_frame": mapped,
     "aln2_reconcile": lambda s, d: align.reconcile(microscope(s, d), fx.traces(s, d).filter("frame_idx <= 900"))[0].select("session_id", "frame_idx", "ts"),
     "aln3_by_ratio": lambda s, d: align.by_ratio(fx.scored(s, d), lengths(s, d)),

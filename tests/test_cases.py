@@ -252,3 +252,22 @@ def test_overwrite_keeps_other_sessions(spark, tmp_path):
     scans.save_results({"t": one}, str(tmp_path))
     scans.save_results({"t": one.filter("session_id = 'a'").withColumn("v", F.lit(9))}, str(tmp_path))
     assert {(r.session_id, r.v) for r in spark.read.parquet(str(tmp_path / "t")).collect()} == {("a", 9), ("b", 2)}
+
+
+def test_whole_queries_against_brute_force(spark):
+    """Every frame is smoothed and every camera frame is asked, not the parts that the DuckDB forms fix."""
+    from lumatrace.plans import catalog
+    from lumatrace.plans import fixtures as fx
+
+    d, near, weights = "/root/testdata/sf0.001", lambda i: max(0, min(7, i)), frames.kernel(1.0)
+    reach, expected = len(weights) // 2, {}
+    for f in fx.frames(spark, d).collect():
+        px = [[sum(w * f.pixels[y * 8 + near(x + k - reach)] for k, w in enumerate(weights)) for x in range(8)] for y in range(8)]
+        expected |= {(f.session_id, f.frame_idx, y * 8 + x): sum(w * px[near(y + k - reach)][x] for k, w in enumerate(weights)) for y in range(8) for x in range(8)}
+    got = {(r.session_id, r.frame_idx, r["at"]): r.v for r in catalog.queries()["frm7_smooth_whole"](spark, d).collect()}
+    assert max(k[1] for k in got) > 40 and got == pytest.approx(expected, abs=1e-5)
+    asked = [(r.session_id, r.cam_id, r.frame_idx) for r in fx.camera_clock(spark, d).collect()]
+    events = fx.scored(spark, d).collect()
+    near = [(e.session_id, e.cam_id, e.frame_idx, at, e.label) for e in events for s, c, at in asked if (s, c) == (e.session_id, e.cam_id) and abs(e.frame_idx - at) < 3]
+    rows = catalog.queries()["evt6_near_frame_whole"](spark, d).select("session_id", "cam_id", "frame_idx", "at", "label").collect()
+    assert any(r["at"] % 50 for r in rows) and sorted(map(tuple, rows)) == sorted(near)
