@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_map, blobs, chunks, read
+from .common import arrow_map, blobs, chunks, materialize, read
 
 WINDOW = 10
 #: Every so many positions the index keeps one suffix position.
@@ -234,6 +234,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     """
     docs = docs.drop(*ADDED.names)
     items = benchmark.select(F.col(item).cast("string").alias("name"), F.col(item_text).cast("string").alias("body")).filter("body IS NOT NULL")
+    items = materialize(items.distinct())  # equal rows would meet in one block, however many they are
     total = items.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     blocks = max(1, -(-int(total) // block_bytes))
     items = items.withColumn("block", F.pmod(F.xxhash64("name", "body"), F.lit(blocks)))

@@ -149,6 +149,15 @@ def test_decontaminate_against_search(spark, block_bytes):
         assert cut == [own[k] for k in sorted(hit)]
 
 
+def test_repeated_items_do_not_fill_a_block(spark, monkeypatch):
+    taken, scan = [], decontaminate.scan_block
+    monkeypatch.setattr(decontaminate, "scan_block", lambda docs, rows, *a: taken.append(rows) or scan(docs, rows, *a))
+    bench = spark.createDataFrame([(1, "ten words of a row")] * 50 + [(2, "other words"), (None, None)], "item_id long, text string")
+    found = decontaminate.decontaminate(documents(spark, ["see ten words of a row", "none"]), bench, block_bytes=40).collect()
+    assert sorted(r for rows in taken for r in rows) == [("1", b"ten words of a row"), ("2", b"other words")] and len(taken) == 1
+    assert {r.doc_id: r.hit_items for r in found} == {0: ["1"], 1: []}
+
+
 def test_fm_index():
     rng = np.random.default_rng(0)
     text = np.concatenate([np.concatenate([[0], rng.integers(1, 6, n)]) for n in (30, 1, 50, 7)])
