@@ -42,6 +42,8 @@ GRIDS = (48, 8, 1)
 #: Fixed odd multipliers of the gram hash.
 MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 PLACE = (1 << 24) - 1
+#: A value with over a HEAVY-th of all occurrences is joined by broadcast; there are fewer than HEAVY such values.
+HEAVY = 1000
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -284,15 +286,26 @@ def array_spans(texts: DataFrame, min_len: int) -> DataFrame:
     return arrow_map(rows, run, "key long, tk long, begin long, end long")
 
 
+def semi(rows: DataFrame, wanted: DataFrame, on: list[str]) -> DataFrame:
+    """The rows whose ``on`` is in ``wanted`` (on, c), where ``c`` counts occurrences, without a task for a hot value.
+
+    Values with over a HEAVY-th of all occurrences, fewer than HEAVY of them, are broadcast, so that their
+    rows stay where they are; the rest is joined by a shuffle.
+    """
+    total = wanted.agg(F.sum("c")).first()[0] or 0
+    heavy = F.broadcast(wanted.filter(F.col("c") * HEAVY > total).select(on))
+    return rows.join(heavy, on, "left_semi").union(rows.join(heavy, on, "left_anti").join(wanted.filter(F.col("c") * HEAVY <= total).select(on), on, "left_semi"))
+
+
 def repeated_spans(docs: DataFrame, min_len: int = MIN_LEN) -> DataFrame:
     """Spans (key, tk, begin, end), in bytes, of (key, tk, body) that ``min_len``-byte repeats cover; they may overlap."""
     spans, source, rows = [], docs.withColumn("base", F.lit(0).cast("long")), text_segments(docs, min_len)
     for cell in (*GRIDS, None):
         rows = materialize(rows)
-        twice = materialize(rows.groupBy("grp").agg(F.sum("c").alias("all")).filter("all > 1").select("grp"))
-        rows = materialize(rows.join(twice, "grp", "left_semi"))
+        twice = materialize(rows.groupBy("grp").agg(F.sum("c").alias("c")).filter("c > 1"))
+        rows = materialize(semi(rows, twice, ["grp"]))
         kinds = materialize(rows.groupBy("grp", "seg").agg(F.sum("c").alias("c"), F.min(F.struct("key", "tk", "base", "lo", "n", "anchor")).alias("one")).select("grp", "seg", "c", "one.*"))
-        whole = rows.select("key", "tk", "lo", "n", "grp", "seg").join(kinds.filter("c > 1").select("grp", "seg"), ["grp", "seg"], "left_semi")
+        whole = semi(rows.select("key", "tk", "lo", "n", "grp", "seg"), kinds.filter("c > 1").select("grp", "seg", "c"), ["grp", "seg"])
         spans.append(whole.select("key", "tk", F.col("lo").alias("begin"), (F.col("lo") + F.col("n") + (min_len - 1)).alias("end")))
         mixed = materialize(kinds.groupBy("grp").agg(F.count(F.lit(1)).alias("kinds"), F.count_if(F.col("c") == 1).alias("single")).filter("kinds > 1 AND single > 0").select("grp", "kinds"))
         if cell is None or mixed.isEmpty():
