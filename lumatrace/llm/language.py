@@ -3,12 +3,12 @@
 Words get scores from affixes, character n-grams and a lexicon, neighbouring words are tied by
 learned transitions, and forward-backward gives each word's label probabilities, so that code-switched
 text is labelled word by word. A document's label is the one with the highest expected share of
-letters.
+letters. A text is one chain: its words are taken in blocks, whose transfer matrices carry the state from
+block to block.
 """
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -16,26 +16,28 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import regex
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_map, blobs, chunks, hash_sample, read
+from .common import arrow_map, blobs, chunks, read
 
-#: Bounds of the training sample: rows of one language, and characters of a row.
-SAMPLE_ROWS, SAMPLE_CHARS = 300, 1500
-#: Hash buckets of the features, words in the lexicon, words of one chain.
+#: Bounds of the training sample: rows of one language, and characters of all of them together.
+SAMPLE_ROWS, SAMPLE_CHARS = 300, 2_000_000
+#: Hash buckets of the features, words in the lexicon, words of one block.
 BUCKETS, LEXICON, CHAIN = 1 << 15, 4000, 64
+#: Letters of a word; what is longer, as in scripts without spaces, is taken as several words.
+WORD = 40
 CACHE_WORDS = 150_000
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 #: Letters and bytes of other scripts stay; everything else of ASCII separates words. Lower-casing came before.
 LETTERS = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
 def features(word: str, lexicon: dict[str, int]) -> list[int]:
     """Bucket numbers: the lexicon's entry or a mark of its absence, prefixes and suffixes of 1 to 3, n-grams of 2 and 3."""
-    word = word[:40]
     names = [f"p{word[:k]}" for k in (1, 2, 3)] + [f"s{word[-k:]}" for k in (1, 2, 3)]
     marked = f"<{word}>"
     names += [marked[i : i + k] for k in (2, 3) for i in range(len(marked) - k + 1)]
@@ -43,8 +45,21 @@ def features(word: str, lexicon: dict[str, int]) -> list[int]:
     return [LEXICON if at < 0 else at] + [LEXICON + 1 + zlib.crc32(n.encode("utf-8", "replace")) % BUCKETS for n in names]
 
 
+def split(text: str) -> list[bytes]:
+    """Lower-case words in UTF-8; words of over WORD letters in consecutive pieces."""
+    words = text.lower().encode("utf-8", "replace").translate(LETTERS).split()
+    if words and max(map(len, words)) > WORD:
+        return [p for w in words for p in ([w] if len(w) <= WORD else pieces(w))]
+    return words
+
+
+def pieces(word: bytes) -> list[bytes]:
+    letters = word.decode("utf-8", "replace")
+    return [letters[i : i + WORD].encode("utf-8") for i in range(0, len(letters), WORD)]
+
+
 def words_of(text: str) -> list[str]:
-    return text.lower().encode("utf-8", "replace").translate(LETTERS).decode("utf-8", "replace").split()
+    return [w.decode("utf-8", "replace") for w in split(text)]
 
 
 class Crf:
@@ -65,23 +80,63 @@ class Crf:
         sums = np.add.reduceat(self.weights[flat], np.concatenate([[0], np.cumsum(sizes)[:-1]]), axis=0) if len(flat) else np.zeros((0, len(self.labels)), np.float32)
         return 4 * sums / sizes[:, None]
 
-    def marginals(self, scores: np.ndarray, live: np.ndarray, pairs: bool = False):
+    def carried(self, local: np.ndarray, live: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What reaches each block from the words before it and from those behind it, in the order of the texts.
+
+        ``local``: blocks x words x labels; ``first`` and ``last`` mark the blocks that begin and end a text. A
+        block's transfer matrix is the product of its words' transitions; the states are carried along these.
+        """
+        n, size, k = local.shape
+        move, start = np.exp(self.step), np.exp(self.start)
+        before, behind = np.tile(start, (n, 1)), np.full((n, k), 1 / k)
+        some = np.flatnonzero(~(first & last))
+        if not len(some):
+            return before, behind
+        transfer = np.empty((len(some), k, k))
+        for a in range(0, len(some), most := max(1, (1 << 21) // (k * k))):
+            part = some[a : a + most]
+            now = np.where(first[part, None, None], start, move) * local[part, 0][:, None, :]
+            for t in range(1, size):
+                new = (now @ move) * local[part, t][:, None, :]
+                now = np.where(live[part, t][:, None, None], new / new.max((1, 2), keepdims=True), now)
+            transfer[a : a + most] = now
+        at = np.full(n, -1)
+        at[some] = np.arange(len(some))
+        place = np.arange(n) - np.maximum.accumulate(np.where(first, np.arange(n), 0))
+        order = np.argsort(place, kind="stable")
+        bounds = np.searchsorted(place[order], np.arange(place.max() + 2))
+        out = np.full((n, k), 1 / k)  # the state behind a block's last word
+        for i in range(place.max() + 1):
+            blocks = order[bounds[i] : bounds[i + 1]]
+            blocks = blocks[~last[blocks]]
+            into = out[blocks - 1] if i else np.full((len(blocks), k), 1 / k)
+            state = np.einsum("nk,nkj->nj", into, transfer[at[blocks]])
+            out[blocks] = state / state.sum(1, keepdims=True)
+            before[blocks + 1] = out[blocks] @ move
+        for i in range(place.max(), 0, -1):
+            blocks = order[bounds[i] : bounds[i + 1]]
+            state = np.einsum("nkj,nj->nk", transfer[at[blocks]], behind[blocks])
+            behind[blocks - 1] = state / state.sum(1, keepdims=True)
+        return before, behind
+
+    def marginals(self, scores: np.ndarray, live: np.ndarray, pairs: bool = False, before: np.ndarray | None = None, beyond: np.ndarray | None = None):
         """Forward-backward over chains x words x labels; ``live`` marks real words, at each chain's begin.
 
-        Returns the label probabilities, and with ``pairs`` the expected transitions too.
+        Returns the label probabilities, and with ``pairs`` the expected transitions too. ``before`` and
+        ``beyond``: what ``carried`` says of chains that are blocks of longer ones; a block that goes on is full.
         """
         n, size, k = scores.shape
         local = np.exp(scores - scores.max(axis=2, keepdims=True))
         local[~live] = 1.0
         move = np.exp(self.step)
         ahead, behind = np.empty((size, n, k)), np.empty((size, n, k))
-        now = local[:, 0] * np.exp(self.start)
+        now = local[:, 0] * (np.exp(self.start) if before is None else before)
         ahead[0] = now / now.sum(1, keepdims=True)
         for t in range(1, size):
             now = (ahead[t - 1] @ move) * local[:, t]
             now /= now.sum(1, keepdims=True)
             ahead[t] = np.where(live[:, t, None], now, ahead[t - 1])
-        behind[size - 1] = 1 / k
+        behind[size - 1] = 1 / k if beyond is None else beyond
         for t in range(size - 2, -1, -1):
             now = (behind[t + 1] * local[:, t + 1]) @ move.T
             now /= now.sum(1, keepdims=True)
@@ -165,17 +220,25 @@ def train(sample: list[tuple[str, str]]) -> Crf:
 
 
 def training_sample(docs: DataFrame, text: str, label: str, key: str) -> list[tuple[str, str]]:
-    """At most SAMPLE_ROWS rows of each label, by the least hash of the key, and SAMPLE_CHARS characters of each.
+    """At most SAMPLE_ROWS rows of each label, by the least hash of the key, with their whole texts.
 
-    The rows come from as many small top-k queries as there are labels; the label set is small by nature
-    and checked.
+    One pass counts the rows of each label, one takes the sample of all labels. Where the texts of a label
+    pass SAMPLE_CHARS together, rows that no longer fit stay out; no text is cut. The label set is small by
+    nature and checked.
     """
-    rows = docs.filter(F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.col(label).alias("label"), F.col(key).cast("string").alias("key"), F.substring(text, 1, SAMPLE_CHARS).alias("t"))
+    rows = docs.filter(F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.col(label).alias("label"), F.col(key).cast("string").alias("key"), F.col(text).alias("t"))
     counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().limit(1001).collect()}
     if len(counts) > 1000:
         raise ValueError("more than 1000 labels: this column doesn't hold languages")
-    parts = [hash_sample(rows.filter(F.col("label") == name), F.col("key"), n, SAMPLE_ROWS).select("label", "key", "t") for name, n in sorted(counts.items())]
-    return [(r["t"], r["label"]) for part in parts for r in sorted(part.collect(), key=lambda r: (r["key"] or "", r["t"]))]
+    if not counts:
+        return []
+    place = F.pmod(F.xxhash64("key"), F.lit(1 << 30))
+    shares = F.create_map(*[F.lit(x) for name, n in counts.items() for x in (name, int((1 << 30) * min(1.0, 1.5 * SAMPLE_ROWS / n)) + 1)])
+    order = Window.partitionBy("label").orderBy("place", "key", F.xxhash64("t"))
+    near = rows.withColumn("place", place).filter(F.col("place") < F.element_at(shares, F.col("label")))
+    chosen = near.withColumn("i", F.row_number().over(order)).filter(F.col("i") <= SAMPLE_ROWS)
+    fits = chosen.withColumn("size", F.sum(F.length("t")).over(order.rowsBetween(Window.unboundedPreceding, 0))).filter(F.col("size") <= SAMPLE_CHARS)
+    return [(r["t"], r["label"]) for r in sorted(fits.select("t", "label", "i").collect(), key=lambda r: (r["label"], r["i"]))]
 
 
 class Labeller:
@@ -201,7 +264,7 @@ class Labeller:
 
     def shares(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """For each text the expected share of letters by label, and its number of words."""
-        words = [t.lower().encode("utf-8", "replace").translate(LETTERS).split() for t in texts]
+        words = [split(t) for t in texts]
         self.learn(set().union(*words))
         counts = np.fromiter(map(len, words), np.int64, len(words))
         k, total = len(self.model.labels), int(counts.sum())
@@ -217,7 +280,12 @@ class Labeller:
         scores = np.zeros((int(chains.sum()), CHAIN, k), np.float32)
         live = np.zeros(scores.shape[:2], bool)
         scores[row, column], live[row, column] = self.table[ids], True
-        prob = np.concatenate([self.model.marginals(scores[a : a + 2048], live[a : a + 2048]) for a in range(0, len(scores), 2048)])[row, column]
+        local = np.exp(scores - scores.max(2, keepdims=True)).astype(float)
+        first, last = np.zeros((2, len(scores)), bool)
+        first[(np.cumsum(chains) - chains)[chains > 0]] = last[(np.cumsum(chains) - 1)[chains > 0]] = True
+        before, beyond = self.model.carried(local, live, first, last)
+        parts = [slice(a, a + 2048) for a in range(0, len(scores), 2048)]
+        prob = np.concatenate([self.model.marginals(scores[p], live[p], before=before[p], beyond=beyond[p]) for p in parts])[row, column]
         out = np.stack([np.bincount(doc, prob[:, i] * sizes, len(texts)) for i in range(k)], 1)
         return out / np.maximum(out.sum(1, keepdims=True), 1e-300), counts
 
@@ -226,8 +294,8 @@ def identify(docs: DataFrame, model: Crf, text: str = "text") -> DataFrame:
     """Add ``lang_pred`` and ``score`` to each row, without a shuffle; the model (a few MB) is broadcast.
 
     ``lang_pred`` is ``und`` with score 0 if the text is null, empty or has no letter, or if the model
-    knows no label; ties go to the label that is first in the alphabet. Every word of a text counts;
-    longer texts are taken as chains of CHAIN words. Repeated rows are labelled each; columns of these
+    knows no label; ties go to the label that is first in the alphabet. Every word of a text counts, and
+    a text is one chain, however long. Repeated rows are labelled each; columns of these
     names are replaced.
     """
     docs = docs.drop("lang_pred", "score")
