@@ -1,7 +1,7 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on ordinary text and one on the passages of toxic text
-that set it apart. Each window of a few words is compressed twice: with the ordinary dictionary and
+Two dictionaries are trained by zstandard, one on ordinary text and one on toxic text, of which the
+passages that set it apart count. Each window of a few words is compressed twice: with the ordinary dictionary and
 with the toxic one laid behind the same ordinary text. What the toxic dictionary saves is the
 window's distance; how many windows of a text exceed calibrated thresholds gives the text's score.
 """
@@ -24,6 +24,8 @@ from .common import arrow_map, blobs, chunks, hash_sample, materialize, read
 TOXIC_ROWS, ORDINARY_ROWS, SAMPLE_CHARS = 3000, 6000, 32_000_000
 #: Words in a window; bytes of the dictionaries; letters of a contrast gram; least ratio of row shares.
 WINDOW, ORDINARY_BYTES, TOXIC_BYTES, GRAM, RATIO = 8, 40 << 10, 8 << 10, 5, 24.0
+#: Lengths of the segments that zstandard takes into a dictionary, and of the strings that it counts for them.
+SEGMENT, COUNTED = 64, 6
 #: Thresholds whose exceedances are counted, in bytes saved.
 STEPS = (2, 3, 4, 5, 6)
 #: Score from which a text is predicted toxic.
@@ -43,10 +45,15 @@ def compressor(content: bytes) -> zstd.ZstdCompressor:
 
 
 def trained(samples: list[bytes], size: int) -> bytes:
-    """A trained dictionary of at most ``size`` bytes; of few samples each different one, the commonest last."""
-    if sum(map(len, samples)) < 8 * size:
+    """A dictionary of at most ``size`` bytes that zstandard trains on the samples.
+
+    Zstandard refuses fewer than about ten samples or some hundred bytes; then the dictionary is
+    each different one, the commonest last.
+    """
+    try:
+        return zstd.train_dictionary(size, samples, k=SEGMENT, d=COUNTED).as_bytes()
+    except zstd.ZstdError:
         return b"".join(w for w, _ in reversed(Counter(samples).most_common()))[-size:]
-    return zstd.train_dictionary(size, samples, k=64, d=6).as_bytes()
 
 
 class Toxicity:
@@ -142,7 +149,7 @@ def train(rows: list[tuple[str, int]], n_toxic: int, n_ordinary: int) -> Toxicit
     toxic, ordinary = ([words_of(t) for t, y in fit if y == k] for k in (1, 0))
     plain = [b" " + b" ".join(w[i : i + WINDOW]) + b" " for w in ordinary for i in range(0, len(w), WINDOW)]
     apart = passages(toxic, ordinary)
-    model = Toxicity(trained(plain[:: max(1, len(plain) // 150_000)], ORDINARY_BYTES) if plain else b" " * 256, trained(apart, TOXIC_BYTES) if apart else b"")
+    model = Toxicity(trained(plain, ORDINARY_BYTES) if plain else b" " * 256, trained(apart, TOXIC_BYTES) if apart else b"")
     labels = np.array([y for _, y in check], float)
     if 0 < labels.sum() < len(labels):
         shares = np.where(labels == 1, n_toxic / labels.sum(), n_ordinary / (1 - labels).sum())
@@ -179,7 +186,7 @@ def training_sample(docs: DataFrame, labels: DataFrame) -> tuple[list[tuple[str,
 
 
 def score(docs: DataFrame, model: Toxicity, text: str = "text") -> DataFrame:
-    """Add ``score`` (0 to 1) and ``predicted`` to each row, without a shuffle; the model (72 KB) is broadcast.
+    """Add ``score`` (0 to 1) and ``predicted`` to each row, without a shuffle; the model (48 KB) is broadcast.
 
     Every window of the whole text counts. Null, empty and wordless texts have no windows and get the
     score of a text without evidence. Repeated rows are scored each; columns of these names are replaced.
