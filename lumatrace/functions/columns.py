@@ -41,8 +41,10 @@ def sem(value: str | Column) -> Column:
 
 def seconds(stamp: Column) -> Column:
     """Seconds of a zoneless timestamp since the epoch, with microseconds."""
-    return F.unix_micros(stamp.cast("timestamp")) / F.lit(1e6)
+    return seconds_between(stamp, F.lit("1970-01-01 00:00:00"))
 
 
 def seconds_between(later: Column, earlier: Column) -> Column:
-    return (F.unix_micros(later.cast("timestamp")) - F.unix_micros(earlier.cast("timestamp"))) / F.lit(1e6)
+    """Seconds between zoneless timestamps, whatever the session's zone and its changes of the clock."""
+    apart = later.cast("timestamp_ntz") - earlier.cast("timestamp_ntz")
+    return apart.cast("interval second").cast("decimal(20, 6)").cast("double")

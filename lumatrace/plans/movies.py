@@ -29,10 +29,6 @@ def movie(s, d):
     return fx.frames(s, d)
 
 
-def short(s, d):
-    return movie(s, d).filter("frame_idx <= 40")
-
-
 def projected(s, d):
     return traces.project_footprints(movie(s, d), fx.footprints(s, d))
 
@@ -103,7 +99,7 @@ QUERIES = {
     "frm4_downsample": lambda s, d: pixels(frames.bin_mean(movie(s, d), 3, whole=True)),
     "frm5_bin_mean": lambda s, d: pixels(frames.bin_mean(movie(s, d), 4)),
     "frm6_z_score": lambda s, d: pixels(frames.z_score(movie(s, d))),
-    "frm7_smooth": lambda s, d: pixels(frames.smooth(short(s, d), 1.0)),
+    "frm7_smooth": lambda s, d: pixels(frames.smooth(movie(s, d), 1.0)),
     "frm7_smooth_whole": lambda s, d: pixels(frames.smooth(movie(s, d), 1.0)),
     "frm8_projections": lambda s, d: tidy(frames.projections(movie(s, d)), "mean", "std"),
     "frm9_template": lambda s, d: tidy(frames.stable_template(movie(s, d), **BLOCK), "score"),
@@ -147,10 +143,9 @@ _FLAGS = align.FLAGS
 _MM = "greatest(1, least(8, {}))"
 VIEWS = rec.VIEWS | {
     "px": f"SELECT session_id, frame_idx, {_PX} FROM frames",
-    "pxs": "SELECT * FROM px WHERE frame_idx <= 40",
     "zs": "SELECT session_id, at, avg(v) AS m, CASE WHEN stddev_samp(v) < 1e-6 THEN 1.0 ELSE stddev_samp(v) END AS s FROM px GROUP BY session_id, at",
     "kn": "SELECT * FROM (VALUES " + ", ".join(f"({i - _H}, {w!r}::DOUBLE)" for i, w in enumerate(_K)) + ") q(o, k)",
-    "sm1": "SELECT p.session_id, p.frame_idx, p.at, sum(n.v * k) AS v FROM pxs p, kn JOIN pxs n ON true WHERE n.session_id = p.session_id AND n.frame_idx = p.frame_idx AND n.at = p.at // 8 * 8 + greatest(0, least(7, p.at % 8 + o)) GROUP BY ALL",
+    "sm1": "SELECT p.session_id, p.frame_idx, p.at, sum(n.v * k) AS v FROM px p, kn JOIN px n ON true WHERE n.session_id = p.session_id AND n.frame_idx = p.frame_idx AND n.at = p.at // 8 * 8 + greatest(0, least(7, p.at % 8 + o)) GROUP BY ALL",
     "sm2": "SELECT p.session_id, p.frame_idx, p.at, sum(n.v * k) AS v FROM sm1 p, kn JOIN sm1 n ON true WHERE n.session_id = p.session_id AND n.frame_idx = p.frame_idx AND n.at = greatest(0, least(7, p.at // 8 + o)) * 8 + p.at % 8 GROUP BY ALL",
     "blk": f"SELECT session_id, s AS start, frame_idx, at, CAST(v AS DOUBLE) AS v FROM px, range(1, {BLOCK['last'] - BLOCK['first'] + 2 - BLOCK['length'] + 1}) q(s) WHERE frame_idx BETWEEN {BLOCK['first']} - 1 + s AND {BLOCK['first']} + {BLOCK['length']} - 2 + s",
     "mu": "SELECT session_id, start, at, avg(v) AS m FROM blk GROUP BY ALL",

@@ -123,7 +123,7 @@ QUERIES = {
     "evt3_replay": lambda s, d: events.replay(fx.log(s, d)),
     "evt4_stamp": lambda s, d: events.stamp(marks_with_seq(s, d).drop("ts"), camera_times(s, d)),
     "evt5_counts": lambda s, d: events.label_counts(fx.marks(s, d).select("session_id", F.expr("CASE WHEN label IN ('Mouse_reaction', 'Reaction_offset') THEN 2 ELSE 1 END").alias("cam_id"), "label")),
-    "evt6_near_frame": lambda s, d: events.near_frame(fx.scored(s, d).drop("ts"), fx.camera_clock(s, d).filter("frame_idx % 50 = 0").select("session_id", "cam_id", F.col("frame_idx").alias("at"))),
+    "evt6_near_frame": lambda s, d: events.near_frame(fx.scored(s, d).drop("ts"), fx.camera_clock(s, d).select("session_id", "cam_id", F.col("frame_idx").alias("at"))),
     "evt6_near_frame_whole": lambda s, d: events.near_frame(fx.scored(s, d).drop("ts"), fx.camera_clock(s, d).select("session_id", "cam_id", F.col("frame_idx").alias("at"))),
     "aln1_nearest_frame": mapped,
     "aln2_reconcile": lambda s, d: align.reconcile(microscope(s, d), fx.traces(s, d).filter("frame_idx <= 900"))[0].select("session_id", "frame_idx", "ts"),
@@ -195,7 +195,7 @@ ORACLES = {
     "evt2_first_marks": q("SELECT session_id, cam_id, min(seq) AS seq, frame_idx, label FROM marked GROUP BY session_id, cam_id, frame_idx, label"),
     "evt4_stamp": q("SELECT s.session_id, s.cam_id, s.frame_idx, label, epoch_us(s.ts) AS seq, c.ts, CAST(row_number() OVER (PARTITION BY s.session_id, s.cam_id ORDER BY s.frame_idx, epoch_us(s.ts)) AS INTEGER) AS place FROM scored s LEFT JOIN cclk c ON s.session_id = c.session_id AND 'camera' || s.cam_id = c.stream AND s.frame_idx = c.frame_idx"),
     "evt5_counts": q("SELECT p.session_id, defs.cam_id, defs.label, count(c.label) AS n FROM (SELECT DISTINCT session_id, cam_id FROM cm) p JOIN defs ON p.cam_id = defs.cam_id LEFT JOIN cm c ON c.session_id = p.session_id AND c.label = defs.label GROUP BY ALL UNION ALL SELECT session_id, cam_id, 'all', count(*) FROM cm GROUP BY ALL", cm="SELECT session_id, CASE WHEN label IN ('Mouse_reaction', 'Reaction_offset') THEN 2 ELSE 1 END AS cam_id, label FROM marks"),
-    "evt6_near_frame": q("SELECT s.session_id, s.cam_id, s.frame_idx, c.frame_idx AS at, label FROM scored s JOIN camera_clock c ON s.session_id = c.session_id AND s.cam_id = c.cam_id AND abs(s.frame_idx - c.frame_idx) < 3 WHERE c.frame_idx % 50 = 0"),
+    "evt6_near_frame": q("SELECT s.session_id, s.cam_id, s.frame_idx, c.frame_idx AS at, label FROM scored s JOIN camera_clock c ON s.session_id = c.session_id AND s.cam_id = c.cam_id AND abs(s.frame_idx - c.frame_idx) < 3"),
     "aln1_nearest_frame": q("SELECT * FROM mapd"),
     "aln2_reconcile": q("SELECT session_id, frame_idx, ts FROM mclk WHERE frame_idx <= least(900, (SELECT max(frame_idx) FROM mclk m WHERE m.session_id = mclk.session_id))"),
     "aln3_by_ratio": q("SELECT DISTINCT s.session_id, cam_id, label, CAST(round(frame_idx / (30.0::DOUBLE / 4.605)) AS INTEGER) AS neuron_frame FROM scored s JOIN lengths l ON s.session_id = l.session_id WHERE round(frame_idx / (30.0::DOUBLE / 4.605)) BETWEEN 1 AND n_frames"),

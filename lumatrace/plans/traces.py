@@ -95,12 +95,6 @@ VIEWS |= {
 }
 
 
-def lim(spark, d, most):
-    """Groups of at most ``most`` trials."""
-    p = cell_pairs(spark, d)
-    return p.filter(F.col("trial") <= most)
-
-
 QUERIES = {
     "trc2_delta_f": lambda s, d: tidy(dff(s, d), "dff"),
     "trc3_peak_ranking": lambda s, d: tidy(traces.peak_ranking(dff(s, d)), "peak"),
@@ -123,12 +117,12 @@ QUERIES = {
     "auc4_by_trial": lambda s, d: tidy(stats.by_trial(auc(s, d)), "pre", "post"),
     "auc5_enough_trials": lambda s, d: tidy(auc(s, d), "pre", "post"),
     "auc6_bars": lambda s, d: tidy(stats.bars(stats.by_trial(auc(s, d))), "mean_pre", "sem_pre", "mean_post", "sem_post"),
-    "auc7_significant": lambda s, d: stats.significant_count(stats.paired_test(lim(s, d, 12), ["session_id", "event_type", "cell_id"], "pre", "post"), ["session_id", "event_type"]),
-    "sta1_signed_rank": lambda s, d: tidy(stats.signed_rank_p(lim(s, d, 12), ["session_id", "event_type", "cell_id"], "pre", "post"), "p_rank"),
+    "auc7_significant": lambda s, d: stats.significant_count(stats.paired_test(cell_pairs(s, d), ["session_id", "event_type", "cell_id"], "pre", "post"), ["session_id", "event_type"]),
+    "sta1_signed_rank": lambda s, d: tidy(stats.signed_rank_p(cell_pairs(s, d), ["session_id", "event_type", "cell_id"], "pre", "post"), "p_rank"),
     "sta1_signed_rank_normal": lambda s, d: tidy(stats.signed_rank_p(cell_pairs(s, d), ["session_id", "event_type"], "pre", "post"), "p_rank"),
-    "sta2_paired_t": lambda s, d: tidy(stats.paired_t_p(lim(s, d, 4), ["session_id", "event_type", "cell_id"], "pre", "post"), "p_t"),
-    "sta3_test_choice": lambda s, d: tidy(stats.paired_test(lim(s, d, 12), ["session_id", "event_type", "cell_id"], "pre", "post").drop("stars"), "p"),
-    "sta4_stars": lambda s, d: stats.paired_test(lim(s, d, 12), ["session_id", "event_type", "cell_id"], "pre", "post").drop("p", "n"),
+    "sta2_paired_t": lambda s, d: tidy(stats.paired_t_p(cell_pairs(s, d).withColumn("block", F.expr("(trial - 1) div 4")), ["session_id", "event_type", "cell_id", "block"], "pre", "post"), "p_t"),
+    "sta3_test_choice": lambda s, d: tidy(stats.paired_test(cell_pairs(s, d), ["session_id", "event_type", "cell_id"], "pre", "post").drop("stars"), "p"),
+    "sta4_stars": lambda s, d: stats.paired_test(cell_pairs(s, d), ["session_id", "event_type", "cell_id"], "pre", "post").drop("p", "n"),
     "bvl1_periods": lambda s, d: tidy(periods.in_periods(dff(s, d), RATE, PERIODS, check=False), "dff", "minutes"),
     "bvl2_mean_peak": lambda s, d: tidy(periods.mean_and_peak(periods.in_periods(dff(s, d), RATE, PERIODS)), "mean", "peak"),
     "bvl3_threshold": lambda s, d: tidy(periods.thresholds(dff(s, d)), "threshold"),
@@ -139,20 +133,24 @@ QUERIES = {
 }
 
 _K = "session_id, event_type, cell_id"
-_LIM = {"pairs": "SELECT session_id, event_type, cell_id, trial, pre, post FROM au WHERE trial <= {}"}
+#: 1 - erf(x) from the series of erf whose terms are all positive, for the normal tail beyond 15 ranks.
+_ERFC = "1 - 2 / sqrt(pi()) * exp(-({0}) * ({0})) * list_sum(list_transform(range(0, 400), lambda i: exp((2 * i + 1) * ln({0}) + 2 * i * ln(2) + lgamma(i + 1.0) - lgamma(2.0 * i + 2))))"
+_Z = "greatest(1e-9, abs((least(w_plus, w_minus) - nz * (nz + 1) / 4.0) / sqrt((nz * (nz + 1.0) * (2 * nz + 1) - tie_term / 2.0) / 24)))"
+_TAIL = {"tl": f"SELECT session_id, event_type, cell_id, greatest(0.0, {_ERFC.format('x')}) AS p FROM (SELECT session_id, event_type, cell_id, least(10.0, {_Z} / sqrt(2)) AS x FROM ws WHERE nz > 15)", "pv": "SELECT * FROM ex UNION ALL SELECT * FROM tl"}
 _ANY_T = "CASE WHEN n < 2 OR (s = 0 AND m = 0) THEN 'nan'::DOUBLE WHEN s = 0 THEN 0.0 WHEN n = 2 THEN 1 - 2 / pi() * atan(abs(m / (s / sqrt(n)))) WHEN n = 3 THEN 1 - abs(m / (s / sqrt(n))) / sqrt(2 + pow(m / (s / sqrt(n)), 2)) WHEN n = 4 THEN 1 - 2 / pi() * (atan(abs(m / (s / sqrt(n))) / sqrt(3)) + abs(m / (s / sqrt(n))) / sqrt(3) / (1 + pow(m / (s / sqrt(n)), 2) / 3)) END"
 _STARS = "CASE WHEN p IS NULL OR isnan(p) THEN 'n.s.' WHEN p < 0.001 THEN '***' WHEN p < 0.01 THEN '**' WHEN p < 0.05 THEN '*' ELSE 'n.s.' END"
-_TESTED = {"tested": f"SELECT ts.session_id, ts.event_type, ts.cell_id, ts.n, CASE WHEN n >= 5 THEN 'signed-rank' ELSE 'paired t-test' END AS test, CASE WHEN n >= 5 THEN coalesce(ex.p, 1.0) ELSE {_ANY_T} END AS p FROM ts LEFT JOIN ex ON ts.session_id = ex.session_id AND ts.event_type = ex.event_type AND ts.cell_id = ex.cell_id"}
+_TESTED = {"tested": f"SELECT ts.session_id, ts.event_type, ts.cell_id, ts.n, CASE WHEN n >= 5 THEN 'signed-rank' ELSE 'paired t-test' END AS test, CASE WHEN n >= 5 THEN coalesce(pv.p, 1.0) ELSE {_ANY_T} END AS p FROM ts LEFT JOIN pv ON ts.session_id = pv.session_id AND ts.event_type = pv.event_type AND ts.cell_id = pv.cell_id"}
 
 
 def q(body: str, **more: str) -> str:
     return fx.sql(body, VIEWS | more)
 
 
-def tested(body: str, most: int) -> str:
-    return fx.sql(body, VIEWS | {"pairs": _LIM["pairs"].format(most)} | _TESTED)
+def tested(body: str, **more: str) -> str:
+    return fx.sql(body, VIEWS | _TAIL | _TESTED | more)
 
 
+_RANKED = "SELECT ts.session_id, ts.event_type, ts.cell_id, n, coalesce(p, 1.0) AS p FROM ts LEFT JOIN pv ON ts.session_id = pv.session_id AND ts.event_type = pv.event_type AND ts.cell_id = pv.cell_id"
 _SORTED = {"srt": "SELECT session_id, list_sort(list(dff)) AS s FROM dff GROUP BY session_id", "clip": "SELECT * FROM dff WHERE frame_idx BETWEEN 20 AND 70", "csr": "SELECT session_id, cell_id, list_sort(list(dff)) AS s FROM clip GROUP BY ALL"}
 
 ORACLES = {
@@ -177,11 +175,12 @@ ORACLES = {
     "auc4_by_trial": q(f"SELECT session_id, event_type, trial, {r('pre', 'post')} FROM tt"),
     "auc5_enough_trials": q(f"SELECT session_id, event_type, trial, cell_id, {r('pre', 'post')} FROM au"),
     "auc6_bars": q("SELECT session_id, event_type, round(avg(pre), 6) + 0.0 AS mean_pre, round(coalesce(stddev_samp(pre) / sqrt(count(pre)), 0.0), 6) + 0.0 AS sem_pre, round(avg(post), 6) + 0.0 AS mean_post, round(coalesce(stddev_samp(post) / sqrt(count(post)), 0.0), 6) + 0.0 AS sem_post FROM tt GROUP BY session_id, event_type"),
-    "auc7_significant": tested("SELECT session_id, event_type, count(*) FILTER (NOT isnan(p) AND p < 0.05) AS n_significant, count(*) AS n_tested FROM tested GROUP BY session_id, event_type", 12),
-    "sta1_signed_rank": tested(f"SELECT ts.session_id, ts.event_type, ts.cell_id, n, round(coalesce(ex.p, 1.0), 6) + 0.0 AS p_rank FROM ts LEFT JOIN ex ON ts.session_id = ex.session_id AND ts.event_type = ex.event_type AND ts.cell_id = ex.cell_id", 12),
-    "sta2_paired_t": tested(f"SELECT {_K}, n, round({_ANY_T}, 6) + 0.0 AS p_t FROM ts", 4),
-    "sta3_test_choice": tested(f"SELECT {_K}, n, test, {r('p')} FROM tested", 12),
-    "sta4_stars": tested(f"SELECT {_K}, test, {_STARS} AS stars FROM tested", 12),
+    "auc7_significant": tested("SELECT session_id, event_type, count(*) FILTER (NOT isnan(p) AND p < 0.05) AS n_significant, count(*) AS n_tested FROM tested GROUP BY session_id, event_type"),
+    "sta1_signed_rank": tested(f"SELECT {_K}, n, round(p, 6) + 0.0 AS p_rank FROM ranked", ranked=_RANKED),
+    "sta1_signed_rank_normal": tested("SELECT session_id, event_type, n, round(p, 6) + 0.0 AS p_rank FROM ranked", ranked=_RANKED, pairs="SELECT session_id, event_type, 0 AS cell_id, trial, pre, post FROM au"),
+    "sta2_paired_t": q(f"SELECT {_K}, block, n, round({_ANY_T}, 6) + 0.0 AS p_t FROM (SELECT {_K}, block, count(d) AS n, avg(d) AS m, stddev_samp(d) AS s FROM (SELECT *, CAST((trial - 1) // 4 AS BIGINT) AS block, round(post - pre, 9) AS d FROM au) GROUP BY {_K}, block)"),
+    "sta3_test_choice": tested(f"SELECT {_K}, n, test, {r('p')} FROM tested"),
+    "sta4_stars": tested(f"SELECT {_K}, test, {_STARS} AS stars FROM tested"),
     "bvl1_periods": q(f"SELECT session_id, cell_id, frame_idx, {r('dff')}, period, round(minutes, 6)::DOUBLE + 0.0 AS minutes FROM sl"),
     "bvl2_mean_peak": q(f"SELECT session_id, cell_id, period, {r('mean', 'peak')} FROM mp"),
     "bvl3_threshold": q(f"SELECT session_id, cell_id, {r('threshold')} FROM th"),
@@ -190,4 +189,4 @@ ORACLES = {
     "bvl7_bars": q("SELECT session_id, metric, round(avg(baseline), 6) + 0.0 AS mean_baseline, round(coalesce(stddev_samp(baseline) / sqrt(count(baseline)), 0.0), 6) + 0.0 AS sem_baseline, round(avg(late), 6) + 0.0 AS mean_late, round(coalesce(stddev_samp(late) / sqrt(count(late)), 0.0), 6) + 0.0 AS sem_late, round(1.2::DOUBLE * max(greatest(baseline, late)), 6) + 0.0 AS bracket FROM mw GROUP BY session_id, metric"),
 }
 _METRIC = {"dd": "SELECT session_id, metric AS event_type, 0 AS cell_id, round(late - baseline, 9) AS d FROM mw WHERE baseline IS NOT NULL AND late IS NOT NULL"}
-ORACLES["bvl6_compare"] = fx.sql(f"SELECT session_id, event_type AS metric, n, test, {r('p')}, {_STARS} AS stars FROM tested", VIEWS | _METRIC | _TESTED)
+ORACLES["bvl6_compare"] = fx.sql(f"SELECT session_id, event_type AS metric, n, test, {r('p')}, {_STARS} AS stars FROM tested", VIEWS | _METRIC | _TAIL | _TESTED)
