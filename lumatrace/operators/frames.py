@@ -1,7 +1,8 @@
 """Movie frames: one row a frame (session_id, frame_idx, h, w, pixels), row-major pixels.
 
-Work within a frame stays in array functions, without a shuffle; only sums over time group anything,
-and they group whole arrays or pixels with map-side combining.
+Work within a frame stays in array functions, without a shuffle; only sums over time group anything. They
+are added up over whole frames in each task, so that what is shuffled is a frame for each task and session
+and not a row for each pixel of each frame.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from lumatrace.functions.columns import percentiles_by
 
 SHAPE = ["h", "w"]
 EPS = 2.0**-52
+#: Bytes of sums over time that a task holds.
+HELD_BYTES = 128 << 20
 
 
 def deinterleave(frames: DataFrame) -> DataFrame:
@@ -47,25 +50,62 @@ def bin_mean(frames: DataFrame, k: int = 4, whole: bool = False) -> DataFrame:
     return binned.filter(F.size("all") == k).select("session_id", F.col("b").alias("frame_idx"), *SHAPE, mean.alias("pixels"))
 
 
-def pixel_view(frames: DataFrame) -> DataFrame:
-    return frames.select("session_id", "frame_idx", "w", F.posexplode("pixels").alias("at", "v"))
+def time_sums(frames: DataFrame) -> DataFrame:
+    """(session_id, w, n, mean, squares, top): over the frames of a session in a task their number and, for each pixel, mean, squared deviations and maximum.
+
+    A task holds the sums of at most HELD_BYTES; where many sessions alternate it gives out several rows of one.
+    """
+    schema = "session_id string, w int, n long, mean array<double>, squares array<double>, top array<double>"
+
+    def row(session: str, w: int, n: int, *sums: np.ndarray) -> pa.RecordBatch:
+        values = [[session], [w], [n], *([x] for x in sums)]
+        kinds = [pa.string(), pa.int32(), pa.int64(), *[pa.list_(pa.float64())] * 3]
+        return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], ["session_id", "w", "n", "mean", "squares", "top"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[str, int, int], tuple] = {}
+        for batch in batches:
+            for session, w, px in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                v = px.values.to_numpy(zero_copy_only=False).astype(float)
+                key = (session, w, len(v))
+                if key not in held and sum(24 * size for _, _, size in held) > HELD_BYTES:
+                    for (of, wide, _), sums in held.items():
+                        yield row(of, wide, *sums)
+                    held.clear()
+                n, mean, squares, top = held.get(key, (0, np.zeros(len(v)), np.zeros(len(v)), np.full(len(v), -np.inf)))
+                apart = v - mean
+                mean = mean + apart / (n + 1)
+                held[key] = n + 1, mean, squares + apart * (v - mean), np.maximum(top, v)
+        for (of, wide, _), sums in held.items():
+            yield row(of, wide, *sums)
+
+    return frames.select("session_id", "w", "pixels").mapInArrow(run, schema)
+
+
+def pixel_stats(frames: DataFrame) -> DataFrame:
+    """(session_id, w, at, mean, top, std) of each pixel over time; one frame has deviation 0."""
+    parts = time_sums(frames).select("session_id", "w", "n", F.posexplode(F.arrays_zip("mean", "squares", "top")).alias("at", "p"))
+    own = Window.partitionBy("session_id", "w", "at")
+    parts = parts.withColumn("all", F.sum("n").over(own)).withColumn("m", F.sum(F.col("n") * F.col("p.mean")).over(own) / F.col("all"))
+    away = F.col("p.mean") - F.col("m")
+    std = F.when(F.max("all") > 1, F.sqrt(F.sum(F.col("p.squares") + F.col("n") * away * away) / (F.max("all") - 1))).otherwise(0.0)
+    return parts.groupBy("session_id", "w", "at").agg(F.max("m").alias("mean"), F.max("p.top").alias("top"), std.alias("std"))
 
 
 def projections(frames: DataFrame) -> DataFrame:
     """Mean, maximum and standard deviation over time of each pixel (session_id, y, x)."""
-    stats = pixel_view(frames).groupBy("session_id", "w", "at").agg(F.avg("v").alias("mean"), F.max("v").alias("max"), F.coalesce(F.stddev_samp("v"), F.lit(0.0)).alias("std"))
-    return stats.select("session_id", F.expr("int(at div w + 1)").alias("y"), F.expr("int(at % w + 1)").alias("x"), "mean", "max", "std")
+    kind = frames.schema["pixels"].dataType.elementType
+    return pixel_stats(frames).select("session_id", F.expr("int(at div w + 1)").alias("y"), F.expr("int(at % w + 1)").alias("x"), "mean", F.col("top").cast(kind).alias("max"), "std")
 
 
 def z_score(frames: DataFrame) -> DataFrame:
     """Each pixel less its mean over its deviation in time; a deviation below 1e-6 counts as 1.
 
     The statistics come back as one array a session, as large as one frame, so that frames are never
-    exploded for the join.
+    exploded.
     """
-    stats = pixel_view(frames).groupBy("session_id", "at").agg(F.avg("v").alias("m"), F.coalesce(F.stddev_samp("v"), F.lit(0.0)).alias("s"))
-    stats = stats.withColumn("s", F.when(F.col("s") < 1e-6, 1.0).otherwise(F.col("s")))
-    image = stats.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("at", "m", "s"))).alias("image"))
+    stats = pixel_stats(frames).withColumn("s", F.when(F.col("std") < 1e-6, 1.0).otherwise(F.col("std")))
+    image = stats.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("at", F.col("mean").alias("m"), "s"))).alias("image"))
     return frames.join(image, "session_id").select("session_id", "frame_idx", *SHAPE, F.zip_with("pixels", "image", lambda v, c: (v - c["m"]) / c["s"]).alias("pixels"))
 
 
@@ -101,29 +141,56 @@ def smooth(frames: DataFrame, sigma: float = 1.0) -> DataFrame:
     return frames.select("session_id", "frame_idx", *SHAPE, "pixels").mapInArrow(run, schema)
 
 
+def block_scores(frames: np.ndarray, length: int, most: int) -> np.ndarray:
+    """The score of each block of ``length`` rows of ``frames`` (frames x pixels) that begins at one of the first ``most``.
+
+    Means of blocks are running sums, taken over some pixels at a time; what is added up over pixels are sums,
+    squares and products of frames and block means.
+    """
+    n, size = frames.shape
+    starts = min(most, n - length + 1)
+    total, squares = np.zeros(n), np.zeros(n)
+    mean, mean_squares, products = np.zeros(starts), np.zeros(starts), np.zeros((n, starts))
+    centre = frames.mean(1, dtype=float)[:, None]  # products of what is left don't cancel
+    for a in range(0, size, 1 << 14):
+        part = frames[:, a : a + (1 << 14)] - centre
+        runs = np.concatenate([np.zeros((1, part.shape[1])), np.cumsum(part, axis=0)])
+        blocks = (runs[length : length + starts] - runs[:starts]) / length
+        total += part.sum(1)
+        squares += (part * part).sum(1)
+        mean += blocks.sum(1)
+        mean_squares += (blocks * blocks).sum(1)
+        products += part @ blocks.T
+    total, mean = total / size, mean / size
+    with np.errstate(invalid="ignore", divide="ignore"):
+        both = products / size - total[:, None] * mean[None, :]
+        sd = np.sqrt(np.maximum(squares - size * total**2, 0) / (size - 1))[:, None] * np.sqrt(np.maximum(mean_squares - size * mean**2, 0) / (size - 1))[None, :]
+        like = both / (EPS + sd)
+    return np.array([like[k : k + length, k].mean() for k in range(starts)])
+
+
 def stable_template(frames: DataFrame, first: int = 500, last: int = 1500, length: int = 100, most: int = 50) -> DataFrame:
     """(session_id, start, score): the block of ``length`` frames that is most like its own mean.
 
     Starts 1 to ``most`` of the frame range are tried. A block's score is the mean over its frames of
     (mean of products - product of means) / (eps + product of sample deviations) of frame and block
-    mean; the first start wins ties. Sessions with too short a range give none.
+    mean; the first start wins ties. Sessions with too short a range give none. The ``length + most - 1``
+    frames of a session that blocks can hold meet in one task.
     """
-    ranged = frames.filter(F.col("frame_idx").between(first, last))
-    w = Window.partitionBy("session_id")
-    numbered = ranged.withColumns({"i": F.row_number().over(w.orderBy("frame_idx")), "nf": F.count(F.lit(1)).over(w)}).filter(F.col("nf") >= length)
-    starts = F.sequence(F.greatest(F.lit(1), F.col("i") - length + 1), F.least("i", F.lit(most), F.col("nf") - length + 1))
-    member = numbered.filter(F.col("i") <= most + length - 1).filter(F.greatest(F.lit(1), F.col("i") - length + 1) <= F.least(F.col("i"), F.lit(most), F.col("nf") - length + 1)).withColumn("start", F.explode(starts))
-    mean = pixel_view(member.withColumn("frame_idx", F.col("start"))).groupBy("session_id", F.col("frame_idx").alias("start"), "at").agg(F.avg("v").alias("m"))
-    block = mean.groupBy("session_id", "start").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "m"))), lambda e: e["m"]).alias("mu"))
-    n = F.size("mu")
-    mean_of = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v) / n
-    both = member.join(block, ["session_id", "start"]).withColumns({"bt": F.transform("pixels", lambda v: v.cast("double"))}).withColumns({"mb": mean_of(F.col("bt")), "mm": mean_of(F.col("mu")), "mp": mean_of(F.zip_with("bt", "mu", lambda a, b: a * b))})
-    sd = lambda a, m: F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, v: s + (v - F.col(m)) * (v - F.col(m))) / (n - 1))
-    scored = both.withColumn("c", (F.col("mp") - F.col("mb") * F.col("mm")) / (EPS + sd("bt", "mb") * sd("mu", "mm")))
-    blocks = scored.groupBy("session_id", "start").agg(F.round(F.avg("c"), 9).alias("score"))
-    blocks = blocks.withColumn("start", F.col("start").cast("int"))
-    place = F.row_number().over(w.orderBy(F.desc("score"), "start"))
-    return blocks.withColumn("place", place).filter("place = 1").drop("place")
+    place = F.row_number().over(Window.partitionBy("session_id").orderBy("frame_idx"))
+    ranged = frames.filter(F.col("frame_idx").between(first, last)).select("session_id", "frame_idx", "pixels").withColumn("i", place)
+
+    def run(table: pa.Table) -> pa.Table:
+        found: dict[str, list] = {"session_id": [], "start": [], "score": []}
+        if len(table) >= length:
+            order = np.argsort(table.column("i").to_numpy())
+            pixels = table.column("pixels").combine_chunks()
+            score = block_scores(pixels.flatten().to_numpy(zero_copy_only=False).reshape(len(table), -1)[order], length, most).round(9)
+            best = int(np.argmax(np.where(np.isnan(score), np.inf, score)))  # as in Spark's order, NaN is above all
+            found = {"session_id": [table.column("session_id")[0].as_py()], "start": [best + 1], "score": [float(score[best])]}
+        return pa.table(found, schema=pa.schema([("session_id", pa.string()), ("start", pa.int32()), ("score", pa.float64())]))
+
+    return ranged.filter(F.col("i") <= length + most - 1).groupBy("session_id").applyInArrow(run, "session_id string, start int, score double")
 
 
 def contrast_limits(frames: DataFrame, most: int = 20) -> DataFrame:

@@ -13,12 +13,19 @@ CELL = ["session_id", "cell_id"]
 def project_footprints(frames: DataFrame, footprints: DataFrame) -> DataFrame:
     """Full-length traces: the sum of pixel times weight over a cell's footprint.
 
-    Pixels outside all footprints leave in the join, before anything is summed. Whether footprints are
-    broadcast is left to their measured size.
+    A session's sparse footprints are gathered in one row, which its frames meet by session; the product is taken
+    within the frame's row, so no pixel becomes a row. Whether the footprints are broadcast is left to their
+    measured size. Points outside the frame don't count; a cell without others has no trace.
     """
-    pixels = frames.select("session_id", "frame_idx", "w", F.posexplode("pixels").alias("at", "v"))
-    pixels = pixels.select("session_id", "frame_idx", F.expr("int(at div w) + 1").alias("y"), F.expr("int(at % w) + 1").alias("x"), "v")
-    return pixels.join(footprints, ["session_id", "y", "x"]).groupBy("session_id", "cell_id", "frame_idx").agg(F.sum(F.col("v") * F.col("weight")).alias("value"))
+    points = footprints.groupBy("session_id", "cell_id").agg(F.collect_list(F.struct("y", "x", "weight")).alias("points"))
+    cells = points.groupBy("session_id").agg(F.collect_list(F.struct("cell_id", "points")).alias("cells"))
+    pixel = lambda p: F.get("pixels", (p["y"] - 1) * F.col("w") + p["x"] - 1)
+    inside = lambda c: F.filter(c["points"], lambda p: p["x"].between(1, F.col("w")) & pixel(p).isNotNull())
+    kept = F.transform("cells", lambda c: F.struct(c["cell_id"].alias("cell_id"), inside(c).alias("points")))
+    value = lambda c: F.when(F.size(c["points"]) > 0, F.aggregate(c["points"], F.lit(0.0), lambda s, p: s + pixel(p) * p["weight"]))
+    sums = F.transform(kept, lambda c: F.struct(c["cell_id"].alias("cell_id"), value(c).alias("value")))
+    found = frames.join(cells, "session_id").select("session_id", "frame_idx", F.explode(sums).alias("c"))
+    return found.select("session_id", "c.cell_id", "frame_idx", "c.value").filter("value IS NOT NULL")
 
 
 def delta_f(traces: DataFrame) -> DataFrame:
