@@ -193,6 +193,17 @@ _ECC = f"sqrt(greatest(0.0, 1 - (xx + yy - {_SQ}) / (xx + yy + {_SQ})))"
 _REG = "SELECT session_id, cell_id, count(*) AS area, avg(y) AS row, avg(x) AS col, var_pop(x) + 1 / 12.0::DOUBLE AS xx, var_pop(y) + 1 / 12.0::DOUBLE AS yy, covar_pop(x, y) AS xy FROM {} GROUP BY session_id, cell_id"
 _ROUND_REG = f"SELECT session_id, cell_id, area, round(row, 6) + 0.0 AS row, round(col, 6) + 0.0 AS col, round({_ECC}, 6) + 0.0 AS eccentricity FROM "
 
+_G = "session_id, cell_id"
+#: Solidity by the half-planes of all pairs of pixel corners that have every corner on one side.
+VIEWS |= {
+    "crn": "SELECT DISTINCT session_id, cell_id, y + dy AS cy, x + dx AS cx FROM prt, (VALUES (-0.5::DOUBLE), (0.5::DOUBLE)) a(dy), (VALUES (-0.5::DOUBLE), (0.5::DOUBLE)) b(dx)",
+    "hul": "SELECT a.session_id, a.cell_id, a.cy AS y0, a.cx AS x0, b.cy AS y1, b.cx AS x1 FROM crn a JOIN crn b ON a.session_id = b.session_id AND a.cell_id = b.cell_id AND (a.cy <> b.cy OR a.cx <> b.cx) JOIN crn p ON p.session_id = a.session_id AND p.cell_id = a.cell_id GROUP BY ALL HAVING min((b.cy - a.cy) * (p.cx - a.cx) - (b.cx - a.cx) * (p.cy - a.cy)) >= 0",
+    "ins": f"SELECT g.session_id, g.cell_id, gy, gx FROM (SELECT {_G}, min(y) AS ya, max(y) AS yb, min(x) AS xa, max(x) AS xb FROM prt GROUP BY {_G}) g JOIN hul h ON h.session_id = g.session_id AND h.cell_id = g.cell_id, range(1, 9) r(gy), range(1, 9) c(gx) WHERE gy BETWEEN ya AND yb AND gx BETWEEN xa AND xb GROUP BY ALL HAVING min((y1 - y0) * (gx - x0) - (x1 - x0) * (gy - y0)) >= -1e-9",
+    "sol": f"SELECT p.session_id, p.cell_id, area / greatest(1, coalesce(n, 0)) AS solidity FROM (SELECT {_G}, count(*) AS area FROM prt GROUP BY {_G}) p LEFT JOIN (SELECT {_G}, count(*) AS n FROM ins GROUP BY {_G}) i ON i.session_id = p.session_id AND i.cell_id = p.cell_id",
+    "qt": f"SELECT q.session_id, q.cell_id, (top - f0) / scale AS peak, (m - f0) / scale AS mean, (top - f0) / scale / greatest((q3 - q1) / scale, 1e-3) AS snr, coalesce(area, 0) AS area, coalesce(row, 0.0) AS row, coalesce(col, 0.0) AS col, coalesce({_ECC}, 0.0) AS eccentricity, coalesce(solidity, 0.0) AS solidity FROM qs q LEFT JOIN ({_REG.format('prt')}) g ON g.session_id = q.session_id AND g.cell_id = q.cell_id LEFT JOIN sol ON sol.session_id = q.session_id AND sol.cell_id = q.cell_id",
+}
+_OF_MOVIE = {"ql": VIEWS["ql"].replace("FROM traces", "FROM prj")}
+
 ORACLES = {
     "frm1_deinterleave": q("SELECT session_id, frame_idx, CAST((frame_idx + 1) // 2 AS INTEGER) AS pair, CASE WHEN frame_idx % 2 = 1 THEN 'A' ELSE 'B' END AS plane FROM frames"),
     "frm2_pair_maximum": q(f"SELECT {_PIX} FROM (SELECT session_id, CAST((frame_idx + 1) // 2 AS INTEGER) AS frame_idx, at, max(v) AS v FROM px GROUP BY ALL HAVING count(*) = 2)"),
@@ -210,6 +221,10 @@ ORACLES = {
     "cel2_mask": q("SELECT * FROM msk"),
     "cel3_component": q("SELECT * FROM prt"),
     "cel4_regions": q(_ROUND_REG + "(" + _REG.format("prt") + ")"),
+    "cel5_solidity": q("SELECT session_id, cell_id, round(solidity, 6) + 0.0 AS solidity FROM sol"),
+    "cel8_keep": q("SELECT session_id, cell_id, CAST(row_number() OVER (PARTITION BY session_id ORDER BY cell_id) AS INTEGER) AS new_id FROM qt WHERE area >= 3 AND eccentricity <= 0.98 AND solidity >= 0.3 AND peak >= 0.0", **_OF_MOVIE),
+    "cel9_quality": q(f"SELECT session_id, cell_id, area, {r('peak', 'mean', 'snr', 'row', 'col', 'eccentricity', 'solidity')} FROM qt", **_OF_MOVIE),
+    "cel10_ranges": q("SELECT session_id, min(area) AS min_area, max(area) AS max_area, " + ", ".join(f"round({f}({c}), 6) + 0.0 AS {f}_{c}" for c in ("eccentricity", "solidity", "peak", "snr") for f in ("min", "max")) + " FROM qt GROUP BY session_id", **_OF_MOVIE),
     "cel6_inside_field": q(_ROUND_REG + "(" + _REG.format("msk") + ") WHERE row > 3 AND row < 5 AND col > 3 AND col < 5"),
     "cel7_trace_quality": q("SELECT session_id, cell_id, round(f0, 6) + 0.0 AS f0, round(scale, 6) + 0.0 AS scale, round((top - f0) / scale, 6) + 0.0 AS peak, round((m - f0) / scale, 6) + 0.0 AS mean, round((top - f0) / scale / greatest((q3 - q1) / scale, 1e-3), 6) + 0.0 AS snr FROM qs"),
     "cel10_funnel": q("SELECT session_id, count(DISTINCT cell_id) AS n_raw, count(DISTINCT cell_id) FILTER (NOT isnan(value)) AS n_real, count(DISTINCT cell_id) FILTER (cell_id > 4) AS n_kept FROM gap GROUP BY session_id"),

@@ -168,6 +168,11 @@ def q(body: str, **more: str) -> str:
     return fx.sql(body, VIEWS | more)
 
 
+#: A log command by command, with what stands as a list: undo drops its last, a mark that stands adds nothing.
+_REPLAY = {
+    "commands": "SELECT l.session_id, l.cam_id, seq, frame_idx, CASE WHEN l.key = 'x' THEN 'undo' ELSE label END AS label, row_number() OVER (PARTITION BY l.session_id, l.cam_id ORDER BY seq) AS k FROM log l LEFT JOIN defs ON l.cam_id = defs.cam_id AND l.key = defs.key WHERE l.key = 'x' OR label IS NOT NULL",
+    "standing": "SELECT DISTINCT session_id, cam_id, CAST(0 AS BIGINT) AS k, CAST([] AS STRUCT(f INTEGER, n VARCHAR, s BIGINT)[]) AS st FROM commands UNION ALL SELECT c.session_id, c.cam_id, c.k, CASE WHEN c.label = 'undo' THEN list_slice(st, 1, greatest(len(st) - 1, 0)) WHEN len(list_filter(st, lambda e: e.f = c.frame_idx AND e.n = c.label)) > 0 THEN st ELSE list_append(st, CAST({'f': c.frame_idx, 'n': c.label, 's': c.seq} AS STRUCT(f INTEGER, n VARCHAR, s BIGINT))) END FROM standing s JOIN commands c ON c.session_id = s.session_id AND c.cam_id = s.cam_id AND c.k = s.k + 1",
+}
 _OLD = {"old": "SELECT session_id, cam_id, frame_idx, CASE label WHEN 'Soft_touch' THEN 'A' WHEN 'Strong_touch' THEN 'Stimuli_given' ELSE label END AS label FROM scored"}
 ORACLES = {
     "src1_natural_order": q(_order(_NUM + ", ")),
@@ -193,6 +198,7 @@ ORACLES = {
     "clk6_summary": q(f"SELECT e.session_id, e.stream, count(*) AS n_frames, arg_min(ts, frame_idx) AS \"first\", arg_max(ts, frame_idx) AS \"last\", round(any_value(rate), 6) + 0.0 AS rate FROM every e JOIN rates ON e.session_id = rates.session_id AND e.stream = rates.stream GROUP BY e.session_id, e.stream"),
     "evt1_dictionary": q("SELECT * FROM marked"),
     "evt2_first_marks": q("SELECT session_id, cam_id, min(seq) AS seq, frame_idx, label FROM marked GROUP BY session_id, cam_id, frame_idx, label"),
+    "evt3_replay": "WITH RECURSIVE " + q("SELECT session_id, cam_id, e.f AS frame_idx, e.n AS label, e.s AS seq FROM (SELECT session_id, cam_id, unnest(st) AS e FROM (SELECT *, row_number() OVER (PARTITION BY session_id, cam_id ORDER BY k DESC) AS z FROM standing) WHERE z = 1)", **_REPLAY).removeprefix("WITH "),
     "evt4_stamp": q("SELECT s.session_id, s.cam_id, s.frame_idx, label, epoch_us(s.ts) AS seq, c.ts, CAST(row_number() OVER (PARTITION BY s.session_id, s.cam_id ORDER BY s.frame_idx, epoch_us(s.ts)) AS INTEGER) AS place FROM scored s LEFT JOIN cclk c ON s.session_id = c.session_id AND 'camera' || s.cam_id = c.stream AND s.frame_idx = c.frame_idx"),
     "evt5_counts": q("SELECT p.session_id, defs.cam_id, defs.label, count(c.label) AS n FROM (SELECT DISTINCT session_id, cam_id FROM cm) p JOIN defs ON p.cam_id = defs.cam_id LEFT JOIN cm c ON c.session_id = p.session_id AND c.label = defs.label GROUP BY ALL UNION ALL SELECT session_id, cam_id, 'all', count(*) FROM cm GROUP BY ALL", cm="SELECT session_id, CASE WHEN label IN ('Mouse_reaction', 'Reaction_offset') THEN 2 ELSE 1 END AS cam_id, label FROM marks"),
     "evt6_near_frame": q("SELECT s.session_id, s.cam_id, s.frame_idx, c.frame_idx AS at, label FROM scored s JOIN camera_clock c ON s.session_id = c.session_id AND s.cam_id = c.cam_id AND abs(s.frame_idx - c.frame_idx) < 3"),
