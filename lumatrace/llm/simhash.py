@@ -5,12 +5,17 @@ bits add up, and a pair is dropped as soon as they exceed the budget. For Spark
 four rotations: with a budget of 3, two linked fingerprints agree on one of four 16-bit blocks, so a
 rotation that has this block on top leaves no error for the top path, and each top path is a subtrie
 of its own. Subtries that hold too many fingerprints are split in the same way on the bits below.
+
+Near copies by five-word similarity need a wider budget: ``Similar`` searches by fingerprints of word
+pairs, of which any two of nine blocks make a path, and links what also agrees in fingerprints of five
+words. There only what is linked through others counts, so the walk leaves out what is linked already.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
+from dataclasses import dataclass
+from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +36,10 @@ SUBTRIE = 512
 BROADCAST_ROWS = 1_000_000
 #: Node pairs that a walk holds at a time.
 FRONTIER = 1 << 19
+#: Pairs of fingerprints that leaves hold, below which they are compared at once; comparisons held at a time.
+LEAF, COMPARED = 1024, 1 << 20
+#: Fingerprints of one path in a task; larger ones are dealt as pairs of parts of half the size.
+PATH_ROWS = 1 << 16
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -55,17 +64,41 @@ def fingerprints_of(texts: list[bytes], size: int = SHINGLE) -> np.ndarray:
     return out
 
 
-def with_fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Add ``fp``, the 64-bit SimHash as a long; null and empty texts have 0. No shuffle."""
-    docs = docs.drop("fp")
-    schema = T.StructType([*docs.schema.fields, T.StructField("fp", T.LongType())])
+@dataclass(frozen=True)
+class Similar:
+    """Texts link if their fingerprints of ``shingle`` words differ in ``budget`` bits or fewer and those of ``wide`` words in ``most``.
+
+    By the angle between sets, a similarity of 0.8 in five-word shingles is 9.7 of 64 bits on average, with a
+    deviation of 2.9; word pairs of such texts are 6.2 bits apart.
+    """
+
+    shingle: int = 2
+    budget: int = 7
+    wide: int = 5
+    most: int = 12
+    agree: int = 2
+    subtrie: int = 256
+    levels: int = 2
+
+
+def with_fingerprints(docs: DataFrame, text: str = "text", **sizes: int) -> DataFrame:
+    """Add ``fp``, the 64-bit SimHash as a long; null and empty texts have 0. No shuffle.
+
+    ``sizes``: other columns by their names, and the words of their shingles.
+    """
+    sizes = sizes or {"fp": SHINGLE}
+    docs = docs.drop(*sizes)
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(name, T.LongType()) for name in sizes)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, at = blobs(batch.column(batch.schema.get_field_index(text)))
-            found = [fingerprints_of([data[at[i] : at[i + 1]].tobytes() for i in range(lo, hi)]) for lo, hi in chunks(at)]
-            fp = np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fp)], [*batch.schema.names, "fp"])
+            found: list[list[np.ndarray]] = [[np.zeros(0, np.uint64)] for _ in sizes]
+            for lo, hi in chunks(at):
+                texts = [data[at[i] : at[i + 1]].tobytes() for i in range(lo, hi)]
+                for out, size in zip(found, sizes.values(), strict=True):
+                    out.append(fingerprints_of(texts, size))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(np.concatenate(x).view(np.int64)) for x in found)], [*batch.schema.names, *sizes])
 
     return arrow_map(docs, run, schema)
 
@@ -123,6 +156,105 @@ def forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray
     return root
 
 
+def united(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Join the trees of ``root`` that the links (a, b) connect; afterwards each root is the least index of its tree."""
+    while True:
+        ra, rb = root[a], root[b]
+        apart = ra != rb
+        if not apart.any():
+            return
+        a, b, ra, rb = a[apart], b[apart], ra[apart], rb[apart]
+        np.minimum.at(root, np.maximum(ra, rb), np.minimum(ra, rb))
+        while True:
+            up = root[root]
+            if (up == root).all():
+                break
+            root[:] = up
+
+
+def trie_forest(fps: np.ndarray, wide: np.ndarray, starts: np.ndarray, rule: Similar) -> np.ndarray:
+    """For each row the least row that it is linked to through any number of links of ``rule``, by group.
+
+    ``fps`` ascend within each group and may repeat; ``starts``: where groups begin. Neighbours in the trie's
+    order are linked first, then what is left of them; the walk over node pairs then drops each pair whose
+    leaves are all in one tree, so a group of copies costs little more than its rows.
+    """
+    n = len(fps)
+    root = np.arange(n)
+    group = np.zeros(n, np.int64)
+    group[starts[1:]] = 1
+    group = np.cumsum(group)
+
+    def fit(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        near = np.bitwise_count(fps[a] ^ fps[b]) <= rule.budget
+        near[near] = np.bitwise_count(wide[a[near]] ^ wide[b[near]]) <= rule.most
+        return near
+
+    left = np.arange(n)
+    for _ in range(12):
+        a, b = left[:-1], left[1:]
+        near = (group[a] == group[b]) & fit(a, b)
+        if not near.any():
+            break
+        united(root, a[near], b[near])
+        left = np.flatnonzero(root == np.arange(n))
+    ends = np.append(starts[1:], n)
+    ones = [np.concatenate([[0], np.cumsum((fps >> np.uint64(63 - d)) & np.uint64(1), dtype=np.int32)]) for d in range(64)]
+    turns = np.concatenate([[0], np.cumsum(root[1:] != root[:-1])])
+    stack = [(0, starts, ends, starts, ends, np.zeros(len(starts), np.int8))]
+    while stack:
+        depth, a, az, b, bz, err = stack.pop()
+        if len(a) > FRONTIER:
+            half = len(a) // 2
+            stack += [(depth, *(x[half:] for x in (a, az, b, bz, err))), (depth, *(x[:half] for x in (a, az, b, bz, err)))]
+            continue
+        apart = (root[a] != root[b]) | (turns[az - 1] != turns[a]) | (turns[bz - 1] != turns[b])
+        few = ((az - a) * (bz - b) <= LEAF) | (depth == 64)
+        for i, j in leaf_pairs(*(x[apart & few] for x in (a, az, b, bz))):
+            i, j = (x[root[i] != root[j]] for x in (i, j))
+            near = fit(i, j)
+            if near.any():
+                united(root, i[near], j[near])
+                turns = np.concatenate([[0], np.cumsum(root[1:] != root[:-1])])
+        a, az, b, bz, err = (x[apart & ~few] for x in (a, az, b, bz, err))
+        if not len(a):
+            continue
+        c = ones[depth]
+        am, bm = az - (c[az] - c[a]), bz - (c[bz] - c[b])
+        same, more = a == b, err + 1
+        parts = [
+            (a, am, b, bm, err, (am > a) & (bm > b)),
+            (am, az, bm, bz, err, (az > am) & (bz > bm)),
+            (a, am, bm, bz, more, (am > a) & (bz > bm) & (more <= rule.budget)),
+            (am, az, b, bm, more, ~same & (az > am) & (bm > b) & (more <= rule.budget)),
+        ]
+        stack.append((depth + 1, *(np.concatenate([p[i][p[5]] for p in parts]) for i in range(5))))
+    return root
+
+
+def leaf_pairs(a: np.ndarray, az: np.ndarray, b: np.ndarray, bz: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of rows from ranges [a, az) and [b, bz), about COMPARED at a time; of equal ranges each pair once."""
+    wide = bz - b
+    size = (az - a) * wide
+    while len(big := np.flatnonzero(size > COMPARED)):  # many equal fingerprints: cut the range into rows
+        k = big[0]
+        for i in range(int(a[k]), int(az[k])):
+            for lo in range(int(b[k]), int(bz[k]), COMPARED):
+                j = np.arange(lo, min(lo + COMPARED, int(bz[k])))
+                yield np.full(len(j), i), j
+        a, az, b, bz, wide, size = (np.delete(x, k) for x in (a, az, b, bz, wide, size))
+    ends = np.cumsum(size)
+    at = 0
+    while at < len(a):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + COMPARED, "right")))
+        pair = np.repeat(np.arange(at, to), size[at:to])
+        off = np.arange(len(pair)) - np.repeat(ends[at:to] - size[at:to] - (ends[at - 1] if at else 0), size[at:to])
+        i, j = a[pair] + off // wide[pair], b[pair] + off % wide[pair]
+        once = (a[pair] != b[pair]) | (i < j)
+        yield i[once], j[once]
+        at = to
+
+
 def subtrie_links(rows: DataFrame, budget: int) -> DataFrame:
     """Edges (u, v) that span the links within each ``path``; v is the least fingerprint of its links there."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -162,16 +294,21 @@ def subtrie_links(rows: DataFrame, budget: int) -> DataFrame:
     return arrow_map(rows, run, "u long, v long")
 
 
-def descend(rows: DataFrame, bits: int, budget: int) -> tuple[DataFrame, int]:
-    """The next top paths of (fp, path, rest), in budget + 1 rotations of the ``bits`` low bits of rest."""
-    n, parts = bits // (budget + 1), []
-    for k in range(budget + 1):
-        low, size = k * n, n if k < budget else bits - budget * n
-        block: Column = F.shiftrightunsigned("rest", low).bitwiseAND((1 << size) - 1)
-        below = F.col("rest").bitwiseAND((1 << low) - 1)
-        above = F.shiftrightunsigned("rest", low + size).bitwiseAND((1 << max(0, bits - low - size)) - 1) if low + size < bits else F.lit(0).cast("long")
-        parts.append(F.struct(F.xxhash64("path", F.lit(k), block).alias("path"), F.shiftleft(above, low).bitwiseOR(below).alias("rest")))
-    return rows.select("fp", F.explode(F.array(*parts)).alias("x")).select("fp", "x.path", "x.rest"), bits - n
+def descend(rows: DataFrame, bits: int, budget: int, agree: int = 1) -> tuple[DataFrame, int]:
+    """The next top paths of rows with fp, path and rest: any ``agree`` of ``budget + agree`` blocks of rest's low bits."""
+    blocks = budget + agree
+    n = bits // blocks
+    at = [(k * n, n if k < blocks - 1 else bits - k * n) for k in range(blocks)]
+    value = lambda k: F.shiftrightunsigned("rest", at[k][0]).bitwiseAND((1 << at[k][1]) - 1)
+    parts = []
+    for chosen in combinations(range(blocks), agree):
+        rest, size = F.lit(0).cast("long"), 0
+        for k in range(blocks):
+            if k not in chosen:
+                rest, size = rest.bitwiseOR(F.shiftleft(value(k), size)), size + at[k][1]
+        parts.append(F.struct(F.xxhash64("path", *[F.lit(k) for k in chosen], *map(value, chosen)).alias("path"), rest.alias("rest")))
+    kept = [c for c in rows.columns if c not in ("path", "rest")]
+    return rows.select(*kept, F.explode(F.array(*parts)).alias("x")).select(*kept, "x.path", "x.rest"), bits - agree * n
 
 
 def linked_fingerprints(fps: DataFrame, budget: int = BUDGET, most: int = SUBTRIE) -> DataFrame:
@@ -188,16 +325,107 @@ def linked_fingerprints(fps: DataFrame, budget: int = BUDGET, most: int = SUBTRI
     return subtrie_links(rows if done is None else done.union(rows), budget)
 
 
+def in_parts(rows: DataFrame, most: int) -> DataFrame:
+    """Deal the rows of paths with over ``most`` as pairs of parts with half as many, so that each pair of rows still meets."""
+    large = materialize(rows.groupBy("path").count().filter(F.col("count") > most).select("path", F.ceil(F.col("count") * 2 / most).cast("int").alias("of")))
+    if large.isEmpty():
+        return rows
+    kept = rows.columns
+    dealt = rows.join(large, "path", "left")
+    own = F.pmod(F.xxhash64("fp", "wide"), F.col("of")).cast("int")
+    other = F.explode(F.when(F.col("of").isNull(), F.array(F.lit(None).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("of") - 1)))
+    dealt = dealt.withColumn("own", own).withColumn("other", other).filter("other IS NULL OR other <> own OR of = 1")
+    path = F.when(F.col("other").isNull(), F.col("path")).otherwise(F.xxhash64("path", F.least("own", "other"), F.greatest("own", "other")))
+    return dealt.withColumn("path", path).select(kept)
+
+
+def similar_links(prints: DataFrame, rule: Similar) -> DataFrame:
+    """Edges (u, v) between nodes of distinct (fp, wide) whose closure is that of all links of ``rule``.
+
+    Paths with over ``rule.subtrie`` fingerprints are split by the bits below, up to ``rule.levels`` times:
+    copies stay together however deep one goes, so beyond that a path goes to one task, or in parts to several.
+    """
+    own = prints.select("fp", "wide", F.lit(0).cast("long").alias("path"), F.col("fp").alias("rest"))
+    rows, bits = descend(own, 64, rule.budget, rule.agree)
+    done = None
+    for _ in range(rule.levels - 1):
+        large = materialize(rows.groupBy("path").count().filter(F.col("count") > rule.subtrie).select("path"))
+        if large.isEmpty():
+            break
+        small = rows.join(large, "path", "left_anti").select("path", "fp", "wide")
+        done = small if done is None else done.union(small)
+        rows, bits = descend(rows.join(large, "path", "left_semi"), bits, rule.budget)
+    rows = rows.select("path", "fp", "wide")
+    rows = in_parts(rows if done is None else done.union(rows), PATH_ROWS)
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(parts, "path").sortWithinPartitions("path")
+    names = ["u_fp", "u_wide", "v_fp", "v_wide"]
+
+    def links(path: np.ndarray, fp: np.ndarray, wide: np.ndarray) -> pa.RecordBatch:
+        order = np.lexsort((wide, fp, path))
+        path, fp, wide = path[order], fp[order], wide[order]
+        new = np.concatenate([[True], path[1:] != path[:-1]])
+        keep = new | np.concatenate([[True], (fp[1:] != fp[:-1]) | (wide[1:] != wide[:-1])])
+        path, fp, wide = path[keep], fp[keep], wide[keep]
+        starts = np.flatnonzero(np.concatenate([[True], path[1:] != path[:-1]]))
+        sizes = np.diff(np.append(starts, len(path)))
+        some = np.repeat(sizes > 1, sizes)
+        path, fp, wide = path[some], fp[some], wide[some]
+        starts = np.flatnonzero(np.concatenate([[True], path[1:] != path[:-1]])) if len(path) else np.zeros(0, np.int64)
+        root = trie_forest(fp, wide, starts, rule) if len(path) else np.zeros(0, np.int64)
+        linked = np.flatnonzero(root != np.arange(len(root)))
+        found = (fp[linked], wide[linked], fp[root[linked]], wide[root[linked]])
+        return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in found], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = [[], [], []]
+        size = 0
+        for batch in batches:
+            for x, column, kind in zip(held, batch.columns, (np.int64, np.uint64, np.uint64), strict=True):
+                x.append(column.to_numpy(zero_copy_only=False).view(kind))
+            size += len(batch)
+            if size > PATH_ROWS:
+                path, fp, wide = map(np.concatenate, held)
+                cut = int(np.searchsorted(path, path[-1]))  # the last group may go on
+                held, size = [[path[cut:]], [fp[cut:]], [wide[cut:]]], len(path) - cut
+                if cut:
+                    yield links(path[:cut], fp[:cut], wide[:cut])
+        if size:
+            yield links(*map(np.concatenate, held))
+
+    found = arrow_map(rows, run, ", ".join(f"{c} long" for c in names))
+    return found.select(F.xxhash64("u_fp", "u_wide").alias("u"), F.xxhash64("v_fp", "v_wide").alias("v"))
+
+
+def rooted(prints: DataFrame, distinct: DataFrame, edges: DataFrame) -> DataFrame:
+    """Add ``root`` and ``component_id`` to prints (key, tk, node); ``distinct``: (node, least)."""
+    roots = components(edges)
+    named = materialize(distinct.join(roots.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("node", "least", F.coalesce("root", "node").alias("root")))
+    least = materialize(named.groupBy("root").agg(F.min("least").alias("component_id")))
+    by_print = materialize(named.join(least, "root").select(F.col("node").alias("print"), "root", "component_id"))
+    return prints.join(by_print, F.col("node") == F.col("print"), "left").drop("print")
+
+
 def components_of(docs: DataFrame, text: str, key: str, budget: int) -> DataFrame:
-    """(key, tk, fp, root, component_id) per row; ``tk`` names the text, ``root`` the component by a fingerprint."""
+    """(key, tk, fp, node, root, component_id) per row; ``tk`` names the text, ``root`` the component by a fingerprint."""
     own = docs.select(F.col(key).alias("key"), text_key(text).alias("tk"), F.col(text).cast("string").alias("body"))
     prints = materialize(with_fingerprints(own, "body").select("key", "tk", "fp"))
     distinct = materialize(prints.groupBy("fp").agg(F.min("key").alias("least")))
-    roots = components(linked_fingerprints(distinct, budget))
-    named = materialize(distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
-    least = materialize(named.groupBy("root").agg(F.min("least").alias("component_id")))
-    by_print = materialize(named.join(least, "root").select(F.col("fp").alias("print"), "root", "component_id"))
-    return prints.join(by_print, prints["fp"] == by_print["print"], "left").drop("print")
+    return rooted(prints.withColumn("node", F.col("fp")), distinct.select(F.col("fp").alias("node"), "least"), linked_fingerprints(distinct, budget))
+
+
+def similar_components(docs: DataFrame, text: str = "text", key: str = "doc_id", rule: Similar = Similar()) -> DataFrame:  # noqa: B008
+    """(key, tk, node, root, component_id) per row, for links of ``rule``; otherwise as ``components_of``.
+
+    Equal pairs of fingerprints are one node and never compared; texts of fewer than ``wide`` words are one
+    shingle, so they link only if they are equal but for case and white space. Null, empty and wordless
+    texts are one component.
+    """
+    own = docs.select(F.col(key).alias("key"), text_key(text).alias("tk"), F.col(text).cast("string").alias("body"))
+    made = with_fingerprints(own, "body", fp=rule.shingle, wide=rule.wide)
+    prints = materialize(made.select("key", "tk", "fp", "wide", F.xxhash64("fp", "wide").alias("node")))
+    distinct = materialize(prints.groupBy("node").agg(F.min("fp").alias("fp"), F.min("wide").alias("wide"), F.min("key").alias("least")))
+    return rooted(prints.select("key", "tk", "node"), distinct.select("node", "least"), similar_links(distinct, rule))
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", budget: int = BUDGET) -> DataFrame:
@@ -211,13 +439,14 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", bu
     return components_of(docs, text, key, budget).select(F.col("key").alias(key), "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", budget: int = BUDGET) -> DataFrame:
+def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", budget: int = BUDGET, rule: Similar | None = None) -> DataFrame:
     """One row of every component, all its columns: that of least key, and of these of least text hash.
 
+    Links are those of ``near_duplicates``, or with ``rule`` those of ``similar_components``.
     What goes is far less than what stays: its keys and text hashes are counted and, up to BROADCAST_ROWS
     of them, broadcast, so that texts aren't shuffled; beyond that the anti join shuffles both sides.
     """
-    found = materialize(components_of(docs, text, key, budget))
+    found = materialize(similar_components(docs, text, key, rule) if rule else components_of(docs, text, key, budget))
     first = F.col("key").eqNullSafe(F.col("component_id"))
     several = materialize(found.filter(first).groupBy(F.col("root").alias("of")).agg(F.count(F.lit(1)).alias("n"), F.min("tk").alias("chosen")).filter("n > 1"))
     gone = found.filter(~first).select("key", "tk")
