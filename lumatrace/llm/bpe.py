@@ -27,8 +27,12 @@ from .common import arrow_map, blobs, chunks, read
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 #: Words in a worker's cache; it is emptied when full, so memory is bounded whatever the input.
 CACHE_WORDS = 150_000
-#: Up to this many bytes a scan over the pairs is quicker than a heap.
-SHORT_WORD = 48
+#: Widths of the classes in which words are merged together; longer words are merged one by one.
+WIDTHS = (8, 16, 32, 64)
+#: Words from which on proposals are taken one by one; known pairs from which on their table is begun anew.
+FEW, MOST_PAIRS = 8, 1_000_000
+#: No merge.
+NEVER = np.iinfo(np.int32).max
 #: Bytes of text whose words are proposed and verified together.
 BATCH_BYTES = 3 << 19
 #: Longer words are never cached.
@@ -53,16 +57,18 @@ def byte_alphabet() -> dict[str, int]:
 
 
 class ByteBpe:
-    """Encoder and decoder for one vocabulary file (its JSON text)."""
+    """Encoder and decoder for one vocabulary file (its JSON text); its tables are pickled, its caches aren't."""
 
     def __init__(self, definition: str) -> None:
         spec = json.loads(definition)
         as_byte = byte_alphabet()
         plain = {token: bytes(as_byte[c] for c in token) for token in spec["model"]["vocab"]}
         self.id_of = {plain[t]: i for t, i in spec["model"]["vocab"].items()}
-        self.bytes_of = {i: b for b, i in self.id_of.items()}
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
-        self.bytes_of |= {i: t.encode() for t, i in self.special.items()}
+        named = {i: b for b, i in self.id_of.items()} | {i: t.encode() for t, i in self.special.items()}
+        self.base = 1 + max(named)
+        self.bytes_of = [named.get(i, b"") for i in range(self.base)]
+        self.decimal = list(map(str, range(self.base)))
         self.merge: dict[tuple[int, int], tuple[int, int]] = {}
         for rank, pair in enumerate(spec["model"]["merges"]):
             a, b = (plain[x] for x in (pair.split(" ") if isinstance(pair, str) else pair))
@@ -71,34 +77,51 @@ class ByteBpe:
         for b in self.id_of:
             self.reach[b[0]] = max(self.reach[b[0]], len(b))
         self.byte_ids = [self.id_of[bytes([b])] for b in range(256)]
-        self.base = 1 + max(self.bytes_of)
         self.any_split, self.latin_split, self.beyond = regex.compile(SPLIT), latin_split(), re.compile("[^\x00-\u024f]")
         self.cut = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
+        self._tables()
+        self._forget()
+
+    def _tables(self) -> None:
+        """The vocabulary as a trie and the merges as a sorted list of pairs, for whole arrays of words."""
+        nodes: dict[bytes, int] = {bytes([b]): b for b in range(256)}
+        edges: list[tuple[int, int]] = []
+        for token in self.id_of:
+            for n in range(2, len(token) + 1):
+                if token[:n] not in nodes:
+                    edges.append((nodes[token[: n - 1]] << 8 | token[n - 1], len(nodes)))
+                    nodes[token[:n]] = len(nodes)
+        self.edge, self.child = np.array(sorted(edges), np.int64).reshape(-1, 2).T.copy()
+        self.token_at = np.array([self.id_of.get(b, -1) for b in nodes], np.int64)
+        pairs = sorted((a * self.base + b, rank) for (a, b), (rank, _) in self.merge.items())
+        self.pair, self.pair_rank = np.array(pairs, np.int64).reshape(-1, 2).T.copy()
+        self.merged = np.zeros(1 + int(self.pair_rank.max(initial=0)), np.int32)
+        for rank, new in self.merge.values():
+            self.merged[rank] = new
+        self.byte_id = np.array(self.byte_ids, np.int32)
+        self.byte_rank = self.ranks(np.repeat(self.byte_id, 256), np.tile(self.byte_id, 256)).reshape(256, 256)
+
+    def _forget(self) -> None:
         self.known = np.zeros(0, np.int64)
         self.fits = np.zeros(0, bool)
         self.as_text: dict[str, str] = {}
         self.as_bytes: dict[str, bytes] = {}
         self.merged_words = self.proposed_words = 0
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("known", "fits", "as_text", "as_bytes")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._forget()
+
     def split(self, text: str) -> list[str]:
         return (self.any_split if self.beyond.search(text) else self.latin_split).findall(text)
 
     def exact(self, word: bytes) -> list[int]:
-        """Merging in order of rank, leftmost first; long words by a heap over a linked list, in O(n log n)."""
+        """Merging in order of rank, leftmost first, by a heap over a linked list, in O(n log n)."""
         ids: list[int] = [self.byte_ids[b] for b in word]
         n = len(ids)
-        if n <= SHORT_WORD:
-            get, none = self.merge.get, (self.base * 9, 0)
-            found = [get(p, none) for p in zip(ids, ids[1:], strict=False)]
-            while found and (best := min(found)) is not none:
-                i = found.index(best)
-                ids[i : i + 2] = [best[1]]
-                del found[i]
-                if i:
-                    found[i - 1] = get((ids[i - 1], best[1]), none)
-                if i < len(found):
-                    found[i] = get((best[1], ids[i + 1]), none)
-            return ids
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = [(m[0], i, ids[i], ids[i + 1], m[1]) for i in range(n - 1) if (m := self.merge.get((ids[i], ids[i + 1])))]
         heapq.heapify(heap)
@@ -115,8 +138,91 @@ class ByteBpe:
                     heapq.heappush(heap, (m[0], p, ids[p], ids[q], m[1]))
         return [t for t in ids if t >= 0]
 
-    def propose(self, word: bytes) -> list[int]:
-        """Greedy longest match."""
+    def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The rank of merging each pair of ids, NEVER if there is none; a negative id is no token."""
+        if not len(self.pair):
+            return np.full(len(a), NEVER, np.int32)
+        keys = np.where((a < 0) | (b < 0), -1, a.astype(np.int64) * self.base + b)
+        at = np.minimum(np.searchsorted(self.pair, keys), len(self.pair) - 1)
+        return np.where(self.pair[at] == keys, self.pair_rank[at], NEVER).astype(np.int32)
+
+    def exact_many(self, words: list[bytes]) -> list[list[int]]:
+        """``exact`` for many words: all words of one width class take their best merge at the same time."""
+        out: list[list[int]] = [[] for _ in words]
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        for low, width in zip((0, *WIDTHS), WIDTHS, strict=False):
+            chosen = np.flatnonzero((sizes > low) & (sizes <= width))
+            for a in range(0, len(chosen), 1 << 15):
+                for i, ids in zip(chosen[a : a + (1 << 15)].tolist(), self._merged([words[i] for i in chosen[a : a + (1 << 15)]], width), strict=True):
+                    out[i] = ids
+        for i in np.flatnonzero(sizes > WIDTHS[-1]).tolist():
+            out[i] = self.exact(words[i])
+        return out
+
+    def _merged(self, words: list[bytes], width: int) -> Iterator[list[int]]:
+        raw = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), np.uint8).reshape(-1, width)
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        place = np.arange(width)
+        ids = np.where(place < sizes[:, None], self.byte_id[raw], np.int32(-1))
+        rank = np.where(place[1:] < sizes[:, None], self.byte_rank[raw[:, :-1], raw[:, 1:]], NEVER)
+        rows, done = np.arange(len(words)), np.full((len(words), width), -1, np.int32)
+        while rank.shape[1] and len(rows):
+            at = rank.argmin(1)
+            best = rank[np.arange(len(rows)), at]
+            over = best == NEVER
+            if over.any():
+                done[rows[over], : ids.shape[1]] = ids[over]
+                rows, ids, rank, at, best = (x[~over] for x in (rows, ids, rank, at, best))
+            row, left = np.arange(len(rows)), at > 0
+            place = np.arange(ids.shape[1] - 1)
+            ids = np.take_along_axis(ids, place + (place > at[:, None]), 1)
+            ids[row, at] = self.merged[best]
+            place = place[:-1]
+            rank = np.take_along_axis(rank, place + (place >= at[:, None]), 1)
+            rank[row[left], at[left] - 1] = self.ranks(ids[row[left], at[left] - 1], ids[row[left], at[left]])
+            right = at < rank.shape[1]
+            rank[row[right], at[right]] = self.ranks(ids[row[right], at[right]], ids[row[right], at[right] + 1])
+        done[rows, : ids.shape[1]] = ids
+        for ids, n in zip(done.tolist(), (done >= 0).sum(1).tolist(), strict=True):
+            yield ids[:n]
+
+    def propose(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Greedy longest match of all words, token after token: the ids, word after word, and each word's number of them."""
+        data = np.frombuffer(b"".join(words), np.uint8)
+        end = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+        begin = np.concatenate([[0], end[:-1]])
+        words_at, found = [], []
+        live = np.flatnonzero(begin < end)
+        while len(live):
+            if len(live) < FEW:  # what is left of a few very long words
+                for w in live.tolist():
+                    ids = self._propose_one(data[begin[w] : end[w]].tobytes())
+                    words_at.append(np.full(len(ids), w))
+                    found.append(np.array(ids, np.int64))
+                break
+            at, stop = begin[live], end[live]
+            node = data[at].astype(np.int64)
+            token, after = self.token_at[node], at + 1
+            who, to = np.arange(len(live)), at + 1
+            while len(who := who[inside := to < stop[who]]):
+                node, to = node[inside], to[inside]
+                key = node << 8 | data[to]
+                i = np.minimum(np.searchsorted(self.edge, key), len(self.edge) - 1)
+                on = self.edge[i] == key
+                who, node, to = who[on], self.child[i[on]], to[on] + 1
+                ids = self.token_at[node]
+                real = ids >= 0
+                token[who[real]], after[who[real]] = ids[real], to[real]
+            words_at.append(live)
+            found.append(token)
+            begin[live] = after
+            live = live[after < stop]
+        if not found:
+            return np.zeros(0, np.int64), np.zeros(len(words), np.int64)
+        owner = np.concatenate(words_at)
+        return np.concatenate(found)[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(words))
+
+    def _propose_one(self, word: bytes) -> list[int]:
         ids, at, n, get, reach = [], 0, len(word), self.id_of.get, self.reach
         while at < n:
             end = min(n, at + reach[word[at]])
@@ -133,7 +239,9 @@ class ByteBpe:
             at = np.minimum(np.searchsorted(self.known, fresh), len(self.known) - 1)
             fresh = fresh[self.known[at] != fresh]
         if len(fresh):
-            fit = np.fromiter((self.exact(self.bytes_of[p // self.base] + self.bytes_of[p % self.base]) == [p // self.base, p % self.base] for p in fresh.tolist()), bool, len(fresh))
+            both = [[p // self.base, p % self.base] for p in fresh.tolist()]
+            exact = self.exact_many([self.bytes_of[a] + self.bytes_of[b] for a, b in both])
+            fit = np.fromiter((x == y for x, y in zip(both, exact, strict=True)), bool, len(fresh))
             known, fits = np.concatenate([self.known, fresh]), np.concatenate([self.fits, fit])
             order = np.argsort(known, kind="stable")
             self.known, self.fits = known[order], fits[order]
@@ -142,18 +250,18 @@ class ByteBpe:
     def words(self, words: list[str]) -> list[list[int]]:
         """Token ids of each word."""
         raw = [w.encode("utf-8", "replace") for w in words]
-        ids = [self.propose(w) for w in raw]
-        counts = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((t for x in ids for t in x), np.int64, int(counts.sum()))
+        flat, counts = self.propose(raw)
         ends = np.cumsum(counts)
+        listed = flat.tolist()
+        ids = [listed[e - n : e] for e, n in zip(ends.tolist(), counts.tolist(), strict=True)]
         if len(flat) > 1:
             inside = np.ones(len(flat) - 1, bool)
             inside[ends[:-1] - 1] = False  # pairs across words
             pairs = np.flatnonzero(inside)
             bad = pairs[~self.compatible(flat[pairs] * self.base + flat[pairs + 1])]
-            wrong = np.unique(np.searchsorted(ends, bad, "right"))
-            for w in wrong.tolist():
-                ids[w] = self.exact(raw[w])
+            wrong = np.unique(np.searchsorted(ends, bad, "right")).tolist()
+            for w, exact in zip(wrong, self.exact_many([raw[w] for w in wrong]), strict=True):
+                ids[w] = exact
             self.merged_words += len(wrong)
         self.proposed_words += len(words)
         return ids
@@ -161,9 +269,10 @@ class ByteBpe:
     def learn(self, words: Iterable[str]) -> None:
         """Put words that are not in the cache there."""
         new = [w for w in words if w not in self.as_text]
+        decimal, bytes_of = self.decimal.__getitem__, self.bytes_of.__getitem__
         for w, ids in zip(new, self.words(new), strict=True):
-            self.as_text[w] = ",".join(map(str, ids))
-            self.as_bytes[w] = b"".join(self.bytes_of[i] for i in ids)
+            self.as_text[w] = ",".join(map(decimal, ids))
+            self.as_bytes[w] = b"".join(map(bytes_of, ids))
 
     def pieces(self, text: str) -> Iterator[tuple[str, bool]]:
         """The text cut at special tokens."""
@@ -191,6 +300,8 @@ class ByteBpe:
         if len(self.as_text) > CACHE_WORDS:
             self.as_text.clear()
             self.as_bytes.clear()
+        if len(self.known) > MOST_PAIRS:
+            self.known, self.fits = self.known[:0], self.fits[:0]
         parts = [[(part if special else self.split(part), special) for part, special in self.pieces(t)] for t in texts]
         fresh = set().union(*(words for x in parts for words, special in x if not special))
         self.learn(fresh)
@@ -216,17 +327,17 @@ def vocabulary(path: str | None = None) -> str:
 def tokenize(docs: DataFrame, text: str = "text", definition: str | None = None, keep_ids: bool = True) -> DataFrame:
     """Add ``n_tokens``, ``ids_sha256``, ``decoded_sha256`` and, if wanted, ``token_ids`` and ``decoded`` to each row.
 
-    No shuffle. The vocabulary (a fixed file, 1.6 MB) is broadcast. Null and empty texts have no
+    No shuffle. The tables of the vocabulary (of a fixed file; some MB) are broadcast. Null and empty texts have no
     tokens and decode to an empty text. Repeated rows are encoded each. Columns of these names in
     the input are replaced; all others are kept.
     """
-    spec = docs.sparkSession.sparkContext.broadcast(definition or vocabulary())
+    held = docs.sparkSession.sparkContext.broadcast(ByteBpe(definition or vocabulary()))
     made = ["n_tokens", "ids_sha256", "decoded_sha256"] + ["token_ids", "decoded"] * keep_ids
     source = docs.drop(*[c for c in docs.columns if c in made and c != text])
     schema = source.select("*", F.lit(0).cast("long").alias("n_tokens"), F.lit("").alias("ids_sha256"), F.lit("").alias("decoded_sha256"), *[F.array(F.lit(0)).alias("token_ids"), F.lit("").alias("decoded")] * keep_ids).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = ByteBpe(spec.value)  # with its cache for the task only
+        bpe = held.value  # one for the worker, with its caches, as long as this broadcast lives
         for batch in batches:
             n, ids, back, lists, texts = [], [], [], [], []
             column = batch.column(batch.schema.get_field_index(text))
