@@ -21,13 +21,26 @@ CHUNK_BYTES = 1 << 20
 BATCH_ROWS = 1000
 
 
+#: Folders that ``materialize`` has written and ``discard`` hasn't removed.
+WRITTEN: list[str] = []
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write to the shared folder and read again: cuts lineage and outlives executors."""
     path = f"{shared_dir(df.sparkSession)}/lumatrace-{uuid.uuid4().hex}"
+    WRITTEN.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Remove folders of ``materialize``: all of ``WRITTEN`` once the results are written, or what nothing refers to any more."""
+    for path in list(paths):
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        WRITTEN.remove(path)
+
+
 def give_back() -> None:
     """Return freed memory to the system: Spark keeps Python workers, and the next task's may be others."""
     gc.collect()
@@ -98,9 +111,3 @@ def chunks(offsets: np.ndarray, most: int = CHUNK_BYTES) -> Iterator[tuple[int,
         hi = min(max(hi, lo + 1), n)
         yield lo, hi
         lo = hi
-
-
-def size_bound(df: DataFrame, column: str) -> tuple[int, int]:
-    """Rows, and bytes of one column: what must be known before anything is broadcast."""
-    row = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length(column)), F.lit(0)).alias("b")).first()
-    return int(row["n"]), int(row["b"])

@@ -241,6 +241,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     for block in range(blocks):
         rows = [(r["name"], r["body"].encode()) for r in items.filter(F.col("block") == block).select("name", "body").collect()]
         docs = scan_block(docs, rows, text, window)
+        if block + 1 < blocks:
+            docs = materialize(docs)  # else the phrases of all blocks would be held at once
     return docs
 
 

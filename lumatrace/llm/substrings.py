@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_map, blobs, chunks, materialize, read, text_key
+from .common import WRITTEN, arrow_map, blobs, chunks, discard, materialize, read, text_key
 
 MIN_LEN = 400
 #: Bytes that an anchor's hash covers.
@@ -301,9 +301,11 @@ def repeated_spans(docs: DataFrame, min_len: int = MIN_LEN) -> DataFrame:
     """Spans (key, tk, begin, end), in bytes, of (key, tk, body) that ``min_len``-byte repeats cover; they may overlap."""
     spans, source, rows = [], docs.withColumn("base", F.lit(0).cast("long")), text_segments(docs, min_len)
     for cell in (*GRIDS, None):
+        before = len(WRITTEN)
         rows = materialize(rows)
         twice = materialize(rows.groupBy("grp").agg(F.sum("c").alias("c")).filter("c > 1"))
         rows = materialize(semi(rows, twice, ["grp"]))
+        discard(docs.sparkSession, WRITTEN[before:-1])
         kinds = materialize(rows.groupBy("grp", "seg").agg(F.sum("c").alias("c"), F.min(F.struct("key", "tk", "base", "lo", "n", "anchor")).alias("one")).select("grp", "seg", "c", "one.*"))
         whole = semi(rows.select("key", "tk", "lo", "n", "grp", "seg"), kinds.filter("c > 1").select("grp", "seg", "c"), ["grp", "seg"])
         spans.append(whole.select("key", "tk", F.col("lo").alias("begin"), (F.col("lo") + F.col("n") + (min_len - 1)).alias("end")))

@@ -136,12 +136,13 @@ def of_turns(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Calls and results of plain dialogue: a user turn calls ``reply``, the assistant turn behind it is the result.
 
     A call's identifier is ``conversation/turn``; it comes after the user turn two before. System and
-    other turns are neither.
+    other turns are neither, nor are messages that carry calls of their own.
     """
     name = lambda back: F.concat(F.col("conv_id").cast("string"), F.lit("/"), (F.col("turn") - back).cast("string"))
     arguments = F.to_json(F.struct(F.col("text").alias("prompt"), "turn"))
     calls = messages.filter("role = 'user'").select("conv_id", "turn", name(0).alias("call_id"), F.lit("reply").alias("name"), arguments.alias("arguments"), name(2).alias("after"))
-    return calls, messages.filter("role = 'assistant'").select("conv_id", "turn", name(1).alias("call_id"), F.col("text").alias("content"))
+    said = messages.filter("role = 'assistant'").filter(F.from_json("text", "STRUCT<tool_calls: ARRAY<STRING>>")["tool_calls"].isNull())
+    return calls, said.select("conv_id", "turn", name(1).alias("call_id"), F.col("text").alias("content"))
 
 
 def op9_toolcalls(spark, sf_dir: str) -> DataFrame:

@@ -26,9 +26,9 @@ def digest(text, mask):
     return len(text), int(mask.sum()), int((inside[1:] != inside[:-1]).sum()) // 2, hashlib.sha256(kept).hexdigest()
 
 
-def fingerprint(text):
+def fingerprint(text, size=3):
     words = bytes(b + 32 if 65 <= b <= 90 else b for b in (text or "").encode()).split()
-    shingles = [b" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or ([b" ".join(words)] if words else [])
+    shingles = [b" ".join(words[i : i + size]) for i in range(len(words) - size + 1)] or ([b" ".join(words)] if words else [])
     hashes = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 

@@ -15,7 +15,7 @@ import brute  # noqa: E402
 import duckdb  # noqa: E402
 from oracle import SF, compare, connect  # noqa: E402
 
-from lumatrace.llm import bpe, decontaminate, extract, graph, language, queries, simhash, substrings, toolcalls, topk, toxicity, urls  # noqa: E402
+from lumatrace.llm import bpe, common, decontaminate, extract, graph, language, queries, simhash, substrings, toolcalls, topk, toxicity, urls  # noqa: E402
 
 ODD = [None, "", " ", "\n\t", "a", "%%% ---", "é" * 3, "word " * 50, "x" * 5000, "ß<|endoftext|>ß", "ein zwei drei", "ein zwei drei"]
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -77,6 +77,7 @@ def test_queries_take_empty_tables(spark, tmp_path):
 def test_clashing_columns_stay_or_are_replaced(spark):
     docs = documents(spark, ["eins zwei", "drei"]).withColumns({c: F.lit(7) for c in ("fp", "key", "tk", "body", "repeats", "n_tokens", "score", "count", "chosen", "base", "hit_words", "r_key", "emptied")})
     assert simhash.one_of_each(docs).columns == docs.columns
+    assert simhash.one_of_each(docs.withColumn("wide", F.lit(1)).withColumn("node", F.lit(1)), rule=simhash.Similar()).count() == 2
     assert substrings.with_repeats(docs).count() == 2
     assert decontaminate.decontaminate(docs, spark.createDataFrame([(1, "drei")], "item_id long, text string")).filter("size(hit_items) > 0").count() == 1
     assert bpe.tokenize(docs).filter("n_tokens > 7").count() == 0
@@ -307,6 +308,45 @@ def test_forward_backward_against_enumeration():
     assert model.marginals(padded, np.array([[True] * 4 + [False] * 2]))[0, :4] == pytest.approx(want / total)
 
 
+def test_a_text_is_one_chain_over_its_blocks():
+    rng = np.random.default_rng(4)
+    model = language.Crf(["x", "y", "z"], {})
+    model.step, model.start = rng.normal(size=(3, 3)) + 3 * np.eye(3), rng.normal(size=3)
+    sizes, block = [1, 37, 5, 10, 200, 11], 5
+    scores = [rng.normal(size=(1, n, 3)) for n in sizes]
+    chains = [-(-n // block) for n in sizes]
+    cut, live = np.zeros((sum(chains), block, 3)), np.zeros((sum(chains), block), bool)
+    for s, at in zip(scores, np.cumsum(chains) - chains):
+        for t in range(s.shape[1]):
+            cut[at + t // block, t % block], live[at + t // block, t % block] = s[0, t], True
+    first = np.isin(np.arange(len(cut)), np.cumsum(chains) - chains)
+    last = np.isin(np.arange(len(cut)), np.cumsum(chains) - 1)
+    before, beyond = model.carried(np.exp(cut), live, first, last)
+    got = model.marginals(cut, live, before=before, beyond=beyond)[live]
+    assert got == pytest.approx(np.concatenate([model.marginals(s, np.ones(s.shape[:2], bool))[0] for s in scores]))
+
+
+def test_letters_and_long_words(spark):
+    """Numerals are no letters; a run without spaces counts to its end, in training as well."""
+    docs = documents(spark, ["²³ ½", "123", "é", "x" * 100 + " y"])
+    model = language.train([("x " * 50, "a"), ("q" * 80 + "zz", "b")])
+    assert [r.lang_pred == "und" for r in language.identify(docs, model).orderBy("doc_id").collect()] == [True, True, False, False]
+    assert language.words_of("A" * 85 + "-b") == ["a" * 40, "a" * 40, "a" * 5, "b"] and language.words_of("é" * 30) == ["é" * 30]
+    late, early = language.Labeller(model).shares(["q" * 80 + "zz", "q" * 80])[0], language.Labeller(model).shares(["q" * 80])[0]
+    assert late[0, 1] > 0.9 and early[0, 1] > 0.9
+
+
+def test_language_sample(spark, monkeypatch):
+    docs = documents(spark, [f"t{i} " * (i + 1) for i in range(50)] + [None], ["a"] * 40 + ["b"] * 9 + [None, "a"])
+    monkeypatch.setattr(language, "SAMPLE_ROWS", 12)
+    rows = language.training_sample(docs, "text", "lang", "doc_id")
+    assert {y: sum(k == y for _, k in rows) for y in "ab"} == {"a": 12, "b": 9} and len(set(rows)) == 21
+    assert all(t == f"t{t.count(' ') - 1} " * t.count(" ") for t, _ in rows)
+    monkeypatch.setattr(language, "SAMPLE_CHARS", 300)
+    few = language.training_sample(docs, "text", "lang", "doc_id")
+    assert 0 < sum(len(t) for t, y in few if y == "a") <= 300
+
+
 def test_language_held_out(spark):
     found = language.op6_language(spark, SF).collect()
     truth = dict(duckdb.sql(f"SELECT doc_id, lang FROM '{SF}/documents.parquet'").fetchall())
@@ -380,7 +420,10 @@ def test_linked_fingerprints_against_all_pairs(spark, most):
     base = rng.integers(0, 2**63, 30, dtype=np.uint64)
     values = sorted({int(v) for b in base for v in [b] + [b ^ np.uint64(sum(1 << int(k) for k in rng.integers(0, 64, n))) for n in (1, 2, 3, 5, 4)]})
     df = spark.createDataFrame([(v - (1 << 64) if v >> 63 else v,) for v in values], "fp long")
+    before = len(common.WRITTEN)
     found = {r.node: r.root for r in graph.components(simhash.linked_fingerprints(df, 3, most)).collect()}
+    common.discard(spark, common.WRITTEN[before:])
+    assert len(common.WRITTEN) == before
     root = brute.linked(values)
     sign = lambda v: v - (1 << 64) if v >> 63 else v
     groups = {}
@@ -400,6 +443,50 @@ def test_simhash_query(spark, tmp_path):
     assert kept == sorted(set(root))
 
 
+@pytest.mark.parametrize("leaf,compared", [(1024, 1 << 20), (4, 64), (1, 5)])
+def test_trie_forest_against_all_pairs(monkeypatch, leaf, compared):
+    monkeypatch.setattr(simhash, "LEAF", leaf)
+    monkeypatch.setattr(simhash, "COMPARED", compared)
+    rng = np.random.default_rng(leaf)
+    flip = lambda x, n: x ^ np.uint64(sum({1 << int(k) for k in rng.integers(0, 64, n)}))
+    base = rng.integers(0, 2**63, 40, dtype=np.uint64)
+    rows = [(g, flip(b, rng.integers(0, 8)), flip(w, rng.integers(0, 12))) for g in range(4) for b in rng.choice(base, 15) for w in rng.integers(0, 2**63, 1, dtype=np.uint64) for _ in range(rng.integers(1, 20))]
+    rows.sort()
+    group, fp, wide = (np.array(x, np.uint64) for x in zip(*rows))
+    starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    near = (np.bitwise_count(fp[:, None] ^ fp) <= 7) & (np.bitwise_count(wide[:, None] ^ wide) <= 12) & (group[:, None] == group)
+    want, before = np.arange(len(fp)), None
+    while before is None or (want != before).any():
+        before, want = want, np.array([want[n].min() for n in near])
+    assert simhash.trie_forest(fp, wide, starts, simhash.Similar()).tolist() == want.tolist()
+
+
+@pytest.mark.parametrize("subtrie,path_rows", [(256, 1 << 16), (2, 1 << 16), (256, 24)])
+def test_similar_texts_against_all_pairs(spark, monkeypatch, subtrie, path_rows):
+    """Near copies of at least 0.8 in five words are one component, with paths split and dealt in parts as well."""
+    monkeypatch.setattr(simhash, "PATH_ROWS", path_rows)
+    rnd = random.Random(9)
+    words = lambda n: [rnd.choice("abcdefghij") + rnd.choice("klmnop") + str(rnd.randrange(99)) for _ in range(n)]
+    texts, of = list(ODD), []
+    for _ in range(12):
+        own = words(400)
+        for _ in range(5):
+            changed = list(own)
+            for k in rnd.sample(range(400), rnd.randrange(4)):
+                changed[k] = "new"
+            of.append(len(texts))
+            texts.append(" ".join(changed))
+    prints = [(brute.fingerprint(t, 2), brute.fingerprint(t, 5)) for t in texts]
+    root = list(range(len(texts)))
+    for _ in texts:
+        root = [min(root[j] for j, q in enumerate(prints) if (p[0] ^ q[0]).bit_count() <= 7 and (p[1] ^ q[1]).bit_count() <= 12) for p in prints]
+    rule = simhash.Similar(subtrie=subtrie)
+    got = {r.key: r.component_id for r in simhash.similar_components(documents(spark, texts), rule=rule).collect()}
+    assert got == dict(enumerate(root))
+    assert len({got[i] for i in of}) == 12
+    assert sorted(r.doc_id for r in simhash.one_of_each(documents(spark, texts), rule=rule).collect()) == sorted(set(root))
+
+
 def test_component_of_a_long_chain(spark):
     n = 200
     found = graph.components(spark.createDataFrame([(i, i + 1) for i in range(n)], "u long, v long").select(F.xxhash64("u").alias("u"), F.xxhash64("v").alias("v"))).collect()
@@ -429,6 +516,15 @@ def test_explicit_calls(spark):
     assert json.loads(got["a"].message)["result"] == {"content": 'q"\n', "id": "a"}
 
 
+def test_messages_with_calls_are_no_plain_results(spark, tmp_path):
+    """Two conversations use the same identifiers; what carries calls is not read as the answer to a user."""
+    call = json.dumps({"tool_calls": [{"id": "call_1", "name": "reply", "arguments": {"prompt": "p", "turn": 1}}]})
+    rows = [(c, t, role, text) for c in (1, 2) for t, role, text in ((0, "user", "hi"), (1, "assistant", call), (2, "tool", json.dumps({"tool_call_id": "call_1", "content": f"of {c}"})), (4, "user", "on"), (5, "assistant", "yes"))]
+    at = folder(spark, tmp_path, conversations=spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    got = sorted((r.conv_id, r.call_id, r.status, r.call_turn, r.result_turn, r.valid) for r in toolcalls.op9_toolcalls(spark, at).collect())
+    assert got == [x for c in (1, 2) for x in ((c, f"{c}/0", "pending", 0, None, True), (c, f"{c}/4", "linked", 4, 5, True), (c, "call_1", "linked", 1, 2, True))]
+
+
 def test_every_call_and_result_has_its_row(spark):
     """Identifiers repeat over conversations and within one, or are null: nothing collapses or crosses over."""
     calls = [(1, 0, "c", "t", "1", None), (2, 0, "c", "t", "2", None), (1, 2, "d", "t", "3", "c"), (3, 0, "d", "t", "4", "c"), (1, 4, "c", "t", "5", None), (1, 0, None, "t", "6", None), (1, 0, None, "t", "6", None), (None, 0, "c", "t", "7", None)]
@@ -464,3 +560,24 @@ def test_topk_against_brute_force(spark, monkeypatch):
             order = sorted((-int(whole[i] @ whole[j]), j) for j in range(300) if j != i)[:5]
             want |= {(i, k + 1): (j, -s) for k, (s, j) in enumerate(order)}
         assert got == want
+
+
+@pytest.mark.parametrize("sample", [8192, 20])
+def test_topk_with_repeated_ids(spark, monkeypatch, sample):
+    """Each row asks, and all rows but itself are candidates, rows of the same id and equal ones too."""
+    monkeypatch.setattr(topk, "SAMPLE", sample)
+    rng = np.random.default_rng(2)
+    rows = [(50, [1.0, 0.0]), (50, [2.0, 0.0]), (1, [0.5, 0.0]), (100, [3.0, 1.0]), (100, [3.0, 1.0]), (100, [3.0, 1.0])]
+    rows += [(int(i), [float(x) for x in rng.integers(-2, 3, 2)]) for i in rng.integers(0, 9, 40) * 25]
+    whole = [(i, np.floor(256 * np.array(v)).astype(int)) for i, v in rows]
+    want = []
+    for q, (i, v) in enumerate(whole):
+        if i % 50 == 0:
+            order = sorted((-int(v @ w), j) for c, (j, w) in enumerate(whole) if c != q)[:5]
+            want += [(i, k + 1, j, -s) for k, (s, j) in enumerate(order)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = topk.top_k(df, F.col("vec_id") % 50 == 0)
+    assert got.dtypes == [("query_id", "bigint"), ("rank", "int"), ("vec_id", "bigint"), ("score", "bigint")]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    few = spark.createDataFrame(rows[:3], "vec_id long, embedding array<double>")
+    assert len(topk.top_k(few, F.col("vec_id") % 50 == 0).collect()) == 4

@@ -40,6 +40,33 @@ def test_stages_keep_the_columns_of_documents(spark, tmp_path):
     assert {r.doc_id: r.ids_sha256 for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == {i: r.ids_sha256 for i, r in found["encode"].items()}
 
 
+def test_planted_near_copies_and_passages(spark, tmp_path):
+    """Near copies of at least 0.9 in five words go; passages of 51 to 60 words that repeat go, and nothing else does."""
+    rnd = random.Random(5)
+    say = lambda n: " ".join("".join(rnd.choice(["th", "ing", "ea", "on", "er", "st", "re"]) for _ in range(rnd.randint(1, 3))) for _ in range(n))
+    clean = [say(300) for _ in range(40)]
+    near = []
+    for text in clean[:10]:
+        words = text.split()
+        for k in rnd.sample(range(300), 3):
+            words[k] = "changed"
+        near.append(" ".join(words))
+    passages = [say(n) for n in range(51, 61)]
+    planted = [f"{say(120)} {p} {say(120)}" for p in passages for _ in range(2)]
+    texts = clean + near + planted
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], schema)
+    stages = dict(corpus_pipeline.STAGES)
+    kept = stages["near_copies"](spark, docs, str(tmp_path))
+    ids = {r.doc_id for r in kept.collect()}
+    assert {*range(40), *range(50, 70)} <= ids and len(ids & set(range(40, 50))) <= 1
+    cut = {r.doc_id: r.text for r in stages["repeats"](spark, docs.filter("doc_id < 40 OR doc_id >= 50"), str(tmp_path)).collect()}
+    assert all(cut[i] == clean[i] for i in range(40))
+    lengths = [len(p) for p in passages]
+    gone = [all(p[20:-20] not in cut[50 + 2 * i + k] for k in (0, 1)) for i, p in enumerate(passages)]
+    assert all(g for g, n in zip(gone, lengths) if n >= corpus_pipeline.PASSAGE_BYTES) and sum(gone) >= 8
+
+
 @pytest.mark.parametrize("at", range(5))
 def test_stages_take_empty_tables(spark, tmp_path, at):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
