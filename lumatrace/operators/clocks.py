@@ -16,7 +16,7 @@ def parse(text: Column) -> Column:
 
 
 def parse_or_null(text: Column) -> Column:
-    return F.try_to_timestamp(text, F.lit(STAMP)).cast("timestamp_ntz")
+    return F.when(text.rlike(r"^\d{4}-\d\d-\d\d \d\d:\d\d:\d\d\.\d{3}$"), text.try_cast("timestamp_ntz"))
 
 
 def microscope_clock(raw: DataFrame) -> DataFrame:

@@ -92,17 +92,17 @@ def exact_p(doubled: Column, w: Column) -> Column:
 def normal_two_sided(z: Column | str) -> Column:
     """2 (1 - Phi(|z|)); there is no error function among Spark's.
 
-    For all rows at once: Simpson's rule on the density from |z| to |z| + 12, in 2,000 steps; its error is
+    For all rows at once: Simpson's rule on the density from |z| to |z| + 12, in 6,000 steps; its error is
     below 1e-12.
     """
 
     def run(values: pd.Series) -> pd.Series:
         out = np.full(len(values), np.nan)
         real = np.flatnonzero(values.notna())
-        steps = np.linspace(0.0, 12.0, 2001)
-        weights = np.where(np.arange(2001) % 2, 4.0, 2.0)
+        steps = np.linspace(0.0, 12.0, 6001)
+        weights = np.where(np.arange(6001) % 2, 4.0, 2.0)
         weights[[0, -1]] = 1.0
-        for part in np.array_split(real, max(1, len(real) // 1000)):
+        for part in np.array_split(real, max(1, len(real) // 200)):
             x = np.abs(values.to_numpy(float)[part])[:, None] + steps
             out[part] = 2 * (np.exp(-x * x / 2) * weights).sum(1) * (steps[1] / 3) / math.sqrt(2 * math.pi)
         return pd.Series(out)

@@ -5,6 +5,7 @@ import math
 import random
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -31,6 +32,53 @@ def test_sem_of_one_value_is_zero(spark):
     assert trace(spark, [5]).agg(sem("value")).first()[0] == 0.0
 
 
+def test_intervals_cross_a_change_of_the_clock(spark):
+    """Stamps have no zone: an hour that a session's zone leaves out or repeats changes nothing."""
+    stamps = ["2024-03-31 01:59:59.500", "2024-03-31 02:30:00.000", "2024-03-31 03:00:00.500", "2024-10-27 02:30:00.000", "2024-10-27 03:00:00.000"]
+    raw = spark.createDataFrame([("s", 1, i + 1, t) for i, t in enumerate(stamps)], "session_id string, cam_id int, frame_idx int, ref_time string")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")
+        found = [r.sec for r in clocks.since_first(clocks.camera_clock(raw)).orderBy("frame_idx").collect()]
+        pulses = [str(r.t) for r in raw.select(clocks.parse_or_null(F.col("ref_time")).alias("t")).collect()]
+        text = [r.t for r in spark.createDataFrame([("2024-13-01 00:00:00.000",), ("12:00",), (None,)], "s string").select(clocks.parse_or_null(F.col("s")).alias("t")).collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    real = [datetime.fromisoformat(t) for t in stamps]
+    assert found == [(t - real[0]).total_seconds() for t in real]
+    assert pulses == [str(t) for t in real] and text == [None] * 3
+
+
+def test_frames_of_real_size(spark):
+    """One session of 130 frames of 512 x 440: statistics, template and traces against numpy."""
+    h, w, n = 512, 440, 130
+    px = F.expr(f"transform(sequence(0, {h * w - 1}), p -> int((p * 7 + frame_idx * 31 * (p % 13 + 1)) % 4096))")
+    movie = spark.range(1, n + 1, 1, 8).select(F.lit("s").alias("session_id"), F.col("id").cast("int").alias("frame_idx"), F.lit(h).alias("h"), F.lit(w).alias("w")).withColumn("pixels", px)
+    p, f = np.arange(h * w), np.arange(1, n + 1)[:, None]
+    real = (p * 7 + f * 31 * (p % 13 + 1)) % 4096
+    found = frames.projections(movie).toPandas().sort_values(["y", "x"])
+    assert np.allclose(found["mean"], real.mean(0)) and np.allclose(found["std"], real.std(0, ddof=1)) and (found["max"] == real.max(0)).all()
+    got = frames.stable_template(movie, first=10, last=125, length=100, most=11).collect()
+    scores = []
+    for k in range(9, 20):
+        block, mu = real[k : k + 100], real[k : k + 100].mean(0)
+        scores.append(round(float(np.mean([((b * mu).mean() - b.mean() * mu.mean()) / (2.0**-52 + b.std(ddof=1) * mu.std(ddof=1)) for b in block])), 9))
+    assert [(r.start, r.score) for r in got] == [(int(np.argmax(scores)) + 1, pytest.approx(max(scores), abs=1e-8))]
+    shape = [("s", c, y, x, float(c + y % 3)) for c in (1, 2, 3) for y in range(40 * c, 40 * c + 20) for x in range(100, 115)] + [("s", 4, 600, 3, 1.0)]
+    traced = traces.project_footprints(movie, spark.createDataFrame(shape, "session_id string, cell_id int, y int, x int, weight double"))
+    values = {(r.cell_id, r.frame_idx): r.value for r in traced.collect()}
+    want = {(c, k + 1): sum(real[k, (y - 1) * w + x - 1] * v for _, cc, y, x, v in shape if cc == c) for c in (1, 2, 3) for k in (0, 77, 129)}
+    assert len(values) == 3 * n and all(values[k] == pytest.approx(v) for k, v in want.items())
+
+
+def test_normal_tail_and_rank_sums(spark):
+    zs = [0.0, 0.3, 1.0, 1.96, 3.5, 6.0, 12.0]
+    got = [r.p for r in spark.createDataFrame([(z,) for z in zs] + [(None,)], "z double").select(stats.normal_two_sided("z").alias("p")).collect()]
+    assert got[:-1] == [pytest.approx(math.erfc(z / math.sqrt(2)), abs=1e-12) for z in zs] and got[-1] is None
+    ranks = (2, 5, 5, 8)
+    assert [stats.ways(ranks, m) for m in range(21)] == [sum(sum(r for r, b in zip(ranks, bits) if b) <= m for bits in itertools.product((0, 1), repeat=4)) for m in range(21)]
+
+
 def test_silent_cells(spark):
     nan = float("nan")
     both = trace(spark, [nan, nan]).union(trace(spark, [nan, 1.0], 2))
