@@ -15,7 +15,8 @@ PERIODS = (("baseline", 0.0, 300.0), ("late", 1380.0, 1680.0))
 def in_periods(dff: DataFrame, rate: float, periods=PERIODS, check: bool = True) -> DataFrame:
     """Rows of each period, with its name and minutes; start <= t < end, t = (frame - 1) / rate.
 
-    ``check``: a period without any frame is an error that names the recording's length.
+    ``check``: a period without any frame is an error that names the recording's length. That runs the plan
+    so far; without it nothing runs before the caller's own action.
     """
     t = (F.col("frame_idx") - 1) / F.lit(rate)
     parts = [F.when((t >= a) & (t < b), F.struct(F.lit(n).alias("period"), F.lit((b - a) / 60).alias("minutes"))) for n, a, b in periods]
@@ -49,9 +50,9 @@ def transients(sliced: DataFrame, limits: DataFrame) -> DataFrame:
     return counts.select(*CELL, "period", "n", (F.col("n") / F.col("minutes")).alias("rate"))
 
 
-def metrics(dff: DataFrame, rate: float, periods=PERIODS, k: float = 2.0) -> DataFrame:
-    """(session_id, cell_id, metric, baseline, late): mean, peak and transient rate side by side."""
-    sliced = in_periods(dff, rate, periods)
+def metrics(dff: DataFrame, rate: float, periods=PERIODS, k: float = 2.0, check: bool = False) -> DataFrame:
+    """(session_id, cell_id, metric, baseline, late): mean, peak and transient rate side by side. ``check``: as in ``in_periods``."""
+    sliced = in_periods(dff, rate, periods, check)
     wide = mean_and_peak(sliced).join(transients(sliced, thresholds(dff, k)).select(*CELL, "period", "rate"), [*CELL, "period"])
     long = wide.unpivot([*CELL, "period"], ["mean", "peak", "rate"], "metric", "value")
     first, second = periods[0][0], periods[1][0]

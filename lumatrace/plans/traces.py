@@ -124,10 +124,10 @@ QUERIES = {
     "sta3_test_choice": lambda s, d: tidy(stats.paired_test(cell_pairs(s, d), ["session_id", "event_type", "cell_id"], "pre", "post").drop("stars"), "p"),
     "sta4_stars": lambda s, d: stats.paired_test(cell_pairs(s, d), ["session_id", "event_type", "cell_id"], "pre", "post").drop("p", "n"),
     "bvl1_periods": lambda s, d: tidy(periods.in_periods(dff(s, d), RATE, PERIODS, check=False), "dff", "minutes"),
-    "bvl2_mean_peak": lambda s, d: tidy(periods.mean_and_peak(periods.in_periods(dff(s, d), RATE, PERIODS)), "mean", "peak"),
+    "bvl2_mean_peak": lambda s, d: tidy(periods.mean_and_peak(periods.in_periods(dff(s, d), RATE, PERIODS, check=False)), "mean", "peak"),
     "bvl3_threshold": lambda s, d: tidy(periods.thresholds(dff(s, d)), "threshold"),
-    "bvl4_transients": lambda s, d: periods.transients(periods.in_periods(dff(s, d), RATE, PERIODS), periods.thresholds(dff(s, d))).drop("rate"),
-    "bvl5_rate": lambda s, d: tidy(periods.transients(periods.in_periods(dff(s, d), RATE, PERIODS), periods.thresholds(dff(s, d))).drop("n"), "rate"),
+    "bvl4_transients": lambda s, d: periods.transients(periods.in_periods(dff(s, d), RATE, PERIODS, check=False), periods.thresholds(dff(s, d))).drop("rate"),
+    "bvl5_rate": lambda s, d: tidy(periods.transients(periods.in_periods(dff(s, d), RATE, PERIODS, check=False), periods.thresholds(dff(s, d))).drop("n"), "rate"),
     "bvl6_compare": lambda s, d: tidy(periods.compare(metrics(s, d)), "p"),
     "bvl7_bars": lambda s, d: tidy(periods.bars(metrics(s, d)), "mean_baseline", "sem_baseline", "mean_late", "sem_late", "bracket"),
 }
