@@ -94,6 +94,8 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict = SCHEMAS) -> DataF
     every other one, and each without identifier, is pending or orphan in a row of its own, without level.
     Empty tables give no rows.
     """
+    calls = calls.select("conv_id", "turn", "call_id", "name", "arguments", "after")  # no other column can clash
+    results = results.select("conv_id", "turn", "call_id", "content")
     calls = marked(calls, ["turn", "name", "arguments", "after"], "n_calls").withColumnRenamed("turn", "call_turn")
     results = marked(results, ["turn", "content"], "n_results")
     results = results.select(F.col("conv_id").alias("r_conv"), F.col("call_id").alias("r_id"), F.col("turn").alias("result_turn"), "content", F.col("key").alias("r_key"), "n_results")

@@ -44,7 +44,11 @@ def longest_rule(host: Column, path: Column, rules=RULES) -> Column:
 
 
 def host_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(src, dst, weight): how many links lead from pages of one host to another host; relative links stay on their host."""
+    """(src, dst, weight): how many links lead from pages of one host to another host; relative links stay on their host.
+
+    Links are ``href`` values as they are written: those in comments and scripts count, and character references,
+    which no host needs, aren't decoded.
+    """
     links = pages.select(host_of(F.col(url)).alias("src"), F.explode(F.regexp_extract_all(html, F.lit(HREF), 1)).alias("link"))
     target = F.when(F.col("link").startswith("//"), F.concat(F.lit("http:"), "link")).otherwise(F.col("link"))
     hosts = links.select("src", host_of(target).alias("dst")).filter("src <> '' AND dst <> '' AND src <> dst")

@@ -82,6 +82,21 @@ def test_clashing_columns_stay_or_are_replaced(spark):
     assert decontaminate.decontaminate(docs, spark.createDataFrame([(1, "drei")], "item_id long, text string")).filter("size(hit_items) > 0").count() == 1
     assert bpe.tokenize(docs).filter("n_tokens > 7").count() == 0
     assert toxicity.score(docs, toxicity.train([], 0, 0)).filter("score > 1").count() == 0
+    own = docs.withColumns({c: F.lit("old") for c in ("lang_pred", "label", "words")})
+    found = language.identify(own, language.train([("eins zwei", "de")]))
+    assert sorted(found.columns) == sorted(own.columns) and found.filter("lang_pred = 'de' AND score <= 1 AND label = 'old'").count() == 2
+    added = {c: F.lit(7) for c in ("host", "path", "rule", "verdict", "src", "dst", "trust", "distrust", "text", "n_chars", "link", "weight")}
+    pages = spark.createDataFrame([(1, "http://a.org/x", "<p>a b"), (2, None, None)], "page_id long, url string, html string").withColumns(added)
+    judged, extracted = urls.judge(pages), extract.extract(pages)
+    assert sorted(judged.columns) == sorted(extracted.columns) == sorted(pages.columns)
+    assert {(r.page_id, r.host, r.verdict, r.src) for r in judged.collect()} == {(1, "a.org", "allow", 7), (2, "", "allow", 7)}
+    assert {(r.page_id, r.text, r.n_chars, r.link) for r in extracted.collect()} == {(1, "a b", 3, 7), (2, "", 0, 7)}
+    extra = {c: F.lit(1) for c in ("key", "uid", "stands", "n", "n_calls", "r_key", "level", "status")}
+    calls = spark.createDataFrame([(1, 0, "c", "t", "{}", None)], "conv_id long, turn long, call_id string, name string, arguments string, after string").withColumns(extra)
+    results = spark.createDataFrame([(1, 1, "c", "x")], "conv_id long, turn long, call_id string, content string").withColumns(extra)
+    assert [(r.status, r.level, r.result_turn) for r in toolcalls.link(calls, results, {}).collect()] == [("linked", 0, 1)]
+    vectors = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<double>").withColumns({c: F.lit(9) for c in ("v", "score", "rank", "ask", "copies", "query_id")})
+    assert [tuple(r) for r in topk.top_k(vectors, F.col("vec_id") == 0).collect()] == [(0, 1, 1, 2 * 256 * 256)]
 
 
 # 1 toxicity
