@@ -15,7 +15,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import combinations, repeat
+from functools import partial
+from itertools import chain, combinations, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,8 @@ FRONTIER = 1 << 19
 LEAF, COMPARED = 1024, 1 << 20
 #: Fingerprints of one path in a task; larger ones are dealt as pairs of parts of half the size.
 PATH_ROWS = 1 << 16
+#: Odd factors of the polynomial of a shingle and of its mixing.
+FACTOR, MIXER = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -55,15 +58,59 @@ def fingerprints_of(texts: list[bytes], size: int = SHINGLE) -> np.ndarray:
     out = np.zeros(len(texts), np.uint64)
     some = np.flatnonzero(counts)
     if len(some):
-        every = np.concatenate(hashes)
-        starts = np.concatenate([[0], np.cumsum(counts[some])[:-1]])
-        half = counts[some] / 2
-        for bit in range(64):
-            ones = np.add.reduceat((every >> np.uint64(bit)).astype(np.uint8) & 1, starts, dtype=np.int64)
-            out[some] |= (ones > half).astype(np.uint64) << np.uint64(bit)
+        bits = bits_set(np.concatenate(hashes), counts[some]) * 2 > counts[some, None]
+        out[some] = np.packbits(bits, axis=1, bitorder="little").view("<u8").ravel()
     return out
 
 
+def word_fingerprints(texts: list[bytes], sizes: list[int]) -> list[np.ndarray]:
+    """SimHashes over shingles of several sizes, whose hashes are made of the words' own; for ``Similar``.
+
+    A shingle's hash is a polynomial of its words' XXH64 values, mixed; a text of fewer words is one shingle.
+    """
+    words = [t.translate(LOWER).split() for t in texts]
+    counts = np.fromiter(map(len, words), np.int64, len(words))
+    some = np.flatnonzero(counts)
+    outs = [np.zeros(len(texts), np.uint64) for _ in sizes]
+    if not len(some):
+        return outs
+    each = np.fromiter(map(xxhash.xxh64_intdigest, chain.from_iterable(words), repeat(SEED)), np.uint64, int(counts.sum()))
+    counts = counts[some]
+    begin = np.cumsum(counts) - counts
+    left = np.repeat(begin + counts, counts) - np.arange(len(each))  # words from here to the text's end
+    first = left == np.repeat(counts, counts)
+    for out, size in zip(outs, sizes, strict=True):
+        hashes = np.zeros(len(each), np.uint64)
+        for j in range(size):
+            there = left > j
+            hashes[there] = hashes[there] * np.uint64(FACTOR) + each[np.flatnonzero(there) + j]
+        hashes ^= hashes >> np.uint64(32)
+        hashes *= np.uint64(MIXER)
+        hashes ^= hashes >> np.uint64(29)
+        kept = (left >= size) | first
+        shingles = np.maximum(counts - size + 1, 1)
+        bits = bits_set(hashes[kept], shingles) * 2 > shingles[:, None]
+        out[some] = np.packbits(bits, axis=1, bitorder="little").view("<u8").ravel()
+    return outs
+
+
+#: For each byte its bits as eight counters of eight bits.
+LANES = np.array([sum(1 << 8 * b for b in range(8) if byte >> b & 1) for byte in range(256)], np.uint64)
+
+
+def bits_set(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """How often each of 64 bits is set in each of successive runs of ``counts`` hashes; all counts are positive.
+
+    Eight bits are counted in one addition, in pieces of 255 hashes, as many as a counter of eight bits holds.
+    """
+    pieces = -(-counts // 255)
+    first = np.cumsum(pieces) - pieces
+    at = 255 * (np.arange(int(pieces.sum())) - np.repeat(first, pieces)) + np.repeat(np.cumsum(counts) - counts, pieces)
+    split = hashes.astype("<u8").view(np.uint8).reshape(-1, 8)
+    found = [np.add.reduceat(LANES[split[:, k]], at).astype("<u8").view(np.uint8).reshape(-1, 8) for k in range(8)]
+    return np.add.reduceat(np.concatenate(found, axis=1), first, axis=0, dtype=np.int64)
+
+
 @dataclass(frozen=True)
 class Similar:
     """Texts link if their fingerprints of ``shingle`` words differ in ``budget`` bits or fewer and those of ``wide`` words in ``most``.
@@ -84,8 +131,9 @@ class Similar:
 def with_fingerprints(docs: DataFrame, text: str = "text", **sizes: int) -> DataFrame:
     """Add ``fp``, the 64-bit SimHash as a long; null and empty texts have 0. No shuffle.
 
-    ``sizes``: other columns by their names, and the words of their shingles.
+    ``sizes``: instead, columns of ``word_fingerprints`` by their names, and the words of their shingles.
     """
+    fingerprints = partial(word_fingerprints, sizes=list(sizes.values())) if sizes else lambda texts: [fingerprints_of(texts)]
     sizes = sizes or {"fp": SHINGLE}
     docs = docs.drop(*sizes)
     schema = T.StructType([*docs.schema.fields, *(T.StructField(name, T.LongType()) for name in sizes)])
@@ -96,8 +144,8 @@ def with_fingerprints(docs: DataFrame, text: str = "text", **sizes: int) -> Data
             found: list[list[np.ndarray]] = [[np.zeros(0, np.uint64)] for _ in sizes]
             for lo, hi in chunks(at):
                 texts = [data[at[i] : at[i + 1]].tobytes() for i in range(lo, hi)]
-                for out, size in zip(found, sizes.values(), strict=True):
-                    out.append(fingerprints_of(texts, size))
+                for out, prints in zip(found, fingerprints(texts), strict=True):
+                    out.append(prints)
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(np.concatenate(x).view(np.int64)) for x in found)], [*batch.schema.names, *sizes])
 
     return arrow_map(docs, run, schema)

@@ -26,13 +26,25 @@ def digest(text, mask):
     return len(text), int(mask.sum()), int((inside[1:] != inside[:-1]).sum()) // 2, hashlib.sha256(kept).hexdigest()
 
 
-def fingerprint(text, size=3):
+def fingerprint(text):
     words = bytes(b + 32 if 65 <= b <= 90 else b for b in (text or "").encode()).split()
-    shingles = [b" ".join(words[i : i + size]) for i in range(len(words) - size + 1)] or ([b" ".join(words)] if words else [])
+    shingles = [b" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or ([b" ".join(words)] if words else [])
     hashes = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
+def word_fingerprint(text, size):
+    words = [xxhash.xxh64_intdigest(w, 42) for w in bytes(b + 32 if 65 <= b <= 90 else b for b in (text or "").encode()).split()]
+    hashes, mask = [], (1 << 64) - 1
+    for i in range(max(1, len(words) - size + 1) if words else 0):
+        h = 0
+        for w in words[i : i + size]:
+            h = (h * 0x9E3779B97F4A7C15 + w) & mask
+        h = (h ^ h >> 32) * 0xD6E8FEB86659FD93 & mask
+        hashes.append(h ^ h >> 29)
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
 def linked(values, budget=3):
     """The least index that each value reaches over links of few differing bits."""
     root = list(range(len(values)))

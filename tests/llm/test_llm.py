@@ -491,7 +491,7 @@ def test_similar_texts_against_all_pairs(spark, monkeypatch, subtrie, path_rows)
                 changed[k] = "new"
             of.append(len(texts))
             texts.append(" ".join(changed))
-    prints = [(brute.fingerprint(t, 2), brute.fingerprint(t, 5)) for t in texts]
+    prints = [(brute.word_fingerprint(t, 2), brute.word_fingerprint(t, 5)) for t in texts]
     root = list(range(len(texts)))
     for _ in texts:
         root = [min(root[j] for j, q in enumerate(prints) if (p[0] ^ q[0]).bit_count() <= 7 and (p[1] ^ q[1]).bit_count() <= 12) for p in prints]
