@@ -9,7 +9,6 @@ block to block.
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
@@ -26,7 +25,10 @@ from .common import arrow_map, blobs, chunks, read
 #: Bounds of the training sample: rows of one language, and characters of all of them together.
 SAMPLE_ROWS, SAMPLE_CHARS = 300, 2_000_000
 #: Hash buckets of the features, words in the lexicon, words of one block.
-BUCKETS, LEXICON, CHAIN = 1 << 15, 4000, 64
+BUCKET_BITS, LEXICON, CHAIN = 15, 4000, 64
+BUCKETS = 1 << BUCKET_BITS
+#: Odd factors of the features' hash.
+FACTOR, MIXER = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 #: Letters of a word; what is longer, as in scripts without spaces, is taken as several words.
 WORD = 40
 CACHE_WORDS = 150_000
@@ -36,13 +38,40 @@ LETTER = regex.compile(r"\p{L}")
 LETTERS = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
-def features(word: str, lexicon: dict[str, int]) -> list[int]:
-    """Bucket numbers: the lexicon's entry or a mark of its absence, prefixes and suffixes of 1 to 3, n-grams of 2 and 3."""
-    names = [f"p{word[:k]}" for k in (1, 2, 3)] + [f"s{word[-k:]}" for k in (1, 2, 3)]
-    marked = f"<{word}>"
-    names += [marked[i : i + k] for k in (2, 3) for i in range(len(marked) - k + 1)]
-    at = lexicon.get(word, -1)
-    return [LEXICON if at < 0 else at] + [LEXICON + 1 + zlib.crc32(n.encode("utf-8", "replace")) % BUCKETS for n in names]
+def bucket(kind: int, *letters: np.ndarray) -> np.ndarray:
+    """The bucket of a feature: its kind and up to three letters (0 for none)."""
+    h = np.full(len(letters[0]), kind, np.uint64)
+    for c in letters:
+        h = h * np.uint64(FACTOR) + c.astype(np.uint64)
+    h ^= h >> np.uint64(31)
+    h *= np.uint64(MIXER)
+    return (LEXICON + 1 + (h >> np.uint64(64 - BUCKET_BITS))).astype(np.int64)
+
+
+def features(words: list[str], lexicon: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Feature numbers of all words, word after word, and how many each has.
+
+    A word has the lexicon's entry or a mark of its absence, prefixes and suffixes of 1 to 3, and n-grams of 2 and 3.
+    """
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    text = np.frombuffer("".join([f"<{w}>" for w in words]).encode("utf-32-le", "replace"), np.uint32)
+    end = np.cumsum(sizes)
+    begin = end - sizes
+    left = np.repeat(end, sizes) - np.arange(len(text))  # letters and marks from here to the word's end
+    word = np.repeat(np.arange(len(words)), sizes)
+    known = np.fromiter((lexicon.get(w, LEXICON) for w in words), np.int64, len(words))
+    ids, owner = [known], [np.arange(len(words))]
+    for k in (1, 2, 3):
+        for kind, side in ((2, lambda j: begin + 1 + j), (3, lambda j: end - 2 - j)):
+            letters = [np.where(sizes - 2 > j, text[np.clip(side(j), 0, len(text) - 1)], 0) for j in range(k)]
+            ids.append(bucket(10 * kind, *letters, *[np.zeros(len(words), np.uint32)] * (3 - k)))
+            owner.append(owner[0])
+    for k in (2, 3):
+        at = np.flatnonzero(left >= k)
+        ids.append(bucket(k, *[text[at + j] for j in range(k)]))
+        owner.append(word[at])
+    order = np.argsort(np.concatenate(owner), kind="stable")
+    return np.concatenate(ids)[order], 7 + (sizes - 1) + (sizes - 2)
 
 
 def split(text: str) -> list[bytes]:
@@ -74,9 +103,7 @@ class Crf:
 
     def scores(self, words: list[str]) -> np.ndarray:
         """The label scores of each word by itself: the mean of its features' weights, times 4."""
-        ids = [features(w, self.lexicon) for w in words]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for x in ids for i in x), np.int64, int(sizes.sum()))
+        flat, sizes = features(words, self.lexicon)
         sums = np.add.reduceat(self.weights[flat], np.concatenate([[0], np.cumsum(sizes)[:-1]]), axis=0) if len(flat) else np.zeros((0, len(self.labels)), np.float32)
         return 4 * sums / sizes[:, None]
 
@@ -167,10 +194,8 @@ class Crf:
         if not stretches:
             return self
         vocabulary = {w: i for i, w in enumerate(sorted({w for s, _ in stretches for w in s}))}
-        ids = [features(w, self.lexicon) for w in vocabulary]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for x in ids for i in x), np.int64, int(sizes.sum()))
-        owner = np.repeat(np.arange(len(ids)), sizes)
+        flat, sizes = features(list(vocabulary), self.lexicon)
+        owner = np.repeat(np.arange(len(sizes)), sizes)
         k = len(self.labels)
         past_w, past_s, past_b = np.full_like(self.weights, 1e-3), np.full((k, k), 1e-3), np.full(k, 1e-3)
         for _ in range(rounds):
@@ -190,7 +215,7 @@ class Crf:
                     words[i, : len(w)], truth[i, : len(w)] = w, g
                 live = words >= 0
                 used, word = np.unique(words[live], return_inverse=True)
-                mine = np.zeros(len(ids), bool)
+                mine = np.zeros(len(sizes), bool)
                 mine[used] = True
                 names, size = flat[mine[owner]], sizes[used]
                 table = 4 * np.add.reduceat(self.weights[names], np.cumsum(size) - size, axis=0) / size[:, None]
