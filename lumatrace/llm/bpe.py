@@ -14,6 +14,7 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ from .common import arrow_map, blobs, chunks, read
 #: Fixed value: the published split pattern of byte-level BPE vocabularies.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 #: Words in a worker's cache; it is emptied when full, so memory is bounded whatever the input.
-CACHE_WORDS = 150_000
+CACHE_WORDS = 64_000
 #: Widths of the classes in which words are merged together; longer words are merged one by one.
 WIDTHS = (8, 16, 32, 64)
 #: Words from which on proposals are taken one by one; known pairs from which on their table is begun anew.
@@ -34,7 +35,7 @@ FEW, MOST_PAIRS = 8, 1_000_000
 #: No merge.
 NEVER = np.iinfo(np.int32).max
 #: Bytes of text whose words are proposed and verified together.
-BATCH_BYTES = 3 << 19
+BATCH_BYTES = 1 << 20
 #: Longer words are never cached.
 LONG_WORD = 128
 
@@ -57,7 +58,10 @@ def byte_alphabet() -> dict[str, int]:
 
 
 class ByteBpe:
-    """Encoder and decoder for one vocabulary file (its JSON text); its tables are pickled, its caches aren't."""
+    """Encoder and decoder for one vocabulary file (its JSON text).
+
+    Its arrays are pickled; caches, and the dicts that only long words need, are not.
+    """
 
     def __init__(self, definition: str) -> None:
         spec = json.loads(definition)
@@ -80,7 +84,7 @@ class ByteBpe:
         self.any_split, self.latin_split, self.beyond = regex.compile(SPLIT), latin_split(), re.compile("[^\x00-\u024f]")
         self.cut = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self._tables()
-        self._forget()
+        self.forget()
 
     def _tables(self) -> None:
         """The vocabulary as a trie and the merges as a sorted list of pairs, for whole arrays of words."""
@@ -101,7 +105,8 @@ class ByteBpe:
         self.byte_id = np.array(self.byte_ids, np.int32)
         self.byte_rank = self.ranks(np.repeat(self.byte_id, 256), np.tile(self.byte_id, 256)).reshape(256, 256)
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
+        """Empty the caches."""
         self.known = np.zeros(0, np.int64)
         self.fits = np.zeros(0, bool)
         self.as_text: dict[str, str] = {}
@@ -109,11 +114,20 @@ class ByteBpe:
         self.merged_words = self.proposed_words = 0
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("known", "fits", "as_text", "as_bytes")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("known", "fits", "as_text", "as_bytes", "id_of", "merge")}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
-        self._forget()
+        self.forget()
+
+    @cached_property
+    def id_of(self) -> dict[bytes, int]:
+        special = set(self.special.values())
+        return {b: i for i, b in enumerate(self.bytes_of) if b and i not in special}
+
+    @cached_property
+    def merge(self) -> dict[tuple[int, int], tuple[int, int]]:
+        return {(p // self.base, p % self.base): (r, int(self.merged[r])) for p, r in zip(self.pair.tolist(), self.pair_rank.tolist(), strict=True)}
 
     def split(self, text: str) -> list[str]:
         return (self.any_split if self.beyond.search(text) else self.latin_split).findall(text)
@@ -337,7 +351,7 @@ def tokenize(docs: DataFrame, text: str = "text", definition: str | None = None,
     schema = source.select("*", F.lit(0).cast("long").alias("n_tokens"), F.lit("").alias("ids_sha256"), F.lit("").alias("decoded_sha256"), *[F.array(F.lit(0)).alias("token_ids"), F.lit("").alias("decoded")] * keep_ids).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = held.value  # one for the worker, with its caches, as long as this broadcast lives
+        bpe = held.value  # one for the worker as long as this broadcast lives; its caches are the task's
         for batch in batches:
             n, ids, back, lists, texts = [], [], [], [], []
             column = batch.column(batch.schema.get_field_index(text))
@@ -353,6 +367,7 @@ def tokenize(docs: DataFrame, text: str = "text", definition: str | None = None,
             arrays = [pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())]
             arrays += [pa.array(lists, pa.list_(pa.int32())), pa.array(texts, pa.string())] * keep_ids
             yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], [*batch.schema.names, *made])
+        bpe.forget()
 
     return arrow_map(source, run, schema)
 
