@@ -124,7 +124,7 @@ class Similar:
     wide: int = 5
     most: int = 12
     agree: int = 2
-    subtrie: int = 256
+    subtrie: int = 1024
     levels: int = 2
 
 

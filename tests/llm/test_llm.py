@@ -476,7 +476,7 @@ def test_trie_forest_against_all_pairs(monkeypatch, leaf, compared):
     assert simhash.trie_forest(fp, wide, starts, simhash.Similar()).tolist() == want.tolist()
 
 
-@pytest.mark.parametrize("subtrie,path_rows", [(256, 1 << 16), (2, 1 << 16), (256, 24)])
+@pytest.mark.parametrize("subtrie,path_rows", [(1024, 1 << 16), (2, 1 << 16), (1024, 24)])
 def test_similar_texts_against_all_pairs(spark, monkeypatch, subtrie, path_rows):
     """Near copies of at least 0.8 in five words are one component, with paths split and dealt in parts as well."""
     monkeypatch.setattr(simhash, "PATH_ROWS", path_rows)
