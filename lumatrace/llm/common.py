@@ -25,11 +25,11 @@ BATCH_ROWS = 1000
 WRITTEN: list[str] = []
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, codec: str = "snappy") -> DataFrame:
     """Write to the shared folder and read again: cuts lineage and outlives executors."""
     path = f"{shared_dir(df.sparkSession)}/lumatrace-{uuid.uuid4().hex}"
     WRITTEN.append(path)
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -90,6 +90,23 @@ def hash_sample(rows: DataFrame, key: Column, n: int, most: int) -> DataFrame:
     return near.orderBy(place, key).limit(most)
 
 
+def numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """``rows`` with a column ``name``: each row's place, from 0, in the order of all rows; written once.
+
+    Rows are dealt by range and sorted within partitions; a partition's first place is the number of rows in
+    those before it, one number for each partition. Equal rows stand in any order. For ties that hold many
+    rows, let ``order`` end in something that tells them apart, or they meet in one partition.
+    """
+    spark = rows.sparkSession
+    placed = materialize(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()))
+    part = F.shiftright("__at", 33)
+    sizes = sorted((r.part, r.n) for r in placed.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect())
+    before = np.concatenate([[0], np.cumsum([n for _, n in sizes])]).tolist()
+    firsts = spark.createDataFrame([(p, b) for (p, _), b in zip(sizes, before, strict=False)], "__part long, __first long")
+    joined = placed.join(F.broadcast(firsts), part == F.col("__part"))
+    return joined.withColumn(name, F.col("__at") - F.shiftleft(part, 33) + F.col("__first")).drop("__at", "__part", "__first")
+
+
 def blobs(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string or binary column without copies, and its n + 1 offsets; null is empty."""
     if column.null_count:

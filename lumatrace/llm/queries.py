@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, extract, language, simhash, substrings, toolcalls, topk, toxicity, urls
+from . import bpe, curves, decontaminate, extract, language, ranked, resample, simhash, substrings, toolcalls, topk, toxicity, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash": simhash.op8_simhash,
         "op9_toolcalls": toolcalls.op9_toolcalls,
         "op10_topk": topk.op10_topk,
+        "op11_curves": curves.op11_curves,
+        "op12_ranked": ranked.op12_ranked,
+        "op13_resample": resample.op13_resample,
     }
 
 
@@ -30,4 +33,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_urls": urls.OP3_SQL,
         "op9_toolcalls": toolcalls.OP9_SQL,
         "op10_topk": topk.OP10_SQL,
+        "op12_ranked": ranked.OP12_SQL,
     }
