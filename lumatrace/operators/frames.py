@@ -2,13 +2,18 @@
 
 Work within a frame stays in array functions, without a shuffle; only sums over time group anything. They
 are added up over whole frames in each task, so that what is shuffled is a frame for each task and session
-and not a row for each pixel of each frame.
+and not a row for each pixel of each frame. What belongs to a session (its image, its footprints) goes to the
+frames and not the frames to it, see ``beside``.
+
+Frames whose ``pixels`` are null take no part in sums over time and templates, and stay null where each frame
+gives one; null pixels of a frame count as NaN.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -16,11 +21,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumatrace.functions.columns import percentiles_by
+from lumatrace.session import written
 
 SHAPE = ["h", "w"]
 EPS = 2.0**-52
-#: Bytes of sums over time that a task holds.
-HELD_BYTES = 128 << 20
+#: Bytes of sums over time that a task holds, and of sessions' tables that go to all tasks at once.
+HELD_BYTES, BESIDE_BYTES = 128 << 20, 64 << 20
+#: Pixels of a frame that a template's block scores are summed over in one group.
+TILE = 8192
+
+
+def values(pixels: pa.ListScalar) -> np.ndarray:
+    """A frame's pixels as doubles; null ones are NaN."""
+    return pixels.values.to_numpy(zero_copy_only=False).astype(float)
 
 
 def deinterleave(frames: DataFrame) -> DataFrame:
@@ -66,7 +79,7 @@ def time_sums(frames: DataFrame) -> DataFrame:
         held: dict[tuple[str, int, int], tuple] = {}
         for batch in batches:
             for session, w, px in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                v = px.values.to_numpy(zero_copy_only=False).astype(float)
+                v = values(px)
                 key = (session, w, len(v))
                 if key not in held and sum(24 * size for _, _, size in held) > HELD_BYTES:
                     for (of, wide, _), sums in held.items():
@@ -79,7 +92,7 @@ def time_sums(frames: DataFrame) -> DataFrame:
         for (of, wide, _), sums in held.items():
             yield row(of, wide, *sums)
 
-    return frames.select("session_id", "w", "pixels").mapInArrow(run, schema)
+    return frames.filter("pixels IS NOT NULL").select("session_id", "w", "pixels").mapInArrow(run, schema)
 
 
 def pixel_stats(frames: DataFrame) -> DataFrame:
@@ -98,15 +111,61 @@ def projections(frames: DataFrame) -> DataFrame:
     return pixel_stats(frames).select("session_id", F.expr("int(at div w + 1)").alias("y"), F.expr("int(at % w + 1)").alias("x"), "mean", F.col("top").cast(kind).alias("max"), "std")
 
 
+def images(stats: DataFrame, **columns: Column) -> DataFrame:
+    """(session_id, w, ...): for each of ``columns`` of pixel statistics an array of all pixels in row-major order."""
+    rows = stats.groupBy("session_id").agg(F.max("w").alias("w"), F.array_sort(F.collect_list(F.struct("at", *[c.alias(n) for n, c in columns.items()]))).alias("rows"))
+    return rows.select("session_id", "w", *[F.col(f"rows.{n}").alias(n) for n in columns])
+
+
+def beside(frames: DataFrame, small: DataFrame, size: Column, run, schema: str, most: int = BESIDE_BYTES) -> DataFrame:
+    """``run(row, held)`` for the frames (session_id, ...) of an Arrow batch and session, with that session's row of ``small``.
+
+    ``small`` has one row a session, a frame or footprints large, and goes to all tasks; frames aren't shuffled.
+    ``size`` is a row's bytes: what is more than ``most`` in all goes in several blocks of sessions, chosen by a
+    hash of ``session_id``. On a table in partitions by session (as ``save_results`` writes it) a block reads its own
+    partitions only, so that each frame is read once whatever the number of blocks; on others once a block.
+    ``run`` takes a batch of one session and the row as a dict of numpy arrays, and returns a list of columns.
+    Frames of sessions that ``small`` lacks go.
+    """
+    spark = frames.sparkSession
+    small = written(small)
+    blocks = -(-int(small.agg(F.sum(size)).first()[0] or 0) // most) or 1
+    names = [f.split()[0] for f in schema.split(", ")]
+    parts = []
+    for block in range(blocks):
+        here = (lambda df: df) if blocks == 1 else (lambda df, b=block: df.filter(F.pmod(F.xxhash64("session_id"), F.lit(blocks)) == b))
+        table = here(small).toArrow().combine_chunks()
+        plain = lambda v: np.asarray(v.values) if isinstance(v, pa.ListScalar) else v.as_py()
+        held = spark.sparkContext.broadcast({row["session_id"].as_py(): {n: plain(row[n]) for n in table.column_names} for row in ({n: table.column(n)[i] for n in table.column_names} for i in range(len(table)))})
+
+        def work(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                sessions = batch.column(0).dictionary_encode()
+                for code, session in enumerate(sessions.dictionary.to_pylist()):
+                    if session in held.value:
+                        rows = np.flatnonzero(sessions.indices.to_numpy(zero_copy_only=False) == code)
+                        yield pa.RecordBatch.from_arrays(run(batch.take(pa.array(rows)), held.value[session]), names)
+
+        parts.append(here(frames).filter("session_id IS NOT NULL").mapInArrow(work, schema))
+    return reduce(DataFrame.union, parts)
+
+
 def z_score(frames: DataFrame) -> DataFrame:
     """Each pixel less its mean over its deviation in time; a deviation below 1e-6 counts as 1.
 
-    The statistics come back as one array a session, as large as one frame, so that frames are never
-    exploded.
+    Two passes: the statistics, an image a session, are written once and then held beside the frames, which are
+    never shuffled or exploded.
     """
-    stats = pixel_stats(frames).withColumn("s", F.when(F.col("std") < 1e-6, 1.0).otherwise(F.col("std")))
-    image = stats.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("at", F.col("mean").alias("m"), "s"))).alias("image"))
-    return frames.join(image, "session_id").select("session_id", "frame_idx", *SHAPE, F.zip_with("pixels", "image", lambda v, c: (v - c["m"]) / c["s"]).alias("pixels"))
+    kind = frames.schema["session_id"].dataType.simpleString()
+    stats = images(pixel_stats(frames), mean=F.col("mean"), deviation=F.when(F.col("std") < 1e-6, 1.0).otherwise(F.col("std")))
+
+    def run(batch: pa.RecordBatch, image: dict) -> list[pa.Array]:
+        out = [None if not px.is_valid else (values(px) - image["mean"]) / image["deviation"] for px in batch.column(4)]
+        return [*batch.columns[:4], pa.array(out, pa.list_(pa.float64()))]
+
+    schema = f"session_id {kind}, frame_idx int, h int, w int, pixels array<double>"
+    typed = frames.select("session_id", *[F.col(c).cast("int") for c in ("frame_idx", *SHAPE)], "pixels")
+    return beside(typed, stats, 16 * F.size("mean"), run, schema)
 
 
 def kernel(sigma: float) -> list[float]:
@@ -117,7 +176,7 @@ def kernel(sigma: float) -> list[float]:
 
 
 def smooth(frames: DataFrame, sigma: float = 1.0) -> DataFrame:
-    """Gaussian smoothing of each frame, along rows and then columns; the edge is repeated outwards.
+    """Gaussian smoothing of each frame, along rows and then columns; the edge is repeated outwards; null pixels of a frame leave its neighbourhood NaN.
 
     A stencil over whole frames: array functions are interpreted pixel by pixel, so frames go to numpy
     in Arrow batches. No shuffle.
@@ -134,63 +193,93 @@ def smooth(frames: DataFrame, sigma: float = 1.0) -> DataFrame:
         for batch in batches:
             out = []
             for h, w, px in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4), strict=True):
-                image = px.values.to_numpy(zero_copy_only=False).astype(float).reshape(h, w)
-                out.append(along(along(image, 1), 0).ravel())
+                out.append(None if not px.is_valid else along(along(values(px).reshape(h, w), 1), 0).ravel())
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(out, pa.list_(pa.float64()))], schema.names)
 
     return frames.select("session_id", "frame_idx", *SHAPE, "pixels").mapInArrow(run, schema)
 
 
-def block_scores(frames: np.ndarray, length: int, most: int) -> np.ndarray:
-    """The score of each block of ``length`` rows of ``frames`` (frames x pixels) that begins at one of the first ``most``.
-
-    Means of blocks are running sums, taken over some pixels at a time; what is added up over pixels are sums,
-    squares and products of frames and block means.
-    """
-    n, size = frames.shape
-    starts = min(most, n - length + 1)
-    total, squares = np.zeros(n), np.zeros(n)
-    mean, mean_squares, products = np.zeros(starts), np.zeros(starts), np.zeros((n, starts))
-    centre = frames.mean(1, dtype=float)[:, None]  # products of what is left don't cancel
-    for a in range(0, size, 1 << 14):
-        part = frames[:, a : a + (1 << 14)] - centre
-        runs = np.concatenate([np.zeros((1, part.shape[1])), np.cumsum(part, axis=0)])
-        blocks = (runs[length : length + starts] - runs[:starts]) / length
-        total += part.sum(1)
-        squares += (part * part).sum(1)
-        mean += blocks.sum(1)
-        mean_squares += (blocks * blocks).sum(1)
-        products += part @ blocks.T
-    total, mean = total / size, mean / size
+def tile_sums(frames: np.ndarray, length: int, most: int) -> dict[str, np.ndarray]:
+    """Of ``frames`` (frames x pixels) and the means of the blocks of ``length`` that begin at one of the first ``most``: means and squared deviations over the pixels, and co-deviations of each frame and block mean."""
+    starts = min(most, len(frames) - length + 1)
+    mean = frames.mean(1)
+    apart = frames - mean[:, None]
+    runs = np.concatenate([np.zeros((1, apart.shape[1])), np.cumsum(apart, axis=0)])
+    blocks = (runs[length : length + starts] - runs[:starts]) / length  # their pixels' mean is 0
+    steps = np.concatenate([[0.0], np.cumsum(mean)])
+    return {"mean": mean, "squares": (apart * apart).sum(1), "block_mean": (steps[length : length + starts] - steps[:starts]) / length, "block_squares": (blocks * blocks).sum(1), "both": (apart @ blocks.T).ravel()}
+
+
+def joined_sums(tiles: list[dict[str, np.ndarray]], sizes: list[int]) -> dict[str, np.ndarray]:
+    """The same over all pixels of all tiles: deviations add, with those of the tiles' means from their common mean."""
+    n = np.array(sizes, float)[:, None]
+    every = {k: np.stack([t[k] for t in tiles]) for k in tiles[0]}
+    mean, block_mean = ((n * every[k]).sum(0) / n.sum() for k in ("mean", "block_mean"))
+    off, block_off = every["mean"] - mean, every["block_mean"] - block_mean
+    return {
+        "squares": every["squares"].sum(0) + (n * off * off).sum(0),
+        "block_squares": every["block_squares"].sum(0) + (n * block_off * block_off).sum(0),
+        "both": every["both"].sum(0).reshape(len(mean), -1) + (n * off).T @ block_off,
+    }
+
+
+def block_scores(tiles: list[dict[str, np.ndarray]], sizes: list[int], length: int) -> np.ndarray:
+    """The score of each block: the mean over its frames of the correlation of frame and block mean, as ``stable_template`` has it."""
+    sums, size = joined_sums(tiles, sizes), sum(sizes)
     with np.errstate(invalid="ignore", divide="ignore"):
-        both = products / size - total[:, None] * mean[None, :]
-        sd = np.sqrt(np.maximum(squares - size * total**2, 0) / (size - 1))[:, None] * np.sqrt(np.maximum(mean_squares - size * mean**2, 0) / (size - 1))[None, :]
-        like = both / (EPS + sd)
-    return np.array([like[k : k + length, k].mean() for k in range(starts)])
+        sd = np.sqrt(sums["squares"] / (size - 1))[:, None] * np.sqrt(sums["block_squares"] / (size - 1))[None, :]
+        like = sums["both"] / size / (EPS + sd)
+    return np.array([like[k : k + length, k].mean() for k in range(like.shape[1])])
 
 
-def stable_template(frames: DataFrame, first: int = 500, last: int = 1500, length: int = 100, most: int = 50) -> DataFrame:
-    """(session_id, start, score): the block of ``length`` frames that is most like its own mean.
+def stable_blocks(frames: DataFrame, first: int = 500, last: int = 1500, length: int = 100, most: int = 50) -> DataFrame:
+    """(session_id, start, score, from_frame, to_frame): the block of ``length`` frames that is most like its own mean.
 
     Starts 1 to ``most`` of the frame range are tried. A block's score is the mean over its frames of
     (mean of products - product of means) / (eps + product of sample deviations) of frame and block
-    mean; the first start wins ties. Sessions with too short a range give none. The ``length + most - 1``
-    frames of a session that blocks can hold meet in one task.
+    mean; the first start wins ties. Sessions with too short a range give none. Sums and products over pixels add, so
+    the frames of a range meet a tile of TILE pixels at a time, and what then meets of a session is a row a tile.
+    """
+    ranged = frames.filter(F.col("frame_idx").between(first, last) & (F.size("pixels") > 0))
+    tile = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.expr(f"int((size(pixels) - 1) div {TILE})"))), lambda t: F.struct(t.alias("tile"), F.slice("pixels", t * TILE + 1, TILE).alias("part")))
+    cut = ranged.select("session_id", "frame_idx", F.explode(tile).alias("t")).select("session_id", "t.tile", "frame_idx", "t.part")
+    numbers = ("mean", "squares", "block_mean", "block_squares", "both")
+    kind = frames.schema["session_id"].dataType.simpleString()
+    sums = f"session_id {kind}, size int, frames array<int>, {', '.join(f'{n} array<double>' for n in numbers)}"
+
+    def add(table: pa.Table) -> pa.Table:
+        order = np.argsort(table.column("frame_idx").to_numpy(), kind="stable")[: length + most - 1]
+        found: dict[str, list] = {n: [] for n in ("session_id", "size", "frames", *numbers)}
+        if len(order) >= length:
+            px = table.column("part").combine_chunks()
+            size = len(px[0].values)
+            part = np.stack([values(px[int(i)]) for i in order])
+            of = {"session_id": table.column("session_id")[0], "size": size, "frames": table.column("frame_idx").to_numpy()[order], **tile_sums(part, length, most)}
+            found = {n: [of[n]] for n in found}
+        kinds = [table.schema.field("session_id").type, pa.int32(), pa.list_(pa.int32()), *[pa.list_(pa.float64())] * len(numbers)]
+        return pa.table([pa.array([v.as_py() if isinstance(v, pa.Scalar) else v for v in found[n]], k) for n, k in zip(found, kinds, strict=True)], names=list(found))
+
+    def score(table: pa.Table) -> pa.Table:
+        array = lambda n, i: np.asarray(table.column(n)[i].values)
+        tiles = [{n: array(n, i) for n in numbers} for i in range(len(table))]
+        scores = block_scores(tiles, table.column("size").to_pylist(), length).round(9)
+        best = int(np.argmax(np.where(np.isnan(scores), np.inf, scores)))  # as in Spark's order, NaN is above all
+        numbered = array("frames", 0)
+        return pa.table({"session_id": table.column("session_id").slice(0, 1), "start": pa.array([best + 1], pa.int32()), "score": [float(scores[best])], "from_frame": pa.array([numbered[best]], pa.int32()), "to_frame": pa.array([numbered[best + length - 1]], pa.int32())})
+
+    added = cut.groupBy("session_id", "tile").applyInArrow(add, sums)
+    return added.groupBy("session_id").applyInArrow(score, f"session_id {kind}, start int, score double, from_frame int, to_frame int")
+
+
+def stable_template(frames: DataFrame, first: int = 500, last: int = 1500, length: int = 100, most: int = 50) -> DataFrame:
+    """(session_id, start, score, h, w, pixels): the mean image of the block that ``stable_blocks`` finds.
+
+    A second pass reads the frames of the range again and adds up those of the block in each task.
     """
-    place = F.row_number().over(Window.partitionBy("session_id").orderBy("frame_idx"))
-    ranged = frames.filter(F.col("frame_idx").between(first, last)).select("session_id", "frame_idx", "pixels").withColumn("i", place)
-
-    def run(table: pa.Table) -> pa.Table:
-        found: dict[str, list] = {"session_id": [], "start": [], "score": []}
-        if len(table) >= length:
-            order = np.argsort(table.column("i").to_numpy())
-            pixels = table.column("pixels").combine_chunks()
-            score = block_scores(pixels.flatten().to_numpy(zero_copy_only=False).reshape(len(table), -1)[order], length, most).round(9)
-            best = int(np.argmax(np.where(np.isnan(score), np.inf, score)))  # as in Spark's order, NaN is above all
-            found = {"session_id": [table.column("session_id")[0].as_py()], "start": [best + 1], "score": [float(score[best])]}
-        return pa.table(found, schema=pa.schema([("session_id", pa.string()), ("start", pa.int32()), ("score", pa.float64())]))
-
-    return ranged.filter(F.col("i") <= length + most - 1).groupBy("session_id").applyInArrow(run, "session_id string, start int, score double")
+    best = written(stable_blocks(frames, first, last, length, most))  # a row a session
+    inside = frames.filter(F.col("frame_idx").between(first, last)).join(best, "session_id").filter("frame_idx BETWEEN from_frame AND to_frame")
+    mean = images(pixel_stats(inside), pixels=F.col("mean"))
+    return best.select("session_id", "start", "score").join(mean, "session_id").select("session_id", "start", "score", F.expr("int(size(pixels) div w)").alias("h"), "w", "pixels")
 
 
 def contrast_limits(frames: DataFrame, most: int = 20) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumatrace.functions.columns import midpoint_percentile, percentiles_by
+from lumatrace.operators.frames import beside, values
 
 CELL = ["session_id", "cell_id"]
 
@@ -13,19 +16,36 @@ CELL = ["session_id", "cell_id"]
 def project_footprints(frames: DataFrame, footprints: DataFrame) -> DataFrame:
     """Full-length traces: the sum of pixel times weight over a cell's footprint.
 
-    A session's sparse footprints are gathered in one row, which its frames meet by session; the product is taken
-    within the frame's row, so no pixel becomes a row. Whether the footprints are broadcast is left to their
-    measured size. Points outside the frame don't count; a cell without others has no trace.
+    A session's sparse footprints are one row, held beside its frames (``frames.beside``): the product is a sum
+    over the footprints' pixels only, and frames are neither shuffled nor exploded. Points outside the frame or on
+    a null pixel don't count; a cell without others has no value in that frame. Frames without pixels give none.
     """
-    points = footprints.groupBy("session_id", "cell_id").agg(F.collect_list(F.struct("y", "x", "weight")).alias("points"))
-    cells = points.groupBy("session_id").agg(F.collect_list(F.struct("cell_id", "points")).alias("cells"))
-    pixel = lambda p: F.get("pixels", (p["y"] - 1) * F.col("w") + p["x"] - 1)
-    inside = lambda c: F.filter(c["points"], lambda p: p["x"].between(1, F.col("w")) & pixel(p).isNotNull())
-    kept = F.transform("cells", lambda c: F.struct(c["cell_id"].alias("cell_id"), inside(c).alias("points")))
-    value = lambda c: F.when(F.size(c["points"]) > 0, F.aggregate(c["points"], F.lit(0.0), lambda s, p: s + pixel(p) * p["weight"]))
-    sums = F.transform(kept, lambda c: F.struct(c["cell_id"].alias("cell_id"), value(c).alias("value")))
-    found = frames.join(cells, "session_id").select("session_id", "frame_idx", F.explode(sums).alias("c"))
-    return found.select("session_id", "c.cell_id", "frame_idx", "c.value").filter("value IS NOT NULL")
+    point = F.struct("cell_id", "y", "x", F.col("weight").cast("double").alias("weight"))
+    points = footprints.filter("cell_id IS NOT NULL AND y IS NOT NULL AND x IS NOT NULL AND weight IS NOT NULL")
+    small = points.groupBy("session_id").agg(F.array_sort(F.collect_list(point)).alias("p")).select("session_id", *[F.col(f"p.{n}").alias(n) for n in ("cell_id", "y", "x", "weight")])
+    kinds = {c: df.schema[c].dataType.simpleString() for df, c in ((frames, "session_id"), (footprints, "cell_id"))}
+
+    def run(batch: pa.RecordBatch, of: dict) -> list[pa.Array]:
+        rows, cells, sums = [], [], []
+        for i, (w, px) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3), strict=True)):
+            if not px.is_valid or not w:
+                continue
+            at = (of["y"] - 1) * w + of["x"] - 1
+            there = (of["x"] >= 1) & (of["x"] <= w) & (at >= 0) & (at < len(px.values))
+            if px.values.null_count:
+                there[there] = px.values.is_valid().to_numpy(zero_copy_only=False)[at[there]]
+            cell, value = of["cell_id"][there], values(px)[at[there]] * of["weight"][there]
+            begin = np.flatnonzero(np.diff(cell, prepend=cell[0] - 1)) if len(cell) else np.zeros(0, int)
+            rows.append(np.full(len(begin), i))
+            cells.append(cell[begin])
+            sums.append(np.add.reduceat(value, begin) if len(begin) else value)
+        if not rows:
+            return [batch.column(0).slice(0, 0), pa.array(np.zeros(0, of["cell_id"].dtype)), batch.column(1).slice(0, 0), pa.array([], pa.float64())]
+        at = pa.array(np.concatenate(rows))
+        return [batch.column(0).take(at), pa.array(np.concatenate(cells)), batch.column(1).take(at), pa.array(np.concatenate(sums))]
+
+    typed = frames.select("session_id", F.col("frame_idx").cast("int"), F.col("w").cast("int"), "pixels")
+    return beside(typed, small, 32 * F.size("x"), run, f"session_id {kinds['session_id']}, cell_id {kinds['cell_id']}, frame_idx int, value double")
 
 
 def delta_f(traces: DataFrame) -> DataFrame:

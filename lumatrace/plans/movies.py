@@ -102,7 +102,7 @@ QUERIES = {
     "frm7_smooth": lambda s, d: pixels(frames.smooth(movie(s, d), 1.0)),
     "frm7_smooth_whole": lambda s, d: pixels(frames.smooth(movie(s, d), 1.0)),
     "frm8_projections": lambda s, d: tidy(frames.projections(movie(s, d)), "mean", "std"),
-    "frm9_template": lambda s, d: tidy(frames.stable_template(movie(s, d), **BLOCK), "score"),
+    "frm9_template": lambda s, d: tidy(frames.stable_template(movie(s, d), **BLOCK), "score").withColumn("pixels", F.transform("pixels", lambda v: F.round(v, 6) + F.lit(0.0))),
     "frm10_contrast": lambda s, d: tidy(frames.contrast_limits(movie(s, d)), "lo", "hi"),
     "frm11_rescale": lambda s, d: pixels(frames.rescale(movie(s, d), frames.contrast_limits(movie(s, d)), 40)),
     "trc1_projection": lambda s, d: tidy(projected(s, d), "value"),
@@ -213,7 +213,7 @@ ORACLES = {
     "frm6_z_score": q("SELECT px.session_id, frame_idx, px.at, round((v - m) / s, 6) + 0.0 AS v FROM px JOIN zs ON px.session_id = zs.session_id AND px.at = zs.at"),
     "frm7_smooth": q(f"SELECT {_PIX} FROM sm2"),
     "frm8_projections": q("SELECT session_id, CAST(at // 8 + 1 AS INTEGER) AS y, CAST(at % 8 + 1 AS INTEGER) AS x, round(avg(v), 6) + 0.0 AS mean, max(v) AS max, round(coalesce(stddev_samp(v), 0.0), 6) + 0.0 AS std FROM px GROUP BY session_id, at"),
-    "frm9_template": q("SELECT session_id, CAST(start AS INTEGER) AS start, round(score, 6) + 0.0 AS score FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY score DESC, start) AS k FROM tpl) WHERE k = 1"),
+    "frm9_template": q("SELECT b.session_id, CAST(b.start AS INTEGER) AS start, round(any_value(score), 6) + 0.0 AS score, 8 AS h, 8 AS w, list(round(m, 6) + 0.0 ORDER BY mu.at) AS pixels FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY score DESC, start) AS k FROM tpl) b JOIN mu ON mu.session_id = b.session_id AND mu.start = b.start WHERE k = 1 GROUP BY b.session_id, b.start"),
     "frm10_contrast": q(f"SELECT session_id, {r('lo', 'hi')} FROM lim"),
     "frm11_rescale": q("SELECT px.session_id, frame_idx, at, round(least(1.0, greatest(0.0, (v - lo) / (hi - lo))), 6) + 0.0 AS v FROM px JOIN lim ON px.session_id = lim.session_id WHERE frame_idx <= 40"),
     "trc1_projection": q(f"SELECT session_id, cell_id, frame_idx, {r('value')} FROM prj"),
