@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import time
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -222,20 +223,50 @@ def test_undo(spark):
     assert events.replay(log(spark, [(9, "x", 0)]), saved).count() == 0
 
 
-def test_stream_equals_batch(spark, tmp_path):
-    rows = [(i, random.Random(i).choice("aasdfxx"), random.Random(i * 7).randrange(6)) for i in range(60)]
-    for k in range(0, 60, 20):
-        log(spark, rows[k : k + 20]).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+def streamed(spark, tmp_path, batches, seconds=None, **more):
+    """What the stream writes for batches of the log, one file each; ``seconds``: stop after these, else when all is read."""
+    for k, rows in enumerate(batches):
+        log(spark, rows).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(1.1)  # files are taken in order of their time
     stream = spark.readStream.schema(log(spark, []).schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    shuffles = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", "2")
-    updates = []
-    query = annotations.replay_stream(stream).writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).foreachBatch(lambda df, _: updates.extend(df.collect())).trigger(availableNow=True).start()
-    query.awaitTermination(120)
-    spark.conf.set("spark.sql.shuffle.partitions", "8")
-    got = annotations.latest(spark.createDataFrame(updates, annotations.OUT))
-    key = lambda df: sorted((r.frame_idx, r.label, r.seq) for r in df.collect())
-    assert sum(r.n_late for r in updates) == 0
-    assert key(got) == key(events.replay(log(spark, rows)))
+    try:
+        trigger = {"processingTime": "1 second"} if seconds else {}
+        query = annotations.write(annotations.replay_stream(stream, **more), str(tmp_path / "out"), str(tmp_path / "cp"), **trigger)
+        assert query.awaitTermination(seconds or 120) or seconds
+        query.stop()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", shuffles)
+    return spark.read.schema(annotations.OUT).parquet(str(tmp_path / "out"))
+
+
+def standing(df):
+    return sorted((r.frame_idx, r.label, r.seq) for r in df.collect())
+
+
+def test_stream_equals_batch(spark, tmp_path):
+    rows = [(i, random.Random(i).choice("aasdfxx"), random.Random(i * 7).randrange(6)) for i in range(60)]
+    updates = streamed(spark, tmp_path, [rows[k : k + 20] for k in range(0, 60, 20)])
+    assert annotations.late(updates).count() == 0 and updates.filter("kind = 'version'").count() == 3
+    assert standing(annotations.latest(updates)) == standing(events.replay(log(spark, rows)))
+
+
+def test_late_commands_are_a_table(spark, tmp_path):
+    """What comes after a later command was applied changes nothing and is listed; a saved event stands first; undo may leave nothing."""
+    saved = spark.createDataFrame([("s", 1, 1, 2, "Thermo_pain")], "session_id string, cam_id int, seq long, frame_idx int, label string")
+    batches = [[(10, "a", 5), (12, "s", 6)], [(11, "x", 0), (12, "d", 7), (13, "x", 0), (14, "x", 0), (15, "x", 0)]]
+    updates = streamed(spark, tmp_path, batches, saved=saved)
+    assert [(r.seq, r.label, r.version) for r in annotations.late(updates).orderBy("seq").collect()] == [(11, events.UNDO, 12), (12, "Mechanic_pain", 12)]
+    assert annotations.latest(updates).count() == 0
+    in_time = [r for batch in batches for r in batch if r not in [(11, "x", 0), (12, "d", 7)]]
+    assert standing(annotations.latest(updates)) == standing(events.replay(log(spark, in_time), saved))
+
+
+def test_a_log_is_forgotten_after_its_time(spark, tmp_path):
+    """With one millisecond the second batch starts anew: its undo finds nothing of the first."""
+    updates = streamed(spark, tmp_path, [[(1, "a", 5), (2, "s", 6)], [(3, "x", 0), (4, "d", 7)]], seconds=20, ttl_ms=1)
+    assert standing(annotations.latest(updates)) == [(7, "Mechanic_pain", 4)]
 
 
 def test_segment_names(spark):
