@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,18 +13,24 @@ FLAGS = ("Soft_touch", "Strong_touch", "Mechanic_pain", "Thermo_pain", "Mouse_re
 CAMERA_FLAGS = {1: FLAGS[:4], 2: FLAGS[4:]}
 
 
-def nearest_frame(events: DataFrame, clock: DataFrame, rate: float) -> DataFrame:
+def nearest_frame(events: DataFrame, clock: DataFrame, rate: float, ticks_together: int = 64) -> DataFrame:
     """Add ``neuron_frame``, the frame nearest in time, to events (session_id, ..., ts); further off than 1/rate they go.
 
-    Ticks and events are laid on one time line per session; the last tick before and the first after
-    an event are the candidates, and the earlier one wins a tie. No event meets all ticks. Events
-    without time go, as nothing is near them.
+    Ticks and events are laid on one time line; the last tick before and the first after an event are the candidates,
+    and the earlier one wins a tie. No event meets all ticks. A session's line is cut into stretches of about
+    ``ticks_together`` intervals, so that a long session spreads over many tasks; since nothing further off than
+    1/rate counts, a tick is given to the stretch beside its own only that close to the cut. Events without time go,
+    as nothing is near them, and so do ticks.
     """
     keep = [c for c in events.columns if c not in ("session_id", "ts")]
-    ticks = clock.select("session_id", "ts", F.struct("ts", "frame_idx").alias("tick"), *[F.lit(None).cast(events.schema[c].dataType).alias(c) for c in keep], F.lit(0).alias("kind"))
-    marks = events.filter("ts IS NOT NULL").select("session_id", "ts", F.lit(None).cast(ticks.schema["tick"].dataType).alias("tick"), *keep, F.lit(1).alias("kind"))
-    line = Window.partitionBy("session_id").orderBy("ts", "kind", F.col("tick.frame_idx").desc())
-    back = Window.partitionBy("session_id").orderBy(F.col("ts").desc(), F.col("kind"), F.col("tick.frame_idx").desc())
+    reach, width = math.ceil(1e6 / rate) + 1, max(1, math.ceil(ticks_together * 1e6 / rate))
+    at = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ))")
+    stretch = lambda us: F.floor(us / F.lit(float(width)))
+    ticks = clock.filter("ts IS NOT NULL").select("session_id", F.explode(F.sequence(stretch(at - reach), stretch(at + reach))).alias("stretch"), "ts", F.struct("ts", "frame_idx").alias("tick"), *[F.lit(None).cast(events.schema[c].dataType).alias(c) for c in keep], F.lit(0).alias("kind"))
+    marks = events.filter("ts IS NOT NULL").select("session_id", stretch(at).alias("stretch"), "ts", F.lit(None).cast(ticks.schema["tick"].dataType).alias("tick"), *keep, F.lit(1).alias("kind"))
+    part = Window.partitionBy("session_id", "stretch")
+    line = part.orderBy("ts", "kind", F.col("tick.frame_idx").desc())
+    back = part.orderBy(F.col("ts").desc(), F.col("kind"), F.col("tick.frame_idx").desc())
     both = ticks.unionByName(marks).withColumns({"before": F.last("tick", True).over(line), "after": F.last("tick", True).over(back)}).filter("kind = 1")
     to_before, to_after = seconds_between(F.col("ts"), F.col("before.ts")), seconds_between(F.col("after.ts"), F.col("ts"))
     use_before = F.col("after").isNull() | (F.col("before").isNotNull() & (to_before <= to_after))
@@ -81,10 +89,10 @@ def originals(events: DataFrame) -> DataFrame:
 
 
 def metadata(flagged: DataFrame, dff: DataFrame, rate: float, camera_rate: float = 30.0, flags=FLAGS) -> DataFrame:
-    """One row a session: rates, frames, cells, count of each flag and the names of the flags."""
+    """One row a session: rates, frames, cells, count of each flag, the names of the flags and when it was ``created``."""
     counts = flagged.groupBy("session_id").agg(F.count(F.lit(1)).alias("n_frames"), *[F.count_if(F.col(f)).alias(f"n_{f}") for f in flags])
     cells = dff.select("session_id", "cell_id").distinct().groupBy("session_id").agg(F.count(F.lit(1)).alias("n_cells"))
-    return counts.join(cells, "session_id", "left").withColumns({"rate": F.lit(rate), "camera_rate": F.lit(camera_rate), "columns": F.lit(",".join(flags))})
+    return counts.join(cells, "session_id", "left").withColumns({"rate": F.lit(rate), "camera_rate": F.lit(camera_rate), "columns": F.lit(",".join(flags)), "created": F.current_timestamp()})
 
 
 def merged(dff: DataFrame, clock: DataFrame, flagged: DataFrame) -> DataFrame:

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,32 +35,66 @@ def mask(footprints: DataFrame, level: float = MORPH_LEVEL) -> DataFrame:
     return footprints.withColumn("top", top).filter(F.col("weight") > F.col("top") * level).select(*CELL, "y", "x")
 
 
-def _component(y: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Which pixels are in the largest 8-connected part; of equal parts the one that comes first by column, then row."""
-    at = {p: i for i, p in enumerate(zip(y.tolist(), x.tolist(), strict=True))}
-    part = np.full(len(y), -1)
-    best: tuple[int, int, int] | None = None
-    best_part = -1
-    for n, (start, i) in enumerate(sorted(at.items(), key=lambda e: (e[0][1], e[0][0]))):
-        if part[i] >= 0:
-            continue
-        part[i], todo, size = n, [start], 0
-        while todo:
-            r, c = todo.pop()
-            size += 1
-            for p in [(r + dr, c + dc) for dr in (-1, 0, 1) for dc in (-1, 0, 1)]:
-                j = at.get(p, -1)
-                if j >= 0 and part[j] < 0:
-                    part[j] = n
-                    todo.append(p)
-        if best is None or size > best[0]:
-            best, best_part = (size, start[1], start[0]), n
-    return part == best_part
+def _joined(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least number that each of n things reaches over the pairs (a, b): both ends take the lesser root until nothing changes."""
+    root = np.arange(n)
+    while True:
+        least = np.minimum(root[a], root[b])
+        new = root.copy()
+        np.minimum.at(new, root[a], least)
+        np.minimum.at(new, root[b], least)
+        while (new[new] != new).any():
+            new = new[new]
+        if (new == root).all():
+            return root
+        root = new
+
+
+def _largest(cell: np.ndarray, y: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Which pixels, in order of cell, row and column, are in their cell's largest 8-connected part; of equal parts the one that comes first by column, then row.
+
+    Pixels side by side are a run; runs of neighbouring rows touch if their columns do, one aside included.
+    """
+    if not len(cell):
+        return np.zeros(0, bool)
+    y, x = y.astype(np.int64) - y.min(), x.astype(np.int64) - x.min() + 1
+    height, width = y.max() + 2, x.max() + 2
+    line = cell * height + y
+    first = np.flatnonzero(np.concatenate([[True], (np.diff(line) != 0) | (np.diff(x) != 1)]))
+    length = np.diff(np.append(first, len(cell)))
+    line, left, right = line[first], x[first], x[first] + length - 1
+    lo = np.searchsorted(line * width + right, (line + 1) * width + left - 1, "left")
+    hi = np.searchsorted(line * width + left, (line + 1) * width + right + 1, "right")
+    n = np.maximum(hi - lo, 0)
+    below = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+    root = _joined(len(first), np.repeat(np.arange(len(first)), n), below)
+    size = np.bincount(root, length, len(first))
+    corner = np.full(len(first), np.iinfo(np.int64).max)
+    np.minimum.at(corner, root, left * height + y[first])
+    part = np.unique(root)
+    order = part[np.lexsort((corner[part], -size[part], cell[first[part]]))]
+    best = order[np.concatenate([[True], np.diff(cell[first[order]]) != 0])]
+    return np.repeat(np.isin(root, best), length)
 
 
 def largest_component(masked: DataFrame) -> DataFrame:
-    """The largest 8-connected part of each cell's mask; a cell has at most the pixels of one frame."""
-    return masked.groupBy(*CELL).applyInPandas(lambda g: g[_component(g["y"].to_numpy(), g["x"].to_numpy())], masked.schema)
+    """(session_id, cell_id, y, x) of the largest 8-connected part of each cell's mask; a cell has at most the pixels of one frame.
+
+    Cells come as rows, and all cells of an Arrow batch are worked on together. Pixels that repeat count once.
+    """
+    pixels = masked.filter("y IS NOT NULL AND x IS NOT NULL").groupBy(*CELL).agg(F.array_sort(F.collect_set(F.struct("y", "x"))).alias("px"))
+    kinds = {c: masked.schema[c].dataType for c in (*CELL, "y", "x")}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(2)
+            flat, cell = lists.flatten(), np.repeat(np.arange(len(batch)), np.diff(lists.offsets.to_numpy()))
+            y, x = flat.field("y"), flat.field("x")
+            at = pa.array(np.flatnonzero(_largest(cell, y.to_numpy(), x.to_numpy())))
+            own = pa.array(cell).take(at)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), y.take(at), x.take(at)], [*CELL, "y", "x"])
+
+    return pixels.mapInArrow(run, ", ".join(f"{c} {t.simpleString()}" for c, t in kinds.items()))
 
 
 def region_properties(parts: DataFrame) -> DataFrame:

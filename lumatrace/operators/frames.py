@@ -182,7 +182,8 @@ def smooth(frames: DataFrame, sigma: float = 1.0) -> DataFrame:
     in Arrow batches. No shuffle.
     """
     weights = kernel(sigma)
-    schema = frames.select("session_id", "frame_idx", *SHAPE, F.array(F.lit(0.0)).alias("pixels")).schema
+    kinds = [f"{c} {frames.schema[c].dataType.simpleString()}" for c in ("session_id", "frame_idx", *SHAPE)]
+    schema = ", ".join([*kinds, "pixels array<double>"])
 
     def along(image: np.ndarray, axis: int) -> np.ndarray:
         half, n = len(weights) // 2, image.shape[axis]
@@ -194,7 +195,7 @@ def smooth(frames: DataFrame, sigma: float = 1.0) -> DataFrame:
             out = []
             for h, w, px in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4), strict=True):
                 out.append(None if not px.is_valid else along(along(values(px).reshape(h, w), 1), 0).ravel())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(out, pa.list_(pa.float64()))], schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(out, pa.list_(pa.float64()))], ["session_id", "frame_idx", *SHAPE, "pixels"])
 
     return frames.select("session_id", "frame_idx", *SHAPE, "pixels").mapInArrow(run, schema)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumatrace.functions.columns import sem
@@ -12,22 +12,38 @@ CELL = ["session_id", "cell_id"]
 PERIODS = (("baseline", 0.0, 300.0), ("late", 1380.0, 1680.0))
 
 
-def in_periods(dff: DataFrame, rate: float, periods=PERIODS, check: bool = True) -> DataFrame:
+def _within(rate: float, start: float, end: float) -> Column:
+    t = (F.col("frame_idx") - 1) / F.lit(rate)
+    return (t >= start) & (t < end)
+
+
+def empty_periods(dff: DataFrame, rate: float, periods=PERIODS) -> DataFrame:
+    """(session_id, period, seconds): the periods in which a session has no frame, and how long its recording is."""
+    counts = dff.groupBy("session_id").agg(F.coalesce(F.max("frame_idx"), F.lit(0)).alias("last"), *[F.count_if(_within(rate, a, b)).alias(f"in_{i}") for i, (_, a, b) in enumerate(periods)])
+    missing = F.array_compact(F.array(*[F.when(F.col(f"in_{i}") == 0, F.lit(n)) for i, (n, _, _) in enumerate(periods)]))
+    return counts.select("session_id", F.explode(missing).alias("period"), (F.col("last") / F.lit(rate)).alias("seconds"))
+
+
+def in_periods(dff: DataFrame, rate: float, periods=PERIODS, check: str | None = "error") -> DataFrame:
     """Rows of each period, with its name and minutes; start <= t < end, t = (frame - 1) / rate.
 
-    ``check``: a period without any frame is an error that names the recording's length. That runs the plan
-    so far; without it nothing runs before the caller's own action.
+    ``check``: what becomes of a session without any frame in one of the periods. ``error``: the job fails and names
+    the session, the periods and the recording's length; ``drop``: the session goes, see ``empty_periods``; None: it
+    stays with the periods it has. A check is a sum over the same rows in the same plan; nothing runs before
+    the caller's own action.
     """
-    t = (F.col("frame_idx") - 1) / F.lit(rate)
-    parts = [F.when((t >= a) & (t < b), F.struct(F.lit(n).alias("period"), F.lit((b - a) / 60).alias("minutes"))) for n, a, b in periods]
+    if check not in ("error", "drop", None):
+        raise ValueError(f"unknown check: {check}")
+    parts = [F.when(_within(rate, a, b), F.struct(F.lit(n).alias("period"), F.lit((b - a) / 60).alias("minutes"))) for n, a, b in periods]
     kept = dff.withColumn("in", F.explode(F.array_compact(F.array(*parts)))).select(*dff.columns, "in.period", "in.minutes")
-    if check:
-        found = {r[0] for r in kept.select("period").distinct().collect()}  # as many rows as periods
-        missing = [n for n, _, _ in periods if n not in found]
-        if missing:
-            length = dff.agg(F.max("frame_idx")).first()[0] or 0
-            raise ValueError(f"no frames in {', '.join(missing)}; the recording has {length / rate:.1f} s")
-    return kept
+    if check is None:
+        return kept
+    short = empty_periods(dff, rate, periods).groupBy("session_id").agg(F.concat_ws(", ", F.array_sort(F.collect_list("period"))).alias("missing"), F.max("seconds").alias("seconds"))
+    if check == "drop":
+        return kept.join(short.select("session_id"), "session_id", "left_anti").select(kept.columns)
+    said = F.concat(F.lit("no frames in "), F.col("missing"), F.lit("; the recording of "), F.coalesce(F.col("session_id").cast("string"), F.lit("null")), F.lit(" has "), F.format_string("%.1f", "seconds"), F.lit(" s"))
+    failed = short.select(F.raise_error(said).cast("boolean").alias("bad"))  # a row only where a period is empty
+    return kept.join(failed, F.col("bad"), "left_anti").select(kept.columns)
 
 
 def mean_and_peak(sliced: DataFrame) -> DataFrame:
@@ -50,7 +66,7 @@ def transients(sliced: DataFrame, limits: DataFrame) -> DataFrame:
     return counts.select(*CELL, "period", "n", (F.col("n") / F.col("minutes")).alias("rate"))
 
 
-def metrics(dff: DataFrame, rate: float, periods=PERIODS, k: float = 2.0, check: bool = False) -> DataFrame:
+def metrics(dff: DataFrame, rate: float, periods=PERIODS, k: float = 2.0, check: str | None = None) -> DataFrame:
     """(session_id, cell_id, metric, baseline, late): mean, peak and transient rate side by side. ``check``: as in ``in_periods``."""
     sliced = in_periods(dff, rate, periods, check)
     wide = mean_and_peak(sliced).join(transients(sliced, thresholds(dff, k)).select(*CELL, "period", "rate"), [*CELL, "period"])

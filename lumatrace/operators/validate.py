@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -86,13 +87,32 @@ def ratio_check(paired: DataFrame, camera: DataFrame, low: float = 5.0, high: fl
 
 
 def output_inventory(spark: SparkSession, folder: str, expected: tuple[str, ...]) -> DataFrame:
-    """Each expected output table as present (with its columns) or pending."""
-    rows = []
-    for name in expected:
-        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
-        there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
-        rows.append((name, "present" if there else "pending", ",".join(spark.read.parquet(f"{folder}/{name}").columns) if there else ""))
-    return spark.createDataFrame(rows, "output string, status string, columns string")
+    """(output, status, rows, columns, types): each expected output table as present, with its rows and fields, or pending.
+
+    All tables are counted in one job that reads no column, only the rows that the files' footers state; a table's
+    fields are those of one footer. A table without any file is pending, one whose files hold no row has 0.
+    """
+    home = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = home.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def filled(path) -> bool:
+        files = system.listFiles(path, True)
+        while files.hasNext():
+            if files.next().getPath().getName().endswith(".parquet"):
+                return True
+        return False
+
+    listed = {s.getPath().getName() for s in system.listStatus(home) if s.isDirectory() and filled(s.getPath())} if system.exists(home) else set()
+    present = [name for name in expected if name in listed]
+    schemas = {name: spark.read.parquet(f"{folder}/{name}").schema for name in present}
+    fields = [(name, name in listed, ",".join(schemas[name].names) if name in listed else "", ",".join(f.dataType.simpleString() for f in schemas[name]) if name in listed else "") for name in expected]
+    known = spark.createDataFrame(fields, "output string, there boolean, columns string, types string")
+    counts = spark.createDataFrame([], "output string, rows long")
+    if present:
+        files = spark.read.option("recursiveFileLookup", "true").schema("none int").parquet(*[f"{folder}/{name}" for name in present])
+        name = F.regexp_extract("_metadata.file_path", f"/{re.escape(home.getName())}/([^/]+)/", 1)
+        counts = files.groupBy(name.alias("output")).agg(F.count(F.lit(1)).alias("rows"))
+    return known.join(counts, "output", "left").select("output", F.when(F.col("there"), "present").otherwise("pending").alias("status"), F.coalesce("rows", F.lit(0).cast("long")).alias("rows"), "columns", "types")
 
 
 def verdict(checks: DataFrame) -> DataFrame:

@@ -89,7 +89,8 @@ def all_checks(s, d):
 def outputs(s, d):
     folder = f"{shared_dir(s)}/outputs-{uuid.uuid4().hex}"
     scans.save_results({"traces": fx.traces(s, d)}, folder)
-    return validate.output_inventory(s, folder, ("traces", "merged"))
+    scans.save_results({"frames": fx.frames(s, d)}, folder, by=None)
+    return validate.output_inventory(s, folder, ("traces", "frames", "merged"))
 
 
 QUERIES = {
@@ -212,6 +213,7 @@ ORACLES = {
     "frm5_bin_mean": q(f"SELECT {_PIX} FROM (SELECT session_id, CAST((frame_idx - 1) // 4 + 1 AS INTEGER) AS frame_idx, at, avg(v) AS v FROM px GROUP BY session_id, (frame_idx - 1) // 4, at HAVING count(*) = 4)"),
     "frm6_z_score": q("SELECT px.session_id, frame_idx, px.at, round((v - m) / s, 6) + 0.0 AS v FROM px JOIN zs ON px.session_id = zs.session_id AND px.at = zs.at"),
     "frm7_smooth": q(f"SELECT {_PIX} FROM sm2"),
+    "frm7_smooth_whole": q(f"SELECT {_PIX} FROM sm2"),
     "frm8_projections": q("SELECT session_id, CAST(at // 8 + 1 AS INTEGER) AS y, CAST(at % 8 + 1 AS INTEGER) AS x, round(avg(v), 6) + 0.0 AS mean, max(v) AS max, round(coalesce(stddev_samp(v), 0.0), 6) + 0.0 AS std FROM px GROUP BY session_id, at"),
     "frm9_template": q("SELECT b.session_id, CAST(b.start AS INTEGER) AS start, round(any_value(score), 6) + 0.0 AS score, 8 AS h, 8 AS w, list(round(m, 6) + 0.0 ORDER BY mu.at) AS pixels FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY score DESC, start) AS k FROM tpl) b JOIN mu ON mu.session_id = b.session_id AND mu.start = b.start WHERE k = 1 GROUP BY b.session_id, b.start"),
     "frm10_contrast": q(f"SELECT session_id, {r('lo', 'hi')} FROM lim"),
@@ -243,6 +245,6 @@ ORACLES = {
     "val6_cameras": q("SELECT session_id, cam_id, count(*) AS n_segments, CAST(sum(n_frames) AS BIGINT) AS n_frames, round(sum(bytes) / 1e6, 6) + 0.0 AS mb FROM segments GROUP BY session_id, cam_id"),
     "val7_intervals": q("SELECT iv.session_id, round(mean_dt, 6) + 0.0 AS mean_dt, round(std_dt, 6) + 0.0 AS std_dt, round(CASE WHEN mean_dt > 0 THEN 1 / mean_dt ELSE 0.0 END, 6) + 0.0 AS rate, round(n * mean_dt, 6) + 0.0 AS length FROM iv JOIN (SELECT session_id, count(*) AS n FROM mclk GROUP BY 1) c ON iv.session_id = c.session_id"),
     "val8_ratio": q("SELECT * FROM ra"),
-    "val9_outputs": q("SELECT 'traces' AS output, 'present' AS status, 'cell_id,frame_idx,value,session_id' AS columns FROM (SELECT count(*) AS n FROM traces) WHERE n > 0 UNION ALL SELECT 'merged', 'pending', ''"),
+    "val9_outputs": q("SELECT 'traces' AS output, 'present' AS status, count(*) AS rows, 'cell_id,frame_idx,value,session_id' AS columns, 'int,int,double,string' AS types FROM traces UNION ALL SELECT 'frames', 'present', count(*), 'session_id,frame_idx,h,w,pixels', 'string,int,int,int,array<int>' FROM frames UNION ALL SELECT 'merged', 'pending', 0, '', ''"),
     "val10_verdict": q("SELECT session_id, bool_and(status <> 'WARNING') AS passed, count(*) FILTER (status = 'WARNING') AS n_warnings FROM chk GROUP BY session_id"),
 }

@@ -78,10 +78,16 @@ def checkpoint_twice(s, d):
 
 
 def pulses(s, d):
-    raw = fx.clock_raw(s, d).select(F.col("raw_idx").alias("pulse_idx"), F.col("time").alias("Time"), "slice")
-    bad = raw.filter("slice = '2'").withColumn("Time", F.lit("n/a")).drop("slice")
-    good, warned = scans.scan_pulses({"good": raw.filter("slice = '1'").drop("slice"), "bad": bad})
-    return good.groupBy("source").agg(F.count(F.lit(1)).alias("n")).union(warned.select("source", F.lit(0).cast("long")))
+    """Pulses and warnings of files: a good one, one with bad stamps, one of which every other stamp is bad, and one that is no Parquet file."""
+    raw = fx.clock_raw(s, d).select(F.col("raw_idx").cast("long").alias("pulse_idx"), F.col("time").alias("TIME"), "slice")
+    some = F.when(F.col("slice") == "1", F.col("TIME")).otherwise("n/a")
+    folder = f"{shared_dir(s)}/pulses-{uuid.uuid4().hex}"
+    for name, df in {"good": raw, "bad": raw.withColumn("TIME", F.lit("n/a")), "mixed": raw.withColumn("TIME", some)}.items():
+        df.drop("slice").write.parquet(f"{folder}/{name}")
+    raw.limit(10).select("TIME").write.text(f"{folder}/torn")  # ten lines of text in a Parquet file's place
+    good, warned = scans.scan_pulse_files(s, f"{folder}/*/part-*", F.regexp_extract("_metadata.file_path", "([^/]+)/[^/]+$", 1))
+    every = good.select("source", F.lit("").alias("warning"), F.lit(1).alias("k")).union(warned.select("source", "warning", "n"))
+    return every.groupBy("source", "warning").agg(F.sum("k").alias("n"))
 
 
 def optional(s, d):
@@ -92,15 +98,24 @@ def optional(s, d):
 
 
 def resolved(s, d):
-    cam = fx.camera_clock(s, d).filter("cam_id = 1").select("session_id", F.col("frame_idx").alias("n"), F.lit("x").alias("Other"), F.col("ref_time").alias("Ref Time (abs)"), F.col("ref_time").alias("time"))
-    return scans.scan_clock(cam, "camera1", "n")
+    """Camera 1 by three sources: the first has no time, the second only even sessions, the third stamps that are an hour off."""
+    cam = fx.camera_clock(s, d).filter("cam_id = 1").select("session_id", F.col("frame_idx").alias("n"), F.col("ref_time").alias("stamp"))
+    late = F.date_format(clocks.parse(F.col("stamp")) + F.expr("INTERVAL 1 HOUR"), "yyyy-MM-dd HH:mm:ss.SSS")
+    second = cam.filter(F.substring("session_id", 2, 20).cast("long") % 2 == 0).select("session_id", "n", F.lit("x").alias("Time"), F.col("stamp").alias("Ref Time (abs)"))
+    return scans.scan_first_clock([cam.withColumnRenamed("stamp", "Other"), second, cam.select("session_id", "n", late.alias("TIME"))], "camera1", "n")
+
+
+def named_files(s, d):
+    """Segments of which some are index files or of the second pattern, some in folder ``cam`` and some in another."""
+    name = "CASE WHEN n_frames % 3 = 0 THEN replace(segment_name, '.tif', '_index.tif') WHEN n_frames % 3 = 1 THEN replace(segment_name, '.tif', '.tiff') ELSE segment_name END"
+    return fx.segments(s, d).withColumns({"segment_name": F.expr(name), "folder": F.expr("CASE WHEN n_frames % 5 = 0 AND right(session_id, 1) IN ('1', '2') THEN 'cam' WHEN n_frames % 5 = 1 THEN 'old' ELSE '' END")})
 
 
 QUERIES = {
     "src1_natural_order": lambda s, d: segments.ordered(fx.segments(s, d)).select("session_id", "segment_name", "ord"),
     "src2_all_digits_order": lambda s, d: segments.ordered(fx.segments(s, d), "digits").select("session_id", "segment_name", "ord"),
     "src3_name_order": lambda s, d: segments.ordered(fx.segments(s, d), "name").select("session_id", "segment_name", "ord"),
-    "src4_pick": lambda s, d: segments.pick(fx.segments(s, d).withColumn("segment_name", F.expr("CASE WHEN n_frames % 3 = 0 THEN replace(segment_name, '.tif', '_index.tif') WHEN n_frames % 3 = 1 THEN replace(segment_name, '.tif', '.tiff') ELSE segment_name END"))).select("session_id", "segment_name"),
+    "src4_pick": lambda s, d: segments.pick(named_files(s, d), nested="cam").select("session_id", "folder", "segment_name", "first"),
     "src5_concat": lambda s, d: concatenated(s, d).select("session_id", "segment_name", "ord", "first_frame", "last_frame"),
     "src6_locate": lambda s, d: segments.locate(fx.segments(s, d).select("session_id", F.expr("int(n_frames * 37)").alias("at"), F.col("segment_name").alias("asked")).distinct(), concatenated(s, d)),
     "src7_frame_range": lambda s, d: segments.frame_range(fx.frames(s, d), 11, 60).select("session_id", "frame_idx", "h", "w"),
@@ -133,7 +148,7 @@ QUERIES = {
     "aln6_legacy": lambda s, d: align.legacy_labels(fx.scored(s, d).withColumn("label", F.expr("CASE label WHEN 'Soft_touch' THEN 'A' WHEN 'Strong_touch' THEN 'Stimuli_given' ELSE label END"))).select("session_id", "cam_id", "frame_idx", "label"),
     "aln7_any_event": lambda s, d: flagged(s, d).select("session_id", "frame_idx", "any_event"),
     "aln8_originals": lambda s, d: align.originals(fx.scored(s, d)).select("session_id", "cam_id", F.size("events").cast("long").alias("n"), F.element_at("events", 1)["frame_idx"].alias("first_frame"), F.element_at("events", -1)["label"].alias("last_label")),
-    "aln9_metadata": lambda s, d: align.metadata(flagged(s, d), fx.traces(s, d), RATE),
+    "aln9_metadata": lambda s, d: align.metadata(flagged(s, d), fx.traces(s, d), RATE).drop("created"),
     "aln10_merged": lambda s, d: tidy(align.merged(dff(s, d), microscope(s, d).drop("stream"), flagged(s, d)), "dff"),
 }
 
@@ -178,13 +193,13 @@ ORACLES = {
     "src1_natural_order": q(_order(_NUM + ", ")),
     "src2_all_digits_order": q(_order(_DIG + ", ")),
     "src3_name_order": q(_order("")),
-    "src4_pick": q("SELECT session_id, segment_name FROM pk WHERE rank = (SELECT min(rank) FROM pk p WHERE p.session_id = pk.session_id)", pk="SELECT session_id, nm AS segment_name, CASE WHEN nm LIKE '%.tif' THEN 0 ELSE 1 END AS rank FROM (SELECT session_id, CASE WHEN n_frames % 3 = 0 THEN replace(segment_name, '.tif', '_index.tif') WHEN n_frames % 3 = 1 THEN replace(segment_name, '.tif', '.tiff') ELSE segment_name END AS nm FROM segments) WHERE nm NOT LIKE '%\\_index%' ESCAPE '\\'"),
+    "src4_pick": q("SELECT session_id, folder, nm AS segment_name, row_number() OVER (PARTITION BY session_id ORDER BY nm) = 1 AS first FROM pk WHERE rank = (SELECT min(rank) FROM pk p WHERE p.session_id = pk.session_id)", pk="SELECT session_id, folder, nm, CASE WHEN folder = 'cam' THEN 0 ELSE 2 END + CASE WHEN nm LIKE '%.tif' THEN 0 ELSE 1 END AS rank FROM (SELECT session_id, CASE WHEN n_frames % 5 = 0 AND right(session_id, 1) IN ('1', '2') THEN 'cam' WHEN n_frames % 5 = 1 THEN 'old' ELSE '' END AS folder, CASE WHEN n_frames % 3 = 0 THEN replace(segment_name, '.tif', '_index.tif') WHEN n_frames % 3 = 1 THEN replace(segment_name, '.tif', '.tiff') ELSE segment_name END AS nm FROM segments) WHERE nm NOT LIKE '%\\_index%' ESCAPE '\\' AND folder <> 'old'"),
     "src5_concat": q("SELECT session_id, segment_name, ord, last_frame - n_frames + 1 AS first_frame, last_frame FROM cat"),
     "src6_locate": q("SELECT w.session_id, w.at, w.asked, c.segment_name, g - (c.last_frame - c.n_frames) AS local_frame FROM (SELECT DISTINCT session_id, CAST(n_frames * 37 AS INTEGER) AS at, segment_name AS asked, least(greatest(n_frames * 37, 1), (SELECT max(last_frame) FROM cat x WHERE x.session_id = segments.session_id)) AS g FROM segments) w JOIN cat c ON w.session_id = c.session_id AND g > c.last_frame - c.n_frames AND g <= c.last_frame"),
     "src7_frame_range": q("SELECT session_id, frame_idx, h, w FROM frames WHERE frame_idx BETWEEN 11 AND 60"),
     "src8_batch": q("SELECT session_id, count(*) AS n, max(frame_idx) AS last FROM traces GROUP BY session_id"),
-    "src9_clock_columns": q("SELECT session_id, stream, frame_idx, ts FROM cclk WHERE stream = 'camera1'"),
-    "src10_pulses": q("SELECT 'good' AS source, count(*) AS n FROM clock_raw WHERE slice = '1' UNION ALL SELECT 'bad', 0"),
+    "src9_clock_columns": q("SELECT session_id, stream, frame_idx, CASE WHEN even THEN ts ELSE ts + INTERVAL 1 HOUR END AS ts, CASE WHEN even THEN 1 ELSE 2 END AS source FROM (SELECT *, CAST(substr(session_id, 2) AS BIGINT) % 2 = 0 AS even FROM cclk WHERE stream = 'camera1')"),
+    "src10_pulses": q("SELECT source, warning, count(*) FILTER (used) AS n FROM (SELECT 'good' AS source, '' AS warning, true AS used FROM clock_raw UNION ALL SELECT 'bad', 'no readable stamp', true FROM clock_raw UNION ALL SELECT 'mixed', '', true FROM clock_raw WHERE slice = '1' UNION ALL SELECT 'mixed', 'bad stamp', true FROM clock_raw WHERE slice = '2' UNION ALL SELECT 'torn', 'unreadable', false) GROUP BY ALL"),
     "src11_optional": q("SELECT f.session_id, f.frame_idx, " + ", ".join(f"coalesce(bool_or(m.label = '{x}'), false) AS {x}" if x in align.FLAGS[:4] else f"false AS {x}" for x in align.FLAGS) + " FROM (SELECT DISTINCT session_id, frame_idx FROM traces) f LEFT JOIN marks m ON f.session_id = m.session_id AND f.frame_idx = m.frame_idx GROUP BY f.session_id, f.frame_idx"),
     "snk1_results": q("SELECT session_id, frame_idx, round(avg(dff), 6) + 0.0 AS mean_dff FROM dff GROUP BY session_id, frame_idx"),
     "snk2_checkpoint": q("SELECT session_id, frame_idx, h, w, CAST(list_sum(pixels) AS BIGINT) AS total FROM frames"),
@@ -202,6 +217,7 @@ ORACLES = {
     "evt4_stamp": q("SELECT s.session_id, s.cam_id, s.frame_idx, label, epoch_us(s.ts) AS seq, c.ts, CAST(row_number() OVER (PARTITION BY s.session_id, s.cam_id ORDER BY s.frame_idx, epoch_us(s.ts)) AS INTEGER) AS place FROM scored s LEFT JOIN cclk c ON s.session_id = c.session_id AND 'camera' || s.cam_id = c.stream AND s.frame_idx = c.frame_idx"),
     "evt5_counts": q("SELECT p.session_id, defs.cam_id, defs.label, count(c.label) AS n FROM (SELECT DISTINCT session_id, cam_id FROM cm) p JOIN defs ON p.cam_id = defs.cam_id LEFT JOIN cm c ON c.session_id = p.session_id AND c.label = defs.label GROUP BY ALL UNION ALL SELECT session_id, cam_id, 'all', count(*) FROM cm GROUP BY ALL", cm="SELECT session_id, CASE WHEN label IN ('Mouse_reaction', 'Reaction_offset') THEN 2 ELSE 1 END AS cam_id, label FROM marks"),
     "evt6_near_frame": q("SELECT s.session_id, s.cam_id, s.frame_idx, c.frame_idx AS at, label FROM scored s JOIN camera_clock c ON s.session_id = c.session_id AND s.cam_id = c.cam_id AND abs(s.frame_idx - c.frame_idx) < 3"),
+    "evt6_near_frame_whole": q("SELECT s.session_id, s.cam_id, s.frame_idx, c.frame_idx AS at, label FROM scored s JOIN camera_clock c ON s.session_id = c.session_id AND s.cam_id = c.cam_id AND abs(s.frame_idx - c.frame_idx) < 3"),
     "aln1_nearest_frame": q("SELECT * FROM mapd"),
     "aln2_reconcile": q("SELECT session_id, frame_idx, ts FROM mclk WHERE frame_idx <= least(900, (SELECT max(frame_idx) FROM mclk m WHERE m.session_id = mclk.session_id))"),
     "aln3_by_ratio": q("SELECT DISTINCT s.session_id, cam_id, label, CAST(round(frame_idx / (30.0::DOUBLE / 4.605)) AS INTEGER) AS neuron_frame FROM scored s JOIN lengths l ON s.session_id = l.session_id WHERE round(frame_idx / (30.0::DOUBLE / 4.605)) BETWEEN 1 AND n_frames"),

@@ -106,7 +106,7 @@ QUERIES = {
     "trc10_clip_normalise": lambda s, d: tidy(traces.clip_normalise(dff(s, d).filter("frame_idx BETWEEN 20 AND 70")), "norm"),
     "trc11_population": lambda s, d: tidy(traces.population(dff(s, d)), "mean_dff"),
     "per1_event_types": lambda s, d: peri.event_frames(flags(s, d)),
-    "per2_window_frames": lambda s, d: tidy(fx.marks(s, d).filter("label = 'Soft_touch'").select("session_id", F.col("frame_idx").alias("event_frame")).withColumn("offset", F.explode(F.sequence(F.lit(-PRE), F.lit(POST)))).withColumn("t", F.col("offset") / F.lit(RATE)), "t"),
+    "per2_window_frames": lambda s, d: tidy(fx.marks(s, d).select("session_id", "label", F.col("frame_idx").alias("event_frame")).withColumn("offset", F.explode(F.sequence(F.lit(-PRE), F.lit(POST)))).withColumn("t", F.col("offset") / F.lit(RATE)), "t"),
     "per3_trials": numbered,
     "per4_windows": lambda s, d: tidy(windows(s, d), "t", "dff"),
     "per5_trial_mean_sem": lambda s, d: tidy(peri.cell_mean(windows(s, d)), "mean", "sem"),
@@ -123,11 +123,12 @@ QUERIES = {
     "sta2_paired_t": lambda s, d: tidy(stats.paired_t_p(cell_pairs(s, d).withColumn("block", F.expr("(trial - 1) div 4")), ["session_id", "event_type", "cell_id", "block"], "pre", "post"), "p_t"),
     "sta3_test_choice": lambda s, d: tidy(stats.paired_test(cell_pairs(s, d), ["session_id", "event_type", "cell_id"], "pre", "post").drop("stars"), "p"),
     "sta4_stars": lambda s, d: stats.paired_test(cell_pairs(s, d), ["session_id", "event_type", "cell_id"], "pre", "post").drop("p", "n"),
-    "bvl1_periods": lambda s, d: tidy(periods.in_periods(dff(s, d), RATE, PERIODS, check=False), "dff", "minutes"),
-    "bvl2_mean_peak": lambda s, d: tidy(periods.mean_and_peak(periods.in_periods(dff(s, d), RATE, PERIODS, check=False)), "mean", "peak"),
+    "bvl1_periods": lambda s, d: tidy(periods.in_periods(dff(s, d), RATE, PERIODS, check="drop"), "dff", "minutes"),
+    "bvl1_empty_periods": lambda s, d: tidy(periods.empty_periods(fx.traces(s, d), RATE, (*PERIODS, ("last", 200.0, 260.0), ("beyond", 300.0, 360.0))), "seconds"),
+    "bvl2_mean_peak": lambda s, d: tidy(periods.mean_and_peak(periods.in_periods(dff(s, d), RATE, PERIODS, check=None)), "mean", "peak"),
     "bvl3_threshold": lambda s, d: tidy(periods.thresholds(dff(s, d)), "threshold"),
-    "bvl4_transients": lambda s, d: periods.transients(periods.in_periods(dff(s, d), RATE, PERIODS, check=False), periods.thresholds(dff(s, d))).drop("rate"),
-    "bvl5_rate": lambda s, d: tidy(periods.transients(periods.in_periods(dff(s, d), RATE, PERIODS, check=False), periods.thresholds(dff(s, d))).drop("n"), "rate"),
+    "bvl4_transients": lambda s, d: periods.transients(periods.in_periods(dff(s, d), RATE, PERIODS, check=None), periods.thresholds(dff(s, d))).drop("rate"),
+    "bvl5_rate": lambda s, d: tidy(periods.transients(periods.in_periods(dff(s, d), RATE, PERIODS, check=None), periods.thresholds(dff(s, d))).drop("n"), "rate"),
     "bvl6_compare": lambda s, d: tidy(periods.compare(metrics(s, d)), "p"),
     "bvl7_bars": lambda s, d: tidy(periods.bars(metrics(s, d)), "mean_baseline", "sem_baseline", "mean_late", "sem_late", "bracket"),
 }
@@ -164,7 +165,7 @@ ORACLES = {
     "trc10_clip_normalise": q(f"SELECT c.session_id, c.cell_id, frame_idx, round(least(1.0, greatest(0.0, CASE WHEN hi > lo THEN (dff - lo) / (hi - lo) ELSE dff END)), 6) + 0.0 AS norm FROM clip c JOIN (SELECT session_id, cell_id, {pct('s', 5)} AS lo, {pct('s', 99)} AS hi FROM csr) l ON c.session_id = l.session_id AND c.cell_id = l.cell_id", **_SORTED),
     "trc11_population": q("SELECT session_id, frame_idx, round(avg(dff), 6) + 0.0 AS mean_dff FROM dff GROUP BY session_id, frame_idx"),
     "per1_event_types": q("SELECT * FROM ev"),
-    "per2_window_frames": q(f"SELECT session_id, frame_idx AS event_frame, CAST(o AS INTEGER) AS \"offset\", round(o / 4.605::DOUBLE, 6) + 0.0 AS t FROM marks, range(-{PRE}, {POST + 1}) z(o) WHERE label = 'Soft_touch'"),
+    "per2_window_frames": q(f"SELECT session_id, label, frame_idx AS event_frame, CAST(o AS INTEGER) AS \"offset\", round(o / 4.605::DOUBLE, 6) + 0.0 AS t FROM marks, range(-{PRE}, {POST + 1}) z(o)"),
     "per3_trials": q("SELECT session_id, event_type, event_frame, trial FROM tr"),
     "per4_windows": q(f"SELECT session_id, event_type, trial, event_frame, cell_id, \"offset\", {r('t', 'dff')} FROM pw"),
     "per5_trial_mean_sem": q(f"SELECT session_id, event_type, cell_id, \"offset\", {r('mean', 'sem')}, n_trials FROM pm"),
@@ -181,7 +182,8 @@ ORACLES = {
     "sta2_paired_t": q(f"SELECT {_K}, block, n, round({_ANY_T}, 6) + 0.0 AS p_t FROM (SELECT {_K}, block, count(d) AS n, avg(d) AS m, stddev_samp(d) AS s FROM (SELECT *, CAST((trial - 1) // 4 AS BIGINT) AS block, round(post - pre, 9) AS d FROM au) GROUP BY {_K}, block)"),
     "sta3_test_choice": tested(f"SELECT {_K}, n, test, {r('p')} FROM tested"),
     "sta4_stars": tested(f"SELECT {_K}, test, {_STARS} AS stars FROM tested"),
-    "bvl1_periods": q(f"SELECT session_id, cell_id, frame_idx, {r('dff')}, period, round(minutes, 6)::DOUBLE + 0.0 AS minutes FROM sl"),
+    "bvl1_periods": q(f"SELECT session_id, cell_id, frame_idx, {r('dff')}, period, round(minutes, 6)::DOUBLE + 0.0 AS minutes FROM sl WHERE session_id IN (SELECT session_id FROM sl GROUP BY session_id HAVING count(DISTINCT period) = 2)"),
+    "bvl1_empty_periods": q("SELECT session_id, p AS period, round(max(frame_idx) / 4.605, 6) + 0.0 AS seconds FROM (SELECT session_id, frame_idx, (frame_idx - 1) / 4.605::DOUBLE AS sec FROM traces) t, (VALUES ('baseline', 0, 60), ('late', 120, 180), ('last', 200, 260), ('beyond', 300, 360)) v(p, a, b) GROUP BY session_id, p HAVING count(*) FILTER (sec >= a AND sec < b) = 0"),
     "bvl2_mean_peak": q(f"SELECT session_id, cell_id, period, {r('mean', 'peak')} FROM mp"),
     "bvl3_threshold": q(f"SELECT session_id, cell_id, {r('threshold')} FROM th"),
     "bvl4_transients": q("SELECT session_id, cell_id, period, n FROM tn"),

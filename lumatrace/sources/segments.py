@@ -24,14 +24,21 @@ def ordered(segments: DataFrame, rule: str = "natural", by: tuple[str, ...] = ("
     return segments.withColumn("ord", F.row_number().over(Window.partitionBy(*by).orderBy(key, "segment_name")))
 
 
-def pick(files: DataFrame, patterns: tuple[str, ...] = (r"\.tif$", r"\.tiff$"), by: tuple[str, ...] = ("session_id",)) -> DataFrame:
-    """The files of the first pattern that any file of a session matches; index files never count."""
-    rank = None
-    for i, p in enumerate(patterns):
-        fits = F.col("segment_name").rlike(p)
-        rank = F.when(fits, i) if rank is None else rank.when(fits, i)
-    found = files.filter(~F.contains(F.col("segment_name"), F.lit("_index"))).withColumn("rank", rank).filter("rank IS NOT NULL")
-    return found.withColumn("best", F.min("rank").over(Window.partitionBy(*by))).filter("rank = best").drop("rank", "best")
+def pick(files: DataFrame, patterns: tuple[str, ...] = (r"\.tif$", r"\.tiff$"), by: tuple[str, ...] = ("session_id",), nested: str | None = None) -> DataFrame:
+    """The files of the first pattern that any file of a session matches; index files never count.
+
+    ``nested``: the folder (column ``folder``) that is looked in first; only where no pattern matches in it do the
+    files beside it count, whose ``folder`` is empty or null. Other folders never do. ``first`` marks the file
+    that comes first by name, for uses that take one.
+    """
+    pattern = F.lit(None).cast("int")
+    for i, p in reversed(list(enumerate(patterns))):
+        pattern = F.when(F.col("segment_name").rlike(p), i).otherwise(pattern)
+    level = F.lit(0) if nested is None else F.when(F.col("folder") == nested, 0).when(F.coalesce("folder", F.lit("")) == "", 1)
+    found = files.filter(~F.contains(F.col("segment_name"), F.lit("_index"))).withColumn("rank", level * len(patterns) + pattern).filter("rank IS NOT NULL")
+    order = Window.partitionBy(*by).orderBy("rank")
+    best = found.withColumns({"best": F.rank().over(order), "first": F.row_number().over(order.orderBy("rank", "segment_name")) == 1})
+    return best.filter("best = 1").drop("rank", "best")
 
 
 def concatenated(segments: DataFrame, by: tuple[str, ...] = ("session_id",)) -> DataFrame:

@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import re
 import time
 from datetime import datetime, timedelta
 
@@ -65,6 +66,9 @@ def test_frames_of_real_size(spark):
         block, mu = real[k : k + 100], real[k : k + 100].mean(0)
         scores.append(round(float(np.mean([((b * mu).mean() - b.mean() * mu.mean()) / (2.0**-52 + b.std(ddof=1) * mu.std(ddof=1)) for b in block])), 9))
     assert [(r.start, r.score) for r in got] == [(int(np.argmax(scores)) + 1, pytest.approx(max(scores), abs=1e-8))]
+    assert (got[0].h, got[0].w) == (h, w) and np.allclose(got[0].pixels, real[8 + got[0].start : 108 + got[0].start].mean(0))
+    z = frames.z_score(movie).filter("frame_idx = 77").first().pixels
+    assert np.allclose(z, (real[76] - real.mean(0)) / np.where(real.std(0, ddof=1) < 1e-6, 1, real.std(0, ddof=1)))
     shape = [("s", c, y, x, float(c + y % 3)) for c in (1, 2, 3) for y in range(40 * c, 40 * c + 20) for x in range(100, 115)] + [("s", 4, 600, 3, 1.0)]
     traced = traces.project_footprints(movie, spark.createDataFrame(shape, "session_id string, cell_id int, y int, x int, weight double"))
     values = {(r.cell_id, r.frame_idx): r.value for r in traced.collect()}
@@ -80,6 +84,41 @@ def test_normal_tail_and_rank_sums(spark):
     assert [stats.ways(ranks, m) for m in range(21)] == [sum(sum(r for r, b in zip(ranks, bits) if b) <= m for bits in itertools.product((0, 1), repeat=4)) for m in range(21)]
 
 
+def test_null_pixels(spark):
+    """Frames without pixels take no part in sums and stay null where each frame gives one; a null pixel is NaN."""
+    schema = "session_id string, frame_idx int, h int, w int, pixels array<int>"
+    movie = spark.createDataFrame([("s", 1, 1, 2, [1, 4]), ("s", 2, 1, 2, None), ("s", 3, 1, 2, [3, 8]), ("n", 1, 1, 2, None)], schema)
+    assert [(r.x, r["mean"], r["max"]) for r in frames.projections(movie).orderBy("x").collect()] == [(1, 2.0, 3), (2, 6.0, 8)]
+    z = {r.frame_idx: r.pixels for r in frames.z_score(movie).filter("session_id = 's'").collect()}
+    assert z[2] is None and z[1] == pytest.approx([-math.sqrt(0.5)] * 2) and z[3] == pytest.approx([math.sqrt(0.5)] * 2)
+    smooth = {(r.session_id, r.frame_idx): r.pixels for r in frames.smooth(movie).collect()}
+    assert smooth["s", 2] is None and smooth["n", 1] is None and len(smooth["s", 1]) == 2
+    found = frames.stable_template(movie, 1, 9, 2, 5).collect()
+    assert [(r.session_id, r.start, r.h, r.w, r.pixels) for r in found] == [("s", 1, 1, 2, [2.0, 6.0])]
+    assert frames.stable_template(movie, 1, 9, 3, 5).count() == 0
+    feet = spark.createDataFrame([("s", 7, 1, 1, 2.0), ("s", 7, 1, 2, 0.5), ("s", 9, 1, 2, 1.0)], "session_id string, cell_id int, y int, x int, weight double")
+    assert {(r.cell_id, r.frame_idx, r.value) for r in traces.project_footprints(movie, feet).collect()} == {(7, 1, 4.0), (9, 1, 4.0), (7, 3, 10.0), (9, 3, 8.0)}
+    holes = spark.createDataFrame([("s", 1, 1, 2, [None, 4])], schema)
+    assert {(r.cell_id, r.value) for r in traces.project_footprints(holes, feet).collect()} == {(7, 2.0), (9, 4.0)}
+    assert frames.z_score(movie.limit(0)).count() == 0 and traces.project_footprints(movie.limit(0), feet).count() == 0
+
+
+def test_sessions_in_blocks(spark, monkeypatch):
+    """What belongs to a session goes to all tasks in blocks of bounded size; no frame is shuffled."""
+    from lumatrace.plans import fixtures as fx
+
+    d = "/root/testdata/sf0.1"
+    movie, feet = fx.frames(spark, d), fx.footprints(spark, d)
+    pixel = lambda df: sorted((r.session_id, r.frame_idx, round(sum(r.pixels), 6)) for r in df.collect())
+    value = lambda df: sorted((r.session_id, r.cell_id, r.frame_idx, round(r.value, 6)) for r in df.collect())
+    whole = pixel(frames.z_score(movie)), value(traces.project_footprints(movie, feet))
+    plan = traces.project_footprints(movie, feet)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    assert "Exchange" not in frames.z_score(movie)._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(frames.beside, "__defaults__", (2000,))
+    assert (pixel(frames.z_score(movie)), value(traces.project_footprints(movie, feet))) == whole
+
+
 def test_silent_cells(spark):
     nan = float("nan")
     both = trace(spark, [nan, nan]).union(trace(spark, [nan, 1.0], 2))
@@ -113,6 +152,22 @@ def test_nearest_frame_against_brute_force(spark):
     assert {r.n: r.neuron_frame for r in align.nearest_frame(df, clock, 1.0).collect()} == expected
 
 
+def test_a_long_session_is_aligned_in_stretches(spark):
+    """One session of many stretches, with gaps in its clock: the same as every event against every tick."""
+    rnd = random.Random(8)
+    ticks = sorted({rnd.randrange(4_000_000) * (1 if i % 3 else 50) for i in range(3000)})
+    marks = [rnd.randrange(-5_000, 210_000_000) for _ in range(500)] + [rnd.choice(ticks) + rnd.choice((-1000, 0, 999, 1000, 1001)) for _ in range(1500)]
+    at = lambda us: T0 + timedelta(microseconds=us)
+    clock = spark.createDataFrame([("s", i + 1, at(t)) for i, t in enumerate(ticks)], "session_id string, frame_idx int, ts timestamp_ntz")
+    df = spark.createDataFrame([("s", n, at(t)) for n, t in enumerate(marks)] + [("s", -1, None)], "session_id string, n int, ts timestamp_ntz")
+    apart = np.abs(np.array(marks)[:, None] - np.array(ticks)[None, :])
+    want = {n: int(row.argmin()) + 1 for n, row in enumerate(apart) if row.min() <= 1000}
+    found = align.nearest_frame(df, clock, 1000.0)
+    assert {r.n: r.neuron_frame for r in found.collect()} == want and 0 < len(want) < len(marks)
+    dealt = re.findall(r"hashpartitioning\(([^)]*)\)", found._jdf.queryExecution().executedPlan().toString())
+    assert dealt and all("stretch" in by for by in dealt)
+
+
 def test_odd_frame_count(spark):
     movie = spark.createDataFrame([("s", i, 1, 2, [i, 10 - i]) for i in range(1, 6)], "session_id string, frame_idx int, h int, w int, pixels array<int>")
     assert [(r.frame_idx, r.pixels) for r in frames.pair_maximum(movie).orderBy("frame_idx").collect()] == [(1, [2, 9]), (2, [4, 7])]
@@ -139,10 +194,19 @@ def test_transients(spark):
     assert periods.transients(periods.in_periods(flat, 1.0, (("a", 0, 3),)), periods.thresholds(flat)).first()["n"] == 0
 
 
-def test_empty_period_is_an_error(spark):
-    dff = trace(spark, [1, 2]).withColumnRenamed("value", "dff")
-    with pytest.raises(ValueError, match="late.*2.0 s"):
-        periods.in_periods(dff, 1.0, (("a", 0, 2), ("late", 100, 200)))
+def test_an_empty_period_of_one_session_is_an_error(spark):
+    """A long session doesn't hide a short one; nothing runs before the action."""
+    long = trace(spark, range(300)).withColumnRenamed("value", "dff")
+    both = long.union(spark.createDataFrame([("short", 1, 1, 1.0), ("short", 1, 2, 2.0)], long.schema))
+    spans = (("a", 0, 2), ("late", 100, 200))
+    assert periods.in_periods(long, 1.0, spans).count() == 102
+    checked = periods.in_periods(both, 1.0, spans)
+    with pytest.raises(Exception, match="no frames in late; the recording of short has 2.0 s"):
+        checked.collect()
+    assert {(r.session_id, r.period, r.seconds) for r in periods.empty_periods(both, 1.0, spans).collect()} == {("short", "late", 2.0)}
+    assert {r.session_id for r in periods.in_periods(both, 1.0, spans, check="drop").collect()} == {"s"}
+    assert {(r.session_id, r.period) for r in periods.in_periods(both, 1.0, spans, check=None).collect()} == {("s", "a"), ("s", "late"), ("short", "a")}
+    assert periods.in_periods(both.limit(0), 1.0, spans).count() == 0
 
 
 def pairs(spark, groups):
@@ -277,6 +341,61 @@ def test_segment_names(spark):
     assert order("name") == ["a1b2.tif", "f 10.tif", "f 2.tif", "x.tif"]
 
 
+def test_pick_of_folders(spark):
+    rows = [("a", "cam", "x_index.tif"), ("a", "cam", "2.tiff"), ("a", "cam", "1.tiff"), ("a", "", "0.tif"), ("b", "cam", "x_index.tif"), ("b", None, "3.tif"), ("b", "old", "1.tif"), ("c", "old", "1.tif")]
+    files = spark.createDataFrame(rows, "session_id string, folder string, segment_name string")
+    found = {(r.session_id, r.segment_name, r.first) for r in segments.pick(files, nested="cam").collect()}
+    assert found == {("a", "1.tiff", True), ("a", "2.tiff", False), ("b", "3.tif", True)}
+    assert {r.segment_name for r in segments.pick(files).filter("first").collect()} == {"0.tif", "1.tif"}
+
+
+def test_first_source_with_a_time(spark):
+    stamp, schema = "2024-01-01 00:00:00.000", "session_id string, n int, {} string"
+    none = spark.createDataFrame([("a", 1, stamp)], schema.format("Timer"))
+    second = spark.createDataFrame([("a", 1, stamp)], schema.format("TIME"))
+    third = spark.createDataFrame([("a", 5, "unused and bad"), ("b", 2, stamp)], schema.format("Time"))
+    found = scans.scan_first_clock([none, second, third], "microscope", "n")
+    assert {(r.session_id, r.frame_idx, r.source) for r in found.collect()} == {("a", 1, 1), ("b", 2, 2)}
+    with pytest.raises(ValueError, match="Timer"):
+        scans.scan_first_clock([none], "camera1", "n")
+    with pytest.raises(Exception, match="bad|CANNOT_PARSE"):
+        scans.scan_first_clock([third], "microscope", "n").collect()
+
+
+def test_torn_pulse_files(spark, tmp_path):
+    """A torn file, one of another format and an empty one are warnings; bad rows are counted; column names in any case."""
+    stamps = [f"2024-01-01 00:00:0{i}.000" for i in range(5)]
+    schema = "pulse_idx long, {} string"
+    tables = {"good": ("Time", stamps), "part": ("TIME", [*stamps[:3], "n/a", None]), "none": ("time", ["x", "y"]), "torn": ("Time", stamps), "empty": ("Time", [])}
+    for name, (column, values) in tables.items():
+        spark.createDataFrame(list(enumerate(values)), schema.format(column)).coalesce(1).write.parquet(str(tmp_path / name))
+        [file] = [f for f in (tmp_path / name).iterdir() if f.suffix == ".parquet"]
+        file.rename(tmp_path / f"{name}.parquet")
+    whole = (tmp_path / "torn.parquet").read_bytes()
+    (tmp_path / "torn.parquet").write_bytes(whole[: len(whole) // 2])
+    (tmp_path / "text.parquet").write_text("Time\n2024")
+    good, warned = scans.scan_pulse_files(spark, str(tmp_path / "*.parquet"))
+    assert {(r.source, r.n) for r in good.groupBy("source").agg(F.count("ts").alias("n")).collect()} == {("good.parquet", 5), ("part.parquet", 3)}
+    assert {(r.source.split(".")[0], r.warning, r.n) for r in warned.collect()} == {("part", "bad stamp", 2), ("none", "no readable stamp", 2), ("torn", "unreadable", 0), ("text", "unreadable", 0), ("empty", "unreadable", 0)}
+
+
+def test_inventory_of_outputs(spark, tmp_path):
+    from lumatrace.operators import validate
+
+    scans.save_results({"a": trace(spark, range(7)), "empty": trace(spark, [1]).limit(0)}, str(tmp_path), by=None)
+    (tmp_path / "hollow").mkdir()
+    found = {r.output: (r.status, r.rows, r.columns) for r in validate.output_inventory(spark, str(tmp_path), ("a", "empty", "hollow", "none")).collect()}
+    names = "session_id,cell_id,frame_idx,value"
+    assert found == {"a": ("present", 7, names), "empty": ("present", 0, names), "hollow": ("pending", 0, ""), "none": ("pending", 0, "")}
+    assert {r.status for r in validate.output_inventory(spark, str(tmp_path / "no"), ("a",)).collect()} == {"pending"}
+
+
+def test_metadata_has_its_time(spark):
+    flagged = spark.createDataFrame([("s", 1, *[True] * 6)], "session_id string, frame_idx int, " + ", ".join(f"{f} boolean" for f in align.FLAGS))
+    row = align.metadata(flagged, trace(spark, [1]), 4.6).first()
+    assert abs((datetime.now() - row.created).total_seconds()) < 3600 * 26 and row.n_cells == 1
+
+
 def discs(spark):
     """Sixteen discs of known centre and radius on a 64 x 64 field."""
     rows = []
@@ -311,6 +430,31 @@ def test_component_solidity_and_contour(spark):
     assert line == {(y + a, x + b) for y, x in edge for a in (-1, 0, 1) for b in (-1, 0, 1)}
 
 
+def test_components_against_a_flood(spark):
+    """Random masks of many cells, all in one batch, against a flood fill of each."""
+    rnd = random.Random(4)
+    masks = {c: {(rnd.randrange(-2, 12), rnd.randrange(9)) for _ in range(rnd.choice((1, 8, 30, 60)))} for c in range(60)}
+
+    def largest(px):
+        left, best = sorted(px, key=lambda p: (p[1], p[0])), set()
+        while left:
+            part, todo = {left[0]}, [left[0]]
+            while todo:
+                y, x = todo.pop()
+                near = {(y + a, x + b) for a in (-1, 0, 1) for b in (-1, 0, 1)} & px - part
+                part |= near
+                todo += near
+            left = [p for p in left if p not in part]
+            best = max(best, part, key=len)
+        return best
+
+    df = spark.createDataFrame([("s", c, y, x) for c, px in masks.items() for y, x in px] * 2, "session_id string, cell_id int, y int, x int")
+    found = {}
+    for r in cells.largest_component(df.coalesce(1)).collect():
+        found.setdefault(r.cell_id, []).append((r.y, r.x))
+    assert {c: set(px) for c, px in found.items()} == {c: largest(px) for c, px in masks.items()} and all(len(px) == len(set(px)) for px in found.values())
+
+
 def test_keep_rule(spark):
     assert cells.least_area() == 41
     table = spark.createDataFrame([("s", c, a, 0.5, 0.9, 0.1) for c, a in ((3, 50), (5, 40), (7, 41))], "session_id string, cell_id int, area long, eccentricity double, solidity double, peak double")
