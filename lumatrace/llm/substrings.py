@@ -333,13 +333,13 @@ def keyed(docs: DataFrame, text: str, key: str) -> DataFrame:
 
 
 def with_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", min_len: int = MIN_LEN) -> DataFrame:
-    """Add ``repeats`` to each row: begin and end, in UTF-8 bytes, of what ``min_len``-byte repeats cover, unmerged.
+    """Add ``repeats`` to each row: begin and end, in UTF-8 bytes, of what ``min_len``-byte repeats cover, unmerged, in any order.
 
     A byte is covered by a string of ``min_len`` bytes that also starts elsewhere, in the same or in
     another row; overlapping occurrences count and texts aren't joined. Null is as empty: nothing
     repeats in it. Repeated rows are repeats of one another. Null keys are a value like any other.
     """
-    found = repeated_spans(keyed(docs, text, key), min_len).groupBy(F.col("key").alias("__key"), F.col("tk").alias("__tk")).agg(F.collect_list(F.struct("begin", "end")).alias("repeats"))
+    found = repeated_spans(keyed(docs, text, key), min_len).groupBy(F.col("key").alias("__key"), F.col("tk").alias("__tk")).agg(F.collect_set(F.struct("begin", "end")).alias("repeats"))  # copies of a row give equal spans
     docs = docs.drop("repeats").withColumn("__own", text_key(text))
     on = docs[key].cast("long").eqNullSafe(F.col("__key")) & (F.col("__own") == F.col("__tk"))
     return docs.join(found, on, "left").drop("__key", "__tk", "__own")

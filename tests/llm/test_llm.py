@@ -3,7 +3,9 @@ import itertools
 import json
 import os
 import random
+import re
 import sys
+import time
 import zlib
 
 import numpy as np
@@ -15,7 +17,7 @@ import brute  # noqa: E402
 import duckdb  # noqa: E402
 from oracle import SF, compare, connect  # noqa: E402
 
-from lumatrace.llm import bpe, common, decontaminate, extract, graph, language, queries, simhash, substrings, toolcalls, topk, toxicity, urls  # noqa: E402
+from lumatrace.llm import bpe, common, curves, decontaminate, extract, graph, language, queries, ranked, resample, simhash, substrings, toolcalls, topk, toxicity, urls  # noqa: E402
 
 ODD = [None, "", " ", "\n\t", "a", "%%% ---", "é" * 3, "word " * 50, "x" * 5000, "ß<|endoftext|>ß", "ein zwei drei", "ein zwei drei"]
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -45,8 +47,8 @@ def test_matches_duckdb(spark, con, name):
     compare(spark, con, queries.queries()[name], queries.oracle_sql()[name])
 
 
-def test_all_ten_are_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 11))
+def test_all_are_registered():
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 14))
 
 
 def test_queries_take_odd_tables(spark, tmp_path):
@@ -59,8 +61,10 @@ def test_queries_take_odd_tables(spark, tmp_path):
     talk = spark.createDataFrame([(1, 0, "user", None), (1, 1, "assistant", "x"), (None, 1, "user", "y"), (1, None, "tool", "{"), (1, 0, "user", "z"), (2, 0, None, None)], "conv_id long, turn long, role string, text string")
     at = folder(spark, tmp_path, documents=docs, benchmark=bench, pages=pages, embeddings=vectors, conversations=talk, labels=label_rows(spark, [(4, 1, 1), (5, None, 0), (None, 0, 1)]))
     rows = {name: f(spark, at).collect() for name, f in queries.queries().items()}
-    for name in ("op1_toxicity", "op2_decontaminate", "op4_substrings", "op5_bpe", "op6_language", "op8_simhash"):
+    for name in ("op1_toxicity", "op2_decontaminate", "op4_substrings", "op5_bpe", "op6_language", "op8_simhash", "op13_resample"):
         assert len(rows[name]) == docs.count(), name
+    assert {(r.query_id, r["rank"], r.vec_id, r.score) for r in rows["op11_curves"]} == {(0, 1, 4, 1.0), (0, 2, 4, 1.0)}
+    assert {(r.item_id, r["rank"], r.doc_id) for r in rows["op12_ranked"]} == {(3, 1, 10), (3, 2, 11), (None, 1, 7)}
     assert len(rows["op3_urls"]) == len(rows["op7_extract"]) == 5
     assert {(r.host, r.path) for r in rows["op3_urls"]} == {("", ""), ("a.b", "/c")}
     assert {(r.query_id, r.vec_id, r.score) for r in rows["op10_topk"]} == {(0, 4, 256 * 256)}
@@ -97,6 +101,15 @@ def test_clashing_columns_stay_or_are_replaced(spark):
     assert [(r.status, r.level, r.result_turn) for r in toolcalls.link(calls, results, {}).collect()] == [("linked", 0, 1)]
     vectors = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<double>").withColumns({c: F.lit(9) for c in ("v", "score", "rank", "ask", "copies", "query_id")})
     assert [tuple(r) for r in topk.top_k(vectors, F.col("vec_id") == 0).collect()] == [(0, 1, 1, 2 * 256 * 256)]
+    own = vectors.withColumns({c: F.lit(9) for c in ("id", "i", "asked", "ids", "vid", "floor", "place", "position", "list")})
+    assert [tuple(r) for r in curves.nearest(own, F.col("vec_id") == 0).collect()] == [(0, 1, 1, 2.0)]
+    wide = docs.withColumns({c: F.lit(9) for c in ("doc", "n", "terms", "tfs", "ask", "rank", "score", "k", "t", "item_id")})
+    items = spark.createDataFrame([(1, "DREI")], "item_id long, text string").withColumns({c: F.lit(9) for c in ("k", "t", "query", "doc_id")})
+    assert [(r.item_id, r["rank"], r.doc_id) for r in ranked.search(wide, items).collect()] == [(1, 1, 1)]
+    kept = docs.withColumns({c: F.lit("own") for c in ("kept", "steps", "weight", "rank", "n_words", "bucket", "fit", "row", "place")})
+    drawn = resample.resample(kept, items, keep=["doc_id", "text", "place", "weight"], least=1, share=(1, 1)).collect()
+    assert {(r.doc_id, r.text, r.place, r.n_words, r.n_features) for r in drawn} == {(0, "eins zwei", "own", 2, 3), (1, "drei", "own", 1, 1)}
+    assert [r["rank"] for r in sorted(drawn, key=lambda r: -r.score)] == [1, 2] and all(isinstance(r.weight, int) for r in drawn)
 
 
 # 1 toxicity
@@ -260,6 +273,23 @@ def test_long_texts_are_taken_in_pieces(spark, tmp_path, monkeypatch):
     assert [r.n_removed for r in substrings.op4_substrings(spark, at).collect()] == [brute.repeats([t.encode() for t in texts], 400)[i].sum() for i in range(3)]
 
 
+def test_repeated_rows_are_linear(spark):
+    """Copies of a row give equal spans once: thousands of rows of one text, and of another that shares a passage with it."""
+    passage = "".join(random.Random(6).choice("abcdefgh ") for _ in range(60))
+    texts = [passage + "first ending that is longer", "other beginning " + passage, "nothing that repeats here"]
+    rows = spark.range(0, 5000, 1, 8).select(F.lit(7).cast("long").alias("doc_id"), F.lit(texts[0]).alias("text"))
+    rows = rows.union(spark.createDataFrame([(8, texts[1]), (9, texts[2])], "doc_id long, text string"))
+    began = time.time()
+    found = {(r.doc_id, r.text): {tuple(x) for x in r.repeats or []} for r in substrings.with_repeats(rows, min_len=40).distinct().collect()}
+    masks = brute.repeats([texts[0].encode()] * 2 + [t.encode() for t in texts[1:]], 40)
+    for key, text, mask in ((7, texts[0], masks[0]), (8, texts[1], masks[2]), (9, texts[2], masks[3])):
+        covered = np.zeros(len(text), bool)
+        for b, e in found[key, text]:
+            covered[b:e] = True
+        assert (covered == mask).all() and len(found[key, text]) <= len(text)
+    assert time.time() - began < 60
+
+
 def test_maximal_repeats_have_all_occurrences():
     pieces = [b"xxabcdefyy", b"zabcdefw", b"abcdeq"]
     found = {(n, tuple(sorted(p.tolist()))) for n, p in substrings.EnhancedSuffixArray(pieces, 4).repeats()}
@@ -596,3 +626,152 @@ def test_topk_with_repeated_ids(spark, monkeypatch, sample):
     assert sorted(map(tuple, got.collect())) == sorted(want)
     few = spark.createDataFrame(rows[:3], "vec_id long, embedding array<double>")
     assert len(topk.top_k(few, F.col("vec_id") % 50 == 0).collect()) == 4
+
+
+# 11 curves
+
+
+def test_hilbert_visits_every_cell_by_steps_of_one():
+    for axes, bits in ((2, 4), (3, 3), (5, 2)):
+        cells = np.array(list(itertools.product(range(1 << bits), repeat=axes)))
+        place = curves.hilbert(cells, bits)
+        assert sorted(place) == list(range(len(cells)))
+        assert (np.abs(np.diff(cells[np.argsort(place)], axis=0)).sum(1) == 1).all()
+
+
+def nearest_of(ids, m, query, k=20):
+    """All others by inner product, ties to the lesser id."""
+    score = (m * m[query]).sum(1)
+    order = [i for i in np.lexsort((ids, -score)) if i != query][:k]
+    return [ids[i] for i in order], score[order]
+
+
+def test_curves_recall(spark):
+    """At least 0.9 of the nearest on the given vectors; ranks, scores and counts are exact for what is found."""
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding").orderBy("vec_id").toPandas()
+    ids, m = df["vec_id"].to_numpy(), np.stack(df["embedding"]).astype(float)
+    got = {}
+    for r in curves.op11_curves(spark, "/root/testdata/sf0.1").orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    hits, total = 0, 0
+    assert sorted(got) == [i for i in ids if i % 20 == 0]
+    for query, rows in got.items():
+        want, _ = nearest_of(ids, m, int(np.searchsorted(ids, query)))
+        assert [r[0] for r in rows] == list(range(1, 21)) and query not in [r[1] for r in rows]
+        assert rows == sorted(rows, key=lambda r: (-r[2], r[1]))
+        assert np.allclose([r[2] for r in rows], (m[np.searchsorted(ids, [r[1] for r in rows])] * m[np.searchsorted(ids, query)]).sum(1), rtol=0, atol=1e-14)
+        hits, total = hits + len({r[1] for r in rows} & set(want)), total + len(want)
+    assert hits / total >= 0.9
+
+
+@pytest.mark.parametrize("wide", [64, 8192])
+def test_curves_on_clusters_and_copies(spark, monkeypatch, wide):
+    """Clusters are found in narrow windows; of vectors with many copies the least ids are answers; lengths don't mix."""
+    monkeypatch.setattr(curves, "NARROW", 32)
+    monkeypatch.setattr(curves, "WIDE", wide)
+    rng = np.random.default_rng(4)
+    centres = rng.standard_normal((60, 16)) * 4
+    m = (centres[rng.integers(0, 60, 1500)] + 0.05 * rng.standard_normal((1500, 16))).round(6)
+    m[300:600] = m[5]
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(m)] + [(5000, [1.0, 2.0]), (5001, [2.0, 2.0]), (5020, [0.0, 0.0]), (5040, None), (5060, [1.0, None]), (5080, [float("inf"), 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(6)
+    got = {}
+    for r in curves.nearest(df, F.col("vec_id") % 20 == 0, 5).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert got.pop(5000) == [5001]
+    assert sorted(got) == list(range(0, 1500, 20))
+    shares = [len(set(found) & set(nearest_of(np.arange(1500), m, q, 5)[0])) / 5 for q, found in got.items()]
+    assert np.mean(shares) >= 0.9
+    for q in (320, 400):
+        assert got[q] == nearest_of(np.arange(1500), m, q, 5)[0]
+
+
+# 12 ranked
+
+
+def test_ranked_against_brute_force(spark, monkeypatch):
+    """Shards, reads and ties at their smallest; repeated documents and items, a term in no document, null texts."""
+    monkeypatch.setattr(ranked, "SHARD_DOCS", 50)
+    monkeypatch.setattr(ranked, "FIRST_READ", 2)
+    monkeypatch.setattr(common, "BATCH_ROWS", 20)
+    rnd = random.Random(9)
+    vocabulary = ["w%d" % int(rnd.paretovariate(0.6)) for _ in range(4000)]
+    docs = [(rnd.randrange(150), " ".join(rnd.choice(vocabulary) for _ in range(rnd.randrange(0, 30)))) for _ in range(300)] + [(None, "w1 w2"), (3, None), (4, "%% --"), (5, "W1, w2;É w2")] * 2
+    items = [(i, " ".join(rnd.choice(vocabulary) for _ in range(8))) for i in range(12)] + [(3, "w1 W2"), (90, None), (91, "nowhere"), (92, "w1"), (92, "w1")]
+    words = lambda t: [w.lower() if w.isascii() else w for w in re.findall(ranked.TERM, t or "")]
+    every = [(d, words(t)) for d, t in docs]
+    every = [(d, w) for d, w in every if w]
+    n_docs, n_terms = len(every), sum(len(w) for _, w in every)
+    df = {t: sum(t in w for _, w in every) for _, ws in every for t in ws}
+    want = []
+    for item in {i for i, _ in items}:
+        terms = {t for i, text in items if i == item for t in words(text)} & set(df)
+        scored = []
+        for d, w in every:
+            m = 100 - 90 + (90 * len(w) * n_docs) // n_terms
+            score = sum(int(1000 * np.log((2 * n_docs + 2) / (2 * df[t] + 1))) * ((10**9 * w.count(t)) // (1000 * w.count(t) + 8 * m)) for t in terms & set(w))
+            scored.append((-score, d is None, d)) if score else None
+        want += [(item, i + 1, d, -s) for i, (s, _, d) in enumerate(sorted(scored, key=lambda x: (x[0], x[1], x[2] or 0))[:10])]
+    schema = "{} long, text string"
+    found = ranked.search(spark.createDataFrame(docs, schema.format("doc_id")).repartition(3), spark.createDataFrame(items, schema.format("item_id")))
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(want, key=str)
+    monkeypatch.setattr(ranked, "QUERY_BYTES", 60)
+    found = ranked.search(spark.createDataFrame(docs, schema.format("doc_id")), spark.createDataFrame(items, schema.format("item_id")))
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(want, key=str)
+
+
+def test_reads_end_when_all_is_settled(monkeypatch):
+    """Of two long lists the heads settle who is best; what lies deeper isn't read."""
+    monkeypatch.setattr(ranked, "FIRST_READ", 4)
+    n = 4000
+    impact = np.concatenate([np.full(n, 10), np.full(n, 10)])
+    impact[:3] = impact[n : n + 3] = 1000
+    shard = ranked.Shard(np.tile(np.arange(n), 2), np.repeat([0, 1], n), impact, n)
+    doc, score = shard.best(np.array([0, 1]), 3)
+    assert (doc.tolist(), score.tolist()) == ([0, 1, 2], [2000] * 3) and shard.read == 8
+    doc, score = shard.best(np.array([0, 1]), 4)  # the fourth ties with all the rest
+    assert (doc.tolist(), score.tolist()) == ([0, 1, 2, 3], [2000] * 3 + [20])
+
+
+# 13 resample
+
+
+def resampled(docs, bench, least=20):
+    """doc_id, n_features, weight, score and rank in plain Python."""
+    def found(text):
+        low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+        words = re.findall(resample.WORD, low)
+        return len(words), [zlib.crc32(" ".join(words[i : i + n]).encode()) % 10000 for n in (1, 2, 3) for i in range(len(words) - n + 1)]
+
+    source, target = [(d, *found(t)) for d, t in docs], [found(t)[1] for t in bench]
+    s, t = np.bincount([b for x in source for b in x[2]], minlength=10000), np.bincount([b for x in target for b in x], minlength=10000)
+    gain = [int(np.floor(1000 * np.log((t[b] + 1) * (s.sum() + 10000) / ((s[b] + 1) * (t.sum() + 10000))))) for b in range(10000)]
+    rows = []
+    for d, n, features in source:
+        h = int(hashlib.sha256(f"42:{'' if d is None else d}".encode()).hexdigest()[:8], 16)
+        weight = sum(gain[b] for b in features)
+        rows.append((d, n, len(features), weight, weight + int(np.floor(-1000 * np.log(-np.log((h + 0.5) / 4294967296))))))
+    fit = sorted((r for r in rows if r[1] >= least), key=lambda r: (-r[4], r[0] is not None, r[0] or 0))
+    ranks = [(*r[:1], *r[2:], i + 1 if i < 5 * len(fit) // 100 else None) for i, r in enumerate(fit)]
+    return sorted([*ranks, *((*r[:1], *r[2:], None) for r in rows if r[1] < least)], key=str)
+
+
+def test_resample_against_brute_force(spark):
+    """Odd texts, words over the table of short lengths, pieces without spaces, repeated rows; ranks over several partitions."""
+    rnd = random.Random(12)
+    word = lambda: rnd.choice(["Ab", "cd", "É", "日本語", "x" * 300, "e9", "ef,gh", "i\u0000j"])
+    texts = [*ODD, "q" * 70_000 + " ab", ",".join(word() for _ in range(3000)), *(" ".join(word() for _ in range(rnd.randrange(60))) for _ in range(300))]
+    docs = [(i, t) for i, t in enumerate(texts)] + [(20, texts[20])] * 5 + [(None, texts[40])]
+    bench = ["ab cd ef gh", "É É 日本語", None, ""]
+    schema = "doc_id long, text string"
+    got = resample.resample(spark.createDataFrame(docs, schema).repartition(5), spark.createDataFrame([(t,) for t in bench], "text string"))
+    assert sorted((tuple(r) for r in got.select("doc_id", "n_features", "weight", "score", "rank").collect()), key=str) == resampled(docs, bench)
+
+
+def test_crc_of_joined_parts():
+    rnd, shifts = random.Random(2), resample.Shifts()
+    parts = [(rnd.randbytes(rnd.randrange(20)), rnd.randbytes(n)) for n in (0, 1, 2, 7, 8, 255, 256, 300, 70_000)]
+    for some in (parts[:6], parts):
+        first, second = (np.array([zlib.crc32(p[i]) for p in some], np.uint32) for i in (0, 1))
+        joined = shifts.over(first, np.array([len(p[1]) for p in some])) ^ second
+        assert joined.tolist() == [zlib.crc32(a + b) for a, b in some]
