@@ -18,10 +18,12 @@ from pyspark.sql import types as T
 
 from .common import arrow_map, read
 
+#: What stands between an element's name and its end: a quote opens a value only directly behind an equals sign.
+ATTRIBUTES = r"(?:[^>=]+|=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>\"'][^\s>]*)?)*+"
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<data>.*?)\]\]>|<[!?][^>]*(?:>|\Z)"
     r"|</(?P<close>[a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)"
-    r"|<(?P<open>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
+    r"|<(?P<open>[a-zA-Z][^\s/>]*)(?P<attrs>" + ATTRIBUTES + r")>"
     r"|<(?P<torn>[a-zA-Z][^\s/>]*)(?P<rest>[^>]*)(?:>|\Z)|(?P<text>[^<]+|<)",
     re.DOTALL,
 )
@@ -32,12 +34,15 @@ CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td template tfoot th thead title tr ul".split())
 RAW = frozenset("script style noscript template textarea title iframe noembed noframes xmp svg math".split())
+FOREIGN, NESTED = frozenset(("svg", "math")), frozenset(("svg", "math", "template"))
 ENDS_P = BLOCK - frozenset("body caption head html legend optgroup option select tbody td template tfoot th thead title tr".split())
 SAME_CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "thead": ("tbody", "tfoot"), "tbody": ("thead", "tbody"), "tfoot": ("thead", "tbody")}
 SCOPE = frozenset("ul ol dl table select html body article section div main".split())
 #: Elements, words of class or id, and roles that mark what isn't main text.
-ASIDE_TAGS = frozenset("nav aside footer form button select dialog menu head object canvas audio video map label search".split())
-ASIDE_WORDS = frozenset("ad ads adv advert adverts advertisement advertising adsense adslot sponsor sponsored promo promotion banner banners sidebar side rail nav navbar navigation menu menus breadcrumb breadcrumbs masthead topbar footer foot cookie cookies consent gdpr notice notices alert popup modal overlay lightbox newsletter subscribe subscription signup signin login comment comments disqus reply replies respond discussion share sharing social related recommended recommendations widget toolbar pagination pager skip search form copyright legal disclaimer".split())
+ASIDE_TAGS = frozenset("nav aside footer form button select dialog menu head object canvas audio video map search".split())
+ASIDE_WORDS = frozenset("ad ads adv advert adverts advertisement advertising adsense adslot sponsor sponsored sidebar nav navbar navigation menu menus breadcrumb breadcrumbs masthead topbar cookie cookies consent gdpr alert popup modal overlay lightbox newsletter subscribe subscription signup signin login comment comments disqus reply replies respond widget toolbar pagination pager skip search form".split())
+#: Words that parts of an article's own text have as well: there they count only for parts that are less dense than it.
+SOFT_WORDS = frozenset("promo promotion banner banners side rail footer foot notice notices discussion share sharing social related recommended recommendations copyright legal disclaimer".split())
 HEADER_WORDS = frozenset("header heading-bar pagehead".split())
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 MAIN_TAGS = frozenset(("article", "main"))
@@ -52,25 +57,35 @@ class Page:
         self.out: list[bool] = [False]  # stands in or is a part that isn't main text
         self.hard: list[bool] = [False]  # so by its element, role or style, not by words of class or id alone
         self.named: list[int] = []  # nodes with such words
+        self.soft: list[int] = []  # of these the nodes of an article with SOFT_WORDS only
         self.kept = kept  # nodes whose words don't count
         self.chars, self.links, self.link_tags = [0], [0], [0]
-        self.seen = [0]  # characters of the node itself, in parts named by class or id too
+        self.seen, self.seen_links = [0], [0]  # characters of the node itself, in parts named by class or id too
         self.blocks: list[tuple[int, str]] = []
         self.parse(source)
-        if kept := self.layout():
-            self.__init__(source, kept)
+        if more := self.layout():
+            self.__init__(source, kept | more)
 
     def layout(self) -> frozenset[int]:
-        """Nodes with words of class or id that hold more than half of the page's text: these name its layout.
+        """Nodes whose words of class or id don't tell what isn't main text.
 
-        Where an ``article`` or ``main`` element has text, they hold one of these too.
+        Those that hold more than half of the page's text, and one of its ``article`` or ``main`` elements with text if
+        there is any: their words name the page's layout. And those of SOFT_WORDS in an article that have at least as
+        many characters outside links per tag as the article.
         """
-        held, mains = self.seen[:], [False] * len(self.tag)
-        for node in range(len(held) - 1, 0, -1):
+        n = len(self.tag)
+        held, mains, plain, tags = self.seen[:], [False] * n, [a - b for a, b in zip(self.seen, self.seen_links)], [0] * n
+        for node in range(n - 1, 0, -1):
             up = self.parent[node]
             held[up] += held[node]
+            plain[up] += plain[node]
+            tags[up] += tags[node] + (not self.hard[node])
             mains[up] |= mains[node] or self.tag[node] in MAIN_TAGS and held[node] > 0 and not self.hard[node]
-        return frozenset(i for i in self.named if 2 * held[i] > held[0] and mains[i] == mains[0]) - self.kept
+        around = [0] * n  # the article that a node stands in
+        for node in range(1, n):
+            around[node] = node if self.tag[node] in MAIN_TAGS else around[self.parent[node]]
+        dense = [i for i in self.soft if plain[i] * max(1, tags[around[i]]) >= plain[around[i]] * max(1, tags[i])]
+        return frozenset([*dense, *(i for i in self.named if 2 * held[i] > held[0] and mains[i] == mains[0])]) - self.kept
 
     def parse(self, source: str) -> None:
         stack, words, at, in_link, in_main = [0], [], 0, 0, 0
@@ -83,11 +98,20 @@ class Page:
                 if text:
                     self.blocks.append((stack[-1], text))
 
+        opened: dict[str, list[int]] = {}  # by element the places in the stack where one is open
+        scopes: list[int] = []  # the same of those that inline end tags don't leave
+
+        def last(*names: str) -> int:
+            return max((opened[name][-1] for name in names if opened.get(name)), default=0)
+
         def pop(to: int) -> None:
             nonlocal in_link, in_main
-            for node in stack[to:]:
+            for node in reversed(stack[to:]):
                 in_link -= tag[node] == "a"
                 in_main -= tag[node] in MAIN_TAGS
+                opened[tag[node]].pop()
+                if tag[node] in SCOPE:
+                    scopes.pop()
             del stack[to:]
 
         match = TOKEN.match
@@ -101,6 +125,7 @@ class Page:
                     text = html.unescape(text)
                     n = len(text) - sum(map(text.count, " \n\t\r"))
                     self.seen[node] += n
+                    self.seen_links[node] += n if in_link else 0
                 if not out[node]:
                     words.append(text)
                     self.chars[node] += n
@@ -108,14 +133,11 @@ class Page:
                 continue
             if (name := m["close"]) is not None:
                 name = name.lower()
-                for i in range(len(stack) - 1, 0, -1):
-                    if tag[stack[i]] == name:
-                        if name in BLOCK:
-                            flush()
-                        pop(i)
-                        break
-                    if name not in BLOCK and tag[stack[i]] in SCOPE:
-                        break  # an inline end tag never closes a block around it
+                found = last(name)
+                if found and (name in BLOCK or not scopes or found > scopes[-1]):  # an inline end tag never closes a block around it
+                    if name in BLOCK:
+                        flush()
+                    pop(found)
                 continue
             name = m["open"] if m["open"] is not None else m["torn"]
             if name is None:
@@ -123,20 +145,10 @@ class Page:
             name, attrs = name.lower(), m["attrs"] if m["open"] is not None else m["rest"]
             if name in BLOCK:
                 flush()
-                if name in ENDS_P:
-                    for i in range(len(stack) - 1, 0, -1):
-                        if tag[stack[i]] == "p":
-                            pop(i)
-                            break
-                        if tag[stack[i]] in SCOPE or tag[stack[i]] in ("li", "td", "th"):
-                            break
-                if name in SAME_CLOSES:
-                    for i in range(len(stack) - 1, 0, -1):
-                        if tag[stack[i]] in SAME_CLOSES[name]:
-                            pop(i)
-                            break
-                        if tag[stack[i]] in SCOPE:
-                            break
+                if name in ENDS_P and (found := last("p")) > max(last("li", "td", "th"), scopes[-1] if scopes else 0):
+                    pop(found)
+                if name in SAME_CLOSES and (found := last(*SAME_CLOSES[name])) > (scopes[-1] if scopes else 0):
+                    pop(found)
             elif name == "br":
                 words.append(" ")
             node, above = len(tag), stack[-1]
@@ -145,37 +157,57 @@ class Page:
             by_name, by_word = self.aside(name, attrs, in_main > 0)
             if by_word:
                 self.named.append(node)
+                if by_word == 1 and in_main:
+                    self.soft.append(node)
             self.hard.append(self.hard[above] or name in RAW or by_name)
-            out.append(out[above] or self.hard[node] or by_word and node not in self.kept)
+            out.append(out[above] or self.hard[node] or by_word > 0 and node not in self.kept)
             self.seen.append(0)
+            self.seen_links.append(0)
             self.chars.append(0)
             self.links.append(0)
             self.link_tags.append(int(name == "a"))
             if name in RAW:
-                end = re.compile(rf"</{name}(?=[\s/>])", re.IGNORECASE).search(source, at)
-                at = end.start() if end else len(source)
-                at = (source.find(">", at) + 1 or len(source)) if end else at
+                if not (name in FOREIGN and attrs.rstrip().endswith("/")):
+                    at = self.behind(source, name, at)
             elif name not in VOID and not (attrs.rstrip().endswith("/") and name not in BLOCK and name not in ("a", "b", "i", "em", "strong", "span")):
+                opened.setdefault(name, []).append(len(stack))
+                if name in SCOPE:
+                    scopes.append(len(stack))
                 stack.append(node)
                 in_link += name == "a"
                 in_main += name in MAIN_TAGS
         flush()
 
-    def aside(self, name: str, attrs: str, in_article: bool) -> tuple[bool, bool]:
-        """Whether element, role or style, and whether words of class or id mark what isn't main text."""
-        by_word = False
+    @staticmethod
+    def behind(source: str, name: str, at: int) -> int:
+        """Where a raw element ends that begins before ``at``: behind its end tag, of NESTED ones the one that belongs to it."""
+        depth = 1
+        for m in re.compile(rf"<(/?){name}(?=[\s/>])({ATTRIBUTES})>", re.IGNORECASE).finditer(source, at):
+            if m[1]:
+                depth -= 1
+            elif name in NESTED and not (name in FOREIGN and m[2].rstrip().endswith("/")):
+                depth += 1
+            if not depth:
+                return m.end()
+        return len(source)
+
+    def aside(self, name: str, attrs: str, in_article: bool) -> tuple[bool, int]:
+        """Whether element, role or style, and whether words of class or id (2; 1: SOFT_WORDS only) mark what isn't main text."""
+        by_word = 0
         if name in ASIDE_TAGS:
-            return True, False
+            return True, 0
         if name == "header" and not in_article:
-            return True, False
+            return True, 0
         if not attrs or attrs.isspace() or name in MAIN_TAGS or name in ("html", "body"):
-            return False, False
+            return False, 0
         for m in ATTRIBUTE.finditer(attrs):
             key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if key in ("class", "id"):
                 found = set(re.split(r"[^a-z0-9]+", CAMEL.sub("-", value).lower()))
                 if not ASIDE_WORDS.isdisjoint(found) or not in_article and not HEADER_WORDS.isdisjoint(found):
-                    by_word = True
+                    by_word = 2
+                elif not SOFT_WORDS.isdisjoint(found):
+                    by_word = max(by_word, 1)
             elif key == "role" and value.lower() in ASIDE_ROLES or key == "hidden" or key == "aria-hidden" and value.lower() == "true":
                 return True, by_word
             elif key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value.lower()):

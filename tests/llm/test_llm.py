@@ -436,6 +436,31 @@ def test_main_text_in_several_places():
     assert extract.main_text(f"<body><div class=ad><p>{'buy this ' * 20}</p></div><article><p>brief text</p></article></body>") == "brief text"
 
 
+def test_markup_loses_no_text():
+    """Self-closing drawings, quotes in bare values, nested templates, words of class in articles, labels in sentences."""
+    of = lambda body: extract.main_text(f"<body><article>{body}</article></body>")
+    assert of("<p>one two</p><svg width=1 /><p>three four</p>") == "one two\n\nthree four"
+    assert of("<p>one</p><svg><svg/><svg><text>no</text></svg><text>no</text></svg><p>two</p>") == "one\n\ntwo"
+    assert of("<p title=it's>Hello one two three</p><p title=it's>World four five</p>") == "Hello one two three\n\nWorld four five"
+    assert of("<p title='a > b' id=\"x > y\" data-a=q='r>s</p>") == "s"
+    assert of("<p>one</p><template>no<template>no</template>no</template><p>two</p>") == "one\n\ntwo"
+    assert of("<p>one</p><script>if (a < b) '<script>'</script ><p>two</p>") == "one\n\ntwo"
+    long = "a sentence of the article that goes on for some time, with one more clause"
+    parts = "".join(f"<div class={c}><p>{c} {long}</p></div>" for c in ("related-work", "discussion", "share"))
+    assert of(f"<p>{long}</p>{parts}") == "\n\n".join([long, *(f"{c} {long}" for c in ("related-work", "discussion", "share"))])
+    assert of(f"<p>{long}</p><div class=share><a href=x>Share</a> <a href=y>Send</a></div><div class=comments><p>{long}</p></div>") == long
+    assert of("<p>the <label>inline label</label> stays</p>") == "the inline label stays"
+    assert extract.main_text("<p>torn <svg") == "torn" and extract.main_text("<p>torn <template> a") == "torn"
+
+
+def test_open_elements_are_linear():
+    n = 20_000
+    for page in ("<b>" * n + "</i>" * n, "<i><div>" + "<b>" * n + "</i>" * n, "<b>" * n + "<h1></h1>" * n, "<ul>" + "<b>" * n + "<tr></tr>" * n, "<p>" * n, "<a b='" * n):
+        began = time.time()
+        extract.main_text(f"<body>{page}text of the page</body>")
+        assert time.time() - began < 5, page[:20]
+
+
 def test_articles_of_the_given_pages(spark):
     import html
     import re
