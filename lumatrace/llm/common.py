@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import threading
 import uuid
 from collections.abc import Iterator
 
@@ -21,14 +22,26 @@ CHUNK_BYTES = 1 << 20
 BATCH_ROWS = 1000
 
 
-#: Folders that ``materialize`` has written and ``discard`` hasn't removed.
-WRITTEN: list[str] = []
+class Folders(threading.local):
+    """Folders that ``materialize`` has written in this thread and ``discard`` hasn't removed: queries that run side by side don't see each other's."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+
+    def __len__(self) -> int:
+        return len(self.paths)
+
+    def __getitem__(self, at):
+        return self.paths[at]
+
+
+WRITTEN = Folders()
 
 
 def materialize(df: DataFrame, codec: str = "snappy") -> DataFrame:
     """Write to the shared folder and read again: cuts lineage and outlives executors."""
     path = f"{shared_dir(df.sparkSession)}/lumatrace-{uuid.uuid4().hex}"
-    WRITTEN.append(path)
+    WRITTEN.paths.append(path)
     df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -38,7 +51,7 @@ def discard(spark: SparkSession, paths: list[str]) -> None:
     for path in list(paths):
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-        WRITTEN.remove(path)
+        WRITTEN.paths.remove(path)
 
 
 def give_back() -> None:

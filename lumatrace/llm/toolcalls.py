@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, read
+from .common import WRITTEN, discard, materialize, read
 
 #: Schemas (a subset of JSON Schema) of the tools that the query knows.
 SCHEMAS = {"reply": {"properties": {"prompt": {"type": "string", "minLength": 1, "maxLength": 4000}, "turn": {"type": "integer", "minimum": 0}}, "required": ["prompt", "turn"], "additionalProperties": False}}
@@ -51,23 +51,43 @@ def validate(name: Column, arguments: Column, schemas: dict = SCHEMAS) -> Column
     return result
 
 
-def levels(calls: DataFrame) -> DataFrame:
-    """(call_id, level) of distinct (call_id, after): how many calls come before; null in and behind a cycle.
+def levels(calls: DataFrame, edges: DataFrame) -> DataFrame:
+    """(call_id, level) of distinct ``calls`` (call_id): the calls on the longest way that leads to it; null in and behind a cycle.
 
-    Pointers double: each round a call looks twice as far back, so a chain of n calls takes log2(n)
-    joins on unique identifiers, and no conversation is gathered anywhere. An ``after`` that names no
-    call, or none, is a begin.
+    ``edges`` (call_id, after): what each comes after; one that names no call doesn't count. Calls that come after
+    exactly one other are chains: pointers double, so a chain of n calls takes log2(n) joins on unique identifiers.
+    Calls that come after several are then placed, once all that is before them is, in as many rounds as
+    there are such calls on one way. No conversation is gathered anywhere.
     """
-    calls = materialize(calls.filter("call_id IS NOT NULL"))
-    known = calls.select(F.col("call_id").alias("k"))
-    state = materialize(calls.join(known, F.col("after") == F.col("k"), "left").select("call_id", F.col("k").alias("after"), F.when(F.col("k").isNull(), 0).otherwise(1).cast("long").alias("level")))
-    rounds = max(1, int(state.count()).bit_length() + 1)
-    for _ in range(rounds):
-        if state.filter("after IS NOT NULL").isEmpty():
+    first = len(WRITTEN)
+    calls = materialize(calls.filter("call_id IS NOT NULL").select("call_id"))
+    known = calls.select(F.col("call_id").alias("after"))
+    edges = materialize(edges.select("call_id", "after").distinct().join(known, "after", "left_semi").select("call_id", "after"))
+    before = edges.groupBy("call_id").agg(F.count(F.lit(1)).alias("n"), F.min("after").alias("after"))
+    one = F.coalesce("n", F.lit(0)) == 1
+    # of each call the nearest one up its chain that comes after none or several, and how far that is
+    state = materialize(calls.join(before, "call_id", "left").select("call_id", F.when(one, F.col("after")).otherwise(F.col("call_id")).alias("top"), one.cast("long").alias("far"), F.coalesce("n", F.lit(0)).alias("n")))
+    ends = materialize(state.filter("n <> 1").select(F.col("call_id").alias("top"), "n"))
+    for _ in range(max(1, int(calls.count()).bit_length() + 1)):
+        if state.join(ends, "top", "left_anti").isEmpty():
             break
-        far = state.select(F.col("call_id").alias("k"), F.col("after").alias("next"), F.col("level").alias("more"))
-        state = materialize(state.join(far, F.col("after") == F.col("k"), "left").select("call_id", F.col("next").alias("after"), (F.col("level") + F.coalesce("more", F.lit(0))).alias("level")))
-    return state.select("call_id", F.when(F.col("after").isNull(), F.col("level")).alias("level"))
+        next_ = state.select(F.col("call_id").alias("top"), F.col("top").alias("next"), F.col("far").alias("more"))
+        state = materialize(state.join(next_, "top").select("call_id", F.col("next").alias("top"), (F.col("far") + F.col("more")).alias("far"), "n"))
+    placed = materialize(ends.filter("n = 0").select("top", F.lit(0).cast("long").alias("level")))
+    several = state.filter("n > 1").select("call_id")
+    if not several.isEmpty():
+        of = state.select(F.col("call_id").alias("after"), "top", "far")
+        steps = materialize(edges.join(several, "call_id", "left_semi").join(of, "after").select("call_id", "top", (F.col("far") + 1).alias("far")))
+        while True:
+            open_ = steps.join(placed.select(F.col("top").alias("call_id")), "call_id", "left_anti")
+            ready = open_.join(placed, "top", "left").groupBy("call_id").agg(F.max(F.col("level") + F.col("far")).alias("level"), F.count_if(F.col("level").isNull()).alias("open"))
+            new = materialize(ready.filter("open = 0").select(F.col("call_id").alias("top"), "level"))
+            if new.isEmpty():
+                break
+            placed = materialize(placed.union(new))
+    found = materialize(state.join(placed, "top", "left").select("call_id", (F.col("level") + F.col("far")).alias("level")))
+    discard(calls.sparkSession, WRITTEN[first:-1])
+    return found
 
 
 def marked(rows: DataFrame, order: list[str], count: str) -> DataFrame:
@@ -88,8 +108,9 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict = SCHEMAS) -> DataF
 
     Identifiers hold within a conversation; rows of null conv_id are one conversation. Each call and each
     result is in exactly one row. status: ``linked``, ``pending`` (no result) or ``orphan`` (no call).
-    level: place in the topological order of the conversation, null for orphans and cycles. valid and
-    errors: arguments against the tool's schema. message: the canonical JSON. Repeated identifiers: the
+    after: a call's identifier, or a JSON array of several. level: place in the topological order of the conversation,
+    see ``levels``, null for orphans and cycles. valid and errors: arguments against the tool's schema. message: the
+    canonical JSON; content that is a JSON object or array stands in it as such, with its keys in order, any other as a string. Repeated identifiers: the
     call and the result of least turn, then text, link, with the numbers of all in n_calls and n_results;
     every other one, and each without identifier, is pending or orphan in a row of its own, without level.
     Empty tables give no rows.
@@ -100,8 +121,9 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict = SCHEMAS) -> DataF
     results = marked(results, ["turn", "content"], "n_results")
     results = results.select(F.col("conv_id").alias("r_conv"), F.col("call_id").alias("r_id"), F.col("turn").alias("result_turn"), "content", F.col("key").alias("r_key"), "n_results")
     standing = calls.filter("key IS NOT NULL")
-    after = F.when(F.col("after").isNotNull(), F.to_json(F.struct("conv_id", F.col("after").alias("call_id"))))
-    order = levels(standing.select(F.col("key").alias("call_id"), after.alias("after")))
+    several = F.when(F.startswith(F.ltrim("after"), F.lit("[")), F.from_json("after", "ARRAY<STRING>"))
+    each = standing.filter("after IS NOT NULL").select("conv_id", F.col("key").alias("call_id"), F.explode(F.coalesce(several, F.array("after"))).alias("before"))
+    order = levels(standing.select(F.col("key").alias("call_id")), each.filter("before IS NOT NULL").select("call_id", F.to_json(F.struct("conv_id", F.col("before").alias("call_id"))).alias("after")))
     placed = standing.join(order.withColumnRenamed("call_id", "o_key"), F.col("key") == F.col("o_key"), "left").drop("o_key")
     both = placed.join(results.filter("r_key IS NOT NULL"), F.col("key") == F.col("r_key"), "full")
     for others in (calls.filter("key IS NULL"), results.filter("r_key IS NULL")):
@@ -117,21 +139,26 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict = SCHEMAS) -> DataF
     inner = lambda key, c: F.regexp_extract(F.to_json(F.struct(F.col(c).alias(key))), r"(?s)^\{(.*)\}$", 1)
     part = lambda key, c: F.when(F.col(c).isNotNull(), inner(key, c))
     call = F.when(F.col("n_calls") > 0, F.concat(F.lit('"call":{"arguments":'), "arguments", F.lit(","), F.concat_ws(",", part("id", "call_id"), part("name", "name")), F.lit("}")))
-    result = F.when(F.col("n_results") > 0, F.concat(F.lit('"result":{'), F.concat_ws(",", part("content", "content"), part("id", "call_id")), F.lit("}")))
+    value = F.try_parse_json("content")
+    nested = F.schema_of_variant(value).rlike(f"{KINDS['object']}|{KINDS['array']}")
+    content = F.when(F.coalesce(nested, F.lit(False)), F.concat(F.lit('"content":'), F.to_json(value))).otherwise(part("content", "content"))
+    result = F.when(F.col("n_results") > 0, F.concat(F.lit('"result":{'), F.concat_ws(",", content, part("id", "call_id")), F.lit("}")))
     return out.withColumn("message", F.concat(F.lit("{"), F.concat_ws(",", call, result), F.lit("}"))).drop("name", "arguments", "content")
 
 
 def explicit(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Calls and results of messages that carry them as JSON.
 
-    Assistant: ``{"tool_calls": [{"id", "name", "arguments": {...}, "after"}]}``; tool: ``{"tool_call_id", "content"}``.
-    Other texts hold none.
+    Assistant: ``{"tool_calls": [{"id", "name", "arguments": {...}, "after"}]}``, ``after`` being an identifier or a list of
+    them; tool: ``{"tool_call_id", "content"}``. A tool's text of another form is the content of a result without
+    identifier. Other texts hold none.
     """
     item = "STRUCT<id: STRING, name: STRING, arguments: STRING, after: STRING>"
     parsed = messages.filter("role = 'assistant'").select("conv_id", "turn", F.explode(F.from_json("text", f"STRUCT<tool_calls: ARRAY<{item}>>")["tool_calls"]).alias("c"))
     calls = parsed.select("conv_id", "turn", F.col("c.id").alias("call_id"), F.col("c.name").alias("name"), F.col("c.arguments").alias("arguments"), F.col("c.after").alias("after"))
     results = messages.filter("role = 'tool'").withColumn("r", F.from_json("text", "STRUCT<tool_call_id: STRING, content: STRING>"))
-    return calls, results.select("conv_id", "turn", F.col("r.tool_call_id").alias("call_id"), F.col("r.content").alias("content"))
+    plain = F.col("r.tool_call_id").isNull() & F.col("r.content").isNull()
+    return calls, results.select("conv_id", "turn", F.col("r.tool_call_id").alias("call_id"), F.when(plain, F.col("text")).otherwise(F.col("r.content")).alias("content"))
 
 
 def of_turns(messages: DataFrame) -> tuple[DataFrame, DataFrame]:

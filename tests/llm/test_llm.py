@@ -586,6 +586,46 @@ def test_explicit_calls(spark):
     assert json.loads(got["a"].message)["result"] == {"content": 'q"\n', "id": "a"}
 
 
+def test_plain_results_and_canonical_content(spark):
+    """A tool's text of another form keeps its content; JSON content has its keys in order; lists and texts that look like JSON stay what they are."""
+    texts = ["no JSON at all", json.dumps({"tool_call_id": "a", "content": {"b": [1, {"d": 2, "c": 3}], "a": "x"}}), json.dumps({"tool_call_id": "b", "content": "[2, 1]"}), json.dumps({"tool_call_id": "c", "content": "17"}), "{torn", None]
+    calls, results = toolcalls.explicit(spark.createDataFrame([(1, i, "tool", t) for i, t in enumerate(texts)], "conv_id long, turn long, role string, text string"))
+    got = {r.result_turn: (r.status, r.message) for r in toolcalls.link(calls, results, {}).collect()}
+    assert {s for s, _ in got.values()} == {"orphan"}
+    assert [got[i][1] for i in range(6)] == ['{"result":{"content":"no JSON at all"}}', '{"result":{"content":{"a":"x","b":[1,{"c":3,"d":2}]},"id":"a"}}', '{"result":{"content":[2,1],"id":"b"}}', '{"result":{"content":"17","id":"c"}}', '{"result":{"content":"{torn"}}', '{"result":{}}']
+
+
+def test_levels_are_longest_ways(spark):
+    """Random graphs with chains, joins and cycles, against a plain search; no folder of it is left."""
+    rnd = random.Random(3)
+    calls, after = [], {}
+    for conv in range(6):
+        names = [f"c{i}" for i in range(25)]
+        for i, name in enumerate(names):
+            few = rnd.choice((0, 1, 1, 1, 2, 3))
+            of = rnd.sample(names[:i] or ["nowhere"], min(few, max(1, i))) if few else []
+            if conv == 5 and i in (4, 7):
+                of = [*of, names[11 - i]]  # a cycle of these two
+            after[conv, name] = of
+            calls.append((conv, i, name, "t", "{}", json.dumps(of) if len(of) != 1 or i % 2 else of[0]))
+    calls += [(9, i, f"k{i}", "t", "{}", f"k{i - 1}") for i in range(200)]
+    after |= {(9, f"k{i}"): [f"k{i - 1}"] for i in range(200)}
+
+    def level(key, path=()):
+        if key in path:
+            return None
+        found = [level((key[0], n), (*path, key)) for n in after[key] if (key[0], n) in after]
+        return None if None in found else max((f + 1 for f in found), default=0)
+
+    sys.setrecursionlimit(5000)
+    before = len(common.WRITTEN)
+    rows = toolcalls.link(spark.createDataFrame(calls, "conv_id long, turn long, call_id string, name string, arguments string, after string"), spark.createDataFrame([], "conv_id long, turn long, call_id string, content string"), {}).collect()
+    got = {(r.conv_id, r.call_id): r.level for r in rows}
+    want = {key: level(key) for key in after}
+    assert got == want and None in want.values() and got[9, "k199"] == 199
+    assert len(common.WRITTEN) - before < 12
+
+
 def test_messages_with_calls_are_no_plain_results(spark, tmp_path):
     """Two conversations use the same identifiers; what carries calls is not read as the answer to a user."""
     call = json.dumps({"tool_calls": [{"id": "call_1", "name": "reply", "arguments": {"prompt": "p", "turn": 1}}]})
