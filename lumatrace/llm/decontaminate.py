@@ -18,13 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_map, blobs, chunks, materialize, read
+from .common import WRITTEN, arrow_map, blobs, chunks, discard, materialize, read
 
 WINDOW = 10
 #: Every so many positions the index keeps one suffix position.
 SAMPLE = 8
 #: Bytes of benchmark text in one broadcast; a larger benchmark takes several passes.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
 #: Bytes of document text in one index.
 SHARD_BYTES = 3 << 20
 #: A-Z become a-z; bytes that are not in a word become spaces.
@@ -111,21 +111,29 @@ class FmIndex:
 
 
 class Phrases:
-    """The windows of a block of benchmark items."""
+    """The windows of a block of benchmark items: by length a row of word numbers for each, and the items that hold it."""
 
     def __init__(self, items: list[tuple[str | None, bytes]], window: int) -> None:
         self.vocabulary: dict[bytes, int] = {}
-        found: dict[tuple[int, ...], set[str]] = {}
+        self.names = sorted({name for name, _ in items if name is not None})
+        number = {name: i for i, name in enumerate(self.names)}
+        texts: dict[int, list[tuple[int, np.ndarray]]] = {}
         for name, text in items:
-            words = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in text.translate(TO_WORDS).split()]
-            size = min(window, len(words))
-            for i in range(len(words) - size + 1 if words else 0):
-                found.setdefault(tuple(words[i : i + size]), set()).update([name] if name is not None else [])
-        self.by_size: list[tuple[np.ndarray, list[list[str]]]] = []
-        for size in sorted({len(w) for w in found}):
-            rows = [w for w in found if len(w) == size]
-            self.by_size.append((np.array(rows, np.int64), [sorted(found[w]) for w in rows]))
-        self.shortest = min((w.shape[1] for w, _ in self.by_size), default=1)
+            words = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in text.translate(TO_WORDS).split()], np.int32)
+            if len(words):
+                texts.setdefault(min(window, len(words)), []).append((number.get(name, -1), words))
+        self.by_size: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # windows; where their items begin; items
+        for size, found in sorted(texts.items()):
+            rows = np.concatenate([np.lib.stride_tricks.sliding_window_view(words, size) for _, words in found])
+            item = np.repeat(np.array([i for i, _ in found], np.int32), [len(words) - size + 1 for _, words in found])
+            order = np.lexsort((item, *rows.T[::-1]))
+            rows, item = rows[order], item[order]
+            new = np.concatenate([[True], (rows[1:] != rows[:-1]).any(1)])
+            other = new | np.concatenate([[True], item[1:] != item[:-1]])
+            kept = other & (item >= 0)  # an item without a name hits but isn't named
+            begin = np.concatenate([[0], np.cumsum(kept)])[np.append(np.flatnonzero(new), len(rows))]
+            self.by_size.append((np.ascontiguousarray(rows[new]), begin, item[kept]))
+        self.shortest = min((w.shape[1] for w, _, _ in self.by_size), default=1)
 
     def matches(self, symbols: np.ndarray, first_of_text: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[list[str]]]:
         """Begin and length of each occurrence in the word symbols, and the names of its items."""
@@ -148,14 +156,15 @@ class Phrases:
         text = np.where(place < 0, 0, symbols[place])
         index = FmIndex(text, len(self.vocabulary))
         where, size, names = [], [], []
-        for patterns, owners in self.by_size:
+        for patterns, begin, items in self.by_size:
             lo, hi = index.search(patterns)
             hit = np.flatnonzero(hi > lo)
             counts = (hi - lo)[hit]
             rows = np.repeat(lo[hit] - np.concatenate([[0], np.cumsum(counts)[:-1]]) if len(hit) else lo[hit], counts) + np.arange(counts.sum())
             where.append(place[index.locate(rows)])
             size.append(np.full(len(rows), patterns.shape[1]))
-            names += [owners[i] for i in np.repeat(hit, counts).tolist()]
+            owners = [[self.names[j] for j in items[begin[i] : begin[i + 1]]] for i in hit.tolist()]
+            names += [owners[i] for i in np.repeat(np.arange(len(hit)), counts).tolist()]
         return np.concatenate(where), np.concatenate(size), names
 
 
@@ -230,20 +239,30 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     empty texts have no words, items without words have no windows, an item without a name hits but
     isn't named, repeated items count once, repeated documents are judged each. Columns of the added
     names are replaced. Benchmarks beyond ``block_bytes`` are taken in blocks, one pass each, so that
-    what is broadcast is bounded.
+    what is broadcast is bounded. All but the last pass write only what they found, by the text's hash, and the last one joins it.
     """
     docs = docs.drop(*ADDED.names)
+    first = len(WRITTEN)
     items = benchmark.select(F.col(item).cast("string").alias("name"), F.col(item_text).cast("string").alias("body")).filter("body IS NOT NULL")
     items = materialize(items.distinct())  # equal rows would meet in one block, however many they are
     total = items.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     blocks = max(1, -(-int(total) // block_bytes))
     items = items.withColumn("block", F.pmod(F.xxhash64("name", "body"), F.lit(blocks)))
-    for block in range(blocks):
-        rows = [(r["name"], r["body"].encode()) for r in items.filter(F.col("block") == block).select("name", "body").collect()]
-        docs = scan_block(docs, rows, text, window)
-        if block + 1 < blocks:
-            docs = materialize(docs)  # else the phrases of all blocks would be held at once
-    return docs
+    held = lambda block: [(r["name"], r["body"].encode()) for r in items.filter(F.col("block") == block).select("name", "body").collect()]
+    if blocks == 1:
+        rows = held(0)
+        discard(docs.sparkSession, WRITTEN[first:])
+        return scan_block(docs, rows, text, window)
+    keys = {"__k1": F.xxhash64(text), "__k2": F.xxhash64(F.lit(1), text)}  # what a text shares depends on the text alone
+    texts, found = docs.select(text).withColumns(keys), None
+    for block in range(blocks - 1):
+        hits = materialize(scan_block(texts, held(block), text, window).filter("size(hit_words) > 0").select(*keys, "hit_words", "hit_items").dropDuplicates([*keys]))
+        found = hits if found is None else found.union(hits)
+    last = held(blocks - 1)
+    found = materialize(found.groupBy(*keys).agg(F.flatten(F.collect_list("hit_words")).alias("hit_words"), F.flatten(F.collect_list("hit_items")).alias("hit_items")))
+    discard(docs.sparkSession, WRITTEN[first:-1])
+    joined = docs.withColumns(keys).join(found, [*keys], "left").select(*docs.columns, "hit_words", "hit_items")
+    return scan_block(joined, last, text, window)
 
 
 def op2_decontaminate(spark, sf_dir: str) -> DataFrame:

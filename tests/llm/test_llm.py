@@ -187,6 +187,23 @@ def test_repeated_items_do_not_fill_a_block(spark, monkeypatch):
     assert {r.doc_id: r.hit_items for r in found} == {0: ["1"], 1: []}
 
 
+def test_blocks_leave_no_copies(spark):
+    """Six blocks find what one does, and leave one table of what was found, not of the documents."""
+    rnd = random.Random(21)
+    say = lambda n: " ".join("".join(rnd.choice("abcdefg") for _ in range(rnd.randint(1, 3))) for _ in range(n))
+    items = [(i, say(14)) for i in range(30)]
+    docs = documents(spark, [f"{say(9)} {items[i % 30][1]} {say(5)} {items[i % 7][1]}" if i % 3 else say(40) for i in range(50)] + [None, ""])
+    docs = docs.union(docs.filter("doc_id < 5"))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    size = sum(len(t) for _, t in items)
+    before = len(common.WRITTEN)
+    whole = decontaminate.decontaminate(docs, bench)
+    assert len(common.WRITTEN) == before
+    parts = decontaminate.decontaminate(docs, bench, block_bytes=-(-size // 6))
+    assert len(common.WRITTEN) == before + 1
+    assert sorted(map(str, whole.collect())) == sorted(map(str, parts.select(whole.columns).collect())) and whole.filter("size(hit_items) > 1").count() > 0
+
+
 def test_fm_index():
     rng = np.random.default_rng(0)
     text = np.concatenate([np.concatenate([[0], rng.integers(1, 6, n)]) for n in (30, 1, 50, 7)])
