@@ -9,6 +9,7 @@ block to block.
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
@@ -27,6 +28,10 @@ SAMPLE_ROWS, SAMPLE_CHARS = 300, 2_000_000
 #: Hash buckets of the features, words in the lexicon, words of one block.
 BUCKET_BITS, LEXICON, CHAIN = 15, 4000, 64
 BUCKETS = 1 << BUCKET_BITS
+#: Values of transfer matrices, and of word scores, that are held at a time.
+MATRICES, SCORES = 1 << 21, 1 << 21
+#: Characters that are split into words at once.
+PIECE = 1 << 20
 #: Odd factors of the features' hash.
 FACTOR, MIXER = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 #: Letters of a word; what is longer, as in scripts without spaces, is taken as several words.
@@ -107,43 +112,53 @@ class Crf:
         sums = np.add.reduceat(self.weights[flat], np.concatenate([[0], np.cumsum(sizes)[:-1]]), axis=0) if len(flat) else np.zeros((0, len(self.labels)), np.float32)
         return 4 * sums / sizes[:, None]
 
-    def carried(self, local: np.ndarray, live: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """What reaches each block from the words before it and from those behind it, in the order of the texts.
+    def carried(self, block, n: int, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What reaches each of n blocks from the words before it and from those behind it, in the order of the texts.
 
-        ``local``: blocks x words x labels; ``first`` and ``last`` mark the blocks that begin and end a text. A
-        block's transfer matrix is the product of its words' transitions; the states are carried along these.
+        ``block`` gives for some blocks their word scores (blocks x words x labels, as factors) and which words are
+        real; ``first`` and ``last`` mark the blocks that begin and end a text. A block's transfer matrix is the product of
+        its words' transitions, and the states are carried along these. MATRICES values of such matrices are held
+        at a time: where there are more, they are made again on the way back.
         """
-        n, size, k = local.shape
+        k = len(self.labels)
         move, start = np.exp(self.step), np.exp(self.start)
-        before, behind = np.tile(start, (n, 1)), np.full((n, k), 1 / k)
-        some = np.flatnonzero(~(first & last))
-        if not len(some):
-            return before, behind
-        transfer = np.empty((len(some), k, k))
-        for a in range(0, len(some), most := max(1, (1 << 21) // (k * k))):
-            part = some[a : a + most]
-            now = np.where(first[part, None, None], start, move) * local[part, 0][:, None, :]
-            for t in range(1, size):
-                new = (now @ move) * local[part, t][:, None, :]
-                now = np.where(live[part, t][:, None, None], new / new.max((1, 2), keepdims=True), now)
-            transfer[a : a + most] = now
-        at = np.full(n, -1)
-        at[some] = np.arange(len(some))
-        place = np.arange(n) - np.maximum.accumulate(np.where(first, np.arange(n), 0))
-        order = np.argsort(place, kind="stable")
-        bounds = np.searchsorted(place[order], np.arange(place.max() + 2))
-        out = np.full((n, k), 1 / k)  # the state behind a block's last word
-        for i in range(place.max() + 1):
-            blocks = order[bounds[i] : bounds[i + 1]]
-            blocks = blocks[~last[blocks]]
-            into = out[blocks - 1] if i else np.full((len(blocks), k), 1 / k)
-            state = np.einsum("nk,nkj->nj", into, transfer[at[blocks]])
-            out[blocks] = state / state.sum(1, keepdims=True)
-            before[blocks + 1] = out[blocks] @ move
-        for i in range(place.max(), 0, -1):
-            blocks = order[bounds[i] : bounds[i + 1]]
-            state = np.einsum("nkj,nj->nk", transfer[at[blocks]], behind[blocks])
-            behind[blocks - 1] = state / state.sum(1, keepdims=True)
+        before, behind, out = np.tile(start, (n, 1)), np.full((n, k), 1 / k), np.full((n, k), 1 / k)
+        some, most = np.flatnonzero(~(first & last)), max(1, MATRICES // (k * k))
+        groups = [some[a : a + most] for a in range(0, len(some), most)]
+
+        def transfers(part: np.ndarray) -> np.ndarray:
+            local, live = block(part)
+            now = np.where(first[part, None, None], start, move) * local[:, 0][:, None, :]
+            for t in range(1, local.shape[1]):
+                new = (now @ move) * local[:, t][:, None, :]
+                now = np.where(live[:, t][:, None, None], new / new.max((1, 2), keepdims=True), now)
+            return now
+
+        def steps(part: np.ndarray) -> list[np.ndarray]:
+            """Numbers within the group: the first blocks of all texts, then the second ones, and so on."""
+            head = first[part].copy()
+            head[0] = True
+            place = np.arange(len(part)) - np.maximum.accumulate(np.where(head, np.arange(len(part)), 0))
+            order = np.argsort(place, kind="stable")
+            return np.split(order, np.searchsorted(place[order], np.arange(1, place.max() + 1)))
+
+        for part in groups:
+            transfer = transfers(part)
+            for at in steps(part):
+                at = at[~last[part[at]]]
+                blocks = part[at]
+                into = np.where(first[blocks, None], 1 / k, out[blocks - 1])
+                state = np.einsum("nk,nkj->nj", into, transfer[at])
+                out[blocks] = state / state.sum(1, keepdims=True)  # the state behind a block's last word
+                before[blocks + 1] = out[blocks] @ move
+        for part in reversed(groups):
+            if len(groups) > 1:
+                transfer = transfers(part)
+            for at in reversed(steps(part)):
+                at = at[~first[part[at]]]
+                blocks = part[at]
+                state = np.einsum("nkj,nj->nk", transfer[at], behind[blocks])
+                behind[blocks - 1] = state / state.sum(1, keepdims=True)
         return before, behind
 
     def marginals(self, scores: np.ndarray, live: np.ndarray, pairs: bool = False, before: np.ndarray | None = None, beyond: np.ndarray | None = None):
@@ -206,7 +221,9 @@ class Crf:
                 gold += [stretches[i][1]] * len(stretches[i][0])
                 if len(now) >= CHAIN or rng.random() < 0.5:
                     chains.append((now[:CHAIN], gold[:CHAIN]))
-                    now, gold = [], []
+                    now, gold = now[CHAIN:], gold[CHAIN:]  # what is left begins the next chain
+            if now:
+                chains.append((now, gold))
             for a in range(0, len(chains), 256):
                 part = chains[a : a + 256]
                 words = np.full((len(part), CHAIN), -1)
@@ -266,6 +283,24 @@ def training_sample(docs: DataFrame, text: str, label: str, key: str) -> list[tu
     return [(r["t"], r["label"]) for r in sorted(fits.select("t", "label", "i").collect(), key=lambda r: (r["label"], r["i"]))]
 
 
+def by_size(texts: list[str]) -> Iterator[list[tuple[int, str]]]:
+    """(number of the text, piece) in lists of about PIECE characters; texts are cut at spaces only, where no word is."""
+    some, size = [], 0
+    for i, text in enumerate(texts):
+        at = 0
+        while at < len(text) or not at:
+            end = text.find(" ", at + PIECE) if len(text) - at > PIECE else -1
+            end = len(text) if end < 0 else end
+            some.append((i, text[at:end]))
+            size += end - at
+            at = max(end, 1)
+            if size >= PIECE:
+                yield some
+                some, size = [], 0
+    if some:
+        yield some
+
+
 class Labeller:
     """Applies a model to batches of texts; keeps the scores of frequent words."""
 
@@ -275,8 +310,6 @@ class Labeller:
         self.table = np.zeros((1 << 12, len(model.labels)), np.float32)
 
     def learn(self, words: set[bytes]) -> None:
-        if len(self.rows) > CACHE_WORDS:
-            self.rows.clear()
         new = [w for w in words if w not in self.rows]
         if not new:
             return
@@ -289,29 +322,47 @@ class Labeller:
 
     def shares(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """For each text the expected share of letters by label, and its number of words."""
-        words = [split(t) for t in texts]
-        self.learn(set().union(*words))
-        counts = np.fromiter(map(len, words), np.int64, len(words))
+        if len(self.rows) > CACHE_WORDS:
+            self.rows.clear()
+        held, lengths, counts = array("i"), array("i"), np.zeros(len(texts), np.int64)
+        for some in by_size(texts):  # of a long text a piece at a time
+            words = [split(piece) for _, piece in some]
+            self.learn(set().union(*words))
+            for (i, _), found in zip(some, words, strict=True):
+                held.extend(map(self.rows.__getitem__, found))
+                lengths.extend(map(len, found))
+                counts[i] += len(found)
         k, total = len(self.model.labels), int(counts.sum())
         if not total:
             return np.zeros((len(texts), k)), counts
-        ids = np.fromiter((i for w in words for i in map(self.rows.__getitem__, w)), np.int64, total)
-        sizes = np.fromiter((n for w in words for n in map(len, w)), np.float64, total)
+        ids, sizes = np.frombuffer(held, np.int32), np.frombuffer(lengths, np.int32)
         chains = -(-counts // CHAIN)
-        doc = np.repeat(np.arange(len(texts)), counts)
-        within = np.arange(total) - np.repeat(np.cumsum(counts) - counts, counts)
-        row = (np.cumsum(chains) - chains)[doc] + within // CHAIN
-        column = within % CHAIN
-        scores = np.zeros((int(chains.sum()), CHAIN, k), np.float32)
-        live = np.zeros(scores.shape[:2], bool)
-        scores[row, column], live[row, column] = self.table[ids], True
-        local = np.exp(scores - scores.max(2, keepdims=True)).astype(float)
-        first, last = np.zeros((2, len(scores)), bool)
-        first[(np.cumsum(chains) - chains)[chains > 0]] = last[(np.cumsum(chains) - 1)[chains > 0]] = True
-        before, beyond = self.model.carried(local, live, first, last)
-        parts = [slice(a, a + 2048) for a in range(0, len(scores), 2048)]
-        prob = np.concatenate([self.model.marginals(scores[p], live[p], before=before[p], beyond=beyond[p]) for p in parts])[row, column]
-        out = np.stack([np.bincount(doc, prob[:, i] * sizes, len(texts)) for i in range(k)], 1)
+        n, doc = int(chains.sum()), np.repeat(np.arange(len(texts)), chains)
+        within = np.arange(n) - np.repeat(np.cumsum(chains) - chains, chains)
+        begin = np.repeat(np.cumsum(counts) - counts, chains) + within * CHAIN
+        length = np.minimum(CHAIN, np.repeat(np.cumsum(counts), chains) - begin)
+        first, last = within == 0, within == chains[doc] - 1
+
+        def words_at(part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            return np.minimum(begin[part][:, None] + np.arange(CHAIN), total - 1), np.arange(CHAIN) < length[part][:, None]
+
+        def block(part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            at, live = words_at(part)
+            scores = self.table[ids[at]]
+            scores[~live] = 0
+            return np.exp(scores - scores.max(2, keepdims=True)).astype(float), live
+
+        before, beyond = self.model.carried(block, n, first, last)
+        out, most = np.zeros((len(texts), k)), max(1, SCORES // (CHAIN * k))
+        for a in range(0, n, most):
+            part = np.arange(a, min(n, a + most))
+            at, live = words_at(part)
+            scores = self.table[ids[at]]
+            scores[~live] = 0
+            prob = self.model.marginals(scores, live, before=before[part], beyond=beyond[part])[live]
+            of, weight = np.broadcast_to(doc[part][:, None], live.shape)[live], sizes[at[live]]
+            for i in range(k):
+                out[:, i] += np.bincount(of, prob[:, i] * weight, len(texts))
         return out / np.maximum(out.sum(1, keepdims=True), 1e-300), counts
 
 

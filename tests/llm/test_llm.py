@@ -370,7 +370,9 @@ def test_forward_backward_against_enumeration():
     assert model.marginals(padded, np.array([[True] * 4 + [False] * 2]))[0, :4] == pytest.approx(want / total)
 
 
-def test_a_text_is_one_chain_over_its_blocks():
+@pytest.mark.parametrize("held", [1 << 21, 9, 40])
+def test_a_text_is_one_chain_over_its_blocks(monkeypatch, held):
+    monkeypatch.setattr(language, "MATRICES", held)  # 9: one block's transfer matrix at a time
     rng = np.random.default_rng(4)
     model = language.Crf(["x", "y", "z"], {})
     model.step, model.start = rng.normal(size=(3, 3)) + 3 * np.eye(3), rng.normal(size=3)
@@ -383,7 +385,7 @@ def test_a_text_is_one_chain_over_its_blocks():
             cut[at + t // block, t % block], live[at + t // block, t % block] = s[0, t], True
     first = np.isin(np.arange(len(cut)), np.cumsum(chains) - chains)
     last = np.isin(np.arange(len(cut)), np.cumsum(chains) - 1)
-    before, beyond = model.carried(np.exp(cut), live, first, last)
+    before, beyond = model.carried(lambda part: (np.exp(cut[part]), live[part]), len(cut), first, last)
     got = model.marginals(cut, live, before=before, beyond=beyond)[live]
     assert got == pytest.approx(np.concatenate([model.marginals(s, np.ones(s.shape[:2], bool))[0] for s in scores]))
 
@@ -421,6 +423,10 @@ def test_words_of_switched_text_get_their_own_labels():
     rows = duckdb.sql(f"SELECT text, lang FROM '{SF}/documents.parquet' WHERE lang IN ('en', 'de') ORDER BY doc_id LIMIT 300").fetchall()
     model = language.train([(t[:1000], y) for t, y in rows])
     by = {y: " ".join(next(t for t, k in rows if k == y and len(t) > 800).split()[:30]) for y in ("de", "en")}
+    whole = language.Labeller(model).shares(list(by.values()) + ["", "de"])
+    old, language.SCORES = language.SCORES, 1
+    parts, language.SCORES = language.Labeller(model).shares(list(by.values()) + ["", "de"]), old
+    assert np.allclose(whole[0], parts[0]) and (whole[1] == parts[1]).all()
     shares, _ = language.Labeller(model).shares([by["de"], by["en"], by["de"] + " " + by["en"]])
     assert shares[0, 0] > 0.9 and shares[1, 1] > 0.9 and 0.2 < shares[2, 0] < 0.8
 
