@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, read
+from .common import WRITTEN, discard, materialize, read
 
 #: (verdict, host, path): a rule fits its host and all subdomains, if the path starts with the rule's.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
@@ -87,6 +87,7 @@ def judge(pages: DataFrame, rules=RULES, url: str = "url", html: str = "html", b
     a url that is null or has no ``://`` (host and path empty). Null pages have no links. Repeated rows
     are judged each and count each. Columns of the added names are replaced.
     """
+    first = len(WRITTEN)
     named = pages.drop("host", "path", "rule", "verdict").withColumns({"host": host_of(F.coalesce(url, F.lit(""))), "path": path_of(F.coalesce(url, F.lit("")))})
     ruled = named.withColumn("__found", longest_rule(F.col("host"), F.col("path"), rules))
     share = lambda v: F.avg(F.when(F.col("__found.verdict") == v, 1.0).otherwise(0.0))
@@ -94,6 +95,7 @@ def judge(pages: DataFrame, rules=RULES, url: str = "url", html: str = "html", b
     scores = host_scores(seeds.filter("trust > 0 OR distrust > 0"), host_edges(pages, url, html), damping)
     distrust, trust = (F.round(F.col(c) / (1 - damping), 9) for c in ("distrust", "trust"))
     blocked = materialize(scores.filter((distrust >= block_from) & (distrust > trust)).select(F.col("host").alias("__blocked")))
+    discard(pages.sparkSession, WRITTEN[first:-1])  # only the blocked hosts are read again
     joined = ruled.join(blocked, ruled["host"] == F.col("__blocked"), "left")
     verdict = F.coalesce(F.col("__found.verdict"), F.when(F.col("__blocked").isNotNull(), "block").otherwise("allow"))
     return joined.withColumns({"rule": F.col("__found.rule"), "verdict": verdict}).drop("__found", "__blocked")
