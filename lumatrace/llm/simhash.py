@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_map, blobs, chunks, materialize, read, text_key
+from .common import WRITTEN, arrow_map, blobs, chunks, discard, materialize, read, text_key
 from .graph import components
 
 SEED = 42
@@ -63,23 +63,23 @@ def fingerprints_of(texts: list[bytes], size: int = SHINGLE) -> np.ndarray:
     return out
 
 
-def word_fingerprints(texts: list[bytes], sizes: list[int]) -> list[np.ndarray]:
-    """SimHashes over shingles of several sizes, whose hashes are made of the words' own; for ``Similar``.
+def hashed_shingles(texts: list[bytes], sizes: list[int]) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """The numbers of the texts with words, and for each size the hashes of their shingles and how many each has.
 
     A shingle's hash is a polynomial of its words' XXH64 values, mixed; a text of fewer words is one shingle.
     """
     words = [t.translate(LOWER).split() for t in texts]
     counts = np.fromiter(map(len, words), np.int64, len(words))
     some = np.flatnonzero(counts)
-    outs = [np.zeros(len(texts), np.uint64) for _ in sizes]
     if not len(some):
-        return outs
+        return some, [(np.zeros(0, np.uint64), counts[some]) for _ in sizes]
     each = np.fromiter(map(xxhash.xxh64_intdigest, chain.from_iterable(words), repeat(SEED)), np.uint64, int(counts.sum()))
     counts = counts[some]
     begin = np.cumsum(counts) - counts
     left = np.repeat(begin + counts, counts) - np.arange(len(each))  # words from here to the text's end
     first = left == np.repeat(counts, counts)
-    for out, size in zip(outs, sizes, strict=True):
+    found = []
+    for size in sizes:
         hashes = np.zeros(len(each), np.uint64)
         for j in range(size):
             there = left > j
@@ -87,13 +87,30 @@ def word_fingerprints(texts: list[bytes], sizes: list[int]) -> list[np.ndarray]:
         hashes ^= hashes >> np.uint64(32)
         hashes *= np.uint64(MIXER)
         hashes ^= hashes >> np.uint64(29)
-        kept = (left >= size) | first
-        shingles = np.maximum(counts - size + 1, 1)
-        bits = bits_set(hashes[kept], shingles) * 2 > shingles[:, None]
-        out[some] = np.packbits(bits, axis=1, bitorder="little").view("<u8").ravel()
+        found.append((hashes[(left >= size) | first], np.maximum(counts - size + 1, 1)))
+    return some, found
+
+
+def word_fingerprints(texts: list[bytes], sizes: list[int]) -> list[np.ndarray]:
+    """SimHashes over shingles of several sizes, whose hashes are made of the words' own; for ``Similar``."""
+    some, found = hashed_shingles(texts, sizes)
+    outs = [np.zeros(len(texts), np.uint64) for _ in sizes]
+    for out, (hashes, shingles) in zip(outs, found, strict=True):
+        if len(some):
+            bits = bits_set(hashes, shingles) * 2 > shingles[:, None]
+            out[some] = np.packbits(bits, axis=1, bitorder="little").view("<u8").ravel()
     return outs
 
 
+def shingle_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
+    """The different hashes of each text's shingles, ascending; none without words."""
+    some, [(hashes, counts)] = hashed_shingles(texts, [size])
+    sets = [np.zeros(0, np.uint64)] * len(texts)
+    for i, own in zip(some.tolist(), np.split(hashes, np.cumsum(counts)[:-1]) if len(some) else [], strict=True):
+        sets[i] = np.unique(own)
+    return sets
+
+
 #: For each byte its bits as eight counters of eight bits.
 LANES = np.array([sum(1 << 8 * b for b in range(8) if byte >> b & 1) for byte in range(256)], np.uint64)
 
@@ -113,7 +130,9 @@ def bits_set(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Similar:
-    """Texts link if their fingerprints of ``shingle`` words differ in ``budget`` bits or fewer and those of ``wide`` words in ``most``.
+    """Texts are proposed if their fingerprints of ``shingle`` words differ in ``budget`` bits or fewer and those of ``wide`` words in ``most``.
+
+    With ``share`` they link only if their sets of ``wide``-word shingles have that similarity, see ``verified``; else all proposals link.
 
     By the angle between sets, a similarity of 0.8 in five-word shingles is 9.7 of 64 bits on average, with a
     deviation of 2.9; word pairs of such texts are 6.2 bits apart.
@@ -126,6 +145,8 @@ class Similar:
     agree: int = 2
     subtrie: int = 1024
     levels: int = 2
+    share: float = 0.0
+    rounds: int = 8
 
 
 def with_fingerprints(docs: DataFrame, text: str = "text", **sizes: int) -> DataFrame:
@@ -445,6 +466,69 @@ def similar_links(prints: DataFrame, rule: Similar) -> DataFrame:
     return found.select(F.xxhash64("u_fp", "u_wide").alias("u"), F.xxhash64("v_fp", "v_wide").alias("v"))
 
 
+def shingled(docs: DataFrame, wanted: DataFrame, text: str, key: str, size: int) -> DataFrame:
+    """(group, node, key, set) of ``wanted`` (group, node, key, tk): the shingles of one text for each node, as bytes."""
+    few = wanted.count() <= BROADCAST_ROWS // 2
+    named = wanted.select(F.col("group").alias("__group"), F.col("node").alias("__node"), F.col("key").alias("__key"), F.col("tk").alias("__own"))
+    on = docs[key].eqNullSafe(F.col("__key")) & (F.col("__tk") == F.col("__own"))
+    rows = docs.withColumn("__tk", text_key(text)).join(F.broadcast(named) if few else named, on).select(F.col("__group").alias("group"), F.col("__node").alias("node"), F.col("__key").alias("key"), F.col(text).cast("string").alias("text"))
+    kind = rows.schema["key"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # rows that repeat have one node
+        for batch in batches:
+            nodes = batch.column(1).to_pylist()
+            new = [i for i, node in enumerate(nodes) if not (node in seen or seen.add(node))]
+            batch = batch.take(pa.array(new, pa.int64()))
+            data, at = blobs(batch.column(3))
+            for lo, hi in chunks(at):
+                sets = shingle_sets([data[at[i] : at[i + 1]].tobytes() for i in range(lo, hi)], size)
+                yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in batch.columns[:3]), pa.array([x.tobytes() for x in sets], pa.binary())], ["group", "node", "key", "set"])
+
+    return arrow_map(rows, run, f"group long, node long, key {kind}, set binary").dropDuplicates(["node"])
+
+
+def as_similar(pairs: DataFrame, share: float) -> DataFrame:
+    """(u, v) of pairs (u, v, a, b) of shingle sets whose similarity is ``share`` or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fit = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                a, b = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum()) if len(a) and len(b) else 0
+                fit.append(both >= share * (len(a) + len(b) - both) and both > 0)
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(fit, pa.bool_())) for c in batch.columns[:2]], ["u", "v"])
+
+    return arrow_map(pairs.select("u", "v", "a", "b"), run, "u long, v long")
+
+
+def verified(docs: DataFrame, distinct: DataFrame, groups: DataFrame, text: str, key: str, rule: Similar) -> DataFrame:
+    """Edges (u, v) between the nodes of each proposed group whose texts have similarity ``rule.share``, counted on their shingles.
+
+    In each round the least text of a group that has no link yet is held against all others of its group, so a
+    round has a pair for each text. Those that it links need no round of their own. What is left alone after
+    ``rule.rounds`` rounds stays without a link: groups of up to as many texts, or kinds of texts, are judged whole.
+    """
+    first = len(WRITTEN)
+    wanted = materialize(groups.join(distinct.select("node", "one.*"), "node").select(F.col("root").alias("group"), "node", "key", "tk"))
+    sets = materialize(shingled(docs, wanted, text, key, rule.wide))
+    left, edges = materialize(sets.select("group", "node", "key")), None
+    for _ in range(rule.rounds):
+        leaders = left.groupBy("group").agg(F.min(F.struct("key", "node")).alias("least")).select("least.node")
+        lead = sets.join(materialize(leaders), "node", "left_semi").select("group", F.col("node").alias("u"), F.col("set").alias("a"))
+        pairs = sets.select("group", F.col("node").alias("v"), F.col("set").alias("b")).join(lead, "group").filter("u <> v")
+        found = materialize(as_similar(pairs, rule.share))
+        edges = found if edges is None else edges.union(found)
+        done = found.select(F.col("v").alias("node")).union(leaders)
+        left = materialize(left.join(done.distinct(), "node", "left_anti"))
+        if left.isEmpty():
+            break
+    edges = materialize(edges)
+    discard(docs.sparkSession, WRITTEN[first:-1])
+    return edges
+
+
 def rooted(prints: DataFrame, distinct: DataFrame, edges: DataFrame) -> DataFrame:
     """Add ``root`` and ``component_id`` to prints (key, tk, node); ``distinct``: (node, least)."""
     roots = components(edges)
@@ -465,15 +549,19 @@ def components_of(docs: DataFrame, text: str, key: str, budget: int) -> DataFram
 def similar_components(docs: DataFrame, text: str = "text", key: str = "doc_id", rule: Similar = Similar()) -> DataFrame:  # noqa: B008
     """(key, tk, node, root, component_id) per row, for links of ``rule``; otherwise as ``components_of``.
 
-    Equal pairs of fingerprints are one node and never compared; texts of fewer than ``wide`` words are one
+    Equal pairs of fingerprints are one node and never compared; with ``rule.share`` the groups of proposed links are ``verified``; texts of fewer than ``wide`` words are one
     shingle, so they link only if they are equal but for case and white space. Null, empty and wordless
     texts are one component.
     """
     own = docs.select(F.col(key).alias("key"), text_key(text).alias("tk"), F.col(text).cast("string").alias("body"))
     made = with_fingerprints(own, "body", fp=rule.shingle, wide=rule.wide)
     prints = materialize(made.select("key", "tk", "fp", "wide", F.xxhash64("fp", "wide").alias("node")))
-    distinct = materialize(prints.groupBy("node").agg(F.min("fp").alias("fp"), F.min("wide").alias("wide"), F.min("key").alias("least")))
-    return rooted(prints.select("key", "tk", "node"), distinct.select("node", "least"), similar_links(distinct, rule))
+    one = F.min(F.struct("key", "tk")).alias("one")
+    distinct = materialize(prints.groupBy("node").agg(F.min("fp").alias("fp"), F.min("wide").alias("wide"), F.min("key").alias("least"), one))
+    edges = similar_links(distinct, rule)
+    if rule.share:
+        edges = verified(docs, distinct, components(edges), text, key, rule)
+    return rooted(prints.select("key", "tk", "node"), distinct.select("node", "least"), edges)
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", budget: int = BUDGET) -> DataFrame:

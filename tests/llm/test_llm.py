@@ -580,6 +580,69 @@ def test_similar_texts_against_all_pairs(spark, monkeypatch, subtrie, path_rows)
     assert sorted(r.doc_id for r in simhash.one_of_each(documents(spark, texts), rule=rule).collect()) == sorted(set(root))
 
 
+def similarity(a, b):
+    """Of the sets of five-word shingles; a text of fewer words is one."""
+    sets = []
+    for text in (a, b):
+        words = (text or "").encode().lower().split()
+        sets.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
+    return len(sets[0] & sets[1]) / max(1, len(sets[0] | sets[1]))
+
+
+@pytest.mark.parametrize("rounds", [1, 16])
+def test_links_are_verified_by_count(spark, rounds):
+    """Everything is proposed, and what has similarity 0.8 links: chains, several kinds in a group, repeated rows, null keys."""
+    rnd = random.Random(rounds)
+    words = lambda n: [rnd.choice("abcdefghij") + rnd.choice("klmnop") + str(rnd.randrange(99)) for _ in range(n)]
+    texts = ["ein zwei drei", None, "Ein  zwei drei"]
+    for _ in range(2):
+        own = words(200)
+        for _ in range(4):  # each is like the one before it
+            texts.append(" ".join(own))
+            own = own[8:] + words(8)
+        texts.append(" ".join(own[:100] + words(100)))
+    docs = documents(spark, texts)
+    docs = docs.union(docs.filter("doc_id IN (3, 4)")).union(documents(spark, [texts[5]]).withColumn("doc_id", F.lit(None).cast("long")))
+    rule = simhash.Similar(budget=7, most=64, share=0.8, rounds=rounds)
+    own = docs.select(F.col("doc_id").alias("key"), common.text_key("text").alias("tk"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"))
+    distinct = own.groupBy("node").agg(F.min(F.struct("key", "tk")).alias("one"))
+    edges = simhash.verified(docs, distinct, distinct.select("node", F.lit(1).cast("long").alias("root")), "text", "doc_id", rule).collect()
+    text = {r.node: texts[r.key] if r.key is not None else texts[5] for r in own.collect()}
+    links = {frozenset((r.u, r.v)) for r in edges}
+    like = {frozenset((u, v)) for u in text for v in text if u < v and similarity(text[u], text[v]) >= 0.8}
+    assert links <= like and links
+    if rounds == 16:
+        all_in = {u for pair in like for u in pair}
+        assert {u for pair in links for u in pair} == all_in
+    assert {r.component_id for r in simhash.similar_components(docs.limit(0), rule=rule).collect()} == set()
+
+
+def test_only_similar_texts_go(spark):
+    """On the given documents each text that goes has a chain of similarity 0.8 to the one that stays for it, and 0.9 of all such pairs meet."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    texts = dict(docs.select("doc_id", "text").collect())
+    sets = {d: s for d, s in zip(texts, simhash.shingle_sets([(t or "").encode() for t in texts.values()], 5))}
+    held = {}
+    for d, s in sets.items():
+        for h in s.tolist():
+            held.setdefault(h, []).append(d)
+    shared = {}
+    for ds in held.values():
+        for pair in itertools.combinations(sorted(ds), 2):
+            shared[pair] = shared.get(pair, 0) + 1
+    pairs = [(a, b) for (a, b), n in shared.items() if n >= 0.8 * (len(sets[a]) + len(sets[b]) - n)]
+    root = {d: d for d in texts}
+    changed = True
+    while changed:
+        before = dict(root)
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+        changed = root != before
+    got = {r.key: r.component_id for r in simhash.similar_components(docs, rule=simhash.Similar(share=0.8, most=16)).collect()}
+    assert all(root[d] == root[c] for d, c in got.items() if len(sets[d]))
+    assert sum(got[a] == got[b] for a, b in pairs) >= 0.9 * len(pairs) > 0
+
+
 def test_component_of_a_long_chain(spark):
     n = 200
     found = graph.components(spark.createDataFrame([(i, i + 1) for i in range(n)], "u long, v long").select(F.xxhash64("u").alias("u"), F.xxhash64("v").alias("v"))).collect()
