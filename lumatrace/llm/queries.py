@@ -34,4 +34,5 @@ def oracle_sql() -> dict[str, str]:
         "op9_toolcalls": toolcalls.OP9_SQL,
         "op10_topk": topk.OP10_SQL,
         "op12_ranked": ranked.OP12_SQL,
+        "op13_resample": resample.OP13_SQL,
     }

@@ -236,3 +236,26 @@ def resample(docs: DataFrame, target: DataFrame, keep: list[str] | None = None,
 
 def op13_resample(spark, sf_dir: str) -> DataFrame:
     return resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+_WORDS = r"coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), [])"
+_FEATURES = "unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS s"
+#: CRC-32 byte by byte, over a table that its polynomial gives.
+OP13_SQL = f"""
+WITH tab AS MATERIALIZED (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS t),
+d AS MATERIALIZED (SELECT row_number() OVER () AS row, doc_id, {_WORDS} AS w FROM documents),
+x AS MATERIALIZED (SELECT row, {_FEATURES} FROM d),
+y AS MATERIALIZED (SELECT {_FEATURES} FROM (SELECT {_WORDS} AS w FROM benchmark)),
+b AS (SELECT s, list_transform(range(0, CAST(length(hex(s)) // 2 AS BIGINT)), lambda i: CAST('0x' || substr(hex(s), CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT)) AS bytes FROM (SELECT s FROM x UNION SELECT s FROM y)),
+k AS MATERIALIZED (SELECT s, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), bytes), lambda c, x: xor(t[(xor(c, x) & 255) + 1], c >> 8))) % 10000 AS bucket FROM b, tab),
+hs AS (SELECT bucket, count(*) AS n FROM x JOIN k ON x.s = k.s GROUP BY bucket),
+ht AS (SELECT bucket, count(*) AS n FROM y JOIN k ON y.s = k.s GROUP BY bucket),
+g AS (SELECT r.bucket, CAST(floor(1000 * ln(CAST(coalesce(ht.n, 0) + 1 AS DOUBLE) * ((SELECT count(*) FROM x) + 10000) / (CAST(coalesce(hs.n, 0) + 1 AS DOUBLE) * ((SELECT count(*) FROM y) + 10000)))) AS BIGINT) AS gain
+      FROM range(10000) r(bucket) LEFT JOIN hs ON hs.bucket = r.bucket LEFT JOIN ht ON ht.bucket = r.bucket),
+w AS (SELECT row, CAST(sum(gain) AS BIGINT) AS weight, count(*) AS n FROM x JOIN k ON x.s = k.s JOIN g ON g.bucket = k.bucket GROUP BY row),
+s AS (SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight,
+             coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('42:' || d.doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score
+      FROM d LEFT JOIN w ON w.row = d.row),
+r AS (SELECT *, CASE WHEN n_words >= 20 THEN row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) END AS place FROM s)
+SELECT doc_id, n_words, n_features, weight, score, CASE WHEN place <= (SELECT 5 * count(*) // 100 FROM s WHERE n_words >= 20) THEN place END AS rank FROM r
+"""
