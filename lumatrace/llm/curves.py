@@ -80,10 +80,12 @@ class Squares:
                 self.at[d].append((low, np.maximum(high - low, 1e-12), shift))
 
     def places(self, m: np.ndarray, curve: int) -> np.ndarray:
-        """Of vectors of one length on a curve; what lies outside the square goes to its edge."""
+        """Of vectors of one length on a curve; what lies outside the square goes to its edge. Lengths that the sample lacks have a square of their own, the same in all tasks."""
         d = m.shape[1]
         along = m @ rotation(curve, d)
-        low, wide, shift = self.at[d][curve] if d in self.at else (along.min(0), np.maximum(np.ptp(along, axis=0), 1e-12), 0.0)
+        if d not in self.at:
+            along = along / (1 + np.abs(along))
+        low, wide, shift = self.at[d][curve] if d in self.at else (-1.0, 2.0, 0.0)
         inside = np.clip((along - low) / wide, 0, 1) * (1 - SHIFT) + shift
         return hilbert(np.minimum((inside * (1 << BITS)).astype(np.int64), (1 << BITS) - 1), BITS)
 
