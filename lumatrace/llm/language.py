@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_map, blobs, chunks, read
+from .common import arrow_map, blobs, chunks, give_back, read
 
 #: Bounds of the training sample: rows of one language, and characters of all of them together.
 SAMPLE_ROWS, SAMPLE_CHARS = 300, 2_000_000
@@ -408,7 +408,9 @@ def held_out(key: str = "doc_id"):
 
 def model_of(docs: DataFrame) -> Crf:
     """The model that the query and the pipeline use: learned from documents that aren't held out."""
-    return train(training_sample(docs.select("doc_id", "text", "lang").filter(~held_out()), "text", "lang", "doc_id"))
+    model = train(training_sample(docs.select("doc_id", "text", "lang").filter(~held_out()), "text", "lang", "doc_id"))
+    give_back()
+    return model
 
 
 def op6_language(spark, sf_dir: str) -> DataFrame:

@@ -41,6 +41,10 @@ FRONTIER = 1 << 19
 LEAF, COMPARED = 1024, 1 << 20
 #: Fingerprints of one path in a task; larger ones are dealt as pairs of parts of half the size.
 PATH_ROWS = 1 << 16
+#: Bytes of shingles of a proposed group, and ROW_BYTES for each text, up to which one task counts it; larger ones are dealt as pairs of parts of half of it.
+GROUP_BYTES, ROW_BYTES = 1 << 20, 512
+#: Bytes of shingles that a text may have to be held against a whole group: it is broadcast.
+LEADER_BYTES = 1 << 16
 #: Odd factors of the polynomial of a shingle and of its mixing.
 FACTOR, MIXER = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -146,7 +150,7 @@ class Similar:
     subtrie: int = 1024
     levels: int = 2
     share: float = 0.0
-    rounds: int = 8
+    rounds: int = 3
 
 
 def with_fingerprints(docs: DataFrame, text: str = "text", **sizes: int) -> DataFrame:
@@ -394,14 +398,15 @@ def linked_fingerprints(fps: DataFrame, budget: int = BUDGET, most: int = SUBTRI
     return subtrie_links(rows if done is None else done.union(rows), budget)
 
 
-def in_parts(rows: DataFrame, most: int) -> DataFrame:
-    """Deal the rows of paths with over ``most`` as pairs of parts with half as many, so that each pair of rows still meets."""
-    large = materialize(rows.groupBy("path").count().filter(F.col("count") > most).select("path", F.ceil(F.col("count") * 2 / most).cast("int").alias("of")))
+def in_parts(rows: DataFrame, most: int, weight: Column | None = None, by: tuple[str, ...] = ("fp", "wide")) -> DataFrame:
+    """Deal the rows of paths that weigh over ``most`` (by count, if not given) as pairs of parts with half as much, so that each pair of rows still meets."""
+    total = F.sum(F.lit(1) if weight is None else weight)
+    large = materialize(rows.groupBy("path").agg(total.alias("n")).filter(F.col("n") > most).select("path", F.ceil(F.col("n") * 2 / most).cast("int").alias("of")))
     if large.isEmpty():
         return rows
     kept = rows.columns
-    dealt = rows.join(large, "path", "left")
-    own = F.pmod(F.xxhash64("fp", "wide"), F.col("of")).cast("int")
+    dealt = rows.join(F.broadcast(large), "path", "left")
+    own = F.pmod(F.xxhash64(*by), F.col("of")).cast("int")
     other = F.explode(F.when(F.col("of").isNull(), F.array(F.lit(None).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("of") - 1)))
     dealt = dealt.withColumn("own", own).withColumn("other", other).filter("other IS NULL OR other <> own OR of = 1")
     path = F.when(F.col("other").isNull(), F.col("path")).otherwise(F.xxhash64("path", F.least("own", "other"), F.greatest("own", "other")))
@@ -488,43 +493,119 @@ def shingled(docs: DataFrame, wanted: DataFrame, text: str, key: str, size: int)
     return arrow_map(rows, run, f"group long, node long, key {kind}, set binary").dropDuplicates(["node"])
 
 
-def as_similar(pairs: DataFrame, share: float) -> DataFrame:
-    """(u, v) of pairs (u, v, a, b) of shingle sets whose similarity is ``share`` or more."""
+def compared(pairs: DataFrame, share: float) -> DataFrame:
+    """Add to pairs of shingle sets ``a`` and ``set`` whether they are ``near`` (similarity ``share`` or more) and how far ``apart``, from 0 to 1; ``a`` goes."""
+    schema = T.StructType([*(f for f in pairs.schema.fields if f.name != "a"), T.StructField("near", T.BooleanType()), T.StructField("apart", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fit = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+            at, of = (batch.schema.get_field_index(c) for c in ("a", "set"))
+            near, apart = [], []
+            for x, y in zip(batch.column(at), batch.column(of), strict=True):
                 a, b = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum()) if len(a) and len(b) else 0
-                fit.append(both >= share * (len(a) + len(b) - both) and both > 0)
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(fit, pa.bool_())) for c in batch.columns[:2]], ["u", "v"])
+                both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+                near.append(both >= share * (len(a) + len(b) - both))
+                apart.append(1 - both / (len(a) + len(b) - both))
+            kept = [i for i in range(batch.num_columns) if i != at]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), pa.array(near, pa.bool_()), pa.array(apart, pa.float64())], schema.names)
 
-    return arrow_map(pairs.select("u", "v", "a", "b"), run, "u long, v long")
+    return arrow_map(pairs, run, schema)
+
+
+def set_forest(sets: list[np.ndarray], root: np.ndarray, share: float) -> list[tuple[int, int]]:
+    """Pairs of sets, none empty, of similarity ``share`` or more that connect all trees of ``root`` that such pairs connect.
+
+    A set is held against all that are at least its size and at most as large as the share allows, at once, by
+    a mark on its values; sets of which all are in its tree already are left out.
+    """
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    order = np.argsort(sizes, kind="stable")
+    sizes = sizes[order]
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    values = np.unique(np.concatenate([sets[i] for i in order.tolist()]), return_inverse=True)[1]
+    marked = np.zeros(len(values), bool)
+    found: list[tuple[int, int]] = []
+    reach = np.searchsorted(share * sizes, sizes, "right")
+    for i in range(len(sets) - 1):
+        lo, hi = i + 1, int(reach[i])
+        others = np.arange(lo, hi)[root[order[lo:hi]] != root[order[i]]]
+        if not len(others):
+            continue
+        own = values[at[i] : at[i + 1]]
+        marked[own] = True
+        if 2 * len(others) > hi - lo:
+            both = np.add.reduceat(marked[values[at[lo] : at[hi]]], at[lo:hi] - at[lo], dtype=np.int64)[others - lo]
+        else:
+            begin = np.cumsum(sizes[others]) - sizes[others]
+            both = np.add.reduceat(marked[values[np.repeat(at[others] - begin, sizes[others]) + np.arange(int(sizes[others].sum()))]], begin, dtype=np.int64)
+        marked[own] = False
+        near = order[others[both >= share * (sizes[i] + sizes[others] - both)]]
+        if len(near):
+            near = near[np.unique(root[near], return_index=True)[1]]
+            found += zip(repeat(int(order[i])), near.tolist(), strict=False)
+            united(root, np.full(len(near), order[i]), near)
+    return found
+
+
+def set_links(rows: DataFrame, share: float) -> DataFrame:
+    """Links (u, v) of similarity ``share`` or more that connect all that such links connect within each path of (path, node, star, set); rows of one ``star`` are connected already."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.select("path", "node", "star", "set").repartition(parts, "path").sortWithinPartitions("path")
+
+    def links(held: list[tuple]) -> list[tuple[int, int]]:
+        if len(held) < 2:
+            return []
+        first: dict[int, int] = {}
+        root = np.array([i if star is None else first.setdefault(star, i) for i, (_, star, _) in enumerate(held)])
+        return [(held[i][0], held[j][0]) for i, j in set_forest([np.frombuffer(x, np.uint64) for _, _, x in held], root, share)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        path, held = None, []
+        for batch in batches:
+            found = []
+            for at, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if at != path:
+                    found += links(held)
+                    path, held = at, []
+                held.append(row)
+            yield pa.RecordBatch.from_pylist([{"u": u, "v": v} for u, v in found], pa.schema([("u", pa.int64()), ("v", pa.int64())]))
+        yield pa.RecordBatch.from_pylist([{"u": u, "v": v} for u, v in links(held)], pa.schema([("u", pa.int64()), ("v", pa.int64())]))
+
+    return arrow_map(rows, run, "u long, v long")
 
 
 def verified(docs: DataFrame, distinct: DataFrame, groups: DataFrame, text: str, key: str, rule: Similar) -> DataFrame:
-    """Edges (u, v) between the nodes of each proposed group whose texts have similarity ``rule.share``, counted on their shingles.
+    """Links (u, v) between the nodes of each proposed group that connect all that texts of similarity ``rule.share`` connect, counted on their shingles.
 
-    In each round the least text of a group that has no link yet is held against all others of its group, so a
-    round has a pair for each text. Those that it links need no round of their own. What is left alone after
-    ``rule.rounds`` rounds stays without a link: groups of up to as many texts, or kinds of texts, are judged whole.
+    A group of up to GROUP_BYTES goes to one task. Larger ones first have up to ``rule.rounds`` rounds: a text is
+    held against its whole group, and those near it that can't be near any other go, by the triangle
+    inequality, which the distance of sets obeys. What stays is dealt as pairs of parts, so that each pair of texts
+    that is not known to be connected, or to be too far apart, is counted.
     """
     first = len(WRITTEN)
     wanted = materialize(groups.join(distinct.select("node", "one.*"), "node").select(F.col("root").alias("group"), "node", "key", "tk"))
-    sets = materialize(shingled(docs, wanted, text, key, rule.wide))
-    left, edges = materialize(sets.select("group", "node", "key")), None
+    sets = shingled(docs, wanted, text, key, rule.wide).filter(F.length("set") > 0)
+    left, settled, edges = materialize(sets.withColumn("star", F.lit(None).cast("long"))), None, None
+    weight = F.length("set") + ROW_BYTES
     for _ in range(rule.rounds):
-        leaders = left.groupBy("group").agg(F.min(F.struct("key", "node")).alias("least")).select("least.node")
-        lead = sets.join(materialize(leaders), "node", "left_semi").select("group", F.col("node").alias("u"), F.col("set").alias("a"))
-        pairs = sets.select("group", F.col("node").alias("v"), F.col("set").alias("b")).join(lead, "group").filter("u <> v")
-        found = materialize(as_similar(pairs, rule.share))
-        edges = found if edges is None else edges.union(found)
-        done = found.select(F.col("v").alias("node")).union(leaders)
-        left = materialize(left.join(done.distinct(), "node", "left_anti"))
-        if left.isEmpty():
+        least = F.min(F.when(F.col("star").isNull() & (F.length("set") <= LEADER_BYTES), F.struct("key", "node"))).alias("least")
+        heavy = left.groupBy("group").agg(F.sum(weight).alias("n"), least).filter((F.col("n") > GROUP_BYTES) & F.col("least").isNotNull())
+        heavy = materialize(heavy.select("group", F.col("least.node").alias("u")))
+        if heavy.isEmpty():
             break
-    edges = materialize(edges)
+        light = left.join(F.broadcast(heavy.select("group")), "group", "left_anti")
+        settled = light if settled is None else settled.union(light)
+        lead = left.select(F.col("node").alias("u"), F.col("set").alias("a")).join(F.broadcast(heavy), "u")
+        held = materialize(compared(left.join(F.broadcast(lead), "group"), rule.share))
+        found = held.filter("near AND node <> u").select("u", F.col("node").alias("v"))
+        edges = found if edges is None else edges.union(found)
+        gaps = held.filter("NOT near").groupBy("group").agg(F.min("apart").alias("gap"))
+        stays = ~F.col("near") | (F.col("apart") + (1 - rule.share) + 1e-9 >= F.col("gap"))
+        star = F.when(F.col("near"), F.col("u")).otherwise(F.col("star"))
+        left = materialize(held.join(F.broadcast(gaps), "group", "left").filter(stays).withColumn("star", star).select(left.columns))
+    rows = in_parts((left if settled is None else settled.union(left)).withColumn("path", F.col("group")), GROUP_BYTES, weight, ("node",))
+    linked = set_links(rows, rule.share)
+    edges = materialize(linked if edges is None else edges.union(linked))
     discard(docs.sparkSession, WRITTEN[first:-1])
     return edges
 
@@ -549,19 +630,26 @@ def components_of(docs: DataFrame, text: str, key: str, budget: int) -> DataFram
 def similar_components(docs: DataFrame, text: str = "text", key: str = "doc_id", rule: Similar = Similar()) -> DataFrame:  # noqa: B008
     """(key, tk, node, root, component_id) per row, for links of ``rule``; otherwise as ``components_of``.
 
-    Equal pairs of fingerprints are one node and never compared; with ``rule.share`` the groups of proposed links are ``verified``; texts of fewer than ``wide`` words are one
+    Equal pairs of fingerprints are one node and never compared. With ``rule.share`` each different text is a node, and the groups
+    that equal fingerprints and proposed links hold together are ``verified``. Texts of fewer than ``wide`` words are one
     shingle, so they link only if they are equal but for case and white space. Null, empty and wordless
     texts are one component.
     """
     own = docs.select(F.col(key).alias("key"), text_key(text).alias("tk"), F.col(text).cast("string").alias("body"))
     made = with_fingerprints(own, "body", fp=rule.shingle, wide=rule.wide)
     prints = materialize(made.select("key", "tk", "fp", "wide", F.xxhash64("fp", "wide").alias("node")))
-    one = F.min(F.struct("key", "tk")).alias("one")
-    distinct = materialize(prints.groupBy("node").agg(F.min("fp").alias("fp"), F.min("wide").alias("wide"), F.min("key").alias("least"), one))
-    edges = similar_links(distinct, rule)
-    if rule.share:
-        edges = verified(docs, distinct, components(edges), text, key, rule)
-    return rooted(prints.select("key", "tk", "node"), distinct.select("node", "least"), edges)
+    fps = F.min("fp").alias("fp"), F.min("wide").alias("wide")
+    if not rule.share:
+        distinct = materialize(prints.groupBy("node").agg(*fps, F.min("key").alias("least")))
+        return rooted(prints.select("key", "tk", "node"), distinct.select("node", "least"), similar_links(distinct, rule))
+    wordless = (F.col("fp") == 0) & (F.col("wide") == 0)
+    prints = prints.withColumnRenamed("node", "print").withColumn("node", F.when(wordless, F.col("print")).otherwise(F.col("tk")))
+    texts = materialize(prints.groupBy("node").agg(F.min("print").alias("print"), *fps, F.min("key").alias("least"), F.min(F.struct("key", "tk")).alias("one")))
+    distinct = materialize(texts.groupBy("print").agg(*fps, F.count(F.lit(1)).alias("n")))
+    roots = components(similar_links(distinct, rule)).withColumnRenamed("node", "print")
+    several = distinct.join(roots, "print", "left").filter("root IS NOT NULL OR n > 1").select("print", F.coalesce("root", "print").alias("root"))
+    edges = verified(docs, texts, texts.select("node", "print").join(several, "print").select("node", "root"), text, key, rule)
+    return rooted(prints.select("key", "tk", "node"), texts.select("node", "least"), edges)
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", budget: int = BUDGET) -> DataFrame:

@@ -617,6 +617,47 @@ def test_links_are_verified_by_count(spark, rounds):
     assert {r.component_id for r in simhash.similar_components(docs.limit(0), rule=rule).collect()} == set()
 
 
+@pytest.mark.parametrize("group_bytes", [1 << 20, 16_000])
+def test_no_link_of_a_proposed_group_is_lost(spark, monkeypatch, group_bytes):
+    """Components by all pairs: many kinds, chains that run against the order of keys, copies of one print, groups in parts."""
+    monkeypatch.setattr(simhash, "GROUP_BYTES", group_bytes)
+    rnd = random.Random(3)
+    words = lambda n: [rnd.choice("abcdefghij") + rnd.choice("klmnop") + str(rnd.randrange(99)) for _ in range(n)]
+    texts = [None, "", " ", "ein zwei drei", "Ein  zwei drei"]
+    for _ in range(14):  # each is like the one before it, far from others: more kinds than rounds
+        own = words(120)
+        for _ in range(rnd.randint(1, 7)):
+            texts.append(" ".join(own))
+            own = own[5:] + words(5)
+    rnd.shuffle(texts)
+    docs = documents(spark, texts)
+    docs = docs.union(docs.filter("doc_id < 4"))
+    root = list(range(len(texts)))
+    like = [(a, b) for a, b in itertools.combinations(root, 2) if similarity(texts[a], texts[b]) >= 0.8 or not (texts[a] or "").strip() and not (texts[b] or "").strip()]
+    for _ in range(len(texts)):
+        for a, b in like:
+            root[a] = root[b] = min(root[a], root[b])
+    monkeypatch.setattr(simhash, "similar_links", lambda distinct, rule: distinct.select(F.col("print").alias("u"), F.lit(1).cast("long").alias("v")))
+    got = {r.key: r.component_id for r in simhash.similar_components(docs, rule=simhash.Similar(share=0.8)).collect()}
+    assert got == dict(enumerate(root))
+
+
+@pytest.mark.parametrize("group_bytes, rounds", [(3_000, 0), (3_000, 2), (1 << 20, 3)])
+def test_clusters_that_meet_away_from_their_first_texts(spark, monkeypatch, group_bytes, rounds):
+    """Of a chain 0-1-2-3 whose least keys are its ends, the link in the middle counts too."""
+    monkeypatch.setattr(simhash, "GROUP_BYTES", group_bytes)
+    rnd = random.Random(4)
+    own = [f"w{rnd.randrange(10**6)}" for _ in range(260)]
+    texts = [" ".join(own[15 * k : 15 * k + 200]) for k in (0, 3, 1, 2)]
+    docs = documents(spark, texts)
+    own = docs.select(F.col("doc_id").alias("key"), common.text_key("text").alias("tk"), F.col("doc_id").alias("node"))
+    distinct = own.select("node", F.struct("key", "tk").alias("one"))
+    rule = simhash.Similar(share=0.8, rounds=rounds)
+    edges = simhash.verified(docs, distinct, distinct.select("node", F.lit(1).cast("long").alias("root")), "text", "doc_id", rule)
+    assert [similarity(texts[a], texts[b]) >= 0.8 for a, b in ((0, 2), (2, 3), (3, 1), (0, 3), (0, 1))] == [True, True, True, False, False]
+    assert {r.root for r in graph.components(edges).collect()} == {0} and graph.components(edges).count() == 4
+
+
 def test_only_similar_texts_go(spark):
     """On the given documents each text that goes has a chain of similarity 0.8 to the one that stays for it, and 0.9 of all such pairs meet."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
