@@ -9,7 +9,7 @@ window's distance; how many windows of a text exceed calibrated thresholds gives
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_map, blobs, chunks, hash_sample, materialize, read
+from .common import CHUNK_BYTES, arrow_map, blobs, chunks, hash_sample, materialize, read
 
 #: Bounds of the training sample: toxic and ordinary rows, and characters of all rows of a class together.
 TOXIC_ROWS, ORDINARY_ROWS, SAMPLE_CHARS = 3000, 6000, 32_000_000
@@ -34,8 +34,13 @@ CUT = 0.7
 WORDS = bytes(b if 97 <= b <= 122 or 48 <= b <= 57 or b >= 128 else 32 for b in range(256))
 
 
+def spaced(text: str) -> bytes:
+    """The words of ``text`` between spaces, with one at either end."""
+    return b" " + text.lower().encode("utf-8", "replace").translate(WORDS) + b" "
+
+
 def words_of(text: str) -> list[bytes]:
-    return text.lower().encode("utf-8", "replace").translate(WORDS).split()
+    return spaced(text).split()
 
 
 def compressor(content: bytes) -> zstd.ZstdCompressor:
@@ -103,9 +108,12 @@ class Toxicity:
         x = (self.evidence(texts) - self.middle) / self.spread
         return 1 / (1 + np.exp(-np.clip(x @ self.weights[:-1] + self.weights[-1], -30, 30)))
 
-    def calibrate(self, texts: list[str], labels: np.ndarray, shares: np.ndarray) -> Toxicity:
-        """Ridge logistic regression by Newton's method; ``shares`` weight the classes as in all labelled rows."""
-        x = self.evidence(texts)
+    def calibrate(self, x: np.ndarray, labels: np.ndarray, n_toxic: int, n_ordinary: int) -> Toxicity:
+        """Ridge logistic regression on the texts' evidence by Newton's method; classes weigh as in all labelled rows."""
+        if not 0 < labels.sum() < len(labels):
+            return self
+        shares = np.where(labels == 1, n_toxic / labels.sum(), n_ordinary / (1 - labels).sum())
+        shares = shares / shares.mean()
         self.middle, self.spread = x.mean(0), np.maximum(x.std(0), 1e-6)
         x = np.concatenate([(x - self.middle) / self.spread, np.ones((len(x), 1))], 1)
         w = self.weights
@@ -118,51 +126,135 @@ class Toxicity:
         return self
 
 
-def passages(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> list[bytes]:
-    """Words of toxic rows that hold a gram whose share of toxic rows is RATIO times that of ordinary rows."""
-    grams = lambda w: {m[i : i + GRAM] for m in (b" " + w + b" ",) for i in range(max(1, len(m) - GRAM + 1))}
-    by_word: dict[bytes, set[bytes]] = {}
-    def rows(side):
-        seen = Counter()
-        for words in side:
-            mine = set()
-            for w in set(words):
-                mine |= by_word.setdefault(w, grams(w))
-            seen.update(mine)
-        return seen
-    bad, good = rows(toxic), rows(ordinary)
-    ratio = len(ordinary) / max(1, len(toxic))
-    apart = {g for g, n in bad.items() if n >= 4 and n * ratio >= RATIO * (good[g] + 1)}
-    out = []
-    for words in toxic:
-        out += [b" " + w + b" " for w in words if not apart.isdisjoint(by_word[w])]
-    return out
+def grams(data: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The grams of ``spaced`` bytes as numbers, and where each begins; a step takes CHUNK_BYTES.
+
+    A gram is GRAM bytes of a word and the spaces around it, or all of a shorter word with both spaces.
+    """
+    for lo in range(0, len(data), CHUNK_BYTES):
+        block = data[lo : lo + CHUNK_BYTES + GRAM - 1]
+        space = block == 32
+        codes, begins = [], []
+        for size in range(3, GRAM + 1):
+            n = max(0, len(block) - size + 1)
+            stands = space[:n] & space[size - 1 : size - 1 + n] if size < GRAM else np.ones(n, bool)
+            for k in range(1, size - 1):
+                stands &= ~space[k : k + n]
+            at = np.flatnonzero(stands)
+            code = np.zeros(len(at), np.int64)
+            for k in range(size):
+                code = code << 8 | block[at + k]
+            codes.append(code)
+            begins.append(lo + at)
+        yield np.concatenate(codes), np.concatenate(begins)
+
+
+def gram_counts(rows: Iterable[tuple[str, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different grams of (text, label) rows, and how many toxic and how many ordinary rows hold each."""
+    held: tuple[list, list] = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for text, label in rows:
+        parts = [np.unique(codes) for codes, _ in grams(np.frombuffer(spaced(text), np.uint8))]
+        held[label].append(np.unique(np.concatenate(parts)))
+    good, bad = map(np.concatenate, held)
+    every, at = np.unique(np.concatenate([bad, good]), return_inverse=True)
+    return every, np.bincount(at[: len(bad)], minlength=len(every)), np.bincount(at[len(bad) :], minlength=len(every))
+
+
+def set_apart(bad, good, n_toxic: int, n_ordinary: int):
+    """Whether a gram of ``bad`` toxic and ``good`` ordinary rows has RATIO times its ordinary share in toxic rows."""
+    return (bad >= 4) & (bad * (n_ordinary / max(1, n_toxic)) >= RATIO * (good + 1))
+
+
+def samples(text: str, label: int, apart: np.ndarray) -> list[bytes]:
+    """What a row gives its dictionary: an ordinary one all windows, a toxic one each word that holds a gram of ``apart`` (sorted)."""
+    raw = spaced(text)
+    data = np.frombuffer(raw, np.uint8)
+    space = data == 32
+    before, behind = np.flatnonzero(space[:-1] & ~space[1:]), np.flatnonzero(~space[:-1] & space[1:]) + 2
+    if label:
+        if not len(apart):
+            return []
+        words = [np.searchsorted(before, at[apart.take(np.searchsorted(apart, codes), mode="clip") == codes], "right") - 1 for codes, at in grams(data)]
+        first = last = np.unique(np.concatenate(words))
+    else:
+        first = np.arange(0, len(before), WINDOW)
+        last = np.minimum(first + WINDOW, len(before)) - 1
+    return [b" " + b" ".join(raw[a:z].split()) + b" " for a, z in zip(before[first].tolist(), behind[last].tolist(), strict=True)]
+
+
+def with_dictionaries(plain: list[bytes], apart: list[bytes]) -> Toxicity:
+    return Toxicity(trained(plain, ORDINARY_BYTES) if plain else b" " * 256, trained(apart, TOXIC_BYTES) if apart else b"")
 
 
 def train(rows: list[tuple[str, int]], n_toxic: int, n_ordinary: int) -> Toxicity:
-    """A model from (text, label) rows: two thirds train the dictionaries, one third calibrates.
+    """A model from a few (text, label) rows, without Spark; ``fit`` makes the same from a table.
 
-    ``n_toxic`` and ``n_ordinary`` are the labelled rows of each class, of which ``rows`` is a sample.
+    Two thirds train the dictionaries, one third calibrates. ``n_toxic`` and ``n_ordinary`` are the labelled rows
+    of each class, of which ``rows`` is a sample.
     """
-    fit = [r for i, r in enumerate(rows) if i % 3]
+    learn = [r for i, r in enumerate(rows) if i % 3]
     check = [r for i, r in enumerate(rows) if i % 3 == 0]
-    toxic, ordinary = ([words_of(t) for t, y in fit if y == k] for k in (1, 0))
-    plain = [b" " + b" ".join(w[i : i + WINDOW]) + b" " for w in ordinary for i in range(0, len(w), WINDOW)]
-    apart = passages(toxic, ordinary)
-    model = Toxicity(trained(plain, ORDINARY_BYTES) if plain else b" " * 256, trained(apart, TOXIC_BYTES) if apart else b"")
-    labels = np.array([y for _, y in check], float)
-    if 0 < labels.sum() < len(labels):
-        shares = np.where(labels == 1, n_toxic / labels.sum(), n_ordinary / (1 - labels).sum())
-        model.calibrate([t for t, _ in check], labels, shares / shares.mean())
-    return model
+    toxic = sum(y for _, y in learn)
+    every, bad, good = gram_counts(learn)
+    apart = every[set_apart(bad, good, toxic, len(learn) - toxic)]
+    model = with_dictionaries(*([w for t, y in learn if y == k for w in samples(t, y, apart)] for k in (0, 1)))
+    return model.calibrate(model.evidence([t for t, _ in check]), np.array([y for _, y in check], float), n_toxic, n_ordinary)
 
 
-def training_sample(docs: DataFrame, labels: DataFrame) -> tuple[list[tuple[str, int]], int, int]:
+def by_chunk(rows: DataFrame, make, schema: str) -> DataFrame:
+    """What ``make`` gives, as columns and their names, for lists of places, texts and labels of about CHUNK_BYTES of text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi in chunks(blobs(batch.column("t"))[1]):
+                part = batch.slice(lo, hi - lo)
+                yield pa.RecordBatch.from_arrays(*make(*(part.column(c).to_pylist() for c in ("place", "t", "toxic"))))
+
+    return arrow_map(rows.select("place", "t", "toxic"), run, schema)
+
+
+def fit(sample: DataFrame, n_toxic: int, n_ordinary: int) -> Toxicity:
+    """The model that ``train`` makes of the rows of ``sampled``, whose texts stay in tasks.
+
+    Tasks count grams, make the dictionaries' samples and weigh the calibrating texts. The driver gets the grams that
+    set toxic rows apart, the samples that zstandard takes, and a row of numbers for each calibrating text.
+    """
+    context = sample.sparkSession.sparkContext
+    learn, check = sample.filter("place % 3 <> 0"), sample.filter("place % 3 = 0")
+    sizes = {r["toxic"]: r["count"] for r in learn.groupBy("toxic").count().collect()}
+
+    def count(_, texts, labels):
+        return [pa.array(x, pa.int64()) for x in gram_counts(zip(texts, labels, strict=True))], ["gram", "bad", "good"]
+
+    counted = by_chunk(learn, count, "gram long, bad long, good long").groupBy("gram").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    found = counted.filter(set_apart(F.col("bad"), F.col("good"), sizes.get(1, 0), sizes.get(0, 0))).select("gram").toArrow()
+    apart = context.broadcast(np.sort(found["gram"].to_numpy()))
+
+    def sampled_of(places, texts, labels):
+        made = [samples(t, y, apart.value) for t, y in zip(texts, labels, strict=True)]
+        return [pa.array(places, pa.int64()), pa.array(labels, pa.int32()), pa.array(made, pa.list_(pa.binary()))], ["place", "toxic", "made"]
+
+    made = by_chunk(learn, sampled_of, "place long, toxic int, made array<binary>").toArrow().sort_by("place")
+    labels = made["toxic"].to_numpy()
+    model = with_dictionaries(*(made["made"].filter(pa.array(labels == k)).combine_chunks().flatten().to_pylist() for k in (0, 1)))
+    del made
+    held = context.broadcast(model)
+
+    def weigh(places, texts, labels):
+        x = held.value.evidence(texts)
+        return [pa.array(places, pa.int64()), pa.array(labels, pa.int32()), pa.array(list(x), pa.list_(pa.float64()))], ["place", "toxic", "x"]
+
+    weighed = by_chunk(check, weigh, "place long, toxic int, x array<double>").toArrow().sort_by("place")
+    x = weighed["x"].combine_chunks().flatten().to_numpy().reshape(len(weighed), 2 * len(STEPS))
+    return model.calibrate(x, weighed["toxic"].to_numpy().astype(float), n_toxic, n_ordinary)
+
+
+def sampled(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, int, int]:
     """At most TOXIC_ROWS and ORDINARY_ROWS labelled rows, by the least hash of doc_id, each with its whole text.
 
     The ids are chosen from ``labels`` before texts are read, so only the sample's texts travel. A doc_id
     that repeats counts once, with its least text. Where the texts of a class pass SAMPLE_CHARS together,
-    rows that no longer fit stay out; no text is cut.
+    rows that no longer fit stay out; no text is cut. ``place`` numbers the rows by doc_id.
     """
     known = labels.select("doc_id", "toxic").filter("toxic IN (0, 1) AND doc_id IS NOT NULL").distinct()
     counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
@@ -172,17 +264,21 @@ def training_sample(docs: DataFrame, labels: DataFrame) -> tuple[list[tuple[str,
         chosen = part if chosen is None else chosen.union(part)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
     found = materialize(texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("t").alias("t")))
-    sizes = found.select("doc_id", "toxic", F.length("t").alias("n"), F.xxhash64("doc_id").alias("place")).collect()  # at most TOXIC_ROWS + ORDINARY_ROWS
+    sizes = found.select("doc_id", "toxic", F.length("t").alias("n"), F.xxhash64("doc_id").alias("hash")).collect()  # at most TOXIC_ROWS + ORDINARY_ROWS
     total, fits = Counter(), []
-    for r in sorted(sizes, key=lambda r: (r["place"], r["doc_id"])):
+    for r in sorted(sizes, key=lambda r: (r["hash"], r["doc_id"])):
         if total[r["toxic"]] + r["n"] <= SAMPLE_CHARS:
             total[r["toxic"]] += r["n"]
             fits.append((r["doc_id"], r["toxic"]))
-    if len(fits) < len(sizes):
-        kept = docs.sparkSession.createDataFrame(fits, found.select("doc_id", "toxic").schema)
-        found = found.join(F.broadcast(kept), ["doc_id", "toxic"])
-    rows = sorted((r["doc_id"], r["t"], r["toxic"]) for r in found.collect())
-    return [(t, y) for _, t, y in rows], counts.get(1, 0), counts.get(0, 0)
+    schema = T.StructType([*found.select("doc_id", "toxic").schema, T.StructField("place", T.LongType())])
+    kept = docs.sparkSession.createDataFrame([(*r, i) for i, r in enumerate(sorted(fits))], schema)
+    return found.join(F.broadcast(kept), ["doc_id", "toxic"]).select("place", "t", F.col("toxic").cast("int").alias("toxic")), counts.get(1, 0), counts.get(0, 0)
+
+
+def training_sample(docs: DataFrame, labels: DataFrame) -> tuple[list[tuple[str, int]], int, int]:
+    """The rows of ``sampled`` in the driver, as ``train`` takes them."""
+    rows, n_toxic, n_ordinary = sampled(docs, labels)
+    return [(t, y) for _, t, y in sorted(map(tuple, rows.collect()))], n_toxic, n_ordinary
 
 
 def score(docs: DataFrame, model: Toxicity, text: str = "text") -> DataFrame:
@@ -211,5 +307,5 @@ def held_out(key: str = "doc_id"):
 
 def op1_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    model = train(*training_sample(docs, read(spark, sf_dir, "labels").filter(~held_out())))
+    model = fit(*sampled(docs, read(spark, sf_dir, "labels").filter(~held_out())))
     return score(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")

@@ -6,6 +6,7 @@ import random
 import re
 import sys
 import time
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -142,6 +143,43 @@ def test_toxicity_trains_on_whole_texts(spark, monkeypatch):
     assert toxicity.training_sample(docs, known)[0] == [(late, 1), ("short", 0), ("", 0)]
 
 
+def test_toxicity_words_stay_in_tasks(spark, tmp_path):
+    """Training takes little more of the driver than the texts of its sample, and gives what ``train`` gives."""
+    rnd = random.Random(17)
+    word = lambda: "".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=rnd.randint(1, 9)))
+    bad = [i % 4 == 0 for i in range(600)]
+    texts = [" ".join([word() for _ in range(400)] + rnd.choices(["grumwitz", "vopplig"], k=8 * b)) for b in bad]
+    at = folder(spark, tmp_path, documents=documents(spark, texts), labels=label_rows(spark, [(i, 1, int(b)) for i, b in enumerate(bad)]))
+    tracemalloc.start()
+    try:
+        found = toxicity.op1_toxicity(spark, at)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most < 8 * sum(map(len, texts))
+    rows = [(t, int(b)) for i, (t, b) in enumerate(zip(texts, bad, strict=True)) if zlib.crc32(str(i).encode()) % 3 != 1]
+    model = toxicity.train(rows, sum(y for _, y in rows), sum(1 - y for _, y in rows))
+    assert b"vopplig" in model.toxic and any(model.weights)
+    assert [r.score for r in found.orderBy("doc_id").collect()] == model.scores(texts).tolist()
+
+
+def test_toxicity_grams_and_samples():
+    """Grams and samples are those of a search word by word, whatever the step and the spaces between."""
+    texts = ["", " ", "a", "ab  abc\nabcd ABCDE abcdef", "ü é-ß  zz", "one two three four five six seven eight nine ten"]
+    grams = lambda w: {m[i : i + 5] for m in (b" " + w + b" ",) for i in range(max(1, len(m) - 4))}
+    for chunk in (1, 3, 1 << 20):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(toxicity, "CHUNK_BYTES", chunk)
+            for text in texts:
+                words = toxicity.words_of(text)
+                every, bad, good = toxicity.gram_counts([(text, 1), (text, 1), (text, 0)])
+                assert {int(g).to_bytes(8).lstrip(b"\0") for g in every} == set().union(*map(grams, words))
+                assert (bad == 2).all() and (good == 1).all()
+                assert toxicity.samples(text, 0, every) == [b" " + b" ".join(words[i : i + 8]) + b" " for i in range(0, len(words), 8)]
+                for g in every:
+                    assert toxicity.samples(text, 1, np.array([g])) == [b" " + w + b" " for w in words if int(g).to_bytes(8).lstrip(b"\0") in grams(w)]
+
+
 def test_toxicity_held_out(spark):
     found = {r.doc_id: r for r in toxicity.op1_toxicity(spark, SF).collect()}
     assert all(r.held_out == (zlib.crc32(str(i).encode()) % 3 == 1) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for i, r in found.items())
